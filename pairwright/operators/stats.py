@@ -18,11 +18,11 @@ from pairwright.functions.rules import token_cost, training_cost
 from pairwright.functions.text import cut, word_count
 from pairwright.operators.ranking import upper_half_median
 
-ONE = F.lit(1)
+
 
 
 def _n() -> Column:
-    return F.count(ONE)
+    return F.count(F.lit(1))
 
 
 def _mean(x: Column) -> Column:
@@ -38,6 +38,10 @@ def _or_zero(x: Column) -> Column:
     return F.coalesce(x.cast("double"), F.lit(0.0))
 
 
+def _with_name(cell, name: str):
+    return lambda x: cell(name, x)
+
+
 def histograms(
     df: DataFrame,
     single: dict[str, Column],
@@ -55,8 +59,9 @@ def histograms(
 
     one = [cell(k, F.coalesce(v.cast("string"), F.lit(missing)) if missing else v) for k, v in single.items()]
     parts = [F.array(*one)] if one else []
+    empty = F.array().cast("array<struct<dimension:string,value:string>>")
     for k, v in (arrays or {}).items():
-        parts.append(F.coalesce(F.transform(v, lambda x, k=k: cell(k, x)), F.array().cast("array<struct<dimension:string,value:string>>")))
+        parts.append(F.coalesce(F.transform(v, _with_name(cell, k)), empty))
     cells = F.concat(*parts) if len(parts) > 1 else parts[0]
     long = df.select(F.explode(cells).alias("c")).select("c.*")
     if not missing:
