@@ -59,12 +59,17 @@ def read_jsonl_lenient(spark: SparkSession, path, row: T.StructType = schemas.SA
     return good, bad.select("file", F.col("value").alias("line"))
 
 
-def read_json_document(spark: SparkSession, path, row: T.StructType = schemas.SAMPLE) -> DataFrame:
-    """A document that is a list, {"samples": [..]} or {"pairs": [..]}; anything else is an error."""
+def read_json_document(
+    spark: SparkSession, path, row: T.StructType = schemas.SAMPLE, one_per_line: bool = False
+) -> DataFrame:
+    """A document that is a list, {"samples": [..]} or {"pairs": [..]}; anything else is an error.
+
+    A file is one document, or one per line; only the latter can be split among tasks.
+    """
     wide = _with_old_spellings(row)
     arr = T.ArrayType(wide)
-    outer = T.StructType(wide.fields).add("samples", arr).add("pairs", arr)
-    raw = spark.read.schema(outer).option("multiLine", True).json(path)
+    outer = T.StructType([*wide.fields, T.StructField("samples", arr), T.StructField("pairs", arr)])
+    raw = spark.read.schema(outer).option("multiLine", not one_per_line).json(path)
     empty = reduce(lambda a, b: a & b, [F.col(n).isNull() for n in wide.names])
     own = F.when(empty, F.raise_error(F.lit("Unsupported JSON structure")).cast(arr)).otherwise(
         F.array(F.struct(*wide.names))
