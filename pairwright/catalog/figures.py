@@ -12,6 +12,7 @@ from pairwright.functions import formula as fx
 from pairwright.functions.profile import formula_profile
 from pairwright.operators import choose, stats
 from pairwright.operators.enrich import sample_columns
+from pairwright.operators.keep import keep_where
 
 
 def store(spark, sf):
@@ -334,8 +335,8 @@ def a14s(spark, sf):
 def a15(spark, sf):
     rows = marked(spark, sf)
     good = F.col("failed_filter").isNull() & F.col("field_error").isNull()
-    used = choose.split_exact(rows.filter(good), "id", 7, 0.1)
-    both = used.unionByName(rows.filter(~good), allowMissingColumns=True)
+    used = choose.split_exact(keep_where(rows, good), "id", 7, 0.1)
+    both = used.unionByName(keep_where(rows, ~good), allowMissingColumns=True)
     return stats.training_stats(both).withColumn("training_cost_usd", F.round("training_cost_usd", 9))
 
 

@@ -82,9 +82,7 @@ def f09(spark, sf):
     rows = v_formulas(spark, sf).select("event_id", fx.to_ascii(F.col("formula")).alias("atl_formula"))
     errors = rules.formula_errors(F.col("atl_formula"), "boundary", False)
     rows = rows.withColumn("syntax_errors", errors).withColumn("syntax_valid", F.size("syntax_errors") == 0)
-    valid, invalid = verify.auto_reject(rows)
-    out = valid.unionByName(invalid, allowMissingColumns=True)
-    return out.select(
+    return verify.auto_reject(rows).select(
         "event_id", "syntax_valid", "verification_status", "verifier", F.array_join("rejection_reasons", "|").alias("reasons"),
         F.array_join("verification_notes", "|").alias("notes"),
     )

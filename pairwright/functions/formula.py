@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairwright import vocab
-from pairwright.functions.text import canonical_set, contains_any, replace_all, strip
+from pairwright.functions.text import canonical_set, contains_any, let, replace_all, strip
 
 COALITION = r"<<([^>]+)>>"
 IDENTIFIER = r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"
@@ -149,7 +149,10 @@ def sorted_members(coalition: Column) -> Column:
 
 def coalition_text(coalition: Column) -> Column:
     """English phrase of a coalition: one, two, or three and more agents."""
-    members = sorted_members(coalition)
+    return let(sorted_members(coalition), _phrase)
+
+
+def _phrase(members: Column) -> Column:
     own = F.create_map(*[F.lit(x) for kv in vocab.AGENT_PHRASES.items() for x in kv])
 
     def with_article(a: Column) -> Column:

@@ -18,6 +18,7 @@ from pairwright.functions import formula as fx
 from pairwright.functions.identity import seeded, seeded_choice
 from pairwright.functions.rules import check_structure
 from pairwright.operators.enrich import sample_columns
+from pairwright.operators.keep import keep_where
 from pairwright.operators.ranking import measured
 
 
@@ -133,6 +134,7 @@ def base_pairs(
             "_atoms",
             F.when(F.size(F.map_keys("atoms")) >= F.col("_t.holes"), F.col("atoms")).otherwise(default_atoms()),
         ).drop("domain_no", "agents", "atoms")
+    rows = rows.withColumn("_members", fx.sorted_members(F.col("_members")))
     rows = rows.withColumn("_picked", pick_atoms(F.col("_atoms"), d, seed + 4, F.col("_t.holes")))
     frame = F.get(F.col("_t.frames"), seeded_choice(d, seed + 5, F.size("_t.frames")))
     members = F.col("_members")
@@ -142,7 +144,7 @@ def base_pairs(
 
     formula = fx.fill(
         F.col("_t.shape"),
-        {"coalition": F.array_join(fx.sorted_members(members), ","), "p": hole(0, "atom"), "q": hole(1, "atom"), "r": hole(2, "atom")},
+        {"coalition": F.array_join(members, ","), "p": hole(0, "atom"), "q": hole(1, "atom"), "r": hole(2, "atom")},
     )
     nl = fx.fill(
         frame,
@@ -152,7 +154,7 @@ def base_pairs(
         *draws.columns, "vocabulary", F.col("_t.template_id").alias("template_id"), F.col("_t.category").alias("category"),
         nl.alias("nl"), formula.alias("formula"),
     )
-    return out.filter(check_structure(F.col("formula"))["valid"])
+    return keep_where(out, check_structure(F.col("formula"))["valid"])
 
 
 def generated_samples(pairs: DataFrame, provider: str = "none") -> DataFrame:
@@ -163,6 +165,12 @@ def generated_samples(pairs: DataFrame, provider: str = "none") -> DataFrame:
 
 def with_paraphrases(pairs: DataFrame, items: str) -> DataFrame:
     """Originals plus one row per paraphrase; a paraphrase keeps its parent's columns, no join needed."""
-    base = pairs.withColumn("paraphrase_of", F.lit(None).cast("string")).drop(items)
-    more = pairs.withColumn("paraphrase_of", F.col("nl")).withColumn("nl", F.explode(items)).drop(items)
-    return base.unionByName(more)
+
+    def text(nl: Column, parent: Column) -> Column:
+        return F.struct(nl.alias("nl"), parent.cast("string").alias("paraphrase_of"))
+
+    nl = F.col("nl")
+    own = F.array(text(nl, F.lit(None)))
+    texts = F.concat(own, F.transform(items, lambda i: text(i, nl)))
+    rest = [c for c in pairs.columns if c not in ("nl", items)]
+    return pairs.select(*rest, F.explode(texts).alias("_n")).select(*rest, "_n.*")

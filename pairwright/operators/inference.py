@@ -100,7 +100,8 @@ def expression_stage(reply: Callable[[Column], Column], **kw) -> Stage:
     """Stage whose answers are an expression of the prompt: nothing leaves the JVM."""
 
     def run(df: DataFrame, prompt: str, out: str) -> DataFrame:
-        return df.withColumn(out, as_answer(reply(F.col(prompt)), **kw))
+        answer = as_answer(reply(F.col(prompt)), **kw)
+        return df.withColumn(out, F.when(F.col(prompt).isNotNull(), answer))
 
     return run
 
@@ -137,9 +138,11 @@ def batch_stage(factory: Callable[[], Backend], workers: int | None = None, hot_
     """
 
     def run(df: DataFrame, prompt: str, out: str) -> DataFrame:
-        rows = df.withColumn("_k", F.sha2(F.col(prompt), 256))
-        asked = rows.groupBy("_k").agg(F.any_value(prompt).alias("_prompt"), F.count(F.lit(1)).alias("_rows"))
-        asked = asked.filter(F.col("_k").isNotNull())
+        # rows without a prompt get keys of their own, spread evenly, that no answer has
+        nothing = F.concat(F.lit("none-"), F.xxhash64(*df.columns).cast("string"))
+        rows = df.withColumn("_k", F.coalesce(F.sha2(F.col(prompt), 256), nothing))
+        asked = rows.filter(F.col(prompt).isNotNull()).groupBy("_k")
+        asked = asked.agg(F.any_value(prompt).alias("_prompt"), F.count(F.lit(1)).alias("_rows"))
         if workers:
             asked = asked.repartition(workers, "_k")
         schema = T.StructType(
@@ -148,9 +151,9 @@ def batch_stage(factory: Callable[[], Backend], workers: int | None = None, hot_
         answers = cut_lineage(asked.mapInPandas(_ask(factory), schema), "answers")
         total = answers.agg(F.sum("_rows")).first()[0] or 0
         hot = [r[0] for r in answers.filter(F.col("_rows") > max(1, int(total * hot_share), 100_000)).select("_k").collect()]
-        spread = F.when(F.col("_k").isin(hot), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(F.lit(0))
+        spread = F.when(F.col("_k").isin(hot), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
         copies = F.when(F.col("_k").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        packed = answers.select("_k", F.explode(copies).cast("bigint").alias("_salt"), F.struct(*schemas.INFERENCE.names).alias(out))
-        return rows.withColumn("_salt", spread.cast("bigint")).join(packed, ["_k", "_salt"], "left").drop("_k", "_salt")
+        packed = answers.select("_k", F.explode(copies).alias("_salt"), F.struct(*schemas.INFERENCE.names).alias(out))
+        return rows.withColumn("_salt", spread).join(packed, ["_k", "_salt"], "left").drop("_k", "_salt")
 
     return run

@@ -60,39 +60,37 @@ def retranslate(rejected: DataFrame, translate: Stage, verify: Stage | None) ->
         "_q", prompts.training_request(F.col("nl_statement"), F.col("domain"), F.col("agents"))
     )
     got = translate(asked, "_q", "_a")
-    f = F.coalesce(F.trim(F.col("_a.text")), F.lit(""))
     failed = F.col("_a.error").isNotNull()
-    errors = F.when(failed, F.array("_a.error")).otherwise(ascii_errors(f))
     rows = got.select(
         F.col("id").alias("sample_id"), "nl_statement", "domain", "agents",
         F.col("atl_formula").alias("original_atl"), F.col("atl_generator").alias("original_generator"),
         F.col("rejection_reasons").alias("original_rejection_reasons"),
-        f.alias("finetuned_atl"),
-        (F.size(errors) == 0).alias("finetuned_syntax_valid"),
-        errors.alias("finetuned_syntax_errors"),
-        failed.alias("_failed"),
+        F.coalesce(F.trim(F.col("_a.text")), F.lit("")).alias("finetuned_atl"),
+        F.col("_a.error").alias("_error"),
     )
-    bad = rows.filter(~F.col("finetuned_syntax_valid"))
-    good = rows.filter("finetuned_syntax_valid")
-    if verify is not None:
-        good = verify(
-            good.withColumn("_q", prompts.verdict(F.col("nl_statement"), F.col("finetuned_atl"), F.col("domain"))), "_q", "_a"
-        )
-        good = good.withColumn("_v", answers.verdict(F.col("_a.text"), "UNKNOWN")).select(
-            *rows.columns,
-            F.col("_v.verdict").alias("finetuned_verdict"),
-            F.col("_v.confidence").alias("finetuned_confidence"),
-            F.col("_v.issues").alias("finetuned_issues"),
-            F.col("_v.explanation").alias("finetuned_notes"),
-        )
-    out = good.unionByName(bad, allowMissingColumns=True)
+    f, failed = F.col("finetuned_atl"), F.col("_error").isNotNull()
+    errors = F.when(failed, F.array("_error")).otherwise(ascii_errors(f))
+    rows = rows.withColumn("finetuned_syntax_errors", errors)
+    rows = rows.withColumn("finetuned_syntax_valid", F.size("finetuned_syntax_errors") == 0)
+    valid = F.col("finetuned_syntax_valid")
     if verify is None:
-        out = out.withColumn("finetuned_verdict", F.lit(None).cast("string")).withColumn(
-            "finetuned_confidence", F.lit(None).cast("double")
-        )
-    return out.withColumn("status", retranslation_status(F.col("_failed"), F.col("finetuned_syntax_valid"), F.col("finetuned_verdict"))).withColumn(
-        "improved", F.col("status") == "improved"
-    ).drop("_failed")
+        rows = rows.withColumn("_v", F.lit(None).cast("struct<verdict:string,confidence:double,issues:array<string>,explanation:string>"))
+    else:
+        # only valid formulas are judged
+        q = F.when(valid, prompts.verdict(F.col("nl_statement"), f, F.col("domain")))
+        rows = verify(rows.withColumn("_q", q), "_q", "_a").withColumn("_t", F.col("_a.text")).drop("_q", "_a")
+        rows = rows.withColumn("_v", F.when(valid, answers.verdict(F.col("_t"), "UNKNOWN"))).drop("_t")
+    v = F.col("_v")
+    status = retranslation_status(failed, valid, v["verdict"])
+    return rows.select(
+        *[c for c in rows.columns if not c.startswith("_")],
+        v["verdict"].alias("finetuned_verdict"),
+        v["confidence"].alias("finetuned_confidence"),
+        v["issues"].alias("finetuned_issues"),
+        v["explanation"].alias("finetuned_notes"),
+        status.alias("status"),
+        (status == "improved").alias("improved"),
+    )
 
 
 def retranslation_status(failed: Column, valid: Column, verdict: Column) -> Column:

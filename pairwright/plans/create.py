@@ -14,7 +14,9 @@ from pairwright.operators.enrich import sample_columns, with_components
 from pairwright.operators.generate import base_pairs, with_paraphrases
 from pairwright.operators.identity import first_seen
 from pairwright.operators.inference import Stage
+from pairwright.operators.keep import keep_where
 from pairwright.plans.verify import critique_pairs
+from pairwright.session import cut_lineage
 
 
 def candidates(rows: DataFrame, ask: Stage, nl: str = "nl_statement") -> DataFrame:
@@ -28,7 +30,7 @@ def candidates(rows: DataFrame, ask: Stage, nl: str = "nl_statement") -> DataFra
 def valid_candidates(found: DataFrame, max_depth: int = 4, max_coalition_size: int = 5) -> DataFrame:
     """Candidates within the depth and coalition limits, with their profile."""
     marked = found.withColumn("profile", formula_profile(F.col("atl_formula"), max_depth, max_coalition_size))
-    return marked.filter("profile.valid")
+    return keep_where(marked, F.col("profile.valid"))
 
 
 def translate(rows: DataFrame, ask: Stage, key: str, nl: str = "nl_statement") -> DataFrame:
@@ -110,4 +112,6 @@ def hybrid_dataset(
     )
     if critique:
         rows = critique_pairs(rows, critique)
+    # what models answered is written once, then counted and trimmed
+    rows = cut_lineage(rows, "hybrid")
     return take_random(rows, "row_key", seed, n).drop("row_key")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairwright import vocab
 from pairwright.functions import prompts, rules
 from pairwright.operators.choose import split_by_hash, split_exact
+from pairwright.operators.keep import keep_where
 
 
 def mark_rows(
@@ -31,7 +32,7 @@ def filter_counts(marked: DataFrame) -> DataFrame:
 
 
 def usable(marked: DataFrame) -> DataFrame:
-    return marked.filter(F.col("failed_filter").isNull() & F.col("field_error").isNull())
+    return keep_where(marked, F.col("failed_filter").isNull() & F.col("field_error").isNull())
 
 
 def training_split(marked: DataFrame, key: str, seed: int, fraction: float = 0.1, exact: bool = True) -> DataFrame:

@@ -10,46 +10,50 @@ from pairwright.functions import answers, prompts, rules
 from pairwright.functions import formula as fx
 from pairwright.operators.choose import halves
 from pairwright.operators.inference import Stage
+from pairwright.operators.keep import keep_where
 
 
 def verify_table(rows: DataFrame, ask: Stage, threshold: float = 0.7, cross_check: bool = True) -> DataFrame:
-    """rows: sample_id, nl_statement, atl_formula. Only rows that pass the rules reach the model."""
-    checked = rows.withColumn("syntax_check", rules.check_structure(F.col("atl_formula")))
-    bad = checked.filter(~F.col("syntax_check.valid"))
-    good = checked.filter(F.col("syntax_check.valid"))
+    """rows: sample_id, nl_statement, atl_formula.
+
+    Rows that fail the rules have no prompt, so the model never sees them; all
+    rows go through in one pass.
+    """
     nl, f = F.col("nl_statement"), F.col("atl_formula")
-    good = ask(good.withColumn("_q", prompts.verification(nl, f)), "_q", "_a")
-    good = good.withColumn("semantic_check", answers.semantic_check(F.col("_a.text"))).withColumn("_e", F.col("_a.error").isNotNull())
+    valid = F.col("syntax_check.valid")
+    out = rows.withColumn("syntax_check", rules.check_structure(f))
+    out = ask(out.withColumn("_q", F.when(valid, prompts.verification(nl, f))), "_q", "_a")
+    out = out.withColumn("_t", F.col("_a.text")).withColumn("_e", F.col("_a.error").isNotNull()).drop("_q", "_a")
+    out = out.withColumn("semantic_check", F.when(valid, answers.semantic_check(F.col("_t")))).drop("_t")
     if cross_check:
-        good = ask(good.drop("_q", "_a").withColumn("_q", prompts.cross_translation(nl)), "_q", "_a")
-        good = good.withColumn("cross_model_atl", F.trim(F.col("_a.text")))
-        good = good.withColumn("cross_model_agreement", fx.same_formula(f, F.col("cross_model_atl")))
+        out = ask(out.withColumn("_q", F.when(valid, prompts.cross_translation(nl))), "_q", "_a")
+        out = out.withColumn("cross_model_atl", F.trim(F.col("_a.text"))).drop("_q", "_a")
+        out = out.withColumn("cross_model_agreement", fx.same_formula(f, F.col("cross_model_atl")))
     else:
         none = F.lit(None)
-        good = good.withColumn("cross_model_atl", none.cast("string")).withColumn("cross_model_agreement", none.cast("boolean"))
+        out = out.withColumn("cross_model_atl", none.cast("string")).withColumn("cross_model_agreement", none.cast("boolean"))
     sem = F.col("semantic_check")
-    good = good.withColumn(
-        "status",
-        rules.status_by_confidence(
-            F.lit(True), sem["matches"], sem["confidence"], F.col("cross_model_agreement"), F.col("_e"), threshold
-        ),
-    ).withColumn("corrected_atl", rules.corrected(sem["suggested_fix"]))
-    good = good.drop("_q", "_a", "_e")
-    bad = bad.withColumn("status", F.lit("rejected"))
-    return good.unionByName(bad, allowMissingColumns=True)
-
-
-def auto_reject(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid rows, and invalid rows as rejections with their errors as reasons."""
-    valid = rows.filter("syntax_valid")
-    invalid = rows.filter(~F.col("syntax_valid")).select(
+    status = rules.status_by_confidence(
+        valid, sem["matches"], sem["confidence"], F.col("cross_model_agreement"), F.col("_e"), threshold
+    )
+    return out.withColumn("status", status).withColumn("corrected_atl", rules.corrected(sem["suggested_fix"])).drop("_e")
+
+
+def auto_reject(rows: DataFrame) -> DataFrame:
+    """Rows with status, verifier, reasons and notes filled where syntax_valid is false, null elsewhere."""
+    bad = ~F.col("syntax_valid")
+    return rows.select(
         "*",
-        F.lit("rejected").alias("verification_status"),
-        F.lit("syntax_check").alias("verifier"),
-        F.col("syntax_errors").alias("rejection_reasons"),
-        F.array(F.lit(vocab.NOTE_AUTO_REJECTED)).alias("verification_notes"),
+        F.when(bad, "rejected").alias("verification_status"),
+        F.when(bad, "syntax_check").alias("verifier"),
+        F.when(bad, F.col("syntax_errors")).alias("rejection_reasons"),
+        F.when(bad, F.array(F.lit(vocab.NOTE_AUTO_REJECTED))).alias("verification_notes"),
     )
-    return valid, invalid
+
+
+JUDGED = {
+    "verification_verdict", "verification_confidence", "verification_notes", "verification_status", "rejection_reasons",
+}
 
 
 def judge(rows: DataFrame, ask: Stage, accept_only: bool = True, fallback: str = "REJECT") -> DataFrame:
@@ -62,7 +66,7 @@ def judge(rows: DataFrame, ask: Stage, accept_only: bool = True, fallback: str =
     verdict = F.when(failed, "ERROR").otherwise(F.col("_v.verdict"))
     status = rules.status_accept_only(verdict) if accept_only else rules.status_by_verdict(verdict)
     out = asked.select(
-        *[c for c in rows.columns if c not in ("rejection_reasons", "verification_notes", "verification_status")],
+        *[c for c in rows.columns if c not in JUDGED],
         verdict.alias("verification_verdict"),
         F.when(failed, 0.0).otherwise(F.col("_v.confidence")).alias("verification_confidence"),
         F.array(F.when(failed, "Verification failed").otherwise(F.col("_v.explanation"))).alias("verification_notes"),
@@ -94,7 +98,7 @@ def apply_critique(rows: DataFrame, answer, error) -> DataFrame:
     o = F.col("outcome")
     drop = {"atl_formula", "atl_unicode", "syntax_valid", "confidence", "verification_notes"}
     formula = F.when(o == "fixed", fx.to_ascii(fix)).otherwise(F.col("atl_formula"))
-    return c.filter(o != "drop").select(
+    return keep_where(c, o != "drop").select(
         *[x for x in rows.columns if x not in drop],
         formula.alias("atl_formula"),
         fx.to_printed(formula).alias("atl_unicode"),

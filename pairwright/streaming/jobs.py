@@ -17,8 +17,13 @@ from pairwright.operators.stats import verification_quality
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """Streaming scan of a parquet table with the schema of its files; new files are picked up."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """Streaming scan of a parquet table, a file or a folder, with the schema of its files.
+
+    The path is given as a pattern that only matches itself: the file source
+    takes a plain path for a folder.
+    """
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{parent}/{{{name}}}")
 
 
 def append_enriched(rows: DataFrame, enrich: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
