@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairwright import vocab
 from pairwright.functions.formula import fill
-from pairwright.functions.text import replace_all
+from pairwright.functions.text import let, replace_all
 from pairwright.operators.neighbours import with_next
 
 
@@ -49,18 +49,23 @@ def v_formulas(spark: SparkSession, sf: str) -> DataFrame:
         },
     )
     kind = F.pmod(k, F.lit(4))
-    e = e.withColumn("agent", agent).withColumn("f", whole)
-    agent, f = F.col("agent"), F.col("f")
-    e = e.withColumn("f", F.when(kind == 1, replace_all(f, PLAIN)).when(kind == 2, replace_all(f, LOOSE)).otherwise(f))
-    broken = (
-        F.when(k == 11, F.replace(f, F.lit(")"), F.lit("")))
-        .when(k == 13, F.concat(F.lit("<<"), agent, F.lit(">> ")))
-        .when(k == 17, F.regexp_replace(f, "(⟨⟨|<<)[^⟩>]*(⟩⟩|>>)", ""))
-        .when(k == 19, "  ")
-        .when(k == 23, F.replace(F.replace(f, F.lit(">>"), F.lit(">")), F.lit("⟩⟩"), F.lit("⟩")))
-        .when(k == 29, F.concat(f, F.lit(" and FLAG (x)")))
-        .otherwise(f)
-    )
+
+    def respelled(f):
+        return F.when(kind == 1, replace_all(f, PLAIN)).when(kind == 2, replace_all(f, LOOSE)).otherwise(f)
+
+    def broken_at_times(f):
+        return (
+            F.when(k == 11, F.replace(f, F.lit(")"), F.lit("")))
+            .when(k == 13, F.concat(F.lit("<<"), agent, F.lit(">> ")))
+            .when(k == 17, F.regexp_replace(f, "(⟨⟨|<<)[^⟩>]*(⟩⟩|>>)", ""))
+            .when(k == 19, "  ")
+            .when(k == 23, F.replace(F.replace(f, F.lit(">>"), F.lit(">")), F.lit("⟩⟩"), F.lit("⟩")))
+            .when(k == 29, F.concat(f, F.lit(" and FLAG (x)")))
+            .otherwise(f)
+        )
+
+    # each step uses the text many times; let() keeps conditions that are pushed through the view small
+    broken = let(let(whole, respelled), broken_at_times)
     nl = F.concat(
         F.lit("The user "), u, F.lit(" must react to "), F.col("event_type"), F.lit(" by a message with code "), k.cast("string")
     )

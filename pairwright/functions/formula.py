@@ -10,7 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairwright import vocab
-from pairwright.functions.text import canonical_set, contains_any, let, replace_all, strip
+from pairwright.functions.text import (
+    canonical_set, contains_any, let, members, replace_all, strip, strings_present,
+)
 
 COALITION = r"<<([^>]+)>>"
 IDENTIFIER = r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"
@@ -25,20 +27,16 @@ def to_printed(f: Column) -> Column:
     return strip(replace_all(f, vocab.PRINTED_FORMS))
 
 
-def _members(group: Column) -> Column:
-    return F.transform(F.split(group, ","), strip)
-
-
 def agents(f: Column) -> Column:
     """Agents of all coalitions, as a sorted set."""
-    groups = F.regexp_extract_all(to_ascii(f), F.lit(COALITION), F.lit(1))
-    return canonical_set(F.flatten(F.transform(groups, _members)))
+    groups = F.array_join(F.regexp_extract_all(to_ascii(f), F.lit(COALITION), F.lit(1)), ",")
+    return F.when(groups == "", F.array().cast("array<string>")).otherwise(canonical_set(members(groups)))
 
 
 def first_coalition(f: Column) -> Column:
     """Agents of the first coalition in written order; empty when there is none."""
     group = F.regexp_extract(f, COALITION, 1)
-    return F.when(group == "", F.array().cast("array<string>")).otherwise(_members(group))
+    return F.when(group == "", F.array().cast("array<string>")).otherwise(members(group))
 
 
 def temporal_operators(f: Column) -> Column:
@@ -51,7 +49,7 @@ def temporal_operators(f: Column) -> Column:
     found = [
         F.when(F.regexp_like(a, F.lit(rf"\b{op}\b|{op}\s*\(|{op}\s+")), F.lit(op)) for op in ["G", "F", "X", "U"]
     ]
-    return F.array_compact(F.array(*found, F.when(F.contains(a, F.lit("->")), F.lit("->"))))
+    return strings_present([*found, F.when(F.contains(a, F.lit("->")), F.lit("->"))])
 
 
 def operators(f: Column, mode: str = "substring") -> Column:
@@ -67,7 +65,7 @@ def operators(f: Column, mode: str = "substring") -> Column:
     else:
         raise ValueError(f"unknown mode: {mode}")
     found = {**letters, **{k: contains_any(f, v) for k, v in marks.items()}}
-    return F.array_compact(F.array(*[F.when(hit, F.lit(op)) for op, hit in found.items()]))
+    return strings_present([F.when(hit, F.lit(op)) for op, hit in found.items()])
 
 
 def atoms(f: Column) -> Column:
@@ -75,8 +73,12 @@ def atoms(f: Column) -> Column:
     body = F.regexp_replace(to_ascii(f), r"<<[^>]+>>", "")
     body = F.regexp_replace(body, r"\b(G|F|X|U)\b", " ")
     body = F.regexp_replace(body, r"[!&|()>\-<]", " ")
-    names = F.regexp_extract_all(body, F.lit(IDENTIFIER), F.lit(0))
-    return canonical_set(F.filter(names, lambda a: ~F.lower(a).isin(vocab.NOT_ATOMS)))
+    body = F.regexp_replace(body, _any_word(vocab.NOT_ATOMS, "(?i)"), " ")
+    return canonical_set(F.regexp_extract_all(body, F.lit(IDENTIFIER), F.lit(0)))
+
+
+def _any_word(words: list[str], flag: str = "") -> str:
+    return rf"{flag}\b({'|'.join(words)})\b"
 
 
 def identifiers(f: Column, lowered: bool = False) -> Column:
@@ -84,11 +86,10 @@ def identifiers(f: Column, lowered: bool = False) -> Column:
 
     Plain: in written order with repeats. Lowered: of the lower-cased text, as a sorted set.
     """
-    if not lowered:
-        names = F.regexp_extract_all(f, F.lit(LOWER_IDENTIFIER), F.lit(0))
-        return F.filter(names, lambda a: ~a.isin(vocab.NOT_IDENTIFIERS))
-    names = F.regexp_extract_all(F.lower(f), F.lit(LOWER_IDENTIFIER), F.lit(0))
-    return canonical_set(F.filter(names, lambda a: ~a.isin(vocab.NOT_IDENTIFIERS_LOWERED)))
+    drop = vocab.NOT_IDENTIFIERS_LOWERED if lowered else vocab.NOT_IDENTIFIERS
+    text = F.regexp_replace(F.lower(f) if lowered else f, _any_word(drop), " ")
+    names = F.regexp_extract_all(text, F.lit(LOWER_IDENTIFIER), F.lit(0))
+    return canonical_set(names) if lowered else names
 
 
 def pattern(f: Column) -> Column:
@@ -152,7 +153,7 @@ def coalition_text(coalition: Column) -> Column:
     return let(sorted_members(coalition), _phrase)
 
 
-def _phrase(members: Column) -> Column:
+def _phrase(sorted_agents: Column) -> Column:
     own = F.create_map(*[F.lit(x) for kv in vocab.AGENT_PHRASES.items() for x in kv])
 
     def with_article(a: Column) -> Column:
@@ -161,16 +162,16 @@ def _phrase(members: Column) -> Column:
     def bare(a: Column) -> Column:
         return F.when(_is_number(a), F.concat(F.lit("agent "), a)).otherwise(a)
 
-    one = F.coalesce(F.try_element_at(own, F.get(members, F.lit(0))), with_article(F.get(members, F.lit(0))))
-    two = F.array_join(F.transform(members, with_article), " and ")
-    listed = F.transform(members, bare)
+    one = F.coalesce(F.try_element_at(own, F.get(sorted_agents, F.lit(0))), with_article(F.get(sorted_agents, F.lit(0))))
+    two = F.array_join(F.transform(sorted_agents, with_article), " and ")
+    listed = F.transform(sorted_agents, bare)
     many = F.concat(
         F.lit("agents "),
         F.array_join(F.slice(listed, F.lit(1), F.greatest(F.size(listed) - 1, F.lit(0))), ", "),
         F.lit(", and "),
         F.element_at(listed, -1),
     )
-    n = F.size(members)
+    n = F.size(sorted_agents)
     return F.when(n == 1, one).when(n == 2, two).when(n >= 3, many)
 
 

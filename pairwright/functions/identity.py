@@ -55,11 +55,15 @@ def domain_of(
         found = F.regexp_like(text, F.lit(rf"\b\Q{word}\E\b")) if whole_words else F.contains(text, F.lit(word))
         return found.cast("int")
 
-    scored = []
-    for rank, (name, members) in enumerate(words.items()):
+    # score and rank in one number, so that the best one is computed once
+    names, width = list(words), len(words)
+    codes = []
+    for rank, members in enumerate(words.values()):
         score = hit(members[0])
         for w in members[1:]:
             score = score + hit(w)
-        scored.append(F.struct(score.alias("score"), F.lit(-rank).alias("order"), F.lit(name).alias("name")))
-    best = F.greatest(*scored) if len(scored) > 1 else scored[0]
-    return F.when(best["score"] > 0, best["name"]).otherwise(F.lit(vocab.GENERIC_DOMAIN))
+        codes.append(score * width + (width - 1 - rank))
+    best = F.greatest(*codes) if width > 1 else codes[0]
+    most = max(len(m) for m in words.values())
+    table = [vocab.GENERIC_DOMAIN] * width + names[::-1] * most
+    return F.element_at(F.array(*[F.lit(n) for n in table]), best + 1)

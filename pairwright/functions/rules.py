@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairwright import vocab
-from pairwright.functions.text import canonical_set, contains_any, count_of, strip
+from pairwright.functions.text import canonical_set, contains_any, count_of, strip, strings_present
+from pairwright.functions.text import members as listed_members
 
 LEADING_COALITION = r"^(<<|⟨⟨)\s*([^>⟩]*)\s*(>>|⟩⟩)"
 
 
 def _messages(*checks: tuple[Column, Column | str]) -> Column:
-    parts = [F.when(bad, F.lit(m) if isinstance(m, str) else m) for bad, m in checks]
-    return F.array_compact(F.array(*parts))
+    return strings_present([F.when(bad, F.lit(m) if isinstance(m, str) else m) for bad, m in checks])
 
 
 def _text(*parts: Column | str) -> Column:
@@ -48,9 +48,8 @@ def check_structure(raw: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(f, r"<<[^>]*>>", ""), r"⟨⟨[^⟩]*⟩⟩", "")
     body = F.regexp_replace(body, r"\b(G|F|X|U|and|or|not|implies|true|false)\b", "")
     body = F.regexp_replace(body, r"[()∧∨¬→&|!>\-]", " ")
-    names = F.regexp_extract_all(body, F.lit(r"\S+"), F.lit(0))
-    found = canonical_set(F.filter(names, lambda a: F.regexp_like(a, F.lit(r"^[a-zA-Z_]"))))
-    listed = F.filter(F.transform(F.split(members, ","), strip), lambda a: a != "")
+    found = canonical_set(F.regexp_extract_all(body, F.lit(r"(?<!\S)[a-zA-Z_]\S*"), F.lit(0)))
+    listed = F.array_remove(listed_members(members), "")
 
     valid = F.size(errors) == 0
     return F.struct(
@@ -87,7 +86,8 @@ def formula_errors(raw: Column, temporal: str = "substring", square: bool = True
     if square:
         checks.append((count_of(f, "[") != count_of(f, "]"), vocab.MSG_SQUARE))
     checks.append((count_of(angles, "<") != count_of(angles, ">"), vocab.MSG_ANGLES))
-    return F.when(f == "", F.array(F.lit(vocab.MSG_EMPTY))).otherwise(_messages(*checks))
+    some = f != ""
+    return _messages((~some, vocab.MSG_EMPTY), *[(some & bad, m) for bad, m in checks])
 
 
 def field_error(nl: Column, formula: Column) -> Column:

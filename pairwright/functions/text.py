@@ -36,7 +36,24 @@ def contains_any(c: Column, pieces: list[str]) -> Column:
 
 def canonical_set(arr: Column) -> Column:
     """Arrays that stand for sets are kept sorted, so equal sets are equal values."""
-    return F.array_sort(F.array_distinct(arr))
+    return F.sort_array(F.array_distinct(arr))
+
+
+GAP = "\x01"
+
+
+def strings_present(parts: list[Column]) -> Column:
+    """Array of the parts that are not null.
+
+    Goes through one joined string: unlike the lambda behind array_compact this
+    stays in generated code, where common parts are computed once.
+    """
+    return F.array_remove(F.split(F.concat_ws(GAP, *parts), GAP), "")
+
+
+def members(list_text: Column) -> Column:
+    """Comma-separated text to its trimmed members."""
+    return F.split(strip(list_text), r"\s*,\s*")
 
 
 def drop_prefixes(c: Column, prefixes: list[str], ignore_case: bool = False) -> Column:
