@@ -20,7 +20,7 @@ from pairwright.operators.inference import (
     CannedBackend, batch_stage, cyclic_answer, expression_stage, offline_answer, offline_verifier_answer,
 )
 from pairwright.plans import compare, create, verify
-from pairwright.session import run_dir
+from pairwright.session import cut_lineage, run_dir
 from pairwright.streaming import jobs
 
 
@@ -158,6 +158,8 @@ def i05(spark, sf):
 def i06(spark, sf):
     rows = v_formulas(spark, sf).select("event_id", F.col("nl").alias("nl_statement"))
     long = compare.compare_models(rows, ["base", "tuned", "third"], expression_stage(translator_reply, ms=10.0, prompt_tokens=3))
+    # answers are written once, then counted
+    long = cut_lineage(long, "i06")
     return stats.model_stats(long).select("model", F.col("rows").alias("n"), F.col("syntax_valid_count").alias("valid"))
 
 

@@ -49,26 +49,35 @@ def clean_answer(answer: Column, mode: str = "prefixes") -> Column:
     fence_lines   drop fence lines, then leading labels
     fence_edges   drop fence marks at both ends; null without << and >>
     """
-    text = strip(answer)
+    return let(strip(answer), lambda text: _clean(text, mode))
+
+
+def _first_piece(text: Column) -> Column:
+    parts = F.transform(F.split(text, FENCE), strip)
+    first = F.get(F.filter(parts, lambda p: (p != "") & ~F.startswith(p, F.lit("atl"))), F.lit(0))
+    return F.when(F.contains(text, F.lit(FENCE)), F.coalesce(first, text)).otherwise(text)
+
+
+def _inner_piece(text: Column) -> Column:
+    inner = strip(F.get(F.split(text, FENCE), F.lit(1)))
+    return F.when(F.contains(text, F.lit(FENCE)), inner).otherwise(text)
+
+
+def _clean(text: Column, mode: str) -> Column:
     pieces = F.split(text, ":")
     if mode == "prefixes":
         return drop_prefixes(text, vocab.SHORT_ANSWER_PREFIXES)
     if mode == "single_colon":
-        text = F.when(F.size(pieces) == 2, strip(F.get(pieces, F.lit(1)))).otherwise(text)
-        parts = F.transform(F.split(text, FENCE), strip)
-        first = F.get(F.filter(parts, lambda p: (p != "") & ~F.startswith(p, F.lit("atl"))), F.lit(0))
-        return F.when(F.contains(text, F.lit(FENCE)), F.coalesce(first, text)).otherwise(text)
+        return let(F.when(F.size(pieces) == 2, strip(F.get(pieces, F.lit(1)))).otherwise(text), _first_piece)
     if mode == "first_colon":
-        text = F.when(F.size(pieces) > 1, strip(F.regexp_replace(text, r"(?s)\A[^:]*:", ""))).otherwise(text)
-        inner = strip(F.get(F.split(text, FENCE), F.lit(1)))
-        return F.when(F.contains(text, F.lit(FENCE)), inner).otherwise(text)
+        after = strip(F.regexp_replace(text, r"(?s)\A[^:]*:", ""))
+        return let(F.when(F.size(pieces) > 1, after).otherwise(text), _inner_piece)
     if mode == "fence_lines":
         kept = F.filter(_lines(text), lambda ln: ~F.startswith(strip(ln), F.lit(FENCE)))
         return drop_prefixes(strip(F.array_join(kept, "\n")), vocab.FENCED_ANSWER_PREFIXES)
     if mode == "fence_edges":
-        text = F.regexp_replace(text, r"\A```\w*\n?", "")
-        text = strip(F.regexp_replace(text, r"\n?```\z", ""))
-        return F.when(F.contains(text, F.lit("<<")) & F.contains(text, F.lit(">>")), text)
+        bare = strip(F.regexp_replace(strip(F.regexp_replace(text, r"\A```\w*\n?", "")), r"\n?```\z", ""))
+        return let(bare, lambda t: F.when(F.contains(t, F.lit("<<")) & F.contains(t, F.lit(">>")), t))
     raise ValueError(f"unknown mode: {mode}")
 
 

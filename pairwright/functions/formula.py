@@ -30,13 +30,21 @@ def to_printed(f: Column) -> Column:
 def agents(f: Column) -> Column:
     """Agents of all coalitions, as a sorted set."""
     groups = F.array_join(F.regexp_extract_all(to_ascii(f), F.lit(COALITION), F.lit(1)), ",")
-    return F.when(groups == "", F.array().cast("array<string>")).otherwise(canonical_set(members(groups)))
+    return canonical_set(_none_if_empty(groups))
+
+
+def _none_if_empty(list_text: Column) -> Column:
+    """Members of a list text; no member when the text is empty.
+
+    Written without a branch around the members, so that the text is computed once.
+    """
+    return F.slice(members(list_text), F.lit(1), F.when(list_text == "", 0).otherwise(2**31 - 1))
 
 
 def first_coalition(f: Column) -> Column:
     """Agents of the first coalition in written order; empty when there is none."""
     group = F.regexp_extract(f, COALITION, 1)
-    return F.when(group == "", F.array().cast("array<string>")).otherwise(members(group))
+    return _none_if_empty(group)
 
 
 def temporal_operators(f: Column) -> Column:

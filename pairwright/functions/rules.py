@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairwright import vocab
-from pairwright.functions.text import canonical_set, contains_any, count_of, strip, strings_present
+from pairwright.functions.text import canonical_set, contains_any, count_of, let, strip, strings_present
 from pairwright.functions.text import members as listed_members
 
 LEADING_COALITION = r"^(<<|⟨⟨)\s*([^>⟩]*)\s*(>>|⟩⟩)"
@@ -161,8 +161,8 @@ def is_retryable(reasons: Column, notes: Column, texts: list[str] | None = None)
     """Whether reasons or notes carry the text of a failure worth retrying."""
     empty = F.array().cast("array<string>")
     both = F.concat(F.coalesce(reasons, empty), F.coalesce(notes, empty))
-    text = F.lower(F.array_join(both, " "))
-    return contains_any(text, [t.lower() for t in (texts or vocab.RETRYABLE_TEXTS)])
+    wanted = [t.lower() for t in (texts or vocab.RETRYABLE_TEXTS)]
+    return let(F.lower(F.array_join(both, " ")), lambda text: contains_any(text, wanted))
 
 
 def critique_outcome(ok: Column, fix: Column, fix_valid: Column, failed: Column) -> Column:

@@ -35,13 +35,13 @@ def measured(df: DataFrame) -> DataFrame:
 
 def _splits(df: DataFrame, order: str, rows_per_bucket: int) -> list:
     """Quantiles of the order column: at most 1,023 numbers come to the driver."""
-    n = df.count()
-    parts = max(1, min(COARSE * FINE, -(-n // rows_per_bucket)))
-    if parts == 1:
-        return []
-    at = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(order, at, 10_000).alias("s")).first()["s"]
-    return sorted(set(found or []))
+    top = COARSE * FINE
+    every = [i / top for i in range(1, top)]
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(order, every, 10_000).alias("s")).first()
+    parts = max(1, min(top, -(-got["n"] // rows_per_bucket)))
+    # evenly spaced among the 1,023
+    picked = [got["s"][i * top // parts - 1] for i in range(1, parts)] if got["s"] else []
+    return sorted(set(picked))
 
 
 def _range_bucket(x: Column, splits: list) -> Column:
@@ -73,7 +73,12 @@ def running_total(
     ``order`` is numeric and unique within a group.
     """
     groups = groups or []
-    rows = df.withColumn("_w", weight).withColumn("_b", _range_bucket(F.col(order), _splits(df, order, rows_per_bucket)))
+    splits = _splits(df, order, rows_per_bucket)
+    if not splits:
+        # so few rows that one task may sort them all
+        before = W.partitionBy(*groups).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return df.withColumn("_w", weight).withColumn(name, F.coalesce(F.sum("_w").over(before), F.lit(0))).drop("_w")
+    rows = df.withColumn("_w", weight).withColumn("_b", _range_bucket(F.col(order), splits))
     sums = rows.groupBy(*groups, "_b").agg(F.sum("_w").alias("_sum"))
     upto = W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = measured(sums.select(*groups, "_b", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_off")))
@@ -104,11 +109,11 @@ def value_at(
     that a third of all rows share is one row.
     """
     counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = measured(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size")))
+    sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))
     ordered = running_total(counts, value, F.col("_n"), "_before", groups, rows_per_bucket)
     at = position(F.col("_size"))
     hit = (F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))
-    return ordered.join(sizes, groups).filter(hit).select(*groups, F.col(value).alias(name))
+    return ordered.join(measured(sizes), groups).filter(hit).select(*groups, F.col(value).alias(name))
 
 
 def mark_first(

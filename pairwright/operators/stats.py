@@ -57,13 +57,18 @@ def histograms(
     def cell(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("dimension"), value.cast("string").alias("value"))
 
-    one = [cell(k, F.coalesce(v.cast("string"), F.lit(missing)) if missing else v) for k, v in single.items()]
+    arrays = arrays or {}
+    # all values first, in one projection, where common parts are computed once
+    values = df.select(
+        *[v.cast("string").alias(f"s_{k}") for k, v in single.items()], *[v.alias(f"a_{k}") for k, v in arrays.items()]
+    )
+    one = [cell(k, F.coalesce(f"s_{k}", F.lit(missing)) if missing else F.col(f"s_{k}")) for k in single]
     parts = [F.array(*one)] if one else []
     empty = F.array().cast("array<struct<dimension:string,value:string>>")
-    for k, v in (arrays or {}).items():
-        parts.append(F.coalesce(F.transform(v, _with_name(cell, k)), empty))
+    for k in arrays:
+        parts.append(F.coalesce(F.transform(f"a_{k}", _with_name(cell, k)), empty))
     cells = F.concat(*parts) if len(parts) > 1 else parts[0]
-    long = df.select(F.explode(cells).alias("c")).select("c.*")
+    long = values.select(F.explode(cells).alias("c")).select("c.*")
     if not missing:
         long = long.filter(F.col("value").isNotNull())
     return long.groupBy("dimension", "value").agg(_n().alias("n"))

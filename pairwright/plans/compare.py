@@ -26,11 +26,14 @@ def compare_models(statements: DataFrame, models: list[str], ask: Stage, mode: s
     """Long comparison rows: statement columns, model, formula, time, tokens, validity, error."""
     asked = per_model(statements, models).withColumn("_q", prompts.translation(F.col("nl_statement")))
     asked = ask(asked, "_q", "_a")
-    f = F.when(F.col("_a.error").isNull(), answers.clean_answer(F.col("_a.text"), mode)).otherwise("")
-    errors = F.when(F.col("_a.error").isNull(), ascii_errors(f)).otherwise(F.array().cast("array<string>"))
+    answered = F.col("_a.error").isNull()
+    f = F.when(answered, answers.clean_answer(F.col("_a.text"), mode)).otherwise("")
+    # a column of its own, outside any condition: there common parts are computed once
+    asked = asked.withColumn("_f", f).withColumn("_err", ascii_errors(F.col("_f")))
+    errors = F.when(answered, F.col("_err")).otherwise(F.array().cast("array<string>"))
     return asked.select(
-        *[c for c in asked.columns if c not in ("_q", "_a")],
-        f.alias("atl_formula"),
+        *[c for c in asked.columns if not c.startswith("_")],
+        F.col("_f").alias("atl_formula"),
         (F.col("_a.latency_ms") / 1000).alias("response_time"),
         (F.col("_a.prompt_tokens") + F.col("_a.completion_tokens")).alias("tokens_used"),
         (F.col("_a.error").isNull() & (F.size(errors) == 0)).alias("syntax_valid"),
@@ -69,8 +72,8 @@ def retranslate(rejected: DataFrame, translate: Stage, verify: Stage | None) ->
         F.col("_a.error").alias("_error"),
     )
     f, failed = F.col("finetuned_atl"), F.col("_error").isNotNull()
-    errors = F.when(failed, F.array("_error")).otherwise(ascii_errors(f))
-    rows = rows.withColumn("finetuned_syntax_errors", errors)
+    rows = rows.withColumn("_err", ascii_errors(f))
+    rows = rows.withColumn("finetuned_syntax_errors", F.when(failed, F.array("_error")).otherwise(F.col("_err")))
     rows = rows.withColumn("finetuned_syntax_valid", F.size("finetuned_syntax_errors") == 0)
     valid = F.col("finetuned_syntax_valid")
     if verify is None:

@@ -93,8 +93,8 @@ def critique_pairs(rows: DataFrame, ask: Stage) -> DataFrame:
 def apply_critique(rows: DataFrame, answer, error) -> DataFrame:
     c = rows.withColumn("_c", answers.critique(answer)).withColumn("_err", error)
     fix = F.col("_c.suggested_fix")
-    fix_ok = rules.check_structure(F.coalesce(fix, F.lit("")))["valid"]
-    c = c.withColumn("outcome", rules.critique_outcome(F.col("_c.ok"), fix, fix_ok, F.col("_err").isNotNull()))
+    c = c.withColumn("_fix_ok", rules.check_structure(F.coalesce(fix, F.lit("")))["valid"])
+    c = c.withColumn("outcome", rules.critique_outcome(F.col("_c.ok"), fix, F.col("_fix_ok"), F.col("_err").isNotNull()))
     o = F.col("outcome")
     drop = {"atl_formula", "atl_unicode", "syntax_valid", "confidence", "verification_notes"}
     formula = F.when(o == "fixed", fx.to_ascii(fix)).otherwise(F.col("atl_formula"))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from pairwright.functions import formula as fx
 from pairwright.functions import identity as ident
-from pairwright.functions.text import strip
+from pairwright.functions.text import let, strip
 from pairwright.operators.identity import first_seen
+from pairwright.operators.keep import explode_computed
 from pairwright.operators.neighbours import with_next
 
 PAIR = "array<struct<pos:int,nl:string,formula:string>>"
@@ -39,12 +40,13 @@ def text_format(text: Column) -> Column:
 
 
 def _line_pairs(text: Column) -> Column:
-    lines = F.transform(F.split(strip(text), "\n"), strip)
-    below = F.slice(lines, F.lit(2), F.size(lines))
-    return F.transform(
-        F.arrays_zip(lines.alias("nl"), below.alias("formula")),
-        lambda p, i: F.struct(i.cast("int").alias("pos"), p["nl"].alias("nl"), p["formula"].alias("formula")),
-    )
+    def pairs(lines: Column) -> Column:
+        return F.transform(
+            lines,
+            lambda nl, i: F.struct(i.cast("int").alias("pos"), nl.alias("nl"), F.get(lines, i + 1).alias("formula")),
+        )
+
+    return let(F.transform(F.split(strip(text), "\n"), strip), pairs)
 
 
 def _is_statement(line: Column) -> Column:
@@ -89,17 +91,22 @@ def same_line_pairs(text: Column) -> Column:
 
 def pairs_of(text: Column, strip_quotes: bool = False) -> Column:
     """Pairs by the detected format."""
-    kind = text_format(text)
-    return (
-        F.when(kind == 1, quoted_pairs(text).cast(PAIR))
-        .when(kind == 2, same_line_pairs(text).cast(PAIR))
-        .otherwise(plain_pairs(text, strip_quotes).cast(PAIR))
-    )
+
+    def by_format(t: Column) -> Column:
+        kind = text_format(t)
+        return (
+            F.when(kind == 1, quoted_pairs(t).cast(PAIR))
+            .when(kind == 2, same_line_pairs(t).cast(PAIR))
+            .otherwise(plain_pairs(t, strip_quotes).cast(PAIR))
+        )
+
+    return let(text, by_format)
 
 
 def parse_texts(files: DataFrame, strip_quotes: bool = False) -> DataFrame:
     """(file, pos, nl, formula) rows of all files."""
-    return files.select("file", F.explode(pairs_of(F.col("text"), strip_quotes)).alias("p")).select("file", "p.*")
+    pairs = files.select("file", pairs_of(F.col("text"), strip_quotes).alias("ps"))
+    return pairs.select("file", explode_computed("ps").alias("p")).select("file", "p.*")
 
 
 def to_samples(pairs: DataFrame) -> DataFrame:
@@ -125,7 +132,10 @@ def load_texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     samples = to_samples(parse_texts(files))
     store = first_seen(samples, "id", F.struct("source_file", "pos"))
     totals = samples.groupBy(F.col("source_file").alias("file")).agg(F.count(F.lit(1)).alias("n"))
-    new = store.groupBy(F.col("source_file").alias("file")).agg(F.count(F.lit(1)).alias("added"))
+    # the counts need ids and files only
+    order = F.struct("source_file", "pos")
+    firsts = samples.groupBy("id").agg(F.min_by("source_file", order).alias("file"))
+    new = firsts.groupBy("file").agg(F.count(F.lit(1)).alias("added"))
     counts = totals.join(new, "file", "left").select(
         "file", F.coalesce("added", F.lit(0)).alias("added"), (F.col("n") - F.coalesce("added", F.lit(0))).alias("duplicates")
     )
