@@ -8,18 +8,13 @@ is no shuffle, and all statistics on top of it are built-in aggregates.
 from __future__ import annotations
 
 import re
-import sys
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairwright import schemas
 
-# Ship this module with the function, executors need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 TOKEN = re.compile(r"\s*(⟨⟨|<<|⟩⟩|>>|->|→|[()!¬&∧|∨,⊤⊥]|[A-Za-z0-9_]+)")
 SPELLING = {
     "⟨⟨": "<<", "⟩⟩": ">>", "→": "->", "implies": "->", "¬": "!", "not": "!", "∧": "&", "and": "&", "∨": "|",

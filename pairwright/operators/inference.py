@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import sys
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +14,6 @@ from pyspark.sql import types as T
 from pairwright import schemas, vocab
 from pairwright.session import cut_lineage
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 SALTS = 64
 
 
