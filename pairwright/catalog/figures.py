@@ -102,10 +102,7 @@ def a02l(spark, sf):
 
 @query("a03_dataset_scores")
 def a03(spark, sf):
-    rows = profiled(spark, sf)
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    valid = rows.agg(F.count_if("profile.valid")).scalar()
-    return stats.dataset_scores(stats.dataset_histograms(rows), total, valid)
+    return stats.dataset_scores(stats.dataset_histograms(profiled(spark, sf)))
 
 
 QUALITY = """count(*) AS total_samples, count(*) FILTER (WHERE syntax_valid) AS syntax_valid_count,

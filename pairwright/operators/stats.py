@@ -89,12 +89,7 @@ def store_histograms(samples: DataFrame) -> DataFrame:
 
 def store_stats(samples: DataFrame) -> DataFrame:
     """One row: sizes, verified and valid counts, distinct agents and atoms, mean complexity."""
-    kinds = distinct_counts(store_histograms(samples)).agg(
-        *[
-            F.coalesce(F.max(F.when(F.col("dimension") == d, F.col("distinct_values"))), F.lit(0)).alias(name)
-            for d, name in [("domain", "unique_domains"), ("agent", "unique_agents"), ("atom", "unique_atoms")]
-        ]
-    )
+    kinds = _distinct(store_histograms(samples))
     score = fx.complexity(F.col("operators"), F.col("atoms"), F.col("atl_formula"))
     main = samples.agg(
         _n().alias("total_samples"),
@@ -102,8 +97,15 @@ def store_stats(samples: DataFrame) -> DataFrame:
         F.count_if("syntax_valid").alias("syntax_valid_count"),
         F.bround(_or_zero(_mean(score)), 2).alias("avg_complexity"),
     )
-    names = ["unique_domains", "unique_agents", "unique_atoms"]
-    return main.select("*", *[kinds.select(k).scalar().alias(k) for k in names])
+    return main.select("*", *kinds)
+
+
+def _distinct(hist: DataFrame) -> list[Column]:
+    """Distinct domains, agents and atoms as columns from one scalar subquery."""
+    names = {"unique_domains": "domain", "unique_agents": "agent", "unique_atoms": "atom"}
+    found = [F.max(F.when(F.col("dimension") == d, F.col("distinct_values"))).alias(k) for k, d in names.items()]
+    row = distinct_counts(hist).agg(*found).select(F.struct(*names)).scalar()
+    return [F.coalesce(row[k], F.lit(0)).alias(k) for k in names]
 
 
 def dataset_stats(rows: DataFrame) -> DataFrame:
@@ -143,8 +145,12 @@ def dataset_histograms(rows: DataFrame) -> DataFrame:
     )
 
 
-def dataset_scores(hist: DataFrame, total: Column, valid: Column) -> DataFrame:
-    """One row of scores from the histogram rows; ``total`` and ``valid`` are row counts."""
+def dataset_scores(hist: DataFrame) -> DataFrame:
+    """One row of scores from the histogram rows alone.
+
+    Each row has one source and each valid row one depth, so these counts are
+    the numbers of rows and of valid rows.
+    """
     d, n = F.col("dimension"), F.col("n")
 
     def kinds(*names: str) -> Column:
@@ -161,7 +167,10 @@ def dataset_scores(hist: DataFrame, total: Column, valid: Column) -> DataFrame:
         F.coalesce(symbols, F.lit(0)).alias("symbols"),
         kinds("atom").alias("unique_atoms"),
         kinds("coalition").alias("unique_coalitions"),
+        F.coalesce(F.sum(F.when(d == "source", n)), F.lit(0)).alias("total"),
+        F.coalesce(depths, F.lit(0)).alias("valid"),
     )
+    total, valid = F.col("total"), F.col("valid")
     per_valid = F.col("symbols") / F.greatest(valid, F.lit(1))
     return agg.select(
         "diversity_score",
@@ -294,11 +303,6 @@ def unified_stats(rows: DataFrame) -> DataFrame:
     hist = histograms(
         rows, {"domain": F.col("domain")}, {"agent": F.col("agents"), "atom": F.col("atoms")}
     )
-    kinds = distinct_counts(hist)
-
-    def distinct(d: str) -> Column:
-        return F.coalesce(kinds.filter(F.col("dimension") == d).select("distinct_values").scalar(), F.lit(0))
-
     errors = F.coalesce(F.size("syntax_errors"), F.lit(0))
     score = F.size("operators") + F.size("agents")
     return rows.agg(
@@ -306,10 +310,7 @@ def unified_stats(rows: DataFrame) -> DataFrame:
         F.count_if(F.col("verification_status") == "verified").alias("verified_count"),
         F.count_if(errors <= 0).alias("syntax_valid_count"),
         F.bround(_or_zero(_mean(score)), 2).alias("avg_complexity"),
-    ).select(
-        "*", distinct("domain").alias("unique_domains"), distinct("agent").alias("unique_agents"),
-        distinct("atom").alias("unique_atoms"),
-    )
+    ).select("*", *_distinct(hist))
 
 
 def retranslation_stats(rows: DataFrame) -> DataFrame:

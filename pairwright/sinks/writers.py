@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.operators.ranking import measured
+
 CSV_COLUMNS = [
     "id", "nl_statement", "atl_formula", "atl_unicode", "domain", "template_id", "agents", "operators", "atoms",
     "syntax_valid", "confidence",
@@ -60,7 +62,7 @@ def by_domain(statements: DataFrame) -> DataFrame:
     The nested report of a domain is a run of neighbouring rows; no domain is
     ever collected into one value.
     """
-    sizes = statements.groupBy("domain").agg(F.count(F.lit(1)).alias("domain_count"))
+    sizes = measured(statements.groupBy("domain").agg(F.count(F.lit(1)).alias("domain_count")))
     return (
         statements.join(sizes, "domain")
         .repartitionByRange("domain", "nl_statement")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from pairwright import schemas
 from pairwright.operators.identity import override_by_key
+from pairwright.operators.ranking import measured
 
 _DOMAINS = T.MapType(T.StringType(), schemas.DOMAIN_FILE)
 
@@ -49,6 +50,9 @@ def only_in_test(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def attach_domain(rows: DataFrame, domains: DataFrame) -> DataFrame:
-    """Domain vocabulary next to each row. The dimension is one row per domain;
-    it is joined by broadcast when its measured size allows it."""
-    return rows.join(domains, "domain", "left")
+    """Domain vocabulary next to each row.
+
+    The dimension is one row per domain. Its size is measured first, so a small
+    one is broadcast and rows of a frequent domain never meet in one task.
+    """
+    return rows.join(measured(domains), "domain", "left")
