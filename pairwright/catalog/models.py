@@ -204,7 +204,8 @@ st AS (SELECT event_id, substring(sha256(lower(nl) || '|' || f), 1, 12) AS id, n
 def streamed(spark, sf, label):
     path = run_dir(spark, label)
     rows = jobs.stream_table(spark, f"{sf}/events.parquet")
-    jobs.append_enriched(rows, stream_formulas, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    tasks = spark.sparkContext.defaultParallelism
+    jobs.append_enriched(rows, stream_formulas, f"{path}/out", f"{path}/checkpoint", tasks).awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairwright.catalog.formulas import strip_sql
 from pairwright.catalog.registry import big, query
 from pairwright.catalog.views import (
-    CORPUS_SQL, EVENTS_SQL, FORMULAS_SQL, LOG_SQL, PAIRS_SQL, RESULTS_SQL, events, table, v_corpus, v_formulas, v_log, v_pairs,
+    CORPUS_SQL, EVENTS_SQL, FORMULAS_SQL, LOG_SQL, PAIRS_SQL, RESULTS_SQL, documents, events, table, v_corpus, v_formulas, v_log, v_pairs,
     v_results,
 )
 from pairwright.plans import compare, training
@@ -119,7 +119,7 @@ def files(spark, sf):
     n = F.pmod("n_chars", F.lit(3))
     name = F.concat(F.lit("doc_"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
     text = F.when(n == 0, block_text(3)).when(n == 1, block_text(1)).otherwise(block_text(2))
-    return table(spark, sf, "documents").select(name.alias("file"), text.alias("text"))
+    return documents(spark, sf).select(name.alias("file"), text.alias("text"))
 
 
 @query(
@@ -128,7 +128,7 @@ def files(spark, sf):
     SELECT doc_id, CAST(pos AS BIGINT) AS pos, nl, formula FROM parsed""",
 )
 def s05(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(blocks.plain_pairs(block_text(3))).alias("p"))
+    rows = documents(spark, sf).select("doc_id", F.explode(blocks.plain_pairs(block_text(3))).alias("p"))
     return rows.select("doc_id", big(F.col("p.pos")).alias("pos"), "p.nl", "p.formula")
 
 
@@ -138,7 +138,7 @@ def s05(spark, sf):
     SELECT doc_id, CAST(pos AS BIGINT) AS pos, nl, formula FROM parsed""",
 )
 def s06(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(blocks.same_line_pairs(block_text(2))).alias("p"))
+    rows = documents(spark, sf).select("doc_id", F.explode(blocks.same_line_pairs(block_text(2))).alias("p"))
     return rows.select("doc_id", big(F.col("p.pos")).alias("pos"), "p.nl", "p.formula")
 
 
@@ -164,7 +164,7 @@ def s08(spark, sf):
     SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, {strip_sql('lines[i]')} AS nl_statement FROM l WHERE {strip_sql('lines[i]')} <> ''""",
 )
 def s09(spark, sf):
-    rows = readers.split_statements(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    rows = readers.split_statements(documents(spark, sf).select("doc_id", "text"), "text")
     return rows.withColumn("pos", big(F.col("pos")))
 
 

@@ -8,7 +8,7 @@ from pairwright import vocab
 from pairwright.catalog.formulas import ascii_sql, strip_sql
 from pairwright.catalog.registry import big, joined, query, sql_joined
 from pairwright.catalog.views import (
-    CORPUS_SQL, EVENTS_SQL, FORMULAS_SQL, LOG_SQL, PAIRS_SQL, _sql_text, events, sql_list, table, v_corpus, v_formulas, v_log,
+    CORPUS_SQL, EVENTS_SQL, FORMULAS_SQL, LOG_SQL, PAIRS_SQL, _sql_text, documents, events, sql_list, table, v_corpus, v_formulas, v_log,
     v_pairs,
 )
 from pairwright.functions import answers, prompts, rules
@@ -56,7 +56,7 @@ def p07(spark, sf):
     a = v_formulas(spark, sf).select(
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.col("nl"), F.col("formula")
     )
-    b = table(spark, sf, "documents").select(
+    b = documents(spark, sf).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("nl"), F.col("source").alias("formula")
     )
     return a.unionByName(b).select("id", ident.domain_of(F.col("nl"), F.col("formula")).alias("domain"))
@@ -250,7 +250,7 @@ def numbered(spark, sf):
         .when(F.pmod(i, F.lit(3)) == 1, F.concat(F.lit("- "), ln))
         .otherwise(F.concat((i + 1).cast("string"), F.lit("G "), ln)),
     )
-    return table(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n").alias("answer"))
+    return documents(spark, sf).select("doc_id", F.array_join(lines, "\n").alias("answer"))
 
 
 NUMBERED_SQL = """n0 AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
@@ -352,7 +352,7 @@ def p23(spark, sf):
 def p24(spark, sf):
     t = F.col("text")
     return (
-        table(spark, sf, "documents").groupBy(cut(t, 60).alias("short_key"), cut(t, 100).alias("long_key")).agg(F.count(F.lit(1)).alias("n"))
+        documents(spark, sf).groupBy(cut(t, 60).alias("short_key"), cut(t, 100).alias("long_key")).agg(F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -361,7 +361,7 @@ def p24(spark, sf):
     r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS chars FROM documents""",
 )
 def p25(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", big(word_count(F.col("text"))).alias("words"), big(F.length("text")).alias("chars")
     )
 

@@ -13,14 +13,19 @@ from pairwright import vocab
 from pairwright.functions.formula import fill
 from pairwright.functions.text import let, replace_all
 from pairwright.operators.neighbours import with_next
+from pairwright.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+    return spread(table(spark, sf, "events")).withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
 
 
 SHAPE_TEXTS = [s for _, _, s in vocab.FORMULA_SHAPES]

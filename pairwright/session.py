@@ -55,6 +55,16 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row-wise work on a scan that has fewer splits than cores.
+
+    A file with one row group is one task however many cores there are. Tables
+    of many files have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back.
 

@@ -26,8 +26,11 @@ def stream_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{parent}/{{{name}}}")
 
 
-def append_enriched(rows: DataFrame, enrich: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Enrich and append, exactly once."""
+def append_enriched(
+    rows: DataFrame, enrich: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, tasks: int | None = None
+) -> StreamingQuery:
+    """Enrich and append, exactly once. ``tasks`` spreads costly work on few large input files."""
+    rows = rows.repartition(tasks) if tasks else rows
     return (
         enrich(rows)
         .writeStream.format("parquet")
