@@ -249,3 +249,38 @@ def g09(spark, sf):
     rows = dense_index(docs, "doc_id", "i")
     total = docs.agg(F.count(F.lit(1))).scalar()
     return choose.generator_quota(rows, "i", total, ("openai", "anthropic")).drop("i")
+
+
+@query(
+    "j04_template_lookup",
+    f"WITH {G01_SQL} SELECT vocabulary, template_id, count(*) AS n, min(formula) AS first_formula FROM pairs GROUP BY 1, 2",
+)
+def j04(spark, sf):
+    pairs = generate.base_pairs(order_draws(spark, sf), "o_orderkey", 5, domains=region_domains(spark, sf))
+    return pairs.groupBy("vocabulary", "template_id").agg(F.count(F.lit(1)).alias("n"), F.min("formula").alias("first_formula"))
+
+
+def two_stage_reply(q):
+    """Statement requests get one statement that names the domain; translation requests get a formula, one kind none."""
+    domain = F.regexp_extract(q, r"Domain: (\w+)", 1)
+    statement = F.concat(F.lit('1. "Agents of '), domain, F.lit(' can react."'))
+    bad = F.contains(q, F.lit("Agents of view can"))
+    return (
+        F.when(F.contains(q, F.lit("No formulas.")), statement).when(bad, F.lit("broken (formula")).otherwise(F.lit(vocab.OFFLINE_TRANSLATION))
+    )
+
+
+@query(
+    "g08_model_dataset",
+    f"""WITH a AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS attempt FROM events WHERE event_type <> 'view'),
+    s AS (SELECT 'Agents of ' || event_type || ' can react.' AS nl_statement, {_sql_text('<<1>> G !error')} AS atl_formula, 'llm_' || event_type || '_safety' AS template_id FROM a WHERE attempt < 40)
+    SELECT substring(sha256(lower(nl_statement) || '|' || atl_formula), 1, 12) AS id, nl_statement, atl_formula, template_id FROM s""",
+)
+def g08m(spark, sf):
+    rows = dense_index(events(spark, sf).select("event_id", "event_type"), "event_id", "attempt", ["event_type"])
+    requests = rows.select(
+        "attempt", F.col("event_type").alias("domain"), F.array("event_type").alias("agents"), F.array("event_type").alias("atoms"),
+        F.lit("safety").alias("pattern"),
+    )
+    out = create.model_dataset(requests, expression_stage(two_stage_reply), 40, ["domain"], "mock")
+    return out.select("id", "nl_statement", "atl_formula", "template_id")

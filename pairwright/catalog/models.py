@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairwright import vocab
-from pairwright.catalog.figures import RUN_STATUS
-from pairwright.catalog.formulas import STRUCTURE, ascii_sql, errors_sql, strip_sql
-from pairwright.catalog.registry import big, joined, query
+from pairwright.catalog.formulas import BOUNDARY_OPS, STRUCTURE, _idents, ascii_sql, errors_sql, pattern_sql, strip_sql
+from pairwright.catalog.registry import big, joined, query, sql_joined
 from pairwright.catalog.rows import RETRYABLE
 from pairwright.catalog.texts import classify_sql
 from pairwright.catalog.views import (
@@ -85,6 +84,47 @@ def i03c(spark, sf):
     return verify.critique_pairs(more, ask).select("event_id", "nl_statement", "atl_formula", "confidence")
 
 
+@query(
+    "i03_translate_with_metrics",
+    f"""WITH {PAIRS_SQL} SELECT conv_id, turn, {_sql_text(vocab.OFFLINE_TRANSLATION)} AS formulas, CAST(1 AS BIGINT) AS candidates_found, 0.25::DOUBLE AS response_time,
+      CAST(12 AS BIGINT) AS tokens_used FROM v_pairs""",
+)
+def i03m(spark, sf):
+    rows = v_pairs(spark, sf).select("conv_id", "turn", F.col("nl").alias("nl_statement"))
+    ask = expression_stage(offline_answer_plain, prompt_tokens=5, completion_tokens=7, ms=250.0)
+    out = create.translate_with_metrics(rows, ask)
+    return out.select(
+        "conv_id", "turn", joined(F.col("formulas")).alias("formulas"), big(F.col("candidates_found")).alias("candidates_found"), "response_time", "tokens_used"
+    )
+
+
+@query(
+    "i03_generate_statements",
+    """WITH s AS (SELECT event_id, unnest([0, 1, 2]) AS item_no FROM events)
+    SELECT event_id, CAST(item_no AS BIGINT) AS item_no, (['The system must always avoid errors.', 'Errors should never occur in the system.',
+      'The system guarantees no errors will happen.'])[item_no + 1] AS nl_statement FROM s""",
+)
+def i03g(spark, sf):
+    e = F.col("event_type")
+    requests = events(spark, sf).select("event_id", e.alias("domain"), F.array(e).alias("agents"), F.array(e).alias("atoms"), F.lit("safety").alias("pattern"))
+    out = create.generate_statements(requests, expression_stage(lambda _: F.lit(vocab.OFFLINE_PARAPHRASES)))
+    return out.select("event_id", big(F.col("item_no")).alias("item_no"), "nl_statement")
+
+
+@query(
+    "i03_experiment_rows",
+    f"""WITH {FORMULAS_SQL}, a AS (SELECT *, {strip_sql('formula')} AS sf FROM v_formulas)
+    SELECT event_id, {sql_joined(BOUNDARY_OPS, ' ')} AS operators, {sql_joined('list_sort(list_distinct(' + _idents('lower(formula)', vocab.NOT_IDENTIFIERS_LOWERED) + '))')} AS atoms,
+      {pattern_sql('formula')} AS pattern, {sql_joined(errors_sql('sf', 'boundary', False))} AS errors, len({errors_sql('sf', 'boundary', False)}) = 0 AS syntax_valid FROM a""",
+)
+def i03e(spark, sf):
+    rows = v_formulas(spark, sf).select("event_id", F.col("formula").alias("atl_formula"))
+    return create.translated_rows(rows).select(
+        "event_id", joined(F.col("operators"), " ").alias("operators"), joined(F.col("atoms")).alias("atoms"), "pattern",
+        joined(F.col("syntax_errors")).alias("errors"), "syntax_valid",
+    )
+
+
 def verifier_reply(q):
     """Offline verifier with replies that depend on the statement."""
     plain = offline_verifier_answer(q)

@@ -389,3 +389,27 @@ def p26(spark, sf):
     )
     flat = flatten_results(nested).drop("prompt_tokens", "completion_tokens")
     return flat.withColumn("complexity", big(F.col("complexity")))
+
+
+GUIDANCE_SQL = " ".join(f"WHEN {i} THEN {_sql_text('Pattern focus: ' + t)}" for i, t in enumerate(vocab.PATTERN_GUIDANCE.values()))
+
+
+@query(
+    "p16_statement_prompts",
+    f"""WITH {EVENTS_SQL} SELECT event_id, 'Write requirements about what agents can achieve or guarantee over time.' || chr(10) || chr(10) || 'Domain: ' || event_type
+      || chr(10) || 'Typical agents: user_' || user_id || ', service' || chr(10) || 'Typical propositions: '
+      || array_to_string(list_transform(generate_series(1, least(8, k % 12 + 1)), lambda i: 'p' || i), ', ')
+      || CASE WHEN k % 6 < 5 THEN chr(10) || chr(10) || CASE k % 6 {GUIDANCE_SQL} END ELSE '' END
+      || chr(10) || chr(10) || 'Write 4 different requirements, one per line, numbered 1-4. No formulas.' AS prompt,
+      'Write the requirement below as one ATL formula.' || chr(10) || chr(10) || 'Be short.' || chr(10) || chr(10)
+      || 'Output ONLY the ATL formula, nothing else.' || chr(10) || 'NL: ' || event_type || chr(10) || 'ATL:' AS translation FROM ev""",
+)
+def p16s(spark, sf):
+    k, names = F.col("k"), list(vocab.PATTERN_GUIDANCE)
+    pattern = F.get(F.array(*[F.lit(n) for n in names]), F.pmod(k, F.lit(6)))
+    atoms = F.transform(F.sequence(F.lit(1), F.pmod(k, F.lit(12)) + 1), lambda i: F.concat(F.lit("p"), i.cast("string")))
+    agents = F.array(F.concat(F.lit("user_"), F.col("user_id").cast("string")), F.lit("service"))
+    return events(spark, sf).select(
+        "event_id", prompts.statements(F.col("event_type"), agents, atoms, pattern, 4, examples=[]).alias("prompt"),
+        prompts.translation(F.col("event_type"), examples=[], instructions="Be short.").alias("translation"),
+    )

@@ -89,9 +89,10 @@ def template_dataset(draws: DataFrame, draw: str, seed: int, **kw) -> DataFrame:
 
 def model_dataset(attempts: DataFrame, ask: Stage, n: int, groups: list[str], provider: str, critique: Stage | None = None) -> DataFrame:
     """Statement and formula from a model. ``attempts`` carry attempt numbers per group;
-    the first n successful ones of the first 3n count."""
-    made = generate_statements(attempts, ask, 1)
-    good = valid_candidates(candidates(made, ask)).filter(F.col("candidate_no") == 0)
+    the first n successful ones of the first 3n count, and only these 3n are asked."""
+    made = generate_statements(attempts.filter(F.col("attempt") < 3 * n), ask, 1)
+    made = made.withColumn("_key", F.concat_ws("/", *groups, F.col("attempt").cast("string")))
+    good = translate(made, ask, "_key")
     kept = first_successes(good, "attempt", F.lit(True), n, groups)
     name = F.concat(F.lit("llm_"), F.col("domain"), F.lit("_"), F.col("pattern"))
     rows = kept.select(
