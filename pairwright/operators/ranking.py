@@ -18,7 +18,7 @@ from pairwright.functions.identity import seeded
 
 HASH_DIGITS = 4  # 65,536 buckets of equal expected size
 ROWS_PER_BUCKET = 2_000_000
-COARSE, FINE = 16, 64  # at most 1,024 range buckets
+COARSE, FINE = 64, 64  # at most 4,096 range buckets
 
 
 def measured(df: DataFrame) -> DataFrame:
@@ -34,14 +34,12 @@ def measured(df: DataFrame) -> DataFrame:
 
 
 def _splits(df: DataFrame, order: str, rows_per_bucket: int) -> list:
-    """Quantiles of the order column: at most 1,023 numbers come to the driver."""
-    top = COARSE * FINE
-    every = [i / top for i in range(1, top)]
-    got = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(order, every, 10_000).alias("s")).first()
-    parts = max(1, min(top, -(-got["n"] // rows_per_bucket)))
-    # evenly spaced among the 1,023
-    picked = [got["s"][i * top // parts - 1] for i in range(1, parts)] if got["s"] else []
-    return sorted(set(picked))
+    """Quantiles of the order column: at most 4,095 numbers come to the driver."""
+    parts = max(1, min(COARSE * FINE, -(-df.count() // rows_per_bucket)))
+    if parts == 1:
+        return []
+    at = [i / parts for i in range(1, parts)]
+    return sorted(set(df.agg(F.percentile_approx(order, at, 10_000).alias("s")).first()["s"]))
 
 
 def _range_bucket(x: Column, splits: list) -> Column:

@@ -145,5 +145,5 @@ def translations_long(comparison: DataFrame) -> DataFrame:
 
 def reviews_long(reviews: DataFrame) -> DataFrame:
     """One row per statement and model with the reviewer's judgement (null: not reviewed)."""
-    judged = F.col("review").getItem(F.concat(F.col("model"), F.lit("_correct")))
+    judged = F.try_element_at(F.col("review"), F.concat(F.col("model"), F.lit("_correct")))
     return translations_long(reviews).withColumn("correct", judged.cast("boolean"))
