@@ -364,6 +364,18 @@ def a17(spark, sf):
     )
 
 
+@query(
+    "a17_verified_breakdown",
+    f"""WITH {RESULTS_SQL}, a AS (SELECT event_id, f FROM ({ASCII.split('a AS (', 1)[1].rsplit(')', 1)[0]})),
+    r AS (SELECT v.*, a.f FROM v_results v JOIN a USING (event_id) WHERE verification_status = 'verified')
+    SELECT dimension, value, count(*) AS n FROM (SELECT 'domain' AS dimension, coalesce(domain, 'unknown') AS value FROM r
+      UNION ALL SELECT 'pattern', {pattern_sql('f')} FROM r) GROUP BY 1, 2""",
+)
+def a17b(spark, sf):
+    good = experiment_rows(spark, sf).filter(F.col("verification_status") == "verified")
+    return stats.histograms(good, {"domain": F.col("domain"), "pattern": F.col("pattern")})
+
+
 @query(
     "a18_success_summary",
     f"""WITH {ASCII} SELECT count(*) FILTER (WHERE contains(f, '<<') AND len({LOOSE_OPS}) > 0) AS successes, count(*) AS total,
