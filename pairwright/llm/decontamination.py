@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import bounded, in_blocks, send
+from pairwright.llm.frames import bounded, in_blocks, others, send
 from pairwright.llm.words import Words, alphanumeric, blocks, covered, ragged, runs, words_of
 
 #: Words of a window; an item of fewer words is one window.
@@ -267,7 +267,7 @@ def decontaminate(
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = in_blocks(size, block_bytes)
-    own = [c for c in docs.columns if c not in ("found_words", "found_spans", "found_items")]
+    own = others(docs, "found_words", "found_spans", "found_items")
     out = docs.select(
         *own, F.lit(0).cast("long").alias("found_words"), F.lit(None).cast("array<array<long>>").alias("found_spans"), F.lit(None).cast("array<string>").alias("found_items")
     )

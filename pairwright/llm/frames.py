@@ -34,6 +34,12 @@ def kept_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns whose names are not among ``names``; Spark does not heed case."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def text_key(text: str) -> Column:
     """Tells texts of one id apart. Rows with equal id and equal text have equal results in all operators here."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

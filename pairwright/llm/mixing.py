@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import kept_table
+from pairwright.llm.frames import kept_table, others
 
 #: Hexadecimal digits that one histogram looks at.
 DIGITS = 3
@@ -27,6 +27,7 @@ HASH_DIGITS = 32
 WEIGHTS = (3, 1, 2)
 #: Budget over all sizes, and most copies of a document.
 SHARE, MOST = 1.5, 2
+RESULT = ("doc_id", "size", "source_size", "target", "copies", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,7 +65,7 @@ def mix(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``keep``, size, source_size, target, copies, taken (size times copies).
 
-    ``size`` is the word count of ``text`` if not given; a null counts as 0. Null
+    Columns to ``keep`` that are named like another result are left out. ``size`` is the word count of ``text`` if not given; a null counts as 0. Null
     is a source of its own. Rows of one source with one id have one hash and are
     taken together; null ids are one id. The last hash of a source is taken if
     that brings the sum nearer to the target (a tie leaves it). An empty table
@@ -72,10 +73,11 @@ def mix(
     """
     words = F.coalesce(size, F.lit(0)).cast("long") if size is not None else word_count(F.col("text"))
     named = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("hash"), *keep
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("hash"),
+        F.struct(F.lit(0).alias("_"), *others(docs.select(*keep), "_", *RESULT)).alias("kept"),
     )
-    all_ = kept_table(named, "mix-sizes") if not keep else named
-    narrow = all_ if not keep else kept_table(named.select("source", "size", "hash"), "mix-sizes")
+    narrow = kept_table(named.select("doc_id", "source", "size", "hash"), "mix-sizes")
+    all_ = named if keep else narrow.withColumn("kept", F.struct(F.lit(0).alias("_")))
     targets = kept_table(source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     # Whole rounds that a source's target holds, and what is left for the threshold.
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
@@ -84,7 +86,7 @@ def mix(
     last = cuts.select(F.col("source").alias("_s"), "source_size", "target", "rounds", "last")
     taken = all_.join(F.broadcast(last) if _few(last) else last, F.col("source").eqNullSafe(F.col("_s")))
     copies = F.col("rounds") + F.coalesce(F.col("hash") <= F.col("last"), F.lit(False)).cast("int")
-    return taken.select("doc_id", *keep, "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return taken.select("doc_id", "kept.*", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")).drop("_")
 
 
 #: Sources up to which their thresholds are broadcast: rows of some 100 bytes.
@@ -97,7 +99,7 @@ def _few(sources: DataFrame) -> bool:
 
 def _thresholds(narrow: DataFrame, plan: DataFrame, digits: int) -> DataFrame:
     """plan with ``last``: the greatest hash of each source that is taken once more (null: none)."""
-    open_ = plan.select("source", "left", F.lit("").alias("prefix"))
+    open_ = plan.where(F.col("left") > 0).select("source", "left")
     rest, closed, at = narrow.select("source", "size", "hash"), [], 0
     while True:
         width = min(digits, HASH_DIGITS - at)
@@ -121,7 +123,7 @@ def _thresholds(narrow: DataFrame, plan: DataFrame, digits: int) -> DataFrame:
         more = edge.where("not single")
         if more.isEmpty():
             break
-        open_ = more.select("source", (F.col("left") - F.col("before")).alias("left"), "prefix")
+        open_ = more.select("source", (F.col("left") - F.col("before")).alias("left"))
         # Joined by source and bucket: a hot source is spread over its buckets.
         keys = more.select(F.col("source").alias("_s"), F.col("prefix").alias("_p"))
         rest = kept_table(rest.join(keys, F.col("source").eqNullSafe(F.col("_s")) & (cut == F.col("_p")), "left_semi"), "mix-rest")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import bounded, send
+from pairwright.llm.frames import bounded, others, send
 from pairwright.llm.words import Words, blocks, chained, code_points, covered, fingerprints, mix, runs, spaced, words_of
 
 #: Base rules: fewer words fail, and more than this share (percent) of words in repeated windows.
@@ -225,7 +225,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = train(docs, labels, id_col, text_col, label_col, sample)
     sent = send(spark, model)  # BUCKETS floats
     names = [c.split(" ")[0] for c in COLUMNS.split(", ")]
-    own = [c for c in docs.columns if c not in names]
+    own = others(docs, *names)
     rows = docs.select(*own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,10 +54,10 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of one hold ``limit`` bytes at most, or are a single text."""
     for batch in batches:
-        at = batch.schema.get_field_index(column)
+        at = batch.schema.get_field_index(column) if isinstance(column, str) else column
         _, offs = text_buffer(batch.column(at))
         a = 0
         while a < len(batch):
