@@ -12,6 +12,9 @@ node. Its words are a repeat; the leaves from documents with a greater id than t
 node's smallest start a window that is to go. Windows of one text that overlap or
 touch are merged to maximal repeats when they are cut.
 
+A group sends what it found on by documents, again as packed arrays, and all
+starts of a document meet there before the join with its text.
+
 A leaf is kept as its position and a 64-bit fingerprint of its path of ``SIZE``
 words (the group's prefix adds to it): two different windows fall together with a
 chance of 2**-64 a pair. Leaves travel as packed arrays, a row for each flush of
@@ -32,23 +35,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import blob_rows, bounded, by_group, packed, send, shuffle_width, text_key, unpacked
+from pairwright.llm.frames import blob_rows, bounded, by_group, others, packed, send, shuffle_width, unpacked
 from pairwright.llm.words import WORD_STEP, Words, blocks, chained, covered, gathered, mix, ragged, runs, spaced, string_array, words_of
 
 #: Words of a window; lengths of prefixes that are tried; bins of a histogram.
 SIZE = 13
 PREFIXES = (1, 2, 4, 8)
 BINS = 1 << 16
-#: Suffixes of a group at most, and suffixes a task holds before it sends them.
-GROUP, FLUSH = 1 << 22, 1 << 20
+#: Suffixes of a group, by the memory of a task (some 60 bytes each), and suffixes a task holds before it sends them.
+#: Groups for each core at least. Fewer, larger groups make a document's share of a group less costly to send.
+GROUP, FLUSH, GROUPS_PER_CORE, LEAST_GROUP = 1 << 22, 1 << 20, 4, 1 << 14
 
 #: Stands for a null id: greater than all others.
 NO_ID = np.iinfo(np.int64).max
 
 _LEAVES = "grp int, paths binary, places binary, ids binary, keys binary, counts binary"
 _LEAF_KINDS = pa.schema([("grp", pa.int32()), *[(c, pa.binary()) for c in ("paths", "places", "ids", "keys", "counts")]])
-_STARTS = "id long, text_key long, places binary"
-_START_KINDS = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("places", pa.binary())])
+_CUTS = "bucket int, ids binary, keys binary, counts binary, places binary"
+_CUT_KINDS = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("ids", "keys", "counts", "places")]])
+_STARTS = "id long, text_key int, places binary"
+_START_KINDS = pa.schema([("id", pa.int64()), ("text_key", pa.int32()), ("places", pa.binary())])
 
 
 @dataclass
@@ -117,21 +123,22 @@ def partition(docs: DataFrame, size: int = SIZE, lengths: tuple[int, ...] = PREF
     lengths = tuple(k for k in lengths if k < size)
     counts = _histograms(docs, lengths, size, bins)
     total = int(counts[0].sum())
-    limit = max(1, min(group, -(-total // shuffle_width(docs.sparkSession))))
+    limit = min(group, max(LEAST_GROUP, -(-total // (GROUPS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism))))
     groups = np.full(counts.shape, -1, np.int64)
-    n = 0
+    n, load, left = 0, 0.0, float(max(1, total))  # ``left``: suffixes that no shorter prefix took
     for k, row in enumerate(counts):
         fits = row <= limit
-        load = np.cumsum(np.where(fits, row, 0))
-        # Neighbouring bins together until the next one would overfill; a count may include suffixes that a shorter prefix took.
-        begin = 0
+        groups[k, fits] = n
+        # Neighbouring bins together until the next one would overfill. A bin also counts suffixes that a shorter
+        # prefix took; on average the share of those that are left holds for it.
         for b in np.flatnonzero(fits & (row > 0)).tolist():
-            if load[b] - begin > limit:
-                n += 1
-                begin = load[b] - row[b]
+            own = row[b] * left / max(1, total)
+            if load + own > limit:
+                n, load = n + 1, 0.0
+            load += own
             groups[k, b] = n
-        n += 1
-        groups[k, fits & (row == 0)] = n - 1
+        left *= row[~fits].sum() / max(1, row.sum())
+    n += 1
     too_many = counts[-1] > limit
     found = Partition((*lengths, size), groups, n, 1, np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if too_many.any():
@@ -198,8 +205,8 @@ def _leaves(sent, size: int, flush: int):
                 text = np.unique(row[gone])
                 ends = np.searchsorted(row[gone], text, "right")
                 yield blob_rows(_LEAF_KINDS, [
-                    (-1 - int(keys[r] % max(64, part.n)), b"", packed(place[gone[a:e]].astype(np.uint32)), packed(ids[r : r + 1]), keys[r : r + 1].tobytes(), b"")
-                    for r, a, e in zip(text.tolist(), np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)
+                    (-1 - int(keys[r]) % max(64, part.n), b"", packed(place[gone[a:e]].astype(np.uint32)), packed(ids[r : r + 1]), keys[r : r + 1].tobytes(), b"")
+                    for r, a, e in zip(text.tolist(), [0, *ends.tolist()], ends.tolist(), strict=False)
                 ])
                 at, row, paths, place = at[~hot], row[~hot], paths[~hot], place[~hot]
                 prefixes = [p[~hot] for p in prefixes]
@@ -232,30 +239,65 @@ class SuffixTree:
         return self.order[self.ids > np.repeat(first, self.sizes)]
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """A group of leaves -> the starts of windows that are to go, a row for each text."""
+def _texts(id_: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts ordered by text, each once: (ids, keys) of the texts, how many starts each has, and the starts."""
+    order = np.lexsort((place, key, id_))
+    id_, key, place = id_[order], key[order], place[order]
+    text = np.concatenate([[True], (id_[1:] != id_[:-1]) | (key[1:] != key[:-1])])[: len(place)]
+    once = text | np.concatenate([[True], place[1:] != place[:-1]])[: len(place)]
+    id_, key, place, text = id_[once], key[once], place[once], np.flatnonzero(text[once])
+    return id_[text], key[text], np.diff(np.append(text, len(place))), place
+
+
+def _repeats(buckets: int):
+    """A group of leaves -> the starts of windows that are to go, packed by buckets of texts."""
+
+    def find(table: pa.Table) -> pa.Table:
+        id_, key, n, place = _texts(*_later(table))
+        if not len(place):
+            return _CUT_KINDS.empty_table()
+        bucket = (mix(id_.astype(np.uint64) + key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order, begin = by_group(bucket, buckets)
+        first = np.cumsum(n) - n
+        out = []
+        for b in np.flatnonzero(np.diff(begin)).tolist():
+            own = order[begin[b] : begin[b + 1]]
+            out.append((b, packed(id_[own]), key[own].tobytes(), packed(n[own].astype(np.uint32)), packed(place[np.repeat(first[own], n[own]) + ragged(n[own])])))
+        return pa.Table.from_batches([blob_rows(_CUT_KINDS, out)])
+
+    return find
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """A bucket of texts -> all starts of each."""
+    cols = {n: table.column(n).to_pylist() for n in table.column_names}
+    counts = np.concatenate([unpacked(x, np.uint32) for x in cols["counts"]])
+    ids, keys = np.concatenate([unpacked(x, np.int64) for x in cols["ids"]]), np.concatenate([np.frombuffer(x, np.int32) for x in cols["keys"]])
+    id_, key, n, place = _texts(np.repeat(ids, counts), np.repeat(keys, counts), np.concatenate([unpacked(x, np.uint32) for x in cols["places"]]))
+    ends = np.cumsum(n)
+    places = [packed(place[a:e]) for a, e in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+    return pa.Table.from_arrays([pa.array(id_), pa.array(key), pa.array(places, pa.binary())], schema=_START_KINDS)
+
+
+def _later(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(id, key, place) of the leaves of a group that are to go."""
     cols = {n: table.column(n).to_pylist() for n in table.column_names}
     n = [unpacked(x, np.uint32).astype(np.int64) for x in cols["counts"]]
     if len(cols["grp"]) and cols["grp"][0] < 0:
         n = [np.array([len(x) // 4]) for x in cols["places"]]
     counts = np.concatenate(n)
     id_ = np.repeat(np.concatenate([unpacked(x, np.int64) for x in cols["ids"]]), counts)
-    key = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in cols["keys"]]), counts)
+    key = np.repeat(np.concatenate([np.frombuffer(x, np.int32) for x in cols["keys"]]), counts)
     place = np.concatenate([unpacked(x, np.uint32) for x in cols["places"]])
     if cols["grp"][0] >= 0:
         gone = SuffixTree(np.concatenate([np.frombuffer(x, np.uint64) for x in cols["paths"]]), id_).later_leaves()
         id_, key, place = id_[gone], key[gone], place[gone]
-    order = np.lexsort((place, key, id_))
-    id_, key, place = id_[order], key[order], place[order]
-    if not len(place):
-        return _START_KINDS.empty_table()
-    text = np.concatenate([[True], (id_[1:] != id_[:-1]) | (key[1:] != key[:-1])])
-    once = text | np.concatenate([[True], place[1:] != place[:-1]])
-    id_, key, place, text = id_[once], key[once], place[once], np.flatnonzero(text[once])
-    ends = np.append(text[1:], len(place))
-    return pa.Table.from_arrays(
-        [pa.array(id_[text]), pa.array(key[text]), pa.array([packed(place[a:e]) for a, e in zip(text.tolist(), ends.tolist(), strict=True)], pa.binary())], schema=_START_KINDS
-    )
+    return id_, key, place
+
+
+def _text_key(text: str):
+    """32 bits that tell texts of one id apart."""
+    return F.hash(F.coalesce(F.col(text), F.lit("")))
 
 
 def dedup_substrings(
@@ -274,30 +316,31 @@ def dedup_substrings(
     """
     spark = docs.sparkSession
     bounded(spark)
-    own = [c for c in docs.columns if c not in ("all_words", "cut_words", "kept_words")]
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_key(text_col).alias("text_key"))
+    own = others(docs, "all_words", "cut_words", "kept_words")
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _text_key(text_col).alias("text_key"))
     part = partition(keyed, size, lengths, bins, group)
     sent = send(spark, part)
-    gone = (
-        keyed.mapInArrow(_leaves(sent, size, flush), _LEAVES).groupBy("grp").applyInArrow(_repeats, _STARTS)
-        .groupBy("id", "text_key").agg(F.collect_list("places").alias("_places"))
-    )
-    marked = docs.select(*own, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), text_key(text_col).alias("_key"))
-    joined = marked.join(gone, (F.col("_id") == F.col("id")) & (F.col("_key") == F.col("text_key")), "left").select(
-        *[marked[c] for c in own], "_places", F.lit(0).cast("long").alias("all_words"), F.lit(0).cast("long").alias("cut_words"), F.lit("").alias("kept_words")
-    )
-    return joined.mapInArrow(_cutter(text_col, size), joined.drop("_places").schema)
-
-
-def _cutter(text_col: str, size: int):
+    buckets = max(part.n, shuffle_width(spark))
+    found = keyed.mapInArrow(_leaves(sent, size, flush), _LEAVES).groupBy("grp").applyInArrow(_repeats(buckets), _CUTS)
+    gone = found.groupBy("bucket").applyInArrow(_gathered, _STARTS).withColumnRenamed("places", "_places")
+    # The rows travel as one column of numbered fields, so none of their names can clash.
+    row = F.struct(*[F.col(c).alias(f"r{k}") for k, c in enumerate(own)])
+    rows = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), _text_key(text_col).alias("_key"))
+    joined = rows.join(gone, (F.col("_id") == F.col("id")) & (F.col("_key") == F.col("text_key")), "left")
+    new = [F.lit(0).cast("long").alias("all_words"), F.lit(0).cast("long").alias("cut_words"), F.lit("").alias("kept_words")]
+    return joined.select("_places", "row.*").mapInArrow(_cutter(own.index(text_col), own, size), docs.select(*own, *new).schema)
+
+
+def _cutter(text_at: int, names: list[str], size: int):
+    """(starts of windows, columns of the row) -> the row without the windows, and the three new columns."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text_col):
-            get = {n: c for n, c in zip(b.schema.names, b.columns, strict=True)}
-            column = get[text_col]
+        for b in blocks(batches, text_at + 1):
+            own = b.columns[1:]
+            column = own[text_at]
             w = words_of(column, spaced(), hashed=False)
             at = [
-                w.bounds[k] + np.concatenate([unpacked(x, np.uint32) for x in places]).astype(np.int64)
-                for k, places in enumerate(get.pop("_places").to_pylist()) if places
+                w.bounds[k] + unpacked(places, np.uint32).astype(np.int64) for k, places in enumerate(b.column(0).to_pylist()) if places
             ]
             hit = covered(len(w.starts), np.concatenate(at), size) if at else np.zeros(len(w.starts), bool)
             lengths = w.ends - w.starts
@@ -322,8 +365,8 @@ def _cutter(text_col: str, size: int):
                 sizes = np.diff(np.concatenate([[0], np.cumsum(keep)])[w.offsets])
                 texts = string_array(w.data[keep], sizes)
                 null = column.is_null()
-                get[text_col] = pa.array(texts.to_pylist(), pa.string(), mask=null.to_numpy(zero_copy_only=False)) if column.null_count else texts
-            get |= {"all_words": pa.array(w.counts.astype(np.int64)), "cut_words": pa.array(np.bincount(rows[hit], minlength=len(b)).astype(np.int64)), "kept_words": words}
-            yield pa.RecordBatch.from_arrays(list(get.values()), list(get))
+                own[text_at] = pa.array(texts.to_pylist(), pa.string(), mask=null.to_numpy(zero_copy_only=False)) if column.null_count else texts
+            new = [pa.array(w.counts.astype(np.int64)), pa.array(np.bincount(rows[hit], minlength=len(b)).astype(np.int64)), words]
+            yield pa.RecordBatch.from_arrays([*own, *new], [*names, "all_words", "cut_words", "kept_words"])
 
     return cut
