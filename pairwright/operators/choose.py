@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairwright.functions.identity import seeded
-from pairwright.operators.ranking import mark_first, measured
+from pairwright.operators.ranking import mark_first, measured, with_columns_of
 
 
 def halves(df: DataFrame, key: str, seed: int, name: str, first: Column, rest: Column, groups: list[str] | None = None) -> DataFrame:
@@ -68,7 +68,7 @@ def stratified_quotas(df: DataFrame, stratum: str, n: int) -> DataFrame:
 def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: int) -> DataFrame:
     """Exact stratified sample with the quotas above."""
     quotas = measured(stratified_quotas(df, stratum, n).select(stratum, "quota"))
-    with_quota = df.join(quotas, stratum)
+    with_quota = with_columns_of(df, quotas, [stratum])
     marked = mark_first_by(with_quota, key, seed, stratum)
     return marked.filter("_in").drop("_in", "quota")
 

@@ -3,7 +3,8 @@
 A plain window without partition columns (or with a hot partition) sorts all
 its rows in one task. Here rows are first put into many order-preserving
 buckets, the buckets are counted, and only rows of one bucket are ever sorted
-together.
+together. Nulls are values like others: a null group is a group, a null order
+value comes first.
 """
 
 from __future__ import annotations
@@ -15,47 +16,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairwright.functions.identity import seeded
+from pairwright.session import cut_lineage
 
 HASH_DIGITS = 4  # 65,536 buckets of equal expected size
 ROWS_PER_BUCKET = 2_000_000
-COARSE, FINE = 64, 64  # at most 4,096 range buckets
 
 
 def measured(df: DataFrame) -> DataFrame:
     """Compute a table that is expected to be small once, and let its real size be known.
 
-    With the size known, Catalyst broadcasts it below
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise. The
-    lineage stays, so a lost executor only costs a recomputation.
+    It is written to the shared folder. With the size of its files known,
+    Catalyst broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` and
+    shuffles it otherwise.
     """
-    df = df.persist()
-    df.count()
-    return df
+    return cut_lineage(df, "measured")
 
 
-def _splits(df: DataFrame, order: str, rows_per_bucket: int) -> list:
-    """Quantiles of the order column: at most 4,095 numbers come to the driver."""
-    parts = max(1, min(COARSE * FINE, -(-df.count() // rows_per_bucket)))
-    if parts == 1:
-        return []
-    at = [i / parts for i in range(1, parts)]
-    return sorted(set(df.agg(F.percentile_approx(order, at, 10_000).alias("s")).first()["s"]))
-
-
-def _range_bucket(x: Column, splits: list) -> Column:
-    """Number of splits at or below x, found in two short steps."""
-    if len(splits) <= COARSE:
-        out = F.lit(0)
-        for s in splits:
-            out = out + (x >= F.lit(s)).cast("int")
-        return out
-    groups = [splits[i : i + FINE] for i in range(0, len(splits), FINE)]
-    coarse = F.lit(0)
-    for g in groups[1:]:
-        coarse = coarse + (x >= F.lit(g[0])).cast("int")
-    table = F.array(*[F.array(*[F.lit(s) for s in g]) for g in groups])
-    inside = F.size(F.filter(F.element_at(table, coarse + 1), lambda s: s <= x))
-    return coarse * FINE + inside
+def with_columns_of(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys of ``rows`` stay."""
+    renamed = side.select(*[F.col(k).alias(f"_key_{k}") if k in keys else F.col(k) for k in side.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return rows.join(renamed, on, how).drop(*[f"_key_{k}" for k in keys])
 
 
 def running_total(
@@ -68,24 +51,27 @@ def running_total(
 ) -> DataFrame:
     """Adds the sum of ``weight`` over all earlier rows (of the group).
 
-    ``order`` is numeric and unique within a group.
+    ``order`` is unique within a group. Rows are dealt by ranges of (group,
+    order), as many as their number asks for, and written with the number of
+    their range, so that offsets and rows agree whatever happens to a task.
     """
     groups = groups or []
-    splits = _splits(df, order, rows_per_bucket)
-    if not splits:
-        # so few rows that one task may sort them all
-        before = W.partitionBy(*groups).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        return df.withColumn("_w", weight).withColumn(name, F.coalesce(F.sum("_w").over(before), F.lit(0))).drop("_w")
-    rows = df.withColumn("_w", weight).withColumn("_b", _range_bucket(F.col(order), splits))
+    parts = max(1, -(-df.count() // rows_per_bucket))
+    rows = df.withColumn("_w", weight)
+    if parts == 1:
+        rows = rows.withColumn("_b", F.lit(0))
+    else:
+        rows = cut_lineage(rows.repartitionByRange(parts, *groups, order).withColumn("_b", F.spark_partition_id()), "ranges")
     sums = rows.groupBy(*groups, "_b").agg(F.sum("_w").alias("_sum"))
+    # one row per group and range
     upto = W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = measured(sums.select(*groups, "_b", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_off")))
+    offsets = sums.select(*groups, "_b", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_off"))
     inner = W.partitionBy(*groups, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        rows.join(offsets, [*groups, "_b"])
-        .withColumn(name, F.col("_off") + F.coalesce(F.sum("_w").over(inner), F.lit(0)))
-        .drop("_w", "_b", "_off")
-    )
+    placed = rows.withColumn("_in", F.coalesce(F.sum("_w").over(inner), F.lit(0)))
+    if parts == 1:
+        return placed.withColumn(name, F.col("_in")).drop("_w", "_b", "_in")
+    joined = with_columns_of(placed, measured(offsets), [*groups, "_b"])
+    return joined.withColumn(name, F.col("_off") + F.col("_in")).drop("_w", "_b", "_off", "_in")
 
 
 def dense_index(df: DataFrame, order: str, name: str, groups: list[str] | None = None, **kw) -> DataFrame:
@@ -104,14 +90,15 @@ def value_at(
     """Exact order statistic per group: the value at a 0-based position given the group size.
 
     Equal values are counted together before anything is ordered, so a value
-    that a third of all rows share is one row.
+    that a third of all rows share is one row. Nulls are not counted; a group
+    of nulls alone has no row.
     """
-    counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = measured(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n")))
     sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))
     ordered = running_total(counts, value, F.col("_n"), "_before", groups, rows_per_bucket)
     at = position(F.col("_size"))
     hit = (F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))
-    return ordered.join(measured(sizes), groups).filter(hit).select(*groups, F.col(value).alias(name))
+    return with_columns_of(ordered, sizes, groups).filter(hit).select(*groups, F.col(value).alias(name))
 
 
 def mark_first(
@@ -125,13 +112,16 @@ def mark_first(
 ) -> DataFrame:
     """Marks an exact number of rows (per group), chosen by the seeded hash of a unique key.
 
+    Rows without a key are told apart by all that they hold.
+
     ``quota`` gives the number from the group size. Rows are counted per hash
     prefix; all prefixes below the one where the quota is reached are in, all
     above are out, and only the rows of that one prefix are ranked. Groups of
     any size are spread over all prefixes.
     """
     groups = groups or []
-    rows = df.withColumn("_h", seeded(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, digits))
+    whole = F.to_json(F.struct(*df.columns))
+    rows = df.withColumn("_h", F.coalesce(seeded(F.col(key), seed), seeded(whole, seed))).withColumn("_b", F.substring("_h", 1, digits))
     counts = rows.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
     upto = W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     every = W.partitionBy(*groups)
@@ -154,7 +144,7 @@ def mark_first(
     )
     edges = edges.withColumn("_left", F.coalesce("_left", F.lit(2**62)))
     if groups:
-        placed = rows.join(measured(edges), groups)
+        placed = with_columns_of(rows, measured(edges), groups)
     else:
         row = edges.first()  # one row: an edge prefix and a number
         if row is None:

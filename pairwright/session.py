@@ -56,13 +56,13 @@ def run_dir(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly row-wise work on a scan that has fewer splits than cores.
+    """Use all cores for costly row-wise work on a scan that is a single split.
 
-    A file with one row group is one task however many cores there are. Tables
-    of many files have more splits than cores and are left as they are.
+    A file with one row group is one task however many cores there are; what is
+    moved is one split at most. All other tables are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() == 1 and cores > 1 else df
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.operators.ranking import measured
+from pairwright.operators.ranking import measured, with_columns_of
 
 CSV_COLUMNS = [
     "id", "nl_statement", "atl_formula", "atl_unicode", "domain", "template_id", "agents", "operators", "atoms",
@@ -60,11 +60,11 @@ def by_domain(statements: DataFrame) -> DataFrame:
     """Statements with the size of their domain, range-partitioned and sorted by domain and text.
 
     The nested report of a domain is a run of neighbouring rows; no domain is
-    ever collected into one value.
+    ever collected into one value. Statements without a domain are one domain.
     """
     sizes = measured(statements.groupBy("domain").agg(F.count(F.lit(1)).alias("domain_count")))
     return (
-        statements.join(sizes, "domain")
+        with_columns_of(statements, sizes, ["domain"])
         .repartitionByRange("domain", "nl_statement")
         .sortWithinPartitions("domain", "nl_statement")
     )

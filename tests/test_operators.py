@@ -191,3 +191,56 @@ def test_first_successes(spark):
     assert sorted(r.attempt for r in got.collect()) == [1, 3, 5]
     # attempts beyond 3n do not count
     assert choose.first_successes(df.filter("attempt > 7"), "attempt", F.col("ok"), 3, ["g"]).count() == 0
+
+
+# no row is lost ----------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def holes(spark):
+    """100 rows: null keys, null groups, null order values."""
+    rows = [(None if i % 10 == 0 else i, None if i % 4 == 0 else f"g{i % 3}", None if i % 7 == 0 else i % 5, i) for i in range(100)]
+    return rows, spark.createDataFrame(rows, "id long, g string, v long, n long")
+
+
+@pytest.mark.parametrize("digits", [1, 4])
+def test_marks_keep_all_rows(holes, digits):
+    rows, df = holes
+    got = ranking.mark_first(df, "id", 3, lambda n: F.floor(n / 2), ["g"], digits=digits).collect()
+    assert sorted(r.n for r in got) == list(range(100))
+    sizes = Counter(r[1] for r in rows)
+    assert Counter(r.g for r in got if r.taken) == Counter({g: n // 2 for g, n in sizes.items()})
+    assert choose.split_exact(df, "id", 1, 0.1).count() == 100
+    assert choose.halves(df, "id", 1, "h", F.lit("a"), F.lit("b"), ["g"]).count() == 100
+    assert choose.stratified_sample(df, "id", "g", 100, 1).count() == 100
+    assert choose.take_random(df, "id", 1, 37).count() == 37
+
+
+@pytest.mark.parametrize("per_bucket", [5, 10_000])
+def test_positions_keep_all_rows(holes, per_bucket):
+    rows, df = holes
+    got = {r.n: r.i for r in ranking.dense_index(df, "n", "i", ["g"], rows_per_bucket=per_bucket).collect()}
+    want = {}
+    for g in {r[1] for r in rows}:
+        want |= {r[3]: i for i, r in enumerate(x for x in rows if x[1] == g)}
+    assert got == want
+    at = sorted(r.i for r in ranking.dense_index(df, "id", "i", rows_per_bucket=per_bucket).collect())
+    assert at == list(range(100))
+
+
+@pytest.mark.parametrize("per_bucket", [5, 10_000])
+def test_medians_of_null_groups(holes, per_bucket):
+    rows, df = holes
+    got = {r.g: r.m for r in ranking.upper_half_median(df, "v", ["g"], "m", rows_per_bucket=per_bucket).collect()}
+    want = {}
+    for g in {r[1] for r in rows}:
+        vs = sorted(r[2] for r in rows if r[1] == g and r[2] is not None)
+        want[g] = vs[len(vs) // 2]
+    assert got == want
+
+
+def test_statements_without_domain_are_kept(spark):
+    from pairwright.sinks import writers
+
+    df = spark.createDataFrame([("a", "x"), (None, "y"), (None, "z")], "domain string, nl_statement string")
+    assert {(r.domain, r.nl_statement, r.domain_count) for r in writers.by_domain(df).collect()} == {("a", "x", 1), (None, "y", 2), (None, "z", 2)}
