@@ -43,6 +43,24 @@ def s02(spark, sf):
     return good.select("id").unionByName(bad.select("line"), allowMissingColumns=True)
 
 
+@query(
+    "s02_line_counts",
+    """SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS good, CAST((SELECT count(*) FROM labels) AS BIGINT) AS broken, true AS counted""",
+)
+def s02c(spark, sf):
+    path = run_dir(spark, "s02") + "/all.jsonl"
+    writers.write_jsonl(stored(spark, sf), path)
+    broken = F.concat(F.lit('{"id": "'), F.col("doc_id").cast("string"), F.lit('", oops'))
+    table(spark, sf, "labels").select(broken).write.mode("append").text(path)
+    counts = readers.line_counts(spark, [path]).agg(F.sum("good").alias("good"), F.sum("broken").alias("broken"))
+    # rows can be counted as they are, with the rejects beside them
+    n = readers.read_samples(spark, [path]).agg(F.count(F.lit(1)).alias("n"))
+    m = readers.read_rejects(spark, [path]).agg(F.count(F.lit(1)).alias("m"))
+    return counts.join(n, F.col("good") == F.col("n"), "left").join(m, F.col("broken") == F.col("m"), "left").select(
+        "good", "broken", (F.col("n").isNotNull() & F.col("m").isNotNull()).alias("counted")
+    )
+
+
 @query("s03_json_documents", f"WITH {STORED_SQL} SELECT id, domain, atl_formula FROM stored")
 def s03(spark, sf):
     path = run_dir(spark, "s03")

@@ -45,18 +45,27 @@ def read_jsonl(spark: SparkSession, path, row: T.StructType = schemas.SAMPLE) ->
     return unify(spark.read.schema(_with_old_spellings(row)).option("mode", "FAILFAST").json(path), row)
 
 
+def parsed_lines(spark: SparkSession, path, row: T.StructType = schemas.SAMPLE) -> DataFrame:
+    """Non-blank lines: file, line, parsed, broken. Rows, rejects and counts all come from this one parse."""
+    wide = _with_old_spellings(row).add(BROKEN, T.StringType())
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    lines = lines.filter(strip(F.col("line")) != "")
+    parsed = F.from_json("line", wide, {"columnNameOfCorruptRecord": BROKEN, "mode": "PERMISSIVE"})
+    return lines.withColumn("parsed", parsed).withColumn("broken", F.col(f"parsed.{BROKEN}").isNotNull())
+
+
 def read_jsonl_lenient(spark: SparkSession, path, row: T.StructType = schemas.SAMPLE) -> tuple[DataFrame, DataFrame]:
     """Rows, and the broken lines with their file."""
-    wide = _with_old_spellings(row).add(BROKEN, T.StringType())
-    raw = spark.read.schema(wide).option("columnNameOfCorruptRecord", BROKEN).json(path)
-    good = unify(raw.filter(F.col(BROKEN).isNull()), row)
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    # read the lines themselves: a scan of the corrupt column alone is not allowed
-    marked = lines.withColumn(
-        "parsed", F.from_json("value", wide, {"columnNameOfCorruptRecord": BROKEN, "mode": "PERMISSIVE"})
-    )
-    bad = marked.filter((strip(F.col("value")) != "") & F.col(f"parsed.{BROKEN}").isNotNull())
-    return good, bad.select("file", F.col("value").alias("line"))
+    lines = parsed_lines(spark, path, row)
+    good = lines.filter(~F.col("broken")).select("parsed.*").drop(BROKEN)
+    return unify(good, row), lines.filter("broken").select(F.element_at(F.split("file", "/"), -1).alias("file"), "line")
+
+
+def line_counts(spark: SparkSession, paths: list[str], row: T.StructType = schemas.SAMPLE) -> DataFrame:
+    """Good and broken lines of each file."""
+    parts = [parsed_lines(spark, p, row).select("file", "broken") for p in paths]
+    lines = reduce(DataFrame.unionByName, parts)
+    return lines.groupBy("file").agg(F.count_if(~F.col("broken")).alias("good"), F.count_if("broken").alias("broken"))
 
 
 def read_json_document(
@@ -79,7 +88,10 @@ def read_json_document(
 
 
 def read_samples(spark: SparkSession, paths: list[str], row: T.StructType = schemas.SAMPLE) -> DataFrame:
-    """Concatenation of .jsonl and .json sources; other extensions are an error, as is a missing file."""
+    """Concatenation of .jsonl and .json sources; other extensions are an error, as is a missing file.
+
+    Broken lines are in ``read_rejects``, their number per file in ``line_counts``.
+    """
     if not paths:
         raise ValueError("no sources")
     parts = []
@@ -94,6 +106,14 @@ def read_samples(spark: SparkSession, paths: list[str], row: T.StructType = sche
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def read_rejects(spark: SparkSession, paths: list[str], row: T.StructType = schemas.SAMPLE) -> DataFrame:
+    """Broken lines of the line-based sources: file, line."""
+    parts = [read_jsonl_lenient(spark, p, row)[1] for p in paths if p.rstrip("/").endswith(".jsonl")]
+    if not parts:
+        return spark.createDataFrame([], "file string, line string")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_statements(spark: SparkSession, path) -> DataFrame:
     """One statement per line, stripped, without empty lines."""
     line = strip(F.col("value"))
