@@ -410,6 +410,6 @@ def p16s(spark, sf):
     atoms = F.transform(F.sequence(F.lit(1), F.pmod(k, F.lit(12)) + 1), lambda i: F.concat(F.lit("p"), i.cast("string")))
     agents = F.array(F.concat(F.lit("user_"), F.col("user_id").cast("string")), F.lit("service"))
     return events(spark, sf).select(
-        "event_id", prompts.statements(F.col("event_type"), agents, atoms, pattern, 4, examples=[]).alias("prompt"),
+        "event_id", prompts.statements(F.col("event_type"), agents, atoms, pattern, 4, examples=[], max_atoms=8).alias("prompt"),
         prompts.translation(F.col("event_type"), examples=[], instructions="Be short.").alias("translation"),
     )

@@ -54,17 +54,29 @@ class FormulaReader:
         return word
 
     def whole(self):
-        out = self.binary(1)
+        out = self.run(self.binary(1))
         if self.peek() is not None:
             raise ValueError(f"unexpected {self.peek()} at word {self.at + 1}")
         return out
 
+    def run(self, step):
+        """Runs a reading step; steps that it yields run first and their result goes back in. No Python stack limits the nesting."""
+        steps, out = [step], None
+        while steps:
+            try:
+                steps.append(steps[-1].send(out))
+                out = None
+            except StopIteration as done:
+                steps.pop()
+                out = done.value
+        return out
+
     def binary(self, floor: int):
-        left = self.single()
+        left = yield self.single()
         while BINDING.get(self.peek(), 0) >= floor:
             op = self.take()
             self.symbols.append(PRINTED[op])
-            right = self.binary(BINDING[op] + 1)
+            right = yield self.binary(BINDING[op] + 1)
             depth = max(left[1], right[1]) + (op == "U")
             left = (op, depth, f"({left[2]} {PRINTED[op]} {right[2]})", f"({left[3]} {op} {right[3]})")
         return left
@@ -73,16 +85,16 @@ class FormulaReader:
         word = self.take()
         if word == "!":
             self.symbols.append("¬")
-            kind, depth, shown, plain = self.single()
+            kind, depth, shown, plain = yield self.single()
             if kind in ("->", "|", "&"):
                 shown, plain = f"({shown})", f"({plain})"
             return "!", depth, "¬" + shown, "!" + plain
         if word == "<<":
-            return self.coalition()
+            return (yield self.coalition())
         if word in ("X", "F", "G"):
-            return self.temporal(word)
+            return (yield self.temporal(word))
         if word == "(":
-            inner = self.binary(1)
+            inner = yield self.binary(1)
             self.take(")")
             return inner
         if word in ("true", "false"):
@@ -94,7 +106,7 @@ class FormulaReader:
 
     def temporal(self, letter: str):
         self.symbols.append(letter)
-        _, depth, shown, plain = self.binary(1)
+        _, depth, shown, plain = yield self.binary(1)
         return "temporal", depth + 1, f"{letter} {shown}", f"{letter} {plain}"
 
     def coalition(self):
@@ -111,10 +123,10 @@ class FormulaReader:
         self.symbols.append("⟨⟨⟩⟩")
         named = ",".join(sorted(members, key=lambda a: (a.isdigit(), a)))
         if self.peek() in ("X", "F", "G"):
-            _, depth, shown, plain = self.temporal(self.take())
+            _, depth, shown, plain = yield self.temporal(self.take())
         else:
             self.take("(")
-            _, depth, shown, plain = self.binary(1)
+            _, depth, shown, plain = yield self.binary(1)
             self.take(")")
             depth += 1
         return "coalition", depth, f"⟨⟨{named}⟩⟩ {shown}", f"<<{named}>> {plain}"
@@ -125,7 +137,7 @@ def describe(text: str | None, max_depth: int, max_size: int, allow_empty: bool,
     try:
         reader = FormulaReader(text or "")
         kind, depth, shown, plain = reader.whole()
-    except (ValueError, RecursionError) as e:
+    except ValueError as e:
         return {**empty, "errors": [f"Parse error: {e}"]}
     errors, warnings = [], []
     if depth > max_depth:

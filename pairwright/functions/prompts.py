@@ -83,18 +83,20 @@ def statements(
     pattern: Column,
     n: int = 5,
     examples: list[tuple[str, str]] | None = None,
+    max_atoms: int | None = None,
+    max_examples: int | None = None,
 ) -> Column:
-    """Request for n statements of a domain; at most 8 atoms and 5 examples are named."""
+    """Request for n statements of a domain; names all atoms and examples, or the first ``max_..`` of them."""
     guidance = F.lit(None).cast("string")
     for name, text in vocab.PATTERN_GUIDANCE.items():
         guidance = F.when(pattern == name, text).otherwise(guidance)
-    shown = (vocab.EXAMPLE_PAIRS if examples is None else examples)[:5]
+    shown = (vocab.EXAMPLE_PAIRS if examples is None else examples)[:max_examples]
     style = "\n\nStyle examples:\n" + "\n".join(f"- {s}" for s, _ in shown) if shown else ""
     return F.concat(
         F.lit("Write requirements about what agents can achieve or guarantee over time."),
         _optional("\n\nDomain: ", domain),
         _optional("\nTypical agents: ", F.array_join(agents, ", ")),
-        _optional("\nTypical propositions: ", F.array_join(F.slice(atoms, 1, 8), ", ")),
+        _optional("\nTypical propositions: ", F.array_join(atoms if max_atoms is None else F.slice(atoms, 1, max_atoms), ", ")),
         _optional("\n\nPattern focus: ", guidance),
         F.lit(style + f"\n\nWrite {n} different requirements, one per line, numbered 1-{n}. No formulas."),
     )

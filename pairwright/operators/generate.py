@@ -7,8 +7,6 @@ partitioning gives the same pairs, and a failed task can be run again.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,27 +24,37 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def coalition_space(max_agents: int = 3, named: list[str] | None = None) -> list[list[str]]:
-    """Single numbered agents, pairs of them, all of them, and single named ones."""
-    if max_agents > 10:
-        raise ValueError("at most 10 numbered agents")
-    numbers = [str(i) for i in range(1, max_agents + 1)]
-    out = [[a] for a in numbers] + [list(p) for p in combinations(numbers, 2)]
-    if max_agents > 1:
-        out.append(numbers)
-    return out + [[a] for a in (list(vocab.AGENT_PHRASES) if named is None else named)]
+def _named(named: list[str] | None) -> list[str]:
+    return list(vocab.AGENT_PHRASES) if named is None else named
+
+
+def coalition_count(max_agents: int = 3, named: list[str] | None = None) -> int:
+    """Size of the coalition space: single numbered agents, pairs of them, all of them, and single named ones."""
+    return max_agents + max_agents * (max_agents - 1) // 2 + (max_agents > 1) + len(_named(named))
 
 
 def coalition_at(index: Column, max_agents: int = 3, named: list[str] | None = None) -> Column:
-    """Coalition number index (cyclic) of the space above."""
-    space = coalition_space(max_agents, named)
-    table = F.array(*[_strings(c) for c in space])
-    return F.element_at(table, (F.pmod(index, F.lit(len(space))) + 1).cast("int"))
+    """Coalition number index (cyclic) of the space, in the order given above; pairs in order of their first member.
+
+    The members follow from the index, so the number of agents has no limit.
+    """
+    n, names = max_agents, _named(named)
+    pairs = n * (n - 1) // 2
+    i = F.pmod(index, F.lit(coalition_count(max_agents, named))).cast("long")
+    p = i - n  # number of the pair; (first, second) count from 0
+    first = F.floor((F.lit(2 * n - 1) - F.sqrt(F.greatest(F.lit((2 * n - 1) ** 2) - 8 * p, F.lit(0)))) / 2)
+    second = p - F.floor(first * (F.lit(2 * n - 1) - first) / 2) + first + 1
+    out = F.when(i < n, F.array((i + 1).cast("string")))
+    if n > 1:
+        out = out.when(i < n + pairs, F.array((first + 1).cast("string"), (second + 1).cast("string")))
+        out = out.when(i == n + pairs, F.transform(F.sequence(F.lit(1), F.lit(n)), lambda a: a.cast("string")))
+    if names:
+        out = out.otherwise(F.array(F.element_at(_strings(names), (F.greatest(i - (n + pairs + (n > 1)), F.lit(0)) + 1).cast("int"))))
+    return out
 
 
 def sample_coalition(draw: Column, seed: int, max_agents: int = 3, named: list[str] | None = None) -> Column:
-    n = len(coalition_space(max_agents, named))
-    return coalition_at(seeded_choice(draw, seed, n), max_agents, named)
+    return coalition_at(seeded_choice(draw, seed, coalition_count(max_agents, named)), max_agents, named)
 
 
 def pick_members(agents: Column, draw: Column, seed: int) -> Column:
@@ -90,34 +98,52 @@ def frames_for(shape: str, frames: list[str] | None = None) -> list[str]:
     return frames if frames else [f + tail for f in vocab.STATEMENT_FRAMES]
 
 
+def _numbered_shapes(shapes: DataFrame) -> DataFrame:
+    """Template dimension with a number per template, in order of its id. One row per template."""
+    s = F.col("shape")
+    holes = sum((F.contains(s, F.lit(h)).cast("int") for h in ("{p}", "{q}", "{r}")), F.lit(0))
+    tail = F.concat(F.when(F.contains(s, F.lit("{q}")), vocab.SECOND_PHRASE).otherwise(""), F.when(F.contains(s, F.lit("{r}")), vocab.THIRD_PHRASE).otherwise(""))
+    usual = F.transform(_strings(vocab.STATEMENT_FRAMES), lambda f: F.concat(f, tail))
+    own = F.when(F.size("frames") > 0, F.col("frames")).otherwise(usual)
+    number = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("template_id")) - 1
+    packed = F.struct("template_id", "category", "shape", own.alias("frames"), holes.alias("holes"))
+    return measured(shapes.select(number.cast("int").alias("_shape_no"), packed.alias("_t")))
+
+
 def base_pairs(
     draws: DataFrame,
     draw: str,
     seed: int,
-    shapes: list[tuple[str, str, str]] | None = None,
+    shapes: list[tuple[str, str, str]] | DataFrame | None = None,
     frames: dict[str, list[str]] | None = None,
     domains: DataFrame | None = None,
     max_agents: int = 3,
 ) -> DataFrame:
     """One pair per draw: draw, vocabulary domain, template id, category, statement and formula.
 
-    Draw numbers walk through the shapes in turn. Rows whose formula breaks a
-    structural rule are left out.
+    Draw numbers walk through the shapes in turn. ``shapes`` is a list, or a
+    table of (template_id, category, shape, frames) that is joined by number;
+    null frames mean the usual ones. Rows whose formula breaks a structural rule
+    are left out.
     """
-    shapes = shapes or vocab.FORMULA_SHAPES
     d = F.col(draw)
-    no = F.pmod(d, F.lit(len(shapes))).cast("int")
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("template_id"), F.lit(c).alias("category"), F.lit(s).alias("shape"),
-                _strings(frames_for(s, (frames or {}).get(i))).alias("frames"),
-                F.lit(sum(h in s for h in ("{p}", "{q}", "{r}"))).alias("holes"),
-            )
-            for i, c, s in shapes
-        ]
-    )
-    rows = draws.withColumn("_t", F.get(table, no))
+    if isinstance(shapes, DataFrame):
+        numbered = _numbered_shapes(shapes)
+        no = F.pmod(d, F.lit(max(1, numbered.count()))).cast("int")
+        rows = draws.withColumn("_no", no).join(numbered, F.col("_no") == F.col("_shape_no")).drop("_no", "_shape_no")
+    else:
+        shapes = shapes or vocab.FORMULA_SHAPES
+        table = F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("template_id"), F.lit(c).alias("category"), F.lit(s).alias("shape"),
+                    _strings(frames_for(s, (frames or {}).get(i))).alias("frames"),
+                    F.lit(sum(h in s for h in ("{p}", "{q}", "{r}"))).alias("holes"),
+                )
+                for i, c, s in shapes
+            ]
+        )
+        rows = draws.withColumn("_t", F.get(table, F.pmod(d, F.lit(len(shapes))).cast("int")))
     if domains is None:
         rows = rows.withColumn("_members", sample_coalition(d, seed, max_agents)).withColumn("_atoms", default_atoms())
         rows = rows.withColumn("vocabulary", F.lit(None).cast("string"))

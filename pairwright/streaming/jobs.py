@@ -63,14 +63,18 @@ def windowed_quality(log: DataFrame, ts: str, window: str = "1 day", delay: str
 
 
 def snapshot_quality(log: DataFrame, ts: str, path: str, checkpoint: str, window: str = "1 day", delay: str = "1 day") -> StreamingQuery:
-    """Keeps the windowed statistics as one snapshot per batch below ``path``."""
+    """Writes the windows that a batch changed below ``path``.
+
+    In update mode the watermark drops the state of closed windows, and a batch
+    costs what it changes, not what was ever seen.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
         windowed_quality(log, ts, window, delay)
-        .writeStream.outputMode("complete")
+        .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(save)
         .trigger(availableNow=True)
@@ -79,9 +83,11 @@ def snapshot_quality(log: DataFrame, ts: str, path: str, checkpoint: str, window
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest snapshot."""
+    """The newest row of each window and domain."""
     rows = spark.read.parquet(path)
-    return rows.filter(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
+    newest = rows.groupBy("window_start", "domain").agg(F.max("batch").alias("batch"))
+    on = F.col("n.window_start").eqNullSafe(F.col("r.window_start")) & F.col("n.domain").eqNullSafe(F.col("r.domain")) & (F.col("n.batch") == F.col("r.batch"))
+    return rows.alias("r").join(newest.alias("n"), on, "left_semi").drop("batch")
 
 
 def route_by_status(rows: DataFrame, path: str, checkpoint: str, by: str = "verification_status") -> StreamingQuery:
