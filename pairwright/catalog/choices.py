@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairwright import vocab
 from pairwright.catalog.formulas import ascii_sql, strip_sql
+from pairwright.catalog import replies
 from pairwright.catalog.registry import big, joined, query
 from pairwright.catalog.views import CORPUS_SQL, EVENTS_SQL, FORMULAS_SQL, _sql_text, events, sql_list, table, v_corpus, v_formulas
 from pairwright.functions import formula as fx
@@ -14,7 +15,7 @@ from pairwright.functions.profile import formula_profile
 from pairwright.functions.text import word_count
 from pairwright.operators import choose, generate
 from pairwright.operators.identity import first_seen
-from pairwright.operators.inference import expression_stage, offline_answer
+from pairwright.operators.inference import expression_stage
 from pairwright.operators.ranking import dense_index
 from pairwright.plans import create, verify
 from pairwright.session import spread
@@ -129,7 +130,7 @@ def g01(spark, sf):
     return generate.base_pairs(order_draws(spark, sf), "o_orderkey", 5, domains=region_domains(spark, sf)).drop("category")
 
 
-SPACE = generate.coalition_space(4, ["robot", "driver"])
+SPACE = [["1"], ["2"], ["3"], ["4"], ["1", "2"], ["1", "3"], ["1", "4"], ["2", "3"], ["2", "4"], ["3", "4"], ["1", "2", "3", "4"], ["robot"], ["driver"]]
 
 
 @query(
@@ -234,7 +235,7 @@ def g08(spark, sf):
 
 @query("g08_hybrid_dataset")
 def g08h(spark, sf):
-    ask = expression_stage(offline_answer)
+    ask = expression_stage(replies.translator)
     rows = create.hybrid_dataset(order_draws(spark, sf), "o_orderkey", 5, 5000, ask, ask, "mock", domains=region_domains(spark, sf))
     return rows.select("id", "nl_statement", "atl_formula", "confidence", F.col("generation.paraphrase_of").alias("paraphrase_of"))
 
@@ -260,20 +261,21 @@ def j04(spark, sf):
     return pairs.groupBy("vocabulary", "template_id").agg(F.count(F.lit(1)).alias("n"), F.min("formula").alias("first_formula"))
 
 
-def two_stage_reply(q):
-    """Statement requests get one statement that names the domain; translation requests get a formula, one kind none."""
+def two_stage_reply(q, request):
+    """Statement requests get one statement that names domain and attempt; translation requests get a formula, one kind none."""
     domain = F.regexp_extract(q, r"Domain: (\w+)", 1)
-    statement = F.concat(F.lit('1. "Agents of '), domain, F.lit(' can react."'))
+    attempt = F.regexp_extract(request, r"/(\d+)", 1)
+    statement = F.concat(F.lit('1. "Agents of '), domain, F.lit(" can react in way "), attempt, F.lit('."'))
     bad = F.contains(q, F.lit("Agents of view can"))
     return (
-        F.when(F.contains(q, F.lit("No formulas.")), statement).when(bad, F.lit("broken (formula")).otherwise(F.lit(vocab.OFFLINE_TRANSLATION))
+        F.when(F.contains(q, F.lit("No formulas.")), statement).when(bad, F.lit("broken (formula")).otherwise(F.lit(replies.TRANSLATION))
     )
 
 
 @query(
     "g08_model_dataset",
     f"""WITH a AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS attempt FROM events WHERE event_type <> 'view'),
-    s AS (SELECT 'Agents of ' || event_type || ' can react.' AS nl_statement, {_sql_text('<<1>> G !error')} AS atl_formula, 'llm_' || event_type || '_safety' AS template_id FROM a WHERE attempt < 40)
+    s AS (SELECT 'Agents of ' || event_type || ' can react in way ' || attempt || '.' AS nl_statement, {_sql_text('<<1>> G !error')} AS atl_formula, 'llm_' || event_type || '_safety' AS template_id FROM a WHERE attempt < 40)
     SELECT substring(sha256(lower(nl_statement) || '|' || atl_formula), 1, 12) AS id, nl_statement, atl_formula, template_id FROM s""",
 )
 def g08m(spark, sf):
@@ -282,5 +284,5 @@ def g08m(spark, sf):
         "attempt", F.col("event_type").alias("domain"), F.array("event_type").alias("agents"), F.array("event_type").alias("atoms"),
         F.lit("safety").alias("pattern"),
     )
-    out = create.model_dataset(requests, expression_stage(two_stage_reply), 40, ["domain"], "mock")
+    out = create.model_dataset(requests, expression_stage(two_stage_reply, ("request",)), 40, ["domain"], "mock")
     return out.select("id", "nl_statement", "atl_formula", "template_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairwright import vocab
+from pairwright.catalog import replies
 from pairwright.catalog.formulas import BOUNDARY_OPS, STRUCTURE, _idents, ascii_sql, errors_sql, pattern_sql, strip_sql
 from pairwright.catalog.registry import big, joined, query, sql_joined
 from pairwright.catalog.rows import RETRYABLE
@@ -15,9 +16,7 @@ from pairwright.catalog.views import (
 from pairwright.functions import prompts
 from pairwright.operators import stats
 from pairwright.operators.enrich import sample_columns
-from pairwright.operators.inference import (
-    CannedBackend, batch_stage, cyclic_answer, expression_stage, offline_answer, offline_verifier_answer,
-)
+from pairwright.operators.inference import batch_stage, expression_stage
 from pairwright.plans import compare, create, verify
 from pairwright.session import cut_lineage, run_dir
 from pairwright.streaming import jobs
@@ -27,8 +26,8 @@ def sql_lines(s: str) -> str:
     return _sql_text(s).replace("\n", "' || chr(10) || '")
 
 
-OFFLINE_SQL = f"""CASE WHEN contains(q, '"ok"') OR contains(lower(q), 'critique') OR contains(lower(q), 'check if') THEN {_sql_text(vocab.OFFLINE_CRITIQUE)}
-  WHEN contains(lower(q), 'paraphrase') OR contains(lower(q), 'rephrase') THEN {sql_lines(vocab.OFFLINE_PARAPHRASES)} ELSE {_sql_text(vocab.OFFLINE_TRANSLATION)} END"""
+OFFLINE_SQL = f"""CASE WHEN contains(q, '"ok"') OR contains(lower(q), 'critique') OR contains(lower(q), 'check if') THEN {_sql_text(replies.CRITIQUE)}
+  WHEN contains(lower(q), 'paraphrase') OR contains(lower(q), 'rephrase') THEN {sql_lines(replies.PARAPHRASES)} ELSE {_sql_text(replies.TRANSLATION)} END"""
 
 
 @query(
@@ -39,7 +38,7 @@ OFFLINE_SQL = f"""CASE WHEN contains(q, '"ok"') OR contains(lower(q), 'critique'
 def i01(spark, sf):
     head = F.when(F.col("role") == "user", "Critique this: ").when(F.col("role") == "system", "Paraphrase this: ").otherwise("Translate this: ")
     rows = table(spark, sf, "conversations").withColumn("q", F.concat(head, F.col("text")))
-    ask = batch_stage(lambda: CannedBackend(fail_on="ou"))
+    ask = batch_stage(lambda: replies.Written(fail_on="ou"))
     return ask(rows, "q", "a").select("conv_id", "turn", F.col("a.text").alias("text"), F.col("a.error").alias("error"), F.col("a.provider").alias("provider"))
 
 
@@ -51,13 +50,13 @@ def i01(spark, sf):
 def i02(spark, sf):
     q = F.concat("nl", F.lit(" paraphrase "), "target")
     return v_pairs(spark, sf).select(
-        "conv_id", "turn", offline_answer(q).alias("reply"), cyclic_answer(F.col("conv_id") + F.col("turn"), ["one", "two", "three"]).alias("cyclic")
+        "conv_id", "turn", replies.translator(q).alias("reply"), replies.cyclic(F.col("conv_id") + F.col("turn"), ["one", "two", "three"]).alias("cyclic")
     )
 
 
 @query(
     "i03_translate",
-    f"""WITH {PAIRS_SQL} SELECT conv_id, turn, CAST(0 AS BIGINT) AS candidate_no, {_sql_text(vocab.OFFLINE_TRANSLATION)} AS atl_formula FROM v_pairs""",
+    f"""WITH {PAIRS_SQL} SELECT conv_id, turn, CAST(0 AS BIGINT) AS candidate_no, {_sql_text(replies.TRANSLATION)} AS atl_formula FROM v_pairs""",
 )
 def i03(spark, sf):
     rows = v_pairs(spark, sf).select("conv_id", "turn", F.col("nl").alias("nl_statement"))
@@ -66,19 +65,19 @@ def i03(spark, sf):
 
 
 def offline_answer_plain(_prompt):
-    return F.lit(vocab.OFFLINE_TRANSLATION)
+    return F.lit(replies.TRANSLATION)
 
 
 @query(
     "i03_critique_and_paraphrase",
     f"""WITH {FORMULAS_SQL}, a AS (SELECT event_id, nl, {ascii_sql('formula')} AS f FROM v_formulas),
-    p AS (SELECT event_id, f, unnest([nl, 'The system must always avoid errors.', 'Errors should never occur in the system.', 'The system guarantees no errors will happen.']) AS nl_statement FROM a)
+    p AS (SELECT event_id, f, unnest([nl, 'No error ever occurs.', 'The plant stays free of errors.', 'Errors are ruled out for good.']) AS nl_statement FROM a)
     SELECT event_id, nl_statement, f AS atl_formula, 1.0::DOUBLE AS confidence FROM p""",
 )
 def i03c(spark, sf):
     from pairwright.functions import formula as fx
 
-    ask = expression_stage(offline_answer)
+    ask = expression_stage(replies.translator)
     rows = v_formulas(spark, sf).select("event_id", "nl", fx.to_ascii(F.col("formula")).alias("formula"))
     more = create.paraphrase(rows, ask).select("event_id", F.col("nl").alias("nl_statement"), F.col("formula").alias("atl_formula"))
     return verify.critique_pairs(more, ask).select("event_id", "nl_statement", "atl_formula", "confidence")
@@ -86,7 +85,7 @@ def i03c(spark, sf):
 
 @query(
     "i03_translate_with_metrics",
-    f"""WITH {PAIRS_SQL} SELECT conv_id, turn, {_sql_text(vocab.OFFLINE_TRANSLATION)} AS formulas, CAST(1 AS BIGINT) AS candidates_found, 0.25::DOUBLE AS response_time,
+    f"""WITH {PAIRS_SQL} SELECT conv_id, turn, {_sql_text(replies.TRANSLATION)} AS formulas, CAST(1 AS BIGINT) AS candidates_found, 0.25::DOUBLE AS response_time,
       CAST(12 AS BIGINT) AS tokens_used FROM v_pairs""",
 )
 def i03m(spark, sf):
@@ -101,13 +100,12 @@ def i03m(spark, sf):
 @query(
     "i03_generate_statements",
     """WITH s AS (SELECT event_id, unnest([0, 1, 2]) AS item_no FROM events)
-    SELECT event_id, CAST(item_no AS BIGINT) AS item_no, (['The system must always avoid errors.', 'Errors should never occur in the system.',
-      'The system guarantees no errors will happen.'])[item_no + 1] AS nl_statement FROM s""",
+    SELECT event_id, CAST(item_no AS BIGINT) AS item_no, (['No error ever occurs.', 'The plant stays free of errors.', 'Errors are ruled out for good.'])[item_no + 1] AS nl_statement FROM s""",
 )
 def i03g(spark, sf):
     e = F.col("event_type")
     requests = events(spark, sf).select("event_id", e.alias("domain"), F.array(e).alias("agents"), F.array(e).alias("atoms"), F.lit("safety").alias("pattern"))
-    out = create.generate_statements(requests, expression_stage(lambda _: F.lit(vocab.OFFLINE_PARAPHRASES)))
+    out = create.generate_statements(requests, expression_stage(lambda _: F.lit(replies.PARAPHRASES)))
     return out.select("event_id", big(F.col("item_no")).alias("item_no"), "nl_statement")
 
 
@@ -127,7 +125,7 @@ def i03e(spark, sf):
 
 def verifier_reply(q):
     """Offline verifier with replies that depend on the statement."""
-    plain = offline_verifier_answer(q)
+    plain = replies.verifier(q)
     return (
         F.when(F.contains(q, F.lit("Translate the following")), plain)
         .when(F.contains(q, F.lit("react to error")), '{"matches": false, "confidence": 0.3, "explanation": "no", "issues": ["wrong"], "suggested_fix": "<<a>> G (x)"}')
@@ -167,12 +165,22 @@ def translator_reply(q):
     return F.when(F.contains(q, F.lit("react to click")), "broken formula").otherwise(F.lit("⟨⟨a⟩⟩ G (p → F q)"))
 
 
+def reply_by_model(q, model):
+    """One model is right at times, one always, one never."""
+    return F.when(model == "base", translator_reply(q)).when(model == "tuned", "⟨⟨a⟩⟩ F q").otherwise("broken formula")
+
+
 def judge_reply(q):
     accept = '{"verdict": "ACCEPT", "confidence": 0.9, "issues": [], "explanation": "fine"}'
     reject = '{"verdict": "REJECT", "confidence": 0.8, "issues": ["still wrong"], "explanation": "no"}'
     return F.when(F.contains(q, F.lit("react to view")), accept).when(F.contains(q, F.lit("react to signup")), "nothing").otherwise(reject)
 
 
+def judge_by_verifier(q, verifier):
+    """One of the verifiers accepts nothing."""
+    return F.when(verifier == "ver_0", '{"verdict": "REJECT", "confidence": 1.0, "issues": ["never"], "explanation": "no"}').otherwise(judge_reply(q))
+
+
 REJECTED = "SELECT v.*, e.event_type FROM v_results v JOIN events e ON v.event_id = e.event_id WHERE verification_status = 'rejected'"
 
 
@@ -192,12 +200,12 @@ def i05(spark, sf):
 
 @query(
     "i06_compare_models",
-    f"""WITH {FORMULAS_SQL} SELECT model, count(*) AS n, count(*) FILTER (WHERE event_type <> 'click') AS valid FROM v_formulas,
+    f"""WITH {FORMULAS_SQL} SELECT model, count(*) AS n, count(*) FILTER (WHERE model = 'tuned' OR model = 'base' AND event_type <> 'click') AS valid FROM v_formulas,
       (VALUES ('base'), ('tuned'), ('third')) AS m(model) GROUP BY 1""",
 )
 def i06(spark, sf):
     rows = v_formulas(spark, sf).select("event_id", F.col("nl").alias("nl_statement"))
-    long = compare.compare_models(rows, ["base", "tuned", "third"], expression_stage(translator_reply, ms=10.0, prompt_tokens=3))
+    long = compare.compare_models(rows, ["base", "tuned", "third"], expression_stage(reply_by_model, ("model",), ms=10.0, prompt_tokens=3))
     # answers are written once, then counted
     long = cut_lineage(long, "i06")
     return stats.model_stats(long).select("model", F.col("rows").alias("n"), F.col("syntax_valid_count").alias("valid"))
@@ -207,15 +215,16 @@ def i06(spark, sf):
     "i07_retry",
     f"""WITH {RESULTS_SQL}, t AS (SELECT *, lower(array_to_string(list_concat(coalesce(rejection_reasons, CAST([] AS VARCHAR[])), verification_notes), ' ')) AS t FROM v_results),
     r AS (SELECT t.*, e.event_type, verification_status = 'rejected' AND {RETRYABLE} AS again FROM t JOIN events e ON t.event_id = e.event_id)
-    SELECT id, CASE WHEN again AND event_type = 'view' THEN 'verified' WHEN again THEN 'rejected' ELSE verification_status END AS verification_status, again AS retried,
+    SELECT id, CASE WHEN again AND event_type = 'view' AND coalesce(verifier, 'anthropic') <> 'ver_0' THEN 'verified' WHEN again THEN 'rejected' ELSE verification_status END AS verification_status, again AS retried,
       CASE WHEN again THEN coalesce(verifier, 'anthropic') ELSE verifier END AS verifier,
-      CASE WHEN NOT again THEN coalesce(array_to_string(rejection_reasons, '|'), '') WHEN event_type = 'view' THEN '' WHEN event_type = 'signup' THEN 'Could not parse response' ELSE 'still wrong' END AS reasons
+      CASE WHEN NOT again THEN coalesce(array_to_string(rejection_reasons, '|'), '') WHEN coalesce(verifier, 'anthropic') = 'ver_0' THEN 'never' WHEN event_type = 'view' THEN ''
+        WHEN event_type = 'signup' THEN 'Could not parse response' ELSE 'still wrong' END AS reasons
     FROM r WHERE verification_status IN ('verified', 'rejected')""",
 )
 def i07(spark, sf):
     rows = v_results(spark, sf)
     s = F.col("verification_status")
-    merged, _ = compare.retry_rejections(rows.filter(s == "verified"), rows.filter(s == "rejected"), expression_stage(judge_reply))
+    merged, _ = compare.retry_rejections(rows.filter(s == "verified"), rows.filter(s == "rejected"), expression_stage(judge_by_verifier, ("model",)))
     return merged.select(
         "id", "verification_status", F.coalesce("retry_attempt", F.lit(False)).alias("retried"), "verifier", joined(F.col("rejection_reasons")).alias("reasons")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairwright import vocab
 from pairwright.catalog.formulas import ASCII, errors_sql, strip_sql
+from pairwright.catalog import replies
 from pairwright.catalog.registry import big, joined, query, sql_joined
 from pairwright.catalog.texts import CANDIDATES_SQL, VERDICTS_SQL, answer_texts, verdict_texts
 from pairwright.catalog.views import (
@@ -16,7 +17,6 @@ from pairwright.functions import answers, rules
 from pairwright.functions import formula as fx
 from pairwright.operators import changes, identity
 from pairwright.operators.generate import with_paraphrases
-from pairwright.operators.inference import offline_answer
 from pairwright.operators.stats import histograms
 from pairwright.plans import compare, create, training, verify
 from pairwright.sources import dimensions
@@ -305,7 +305,7 @@ def j08(spark, sf):
 
 @query(
     "j09_paraphrase_lineage",
-    f"""WITH {FORMULAS_SQL}, o AS (SELECT event_id, nl, formula, list_transform(string_split({_sql_text(vocab.OFFLINE_PARAPHRASES).replace(chr(10), "' || chr(10) || '")}, chr(10)),
+    f"""WITH {FORMULAS_SQL}, o AS (SELECT event_id, nl, formula, list_transform(string_split({_sql_text(replies.PARAPHRASES).replace(chr(10), "' || chr(10) || '")}, chr(10)),
         lambda x: regexp_replace(x, '^[0-9]+[.):\\-]\\s*', '')) AS items FROM v_formulas)
     SELECT event_id, nl, formula, CAST(NULL AS VARCHAR) AS paraphrase_of FROM o
     UNION ALL SELECT event_id, unnest(items) AS nl, formula, nl AS paraphrase_of FROM o""",
@@ -314,7 +314,7 @@ def j09(spark, sf):
     from pairwright.functions import prompts
 
     rows = v_formulas(spark, sf).select("event_id", "nl", "formula")
-    reply = offline_answer(prompts.paraphrase(F.col("nl")))
+    reply = replies.translator(prompts.paraphrase(F.col("nl")))
     items = answers.list_items(reply, original=F.col("nl"), first=3)
     return with_paraphrases(rows.withColumn("items", items), "items")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -11,12 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwright import schemas, vocab
+from pairwright import schemas
 from pairwright.session import cut_lineage
 
-SALTS = 64
-
-
 class Backend(Protocol):
     """A model. Built once per partition by a factory that is sent to the workers."""
 
@@ -27,129 +26,108 @@ class Backend(Protocol):
         """Text, prompt tokens, completion tokens. May raise."""
 
 
-class CannedBackend:
-    """Offline backend for tests and dry runs: replies by prompt kind, or cycles through given replies."""
-
-    model = "mock"
-    provider = "mock"
-
-    def __init__(self, replies: list[str] | None = None, fail_on: str | None = None):
-        self.replies, self.fail_on, self.calls = replies, fail_on, 0
-
-    def answer(self, prompt: str) -> tuple[str, int, int]:
-        if self.fail_on and self.fail_on in prompt:
-            raise RuntimeError("Error code: 503")
-        self.calls += 1
-        if self.replies:
-            return self.replies[(self.calls - 1) % len(self.replies)], 0, 0
-        p = prompt.lower()
-        if '"ok"' in prompt or "critique" in p or "check if" in p:
-            return vocab.OFFLINE_CRITIQUE, 0, 0
-        if "paraphrase" in p or "rephrase" in p:
-            return vocab.OFFLINE_PARAPHRASES, 0, 0
-        return vocab.OFFLINE_TRANSLATION, 0, 0
-
-
-def _kind(prompt: Column, *pieces: str) -> Column:
-    out = F.lit(False)
-    for p in pieces:
-        out = out | F.contains(prompt, F.lit(p))
-    return out
-
-
-def offline_answer(prompt: Column) -> Column:
-    """Replies of the offline translation backend as an expression."""
-    low = F.lower(prompt)
-    return (
-        F.when(_kind(prompt, '"ok"') | _kind(low, "critique", "check if"), vocab.OFFLINE_CRITIQUE)
-        .when(_kind(low, "paraphrase", "rephrase"), vocab.OFFLINE_PARAPHRASES)
-        .otherwise(vocab.OFFLINE_TRANSLATION)
-    )
-
-
-def offline_verifier_answer(prompt: Column) -> Column:
-    """Replies of the offline verification backend as an expression."""
-    translate = _kind(prompt, "Respond with ONLY the ATL formula", "Translate the following")
-    return F.when(translate, vocab.OFFLINE_CROSS_TRANSLATION).otherwise(vocab.OFFLINE_VERIFICATION)
-
-
-def cyclic_answer(index: Column, replies: list[str]) -> Column:
-    """Reply number index, starting over at the end."""
-    arr = F.array(*[F.lit(r) for r in replies])
-    return F.element_at(arr, (F.pmod(index, F.lit(len(replies))) + 1).cast("int"))
-
-
-def as_answer(text: Column, model: str = "mock", prompt_tokens: int = 0, completion_tokens: int = 0, ms: float = 0.0) -> Column:
+def as_answer(text: Column, model: Column | str = "mock", prompt_tokens: int = 0, completion_tokens: int = 0, ms: float = 0.0) -> Column:
     """An expression answer in the row type of the inference stage."""
     return F.struct(
-        text.alias("text"), F.lit(model).alias("model"), F.lit("mock").alias("provider"),
+        text.alias("text"), (F.lit(model) if isinstance(model, str) else model).alias("model"), F.lit("mock").alias("provider"),
         F.lit(prompt_tokens).cast("bigint").alias("prompt_tokens"),
         F.lit(completion_tokens).cast("bigint").alias("completion_tokens"),
         F.lit(ms).alias("latency_ms"), F.lit(None).cast("string").alias("error"),
     )
 
 
-Stage = Callable[[DataFrame, str, str], DataFrame]
+class Stage(Protocol):
+    """Adds the answers to a table's prompts as a struct column.
+
+    ``model`` names the column that says which model answers a row, ``request``
+    one that tells attempts apart: rows with equal prompt, model and request
+    share an answer, rows without prompt have none.
+    """
+
+    def __call__(self, df: DataFrame, prompt: str, out: str, model: str | None = None, request: str | None = None) -> DataFrame: ...
+
 
+def expression_stage(reply: Callable[..., Column], sees: tuple[str, ...] = (), **kw) -> Stage:
+    """Stage whose answers are an expression of the prompt: nothing leaves the JVM.
 
-def expression_stage(reply: Callable[[Column], Column], **kw) -> Stage:
-    """Stage whose answers are an expression of the prompt: nothing leaves the JVM."""
+    ``sees`` lists what else the reply is made from, "model" and "request"; it
+    gets these columns after the prompt, null where the caller names none.
+    """
 
-    def run(df: DataFrame, prompt: str, out: str) -> DataFrame:
-        answer = as_answer(reply(F.col(prompt)), **kw)
+    def run(df: DataFrame, prompt: str, out: str, model: str | None = None, request: str | None = None) -> DataFrame:
+        given = {"model": model, "request": request}
+        more = [F.col(given[s]).cast("string") if given[s] else F.lit(None).cast("string") for s in sees]
+        answer = as_answer(reply(F.col(prompt), *more), **({"model": F.col(model)} if model else {}), **kw)
         return df.withColumn(out, F.when(F.col(prompt).isNotNull(), answer))
 
     return run
 
 
-def _ask(factory: Callable[[], Backend]):
+def _ask(backends: Callable[[], Backend] | dict[str, Callable[[], Backend]], in_flight: int):
     names = schemas.INFERENCE.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend = factory()
-        for batch in batches:
-            rows = []
-            for prompt in batch["_prompt"]:
-                start = time.monotonic()
-                text, used_in, used_out, error = None, 0, 0, None
-                try:
-                    text, used_in, used_out = backend.answer(prompt)
-                except Exception as e:  # noqa: BLE001 - a failed call is a row, not a failed job
-                    error = str(e)
-                ms = (time.monotonic() - start) * 1000
-                rows.append((text, backend.model, backend.provider, used_in, used_out, ms, error))
-            got = pd.DataFrame(rows, columns=names)
-            yield pd.concat([batch[["_k", "_rows"]].reset_index(drop=True), got], axis=1)
+        built: dict[str, Backend] = {}
+
+        def backend(model: str | None) -> Backend:
+            key = model if isinstance(backends, dict) else ""
+            if key not in built:
+                if isinstance(backends, dict) and key not in backends:
+                    raise KeyError(f"no backend for model {model}")
+                built[key] = backends[key]() if isinstance(backends, dict) else backends()
+            return built[key]
+
+        def answer(item: tuple[str, str | None]) -> tuple:
+            prompt, model = item
+            start = time.monotonic()
+            text, used_in, used_out, error, name, provider = None, 0, 0, None, model, None
+            try:
+                own = backend(model)
+                name, provider = (own.model if model is None else model), own.provider
+                text, used_in, used_out = own.answer(prompt)
+            except Exception as e:  # noqa: BLE001 - a failed call is a row, not a failed job
+                error = str(e)
+            return text, name, provider, used_in, used_out, (time.monotonic() - start) * 1000, error
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                models = [m if isinstance(m, str) else None for m in batch["_model"]]
+                for m in dict.fromkeys(models):
+                    with contextlib.suppress(Exception):  # told with the rows that need it
+                        backend(m)
+                got = pd.DataFrame(list(pool.map(answer, zip(batch["_prompt"], models, strict=True))), columns=names)
+                yield pd.concat([batch[["_k"]].reset_index(drop=True), got], axis=1)
 
     return run
 
 
-def batch_stage(factory: Callable[[], Backend], workers: int | None = None, hot_share: float = 0.001) -> Stage:
-    """Stage that asks a model once per distinct prompt.
+def batch_stage(backends: Callable[[], Backend] | dict[str, Callable[[], Backend]], workers: int | None = None, in_flight: int = 1) -> Stage:
+    """Stage that asks a model once per distinct (model, request, prompt).
 
-    ``workers`` bounds the concurrent calls. Answers are written once to the
-    shared folder, so they are not asked again when a later stage fails or the
-    result is used twice. Prompts that make up more than ``hot_share`` of the
-    rows (at most 1 / hot_share of them exist) are salted on the way back.
+    ``backends`` is one factory for all rows, or one per model name; a row of a
+    model without backend gets an error. ``workers`` bounds the tasks that ask,
+    ``in_flight`` the calls of one task that run at once. Answers are written once
+    to the shared folder, so they are not asked again when a later stage fails or
+    the result is used twice. On the way back there is one answer per key, so a
+    prompt with very many rows is skew on one side, which AQE splits.
     """
 
-    def run(df: DataFrame, prompt: str, out: str) -> DataFrame:
+    def run(df: DataFrame, prompt: str, out: str, model: str | None = None, request: str | None = None) -> DataFrame:
+        none = F.lit(None).cast("string")
+        parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) if c else F.lit("") for c in (model, request)]
+        key = F.sha2(F.concat_ws("\x01", *parts, F.col(prompt)), 256)
         # rows without a prompt get keys of their own, spread evenly, that no answer has
-        nothing = F.concat(F.lit("none-"), F.xxhash64(*df.columns).cast("string"))
-        rows = df.withColumn("_k", F.coalesce(F.sha2(F.col(prompt), 256), nothing))
-        asked = rows.filter(F.col(prompt).isNotNull()).groupBy("_k")
-        asked = asked.agg(F.any_value(prompt).alias("_prompt"), F.count(F.lit(1)).alias("_rows"))
+        nothing = F.concat(F.lit("none-"), F.monotonically_increasing_id().cast("string"))
+        rows = df.withColumn("_k", F.when(F.col(prompt).isNotNull(), key).otherwise(nothing))
+        asked = rows.filter(F.col(prompt).isNotNull()).select(
+            "_k", F.col(prompt).alias("_prompt"), (F.col(model).cast("string") if model else none).alias("_model")
+        )
+        asked = asked.groupBy("_k").agg(F.any_value("_prompt").alias("_prompt"), F.any_value("_model").alias("_model"))
         if workers:
             asked = asked.repartition(workers, "_k")
-        schema = T.StructType(
-            [T.StructField("_k", T.StringType()), T.StructField("_rows", T.LongType()), *schemas.INFERENCE.fields]
-        )
-        answers = cut_lineage(asked.mapInPandas(_ask(factory), schema), "answers")
-        total = answers.agg(F.sum("_rows")).first()[0] or 0
-        hot = [r[0] for r in answers.filter(F.col("_rows") > max(1, int(total * hot_share), 100_000)).select("_k").collect()]
-        spread = F.when(F.col("_k").isin(hot), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-        copies = F.when(F.col("_k").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        packed = answers.select("_k", F.explode(copies).alias("_salt"), F.struct(*schemas.INFERENCE.names).alias(out))
-        return rows.withColumn("_salt", spread).join(packed, ["_k", "_salt"], "left").drop("_k", "_salt")
+        schema = T.StructType([T.StructField("_k", T.StringType()), *schemas.INFERENCE.fields])
+        answers = cut_lineage(asked.mapInPandas(_ask(backends, in_flight), schema), "answers")
+        packed = answers.select("_k", F.struct(*schemas.INFERENCE.names).alias(out))
+        return rows.join(packed, "_k", "left").drop("_k")
 
     return run

@@ -25,7 +25,7 @@ def ascii_errors(f: Column) -> Column:
 def compare_models(statements: DataFrame, models: list[str], ask: Stage, mode: str = "single_colon") -> DataFrame:
     """Long comparison rows: statement columns, model, formula, time, tokens, validity, error."""
     asked = per_model(statements, models).withColumn("_q", prompts.translation(F.col("nl_statement")))
-    asked = ask(asked, "_q", "_a")
+    asked = ask(asked, "_q", "_a", model="model")
     answered = F.col("_a.error").isNull()
     f = F.when(answered, answers.clean_answer(F.col("_a.text"), mode)).otherwise("")
     # a column of its own, outside any condition: there common parts are computed once
@@ -106,10 +106,10 @@ def retranslation_status(failed: Column, valid: Column, verdict: Column) -> Colu
     )
 
 
-def retry_rejections(verified: DataFrame, rejected: DataFrame, ask: Stage) -> tuple[DataFrame, DataFrame]:
-    """(all rows after the retry, the retried rows). The verifier of a row stays the same."""
+def retry_rejections(verified: DataFrame, rejected: DataFrame, ask: Stage, default_verifier: str = "anthropic") -> tuple[DataFrame, DataFrame]:
+    """(all rows after the retry, the retried rows). The verifier of a row stays the same and is the model that is asked."""
     again = rejected.filter(is_retryable(F.col("rejection_reasons"), F.col("verification_notes")))
-    again = again.withColumn("verifier", F.coalesce("verifier", F.lit("anthropic")))
+    again = again.withColumn("verifier", F.coalesce("verifier", F.lit(default_verifier)))
     retried = judge(again, ask).withColumn("retry_attempt", F.lit(True))
     return retry_merge(verified, rejected, retried), retried
 

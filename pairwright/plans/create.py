@@ -59,10 +59,13 @@ def paraphrase(pairs: DataFrame, ask: Stage, n: int = 3) -> DataFrame:
     return with_paraphrases(asked.withColumn("_items", F.coalesce(items, F.array().cast("array<string>"))).drop("_q", "_a"), "_items")
 
 
-def generate_statements(requests: DataFrame, ask: Stage, n: int = 10) -> DataFrame:
-    """Statement rows from requests (domain, agents, atoms, pattern, ..)."""
+def generate_statements(requests: DataFrame, ask: Stage, n: int = 10, request: str | None = None) -> DataFrame:
+    """Statement rows from requests (domain, agents, atoms, pattern, ..).
+
+    ``request`` names a column that tells attempts apart: equal prompts of different attempts are asked each.
+    """
     q = prompts.statements(F.col("domain"), F.col("agents"), F.col("atoms"), F.col("pattern"), n)
-    asked = ask(requests.withColumn("_q", q), "_q", "_a")
+    asked = ask(requests.withColumn("_q", q), "_q", "_a", request=request)
     items = answers.list_items(F.col("_a.text"), quotes=True, first=n)
     return asked.select(*requests.columns, F.posexplode(items).alias("item_no", "nl_statement"))
 
@@ -89,9 +92,9 @@ def template_dataset(draws: DataFrame, draw: str, seed: int, **kw) -> DataFrame:
 
 def model_dataset(attempts: DataFrame, ask: Stage, n: int, groups: list[str], provider: str, critique: Stage | None = None) -> DataFrame:
     """Statement and formula from a model. ``attempts`` carry attempt numbers per group;
-    the first n successful ones of the first 3n count, and only these 3n are asked."""
-    made = generate_statements(attempts.filter(F.col("attempt") < 3 * n), ask, 1)
-    made = made.withColumn("_key", F.concat_ws("/", *groups, F.col("attempt").cast("string")))
+    the first n successful ones of the first 3n count, and only these 3n are asked, each on its own."""
+    tries = attempts.filter(F.col("attempt") < 3 * n).withColumn("_key", F.concat_ws("/", *groups, F.col("attempt").cast("string")))
+    made = generate_statements(tries, ask, 1, request="_key")
     good = translate(made, ask, "_key")
     kept = first_successes(good, "attempt", F.lit(True), n, groups)
     name = F.concat(F.lit("llm_"), F.col("domain"), F.lit("_"), F.col("pattern"))

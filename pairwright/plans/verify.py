@@ -57,9 +57,12 @@ JUDGED = {
 
 
 def judge(rows: DataFrame, ask: Stage, accept_only: bool = True, fallback: str = "REJECT") -> DataFrame:
-    """Verdict columns and status; rows: nl_statement, atl_formula, domain, verifier."""
+    """Verdict columns and status; rows: nl_statement, atl_formula, domain, verifier.
+
+    ``verifier`` names the model that judges a row.
+    """
     asked = rows.withColumn("_q", prompts.verdict(F.col("nl_statement"), F.col("atl_formula"), F.col("domain")))
-    asked = ask(asked, "_q", "_a")
+    asked = ask(asked, "_q", "_a", model="verifier" if "verifier" in rows.columns else None)
     v = answers.verdict(F.col("_a.text"), fallback)
     failed = F.col("_a.error").isNotNull()
     asked = asked.withColumn("_v", v)

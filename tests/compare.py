@@ -59,7 +59,7 @@ def compare(df, con, sql: str) -> str:
 
 
 def main(argv: list[str]) -> int:
-    sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+    sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
     from __spark_entry__ import oracle_sql, queries
     from pairwright.session import build_session
 

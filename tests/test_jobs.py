@@ -1,12 +1,14 @@
 """Inference stages, plans and streams end to end on small tables."""
 
 import sys
+from itertools import combinations
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pairwright import session, vocab
+from pairwright.catalog import replies
 from pairwright.operators import generate
 from pairwright.operators import inference as inf
 from pairwright.plans import compare, create, training, verify
@@ -17,9 +19,12 @@ from pairwright.streaming import jobs
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-class Counting(inf.CannedBackend):
+class Counting:
     """Replies with the number of calls so far, so a second call for a prompt would show."""
 
+    model = provider = "mock"
+    calls = 0
+
     def answer(self, prompt):
         if "fail" in prompt:
             raise RuntimeError("Error code: 429")
@@ -37,26 +42,64 @@ def test_batch_stage_asks_once_per_prompt(spark):
     assert (used.prompt_tokens, used.completion_tokens, used.provider) == (3, 4, "mock")
 
 
-def test_hot_prompts_are_salted(spark, monkeypatch):
+def test_hot_prompts(spark):
     rows = spark.range(300_000).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") % 50).cast("string"))).alias("q"))
-    got = inf.batch_stage(lambda: inf.CannedBackend())(rows, "q", "a")
+    got = inf.batch_stage(lambda: replies.Written())(rows, "q", "a")
     assert got.count() == 300_000
     assert got.filter(F.col("a").isNull()).count() == 0
 
 
+class Named:
+    """A model that signs its answers."""
+
+    provider = "mock"
+
+    def __init__(self, model):
+        self.model = model
+
+    def answer(self, prompt):
+        return f"{self.model}: {prompt}", 1, 1
+
+
+def test_each_row_is_asked_its_own_model(spark):
+    rows = spark.createDataFrame([(1, "q", "a"), (2, "q", "b"), (3, "q", "c"), (4, "q", None), (5, None, "a"), (6, "q", "a")], "id int, q string, m string")
+    backends = {name: (lambda name=name: Named(name)) for name in "ab"}
+    got = {r.id: r.x for r in inf.batch_stage(backends, in_flight=4)(rows, "q", "x", model="m").collect()}
+    assert (got[1].text, got[2].text, got[6].text, got[5]) == ("a: q", "b: q", "a: q", None)
+    assert "no backend" in got[3].error and got[3].model == "c" and got[4].error
+    long = compare.compare_models(rows.filter("id < 3").select("id", F.col("q").alias("nl_statement")), ["a", "b"], inf.batch_stage(backends))
+    assert {(r.model, r.atl_formula.split(":")[0]) for r in long.collect()} == {("a", "a"), ("b", "b")}
+
+
+def test_attempts_are_asked_each(spark):
+    attempts = spark.range(6).select(F.col("id").alias("attempt"), F.lit("d").alias("domain"), F.array(F.lit("a")).alias("agents"), F.array(F.lit("p")).alias("atoms"), F.lit("safety").alias("pattern"))
+
+    class Numbered(Counting):
+        def answer(self, prompt):
+            self.calls += 1
+            return ("<<a>> G p" if "ATL:" in prompt else f"1. Statement {self.calls} of them."), 0, 0
+
+    out = create.model_dataset(attempts, inf.batch_stage(lambda: Numbered(), workers=1), 2, ["domain"], "mock").collect()
+    assert len(out) == 2 and len({r.nl_statement for r in out}) == 2
+
+
+def test_rows_with_maps(spark):
+    rows = spark.createDataFrame([(1, "q", {"a": 1}), (2, None, {"b": 2})], "id int, q string, m map<string,int>")
+    assert inf.batch_stage(lambda: replies.Written())(rows, "q", "a").count() == 2
+
+
 def test_errors_are_rows(spark):
     rows = spark.createDataFrame([(1, "fail now"), (2, "fine")], "id int, q string")
     got = {r.id: r.a for r in inf.batch_stage(lambda: Counting())(rows, "q", "a").collect()}
     assert got[1].error == "Error code: 429" and got[1].text is None and got[2].error is None
 
 
-def test_offline_backend_equals_expression(spark):
+def test_written_backend_equals_expression(spark):
     prompts = ['give "ok"', "Critique it", "check if so", "paraphrase me", "Rephrase me", "translate"]
     df = spark.createDataFrame([(p,) for p in prompts], "q string")
-    want = {r.q: r.x for r in df.select("q", inf.offline_answer(F.col("q")).alias("x")).collect()}
-    got = {r.q: r.a.text for r in inf.batch_stage(lambda: inf.CannedBackend())(df, "q", "a").collect()}
+    want = {r.q: r.x for r in df.select("q", replies.translator(F.col("q")).alias("x")).collect()}
+    got = {r.q: r.a.text for r in inf.batch_stage(lambda: replies.Written())(df, "q", "a").collect()}
     assert got == want
-    assert inf.CannedBackend(["x", "y"]).answer("p")[0] == "x"
 
 
 PAIRS = [
@@ -72,18 +115,18 @@ def pairs(spark):
 
 def test_verify_with_backend_and_expression_agree(spark):
     rows = pairs(spark)
-    a = verify.verify_table(rows, inf.expression_stage(inf.offline_verifier_answer))
+    a = verify.verify_table(rows, inf.expression_stage(replies.verifier))
 
-    class Verifier(inf.CannedBackend):
+    class Verifier(Counting):
         def answer(self, prompt):
             if "Translate the following" in prompt:
-                return vocab.OFFLINE_CROSS_TRANSLATION, 0, 0
-            return vocab.OFFLINE_VERIFICATION, 0, 0
+                return replies.CROSS_TRANSLATION, 0, 0
+            return replies.VERIFICATION, 0, 0
 
     b = verify.verify_table(rows, inf.batch_stage(lambda: Verifier()))
     got = [{r.id: (r.status, r.cross_model_agreement) for r in x.collect()} for x in (a, b)]
     assert got[0] == got[1] == {"1": ("needs_review", False), "2": ("needs_review", False), "3": ("rejected", None)}
-    alone = verify.verify_table(rows, inf.expression_stage(inf.offline_verifier_answer), cross_check=False)
+    alone = verify.verify_table(rows, inf.expression_stage(replies.verifier), cross_check=False)
     assert {r.id: r.status for r in alone.collect()} == {"1": "verified", "2": "verified", "3": "rejected"}
 
 
@@ -125,10 +168,36 @@ def test_generation_is_the_same_for_any_partitioning(spark):
     assert not any("{" in r.nl or "{" in r.formula for r in a)
 
 
-def test_coalition_space():
-    assert len(generate.coalition_space(3)) == 3 + 3 + 1 + 4
-    with pytest.raises(ValueError):
-        generate.coalition_space(11)
+@pytest.mark.parametrize("n", [1, 2, 3, 12])
+def test_coalition_space(spark, n):
+    size = generate.coalition_count(n, ["x", "y"])
+    got = [r.c for r in spark.range(2 * size).orderBy("id").select("id", generate.coalition_at(F.col("id"), n, ["x", "y"]).alias("c")).collect()]
+    numbers = [str(i) for i in range(1, n + 1)]
+    want = [[a] for a in numbers] + [list(p) for p in combinations(numbers, 2)] + ([numbers] if n > 1 else []) + [["x"], ["y"]]
+    assert got == want * 2
+
+
+def test_templates_from_a_table(spark):
+    draws = spark.range(60).withColumnRenamed("id", "d")
+    shapes = sorted(vocab.FORMULA_SHAPES)
+    table = spark.createDataFrame([(*s, None) for s in shapes], "template_id string, category string, shape string, frames array<string>")
+    a = generate.base_pairs(draws, "d", 3, shapes=shapes).collect()
+    b = generate.base_pairs(draws, "d", 3, shapes=table).collect()
+    assert sorted(a) == sorted(b) and len(a) == 60
+    own = generate.base_pairs(draws, "d", 3, shapes=table.limit(2).withColumn("frames", F.array(F.lit("Say {p_nl}.")))).collect()
+    assert all(r.nl.startswith("Say ") for r in own)
+
+
+def test_closed_windows_leave_the_state(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    for day in (1, 2, 20, 40):
+        log = spark.createDataFrame([(day, "d", True, True, 0.5, True)], "day int, domain string, syntax_valid boolean, semantic_verified boolean, confidence double, cross_model_agreement boolean")
+        log = log.withColumn("ts", F.make_timestamp(F.lit(2024), F.lit(1) + F.floor(F.col("day") / 29).cast("int"), F.pmod("day", F.lit(29)) + 1, F.lit(0), F.lit(0), F.lit(0)))
+        log.write.mode("append").parquet(src)
+        query = jobs.snapshot_quality(jobs.stream_table(spark, src), "ts", out, cp)
+        query.awaitTermination()
+    assert jobs.latest_snapshot(spark, out).count() == 4
+    assert query.lastProgress is None or sum(s.numRowsTotal for s in query.lastProgress.stateOperators) <= 2
 
 
 def test_unique_statements(spark):

@@ -1,6 +1,7 @@
 """Every registered query with SQL gives the same result in both engines, on whole tables."""
 
 import pytest
+from compare import compare, connection
 
 from __spark_entry__ import oracle_sql, queries
 
@@ -9,15 +10,11 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def con():
-    from pairwright.catalog.check import connection
-
     return connection(SF)
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_equal(spark, con, name):
-    from pairwright.catalog.check import compare
-
     assert compare(queries()[name](spark, SF), con, oracle_sql()[name]) == ""
 
 
