@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairwright import vocab
-from pairwright.catalog.formulas import ascii_sql, strip_sql
+from pairwright.catalog.formulas import PROFILE_SQL, ascii_sql, strip_sql
 from pairwright.catalog import replies
 from pairwright.catalog.registry import big, joined, query
 from pairwright.catalog.views import CORPUS_SQL, EVENTS_SQL, FORMULAS_SQL, _sql_text, events, sql_list, table, v_corpus, v_formulas
@@ -181,7 +181,23 @@ def g04q(spark, sf):
     return choose.stratified_quotas(strata(spark, sf), "stratum", 137).select("stratum", "quota")
 
 
-@query("g05_spot_check")
+SPOT_SQL = f"""{PROFILE_SQL}, sp AS (SELECT *, 'src_' || (user_id % 6) AS source FROM pr),
+sz AS (SELECT source, count(*) AS size, row_number() OVER (ORDER BY source) AS i, count(*) OVER () AS strata, sum(count(*)) OVER () AS total FROM sp GROUP BY source),
+sh AS (SELECT *, least(200, total) AS n, greatest(1, CAST(floor(least(200, total) * (size / total::DOUBLE)) AS BIGINT)) AS share FROM sz),
+us AS (SELECT *, coalesce(sum(least(share, size)) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM sh),
+qs AS (SELECT source, least(CASE WHEN i = strata THEN greatest(0, n - used) ELSE share END, size, greatest(0, n - used)) AS quota FROM us),
+rs AS (SELECT sp.*, quota, row_number() OVER (PARTITION BY sp.source ORDER BY md5(event_id || '#17'), event_id) AS r FROM sp JOIN qs USING (source))"""
+
+
+@query(
+    "g05_spot_check",
+    f"""WITH {SPOT_SQL} SELECT event_id, source, valid AS is_valid, coalesce(depth, 0)::INTEGER AS formula_depth, CASE WHEN valid AND led THEN array_to_string(agents, ',') ELSE '' END AS coalitions,
+      CASE WHEN valid THEN array_to_string(list_transform(regexp_extract_all(CASE WHEN led THEN shape ELSE replace(shape, '⟨⟨{{coalition}}⟩⟩', '') END, '⟨⟨|[GFXU¬→∧∨]'),
+        lambda x: CASE WHEN x = '⟨⟨' THEN '⟨⟨⟩⟩' ELSE x END), ' ') ELSE '' END AS operators_used,
+      CASE WHEN valid THEN least(1.0::DOUBLE, CASE WHEN len(regexp_extract_all(nl, '\\S+')) BETWEEN 5 AND 30 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END + 0.3::DOUBLE
+        + CASE WHEN depth BETWEEN 1 AND 4 THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END + CASE WHEN led THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END) END AS quality_score,
+      CASE WHEN valid THEN '' ELSE 'ATL formula failed validation' END AS notes FROM rs WHERE r <= quota""",
+)
 def g05(spark, sf):
     rows = v_formulas(spark, sf).select("event_id", F.col("nl"), "formula", F.concat(F.lit("src_"), F.pmod("user_id", F.lit(6)).cast("string")).alias("source"))
     chosen = choose.stratified_sample(rows, "event_id", "source", 200, 17)
@@ -233,7 +249,15 @@ def g08(spark, sf):
     return rows.select("id", "nl_statement", "atl_formula", "template_id")
 
 
-@query("g08_hybrid_dataset")
+@query(
+    "g08_hybrid_dataset",
+    f"""WITH {G01_SQL}, a AS (SELECT o_orderkey, nl, {ascii_sql('formula')} AS f FROM pairs),
+    p AS (SELECT o_orderkey, nl, f, CAST(NULL AS VARCHAR) AS paraphrase_of FROM a
+      UNION ALL SELECT o_orderkey, unnest({sql_list([x[3:] for x in replies.PARAPHRASES.split(chr(10))])}), f, nl FROM a),
+    r AS (SELECT *, row_number() OVER (ORDER BY md5(o_orderkey || '/' || md5(nl) || '#5'), o_orderkey || '/' || md5(nl)) AS i FROM p)
+    SELECT substring(sha256(lower({strip_sql('nl')}) || '|' || {strip_sql('f')}), 1, 12) AS id, nl AS nl_statement, f AS atl_formula, 1.0::DOUBLE AS confidence, paraphrase_of
+    FROM r WHERE i <= 5000""",
+)
 def g08h(spark, sf):
     ask = expression_stage(replies.translator)
     rows = create.hybrid_dataset(order_draws(spark, sf), "o_orderkey", 5, 5000, ask, ask, "mock", domains=region_domains(spark, sf))

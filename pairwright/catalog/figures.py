@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairwright.catalog.formulas import AGENTS, ASCII, ATOMS, LOOSE_OPS, SCORE, pattern_sql
+from pairwright import vocab
+from pairwright.catalog.formulas import PROFILE_SQL, AGENTS, ASCII, ATOMS, LOOSE_OPS, SCORE, pattern_sql
 from pairwright.catalog.registry import big, query
 from pairwright.catalog.rows import CASCADE, FIELDS, J05, marked, retried_sets
 from pairwright.catalog.views import CORPUS_SQL, FORMULAS_SQL, LOG_SQL, RESULTS_SQL, table, v_corpus, v_formulas, v_log, v_results
@@ -69,12 +70,39 @@ def profiled(spark, sf):
     )
 
 
-@query("a02_dataset_stats")
+PROFILED_SQL = f"""{PROFILE_SQL}, prof AS (SELECT pr.*, f.formula, len(regexp_extract_all(pr.nl, '\\S+')) AS w, length(f.formula) AS c,
+  CASE WHEN valid THEN list_transform(regexp_extract_all(CASE WHEN led THEN shape ELSE replace(shape, '⟨⟨{{coalition}}⟩⟩', '') END, '⟨⟨|[GFXU¬→∧∨]'),
+    lambda x: CASE WHEN x = '⟨⟨' THEN '⟨⟨⟩⟩' ELSE x END) END AS symbols FROM pr JOIN v_formulas f USING (event_id))"""
+
+HIST_SQL = f"""{PROFILED_SQL}, vals AS (
+  SELECT 'source' AS dimension, 'src_' || (user_id % 6) AS value FROM prof UNION ALL SELECT 'template', template_id FROM prof
+  UNION ALL SELECT 'depth', CAST(depth AS VARCHAR) FROM prof WHERE valid UNION ALL SELECT 'symbol', unnest(symbols) FROM prof WHERE valid
+  UNION ALL SELECT 'coalition', array_to_string(agents, ',') FROM prof WHERE valid AND led
+  UNION ALL SELECT 'coalition_size', CAST(len(agents) AS VARCHAR) FROM prof WHERE valid AND led
+  UNION ALL SELECT 'atom', unnest(atoms) FROM prof WHERE valid),
+hist AS (SELECT dimension, value, count(*) AS n FROM vals GROUP BY 1, 2)"""
+
+
+@query(
+    "a02_dataset_stats",
+    f"""WITH {PROFILED_SQL} SELECT count(*) AS total_pairs, count(*) FILTER (WHERE valid) AS valid_atl_count, count(*) FILTER (WHERE NOT valid) AS invalid_atl_count,
+      count(*) FILTER (WHERE valid) / count(*)::DOUBLE AS validity_rate, sum(w)::DOUBLE / count(*) AS avg_nl_length, sum(c)::DOUBLE / count(*) AS avg_atl_length,
+      round(stddev_samp(w), 6) AS nl_length_std, round(stddev_samp(c), 6) AS atl_length_std, min(w)::BIGINT AS min_nl_length, max(w)::BIGINT AS max_nl_length,
+      min(c)::BIGINT AS min_atl_length, max(c)::BIGINT AS max_atl_length FROM prof""",
+)
 def a02(spark, sf):
-    return stats.dataset_stats(profiled(spark, sf))
+    return _rounded(stats.dataset_stats(profiled(spark, sf)))
+
+
+def _rounded(out):
+    for c in ["nl_length_std", "atl_length_std"]:
+        out = out.withColumn(c, F.round(c, 6))
+    for c in ["min_nl_length", "max_nl_length", "min_atl_length", "max_atl_length"]:
+        out = out.withColumn(c, big(F.col(c)))
+    return out
 
 
-@query("a02_dataset_histograms")
+@query("a02_dataset_histograms", f"WITH {HIST_SQL} SELECT dimension, value, n FROM hist")
 def a02h(spark, sf):
     return stats.dataset_histograms(profiled(spark, sf))
 
@@ -92,15 +120,22 @@ def a02l(spark, sf):
     rows = v_corpus(spark, sf).select(
         F.col("nl_statement").alias("nl"), F.col("atl_formula").alias("atl"), F.struct(F.col("syntax_valid").alias("valid")).alias("profile")
     )
-    out = stats.dataset_stats(rows)
-    for c in ["nl_length_std", "atl_length_std"]:
-        out = out.withColumn(c, F.round(c, 6))
-    for c in ["min_nl_length", "max_nl_length", "min_atl_length", "max_atl_length"]:
-        out = out.withColumn(c, big(F.col(c)))
-    return out
+    return _rounded(stats.dataset_stats(rows))
+
+
+EXPECTED = "', '".join(vocab.EXPECTED_SYMBOLS)
 
 
-@query("a03_dataset_scores")
+@query(
+    "a03_dataset_scores",
+    f"""WITH {HIST_SQL}, s AS (SELECT least(1.0, count(*) FILTER (WHERE dimension IN ('template', 'source', 'depth', 'symbol')) / 40.0::DOUBLE) AS diversity_score,
+      count(*) FILTER (WHERE dimension = 'symbol' AND value IN ('{EXPECTED}')) / {len(vocab.EXPECTED_SYMBOLS)}::DOUBLE AS coverage_score,
+      sum(n) FILTER (WHERE dimension = 'symbol') AS symbols, sum(n) FILTER (WHERE dimension = 'depth') AS valid, sum(n) FILTER (WHERE dimension = 'source') AS total,
+      sum(n * CAST(CASE WHEN dimension = 'depth' THEN value END AS INTEGER)) AS depths,
+      count(*) FILTER (WHERE dimension = 'atom') AS unique_atoms, count(*) FILTER (WHERE dimension = 'coalition') AS unique_coalitions FROM hist)
+    SELECT diversity_score::DOUBLE AS diversity_score, valid / total::DOUBLE AS validity_rate, coverage_score,
+      (depths::DOUBLE / valid + symbols::DOUBLE / valid) / 2 AS avg_formula_complexity, unique_atoms, unique_coalitions FROM s""",
+)
 def a03(spark, sf):
     return stats.dataset_scores(stats.dataset_histograms(profiled(spark, sf)))
 

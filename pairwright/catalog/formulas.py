@@ -280,14 +280,41 @@ def f08(spark, sf):
     return v_formulas(spark, sf).select("event_id", joined(errors).alias("errors"))
 
 
-@query("f14_formula_profile")
+# What each shape has, in order of the shapes: nesting depth, temporal letters in order, other reading of the printed form.
+DEPTHS = [1, 1, 1, 1, 2, 2, 2, 1, 2, 3, 2, 2, 2, 2, 2, 2, 1, 1, 2, 1]
+LETTERS = ["G", "G", "F", "X", "U", "GF", "GX", "G", "F", "FG", "FG", "GF", "U", "GG", "GF", "U", "F", "F", "FF", "G"]
+# A coalition before a bracket adds a level; without the coalition it is gone.
+BRACKETS = [i + 1 for i, (_, _, t) in enumerate(vocab.FORMULA_SHAPES) if t.startswith("⟨⟨{coalition}⟩⟩ (")]
+LOOSE_SIGNS = "→¬∧∨"
+PRINTED_SHAPES = [t.replace("(F {p} → G {p})", "F ({p} → G {p})") for _, _, t in vocab.FORMULA_SHAPES]
+
+PROFILE_SQL = f"""{FORMULAS_SQL},
+pr0 AS (SELECT event_id, user_id, k, event_type, event_id % 20 + 1 AS no, ({sql_list(PRINTED_SHAPES)})[event_id % 20 + 1] AS shape,
+  list_sort(CASE WHEN event_id % 3 = 0 THEN ['user_' || user_id, 'unit' || (k % 7)] ELSE ['user_' || user_id] END) AS members, nl, template_id FROM v_formulas),
+pr1 AS (SELECT *, NOT (k IN (13, 19, 23, 29) OR k = 11 AND contains(shape, ')') OR k % 4 = 2 AND regexp_matches(shape, '[{LOOSE_SIGNS}]')) AS valid, k <> 17 AS led FROM pr0),
+pr AS (SELECT event_id, user_id, nl, template_id, no, shape, led, valid,
+  CASE WHEN valid THEN ({DEPTHS})[no] - CASE WHEN NOT led AND no IN {tuple(BRACKETS)} THEN 1 ELSE 0 END END AS depth,
+  CASE WHEN valid THEN CASE WHEN led THEN members ELSE [] END END AS agents,
+  CASE WHEN valid THEN list_sort(list_filter([CASE WHEN contains(shape, '{{p}}') THEN event_type END, CASE WHEN contains(shape, '{{q}}') THEN 'state_' || (k % 10) END,
+    CASE WHEN contains(shape, '{{r}}') THEN 'goal_' || (user_id % 10) END], lambda x: x IS NOT NULL)) END AS atoms,
+  CASE WHEN valid THEN ({sql_list(LETTERS)})[no] END AS letters,
+  CASE WHEN valid THEN replace(replace(replace(CASE WHEN led THEN replace(shape, '{{coalition}}', array_to_string(members, ',')) ELSE replace(shape, '⟨⟨{{coalition}}⟩⟩ ', '') END,
+    '{{p}}', event_type), '{{q}}', 'state_' || (k % 10)), '{{r}}', 'goal_' || (user_id % 10)) END AS normalised FROM pr1)"""
+
+
+@query(
+    "f14_formula_profile",
+    f"""WITH {PROFILE_SQL} SELECT event_id, valid, CASE WHEN valid THEN '' ELSE 'Parse error' END AS errors, depth::INTEGER AS depth, {sql_joined('agents')} AS agents,
+      {sql_joined('atoms')} AS atoms, coalesce(letters, '') AS operators, CASE WHEN valid THEN led::INTEGER END AS coalition_count,
+      CASE WHEN valid THEN len(agents)::INTEGER END AS max_coalition_size, normalised FROM pr""",
+)
 def f14(spark, sf):
     p = F.col("p")
     return (
         v_formulas(spark, sf)
         .select("event_id", formula_profile(F.col("formula")).alias("p"))
         .select(
-            "event_id", p["valid"].alias("valid"), joined(p["errors"]).alias("errors"), p["depth"].alias("depth"),
+            "event_id", p["valid"].alias("valid"), F.regexp_replace(joined(p["errors"]), "Parse error: .*", "Parse error").alias("errors"), p["depth"].alias("depth"),
             joined(p["agents"]).alias("agents"), joined(p["atoms"]).alias("atoms"), joined(p["operators"], "").alias("operators"),
             p["coalition_count"].alias("coalition_count"), p["max_coalition_size"].alias("max_coalition_size"),
             p["normalised"].alias("normalised"),
