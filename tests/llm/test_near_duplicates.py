@@ -101,10 +101,31 @@ def test_components_of_a_long_chain(spark):
 
 def test_posterior_bounds():
     """A pair at the threshold is dropped with less than the chosen chance, summed over the batches."""
-    least = nd.least_matches(128, 32, 75, 1e-6)
+    least = nd.least_matches(nd.MINIMA, nd.BATCH, 75, 1e-6)
     assert (np.diff(least) > 0).all()
     rng = np.random.default_rng(0)
-    counts = np.cumsum(rng.binomial(32, 0.75, (200_000, 4)), axis=1)
-    assert (counts >= least).all(axis=1).mean() > 0.9995
-    far = np.cumsum(rng.binomial(32, 0.3, (20_000, 4)), axis=1)
-    assert (far >= least).all(axis=1).mean() < 0.01
+    x = rng.integers(0, 256, (2, nd.MINIMA), np.uint8)
+    for share, low, high in ((0.75, 0.9995, 1), (0.6, 0, 0.01), (0.3, 0, 0)):
+        rows = np.concatenate([x[:1], np.where(rng.random((20_000, nd.MINIMA)) < share, x[0], rng.integers(0, 256, (20_000, nd.MINIMA)))]).astype(np.uint8)
+        p, m = nd.survivors(rows, np.zeros(20_000, np.int64), np.arange(1, 20_001), nd.BATCH, least)
+        assert low <= len(m) / 20_000 <= high and (p == 0).all()
+
+
+@pytest.mark.parametrize(("growth", "most", "members", "pairs"), [(2, 3, 5, 7), (32, 1 << 15, 1 << 16, 1 << 16)])
+def test_rounds_salts_and_slices(make, monkeypatch, growth, most, members, pairs):
+    """Many rounds of few pivots, buckets over many tasks and small slices give the same."""
+    for name, value in (("GROWTH", growth), ("MOST_PIVOTS", most), ("MEMBERS", members), ("PAIRS", pairs)):
+        monkeypatch.setattr(nd, name, value)
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(150)]
+    rows = [(k, " ".join(changed(rng, base, rng.randrange(12)))) for k in range(60)]
+    assert result(nd.near_duplicates(make(rows))) == brute(rows)
+
+
+def test_bound_from_short_halves():
+    rng = np.random.default_rng(2)
+    for size in (10, 400, 30_000):
+        common, a, b = (rng.integers(0, 2**64, size, np.uint64) for _ in range(3))
+        x, y = np.concatenate([common, a]), np.concatenate([common, b])
+        bound = nd.shared_at_most(*(np.unique(s.astype(np.uint16)) for s in (x, y)), len(x), len(y))
+        assert bound >= size and (size > 1000 or bound < size * 1.1 + 2)
