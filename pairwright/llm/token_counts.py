@@ -62,7 +62,7 @@ def token_counts(
     done = [whole]
     while True:
         ends = kept_table(_encoded(huge, model, chunk, overlap), "token-ends")
-        counted = _spliced(ends).persist()
+        counted = kept_table(_spliced(ends), "token-sums")
         done.append(counted.where("n_tokens is not null").select("doc_id", "n_bytes", "n_tokens", "copies").transform(_repeated))
         open_ = counted.where("n_tokens is null").select("doc_id", "text_key")
         if open_.isEmpty():
