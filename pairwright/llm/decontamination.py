@@ -32,6 +32,8 @@ from pairwright.llm.words import Words, alphanumeric, blocks, covered, ragged, r
 WINDOW = 10
 #: Words of a shard, distance of sampled positions, bytes of benchmark texts in one pass.
 SHARD, SAMPLE, BLOCK_BYTES = 1 << 18, 8, 32 << 20
+#: Bytes of text from which a shard is made.
+SHARD_TEXT = 4 << 20
 
 
 @dataclass
@@ -283,7 +285,7 @@ def _searcher(sent, text_col: str, shard: int):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(**sent.value)
-        for b in blocks(batches, text_col):
+        for b in blocks(batches, text_col, SHARD_TEXT):
             w = words_of(b.column(b.schema.get_field_index(text_col)), alphanumeric(), lower=True)
             at, which = hits_of(w, windows, shard)
             hit = covered(len(w.starts), at, windows.lengths[which])

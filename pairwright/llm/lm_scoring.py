@@ -10,7 +10,8 @@ membership fails, so it is never too low. If all memberships would leave less th
 lowest level that fits is found from the counts, and such n-grams back off.
 
 The exact base score does not go through the filter: token counts of texts and of
-the training corpus meet by fingerprint range; the few tokens that make up more
+the training corpus meet by fingerprint range, and the ranges' parts of a text meet
+by buckets of texts, both as packed arrays; the few tokens that make up more
 than 1 / ``HEAVY`` of the corpus are looked up in place instead, so no range is
 flooded by one word.
 """
@@ -25,15 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import blob_rows, bounded, by_group, kept_table, packed, shuffle_width, text_key, unpacked
+from pairwright.llm.frames import blob_rows, bounded, by_group, kept_table, packed, shuffle_width, unpacked
 from pairwright.llm.words import WORD_STEP, Words, blocks, mix, spaced, words_of
 
 #: Bits of the filter, least bits for a membership, hash functions.
 BITS, ENTRY_BITS, PROBES = 1 << 28, 8, 4
 #: Weight of the unigram distribution in a bigram probability, and of a word that was never seen.
 PRIOR, HALF = 4.0, 0.5
-#: Tokens above this share of the corpus are looked up in place; n-grams of a range, tokens that a task holds.
-HEAVY, GROUP, FLUSH = 4096, 1 << 22, 1 << 19
+#: Tokens above this share of the corpus are looked up in place; n-grams of a range by the memory of a task, ranges for
+#: each core at least, tokens that a task holds.
+HEAVY, GROUP, RANGES_PER_CORE, FLUSH = 4096, 1 << 21, 8, 1 << 18
 #: Rows with this remainder are held out.
 FOLDS, HELD = 5, 1
 
@@ -220,8 +222,10 @@ def build_filter(counts: DataFrame, groups: int, bits: int = BITS) -> Filter | N
 
 # --- scores -------------------------------------------------------------------------------------------------------
 
-_PARTS = "id long, text_key long, n_rows long, n_tokens long, n_known long, base double, score double"
-_PART_KINDS = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), *[(c, pa.int64()) for c in ("n_rows", "n_tokens", "n_known")], ("base", pa.float64()), ("score", pa.float64())])
+_PARTS = "id long, text_key int, n_rows long, n_tokens long, n_known long, base double, score double"
+_PART_KINDS = pa.schema([("id", pa.int64()), ("text_key", pa.int32()), *[(c, pa.int64()) for c in ("n_rows", "n_tokens", "n_known")], ("base", pa.float64()), ("score", pa.float64())])
+_SUMMED = "bucket int, ids binary, text_keys binary, n_known binary, base binary"
+_SUMMED_KINDS = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("ids", "text_keys", "n_known", "base")]])
 _BAGS = "grp int, keys binary, counts binary, ids binary, text_keys binary, sizes binary"
 _BAG_KINDS = pa.schema([("grp", pa.int32()), *[(c, pa.binary()) for c in ("keys", "counts", "ids", "text_keys", "sizes")]])
 
@@ -297,28 +301,59 @@ def _bags(sent, groups: int, flush: int):
     return run
 
 
-def _range_scores(table: pa.Table) -> pa.Table:
-    """One range: training counts (rows without ids) looked up for the tokens of texts, summed by text."""
+def _by_text(ids: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Values added up by text: ids, keys, sums."""
+    order = np.lexsort((keys, ids))
+    ids, keys = ids[order], keys[order]
+    new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]))
+    return ids[new], keys[new], *(np.add.reduceat(v[order], new) for v in values)
+
+
+def _range_scores(buckets: int):
+    """One range: training counts (rows without ids) looked up for the tokens of texts, summed by text, packed by buckets of texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = {n: table.column(n).to_pylist() for n in table.column_names}
+        train = [k for k, ids in enumerate(cols["ids"]) if ids is None]
+        bags = [k for k, ids in enumerate(cols["ids"]) if ids is not None]
+        if not bags:
+            return _SUMMED_KINDS.empty_table()
+        size = np.concatenate([unpacked(cols["sizes"][k], np.uint32) for k in bags])
+        known, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for k in train:  # one row
+            known, n = np.frombuffer(cols["keys"][k], np.uint64), unpacked(cols["counts"][k], np.int64)
+        base, n_known = [], []
+        for k in bags:
+            key, times = np.frombuffer(cols["keys"][k], np.uint64), unpacked(cols["counts"][k], np.uint32).astype(np.int64)
+            own = unpacked(cols["sizes"][k], np.uint32)
+            text = np.repeat(np.arange(len(own)), own)
+            slot = np.searchsorted(known, key)
+            count = np.where(np.append(known, np.uint64(0))[slot] == key, np.append(n, 0)[slot], 0)
+            base.append(np.bincount(text, times * np.log10(count + HALF), minlength=len(own)))
+            n_known.append(np.bincount(text, times * (count > 0), minlength=len(own)).astype(np.int64))
+        ids = np.concatenate([unpacked(cols["ids"][k], np.int64) for k in bags])
+        keys = np.concatenate([np.frombuffer(cols["text_keys"][k], np.int32) for k in bags])
+        ids, keys, base, n_known = _by_text(ids, keys, np.concatenate(base), np.concatenate(n_known))
+        bucket = (mix(ids.astype(np.uint64) + keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order, begin = by_group(bucket, buckets)
+        rows = []
+        for g in np.flatnonzero(np.diff(begin)).tolist():
+            own = order[begin[g] : begin[g + 1]]
+            rows.append((g, packed(ids[own]), keys[own].tobytes(), packed(n_known[own]), base[own].tobytes()))
+        return pa.Table.from_batches([blob_rows(_SUMMED_KINDS, rows)])
+
+    return run
+
+
+def _text_scores(table: pa.Table) -> pa.Table:
+    """A bucket of texts: the ranges' parts added up."""
     cols = {n: table.column(n).to_pylist() for n in table.column_names}
-    train = [k for k, ids in enumerate(cols["ids"]) if ids is None]
-    bags = [k for k, ids in enumerate(cols["ids"]) if ids is not None]
-    if not bags:
-        return _PART_KINDS.empty_table()
-    key = np.concatenate([np.frombuffer(cols["keys"][k], np.uint64) for k in bags])
-    times = np.concatenate([unpacked(cols["counts"][k], np.uint32) for k in bags]).astype(np.int64)
-    size = np.concatenate([unpacked(cols["sizes"][k], np.uint32) for k in bags])
-    text = np.repeat(np.arange(len(size)), size)
-    count = np.zeros(len(key), np.int64)
-    for k in train:  # one row
-        known, n = np.frombuffer(cols["keys"][k], np.uint64), unpacked(cols["counts"][k], np.int64)
-        slot = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        count = np.where(known[slot] == key, n[slot], count)
-    base = np.bincount(text, times * np.log10(count + HALF), minlength=len(size))
-    n_known = np.bincount(text, times * (count > 0), minlength=len(size)).astype(np.int64)
-    none = pa.array(np.zeros(len(size), np.int64))
-    ids = np.concatenate([unpacked(cols["ids"][k], np.int64) for k in bags])
-    keys = np.concatenate([np.frombuffer(cols["text_keys"][k], np.int64) for k in bags])
-    return pa.Table.from_arrays([pa.array(ids), pa.array(keys), none, none, pa.array(n_known), pa.array(base), pa.array(np.zeros(len(size)))], schema=_PART_KINDS)
+    ids, keys, base, n_known = _by_text(
+        np.concatenate([unpacked(x, np.int64) for x in cols["ids"]]), np.concatenate([np.frombuffer(x, np.int32) for x in cols["text_keys"]]),
+        np.concatenate([np.frombuffer(x, np.float64) for x in cols["base"]]), np.concatenate([unpacked(x, np.int64) for x in cols["n_known"]]),
+    )
+    none = pa.array(np.zeros(len(ids), np.int64))
+    return pa.Table.from_arrays([pa.array(ids), pa.array(keys), none, none, pa.array(n_known), pa.array(base), pa.array(np.zeros(len(ids)))], schema=_PART_KINDS)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, bits: int = BITS, group: int = GROUP, flush: int = FLUSH) -> DataFrame:
@@ -334,11 +369,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     bounded(spark)
     out = held_out(F.col(id_col))
     texts = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         (~out if train is None else F.coalesce(train, F.lit(False))).alias("train"),
     )
     size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    groups = max(shuffle_width(spark), -(-size // (3 * group)))  # a word and its blank are three bytes at least, mostly
+    # A word and its blank are three bytes at least, mostly.
+    groups = max(RANGES_PER_CORE * spark.sparkContext.defaultParallelism, -(-size // (3 * group)))
+    buckets = max(groups, shuffle_width(spark))
     counts = kept_table(count_ngrams(texts.where("train"), groups, flush), "ngram-counts")
     filter_ = build_filter(counts, groups, bits)
     total, distinct = (filter_.total, filter_.distinct) if filter_ else (0, 0)
@@ -348,7 +385,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     bags = texts.mapInArrow(_bags(sent, groups, flush), _BAGS)
     none = F.lit(None).cast("binary")
     learned = counts.where("n = 1").select("grp", "keys", "counts", none.alias("ids"), none.alias("text_keys"), none.alias("sizes"))
-    ranges = bags.unionByName(learned).groupBy("grp").applyInArrow(_range_scores, _PARTS)
+    ranges = bags.unionByName(learned).groupBy("grp").applyInArrow(_range_scores(buckets), _SUMMED).groupBy("bucket").applyInArrow(_text_scores, _PARTS)
     sums = whole.unionByName(ranges).groupBy("id", "text_key").agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "n_known", "base", "score")])
     id_ = F.when(F.col("id") != NO_ID, F.col("id"))
     level_ = float(np.log10(total + HALF * (distinct + 1)))

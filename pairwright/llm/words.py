@@ -21,7 +21,7 @@ MIX_1, MIX_2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 
 #: Bytes hashed at once, and bytes of text that a block of rows holds.
 PIECE = 1 << 20
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def spaced() -> np.ndarray:
