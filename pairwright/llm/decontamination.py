@@ -341,14 +341,15 @@ def _cutter(text_col: str):
         for b in blocks(batches, text_col):
             spans = b.column(b.schema.get_field_index("found_spans")).to_pylist()
             column = b.column(b.schema.get_field_index(text_col))
+            texts = column
             if any(spans):
                 w = words_of(column, alphanumeric(), lower=True, hashed=False)
                 texts = column.to_pylist()
                 for k, found in enumerate(spans):
                     if found:
                         texts[k] = _without(texts[k].encode(), [(int(w.starts[w.bounds[k] + a] - w.offsets[k]), int(w.ends[w.bounds[k] + e - 1] - w.offsets[k])) for a, e in found])
-                b = _with(b, **{text_col: pa.array(texts, pa.string())})
-            yield b
+                texts = pa.array(texts, pa.string())
+            yield _with(b, **{text_col: texts})  # all batches of a task have one schema
 
     return cut
 
