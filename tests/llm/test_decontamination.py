@@ -6,6 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from cases import prose
+
 from pairwright.llm import decontamination as dc
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,3 +93,12 @@ def test_odd_rows(spark, odd, empty):
     assert dc.decontaminate(empty, bench).count() == 0
     none = dc.decontaminate(odd, bench.where("false"))
     assert none.select("text").exceptAll(odd.select("text")).count() == 0 and none.count() == odd.count()
+
+
+def test_blocks_with_and_without_hits(spark, make):
+    """A task with many blocks of which only some have passages."""
+    rows = [(k, prose(k, 120_000) + (" one two" if k % 2 else "")) for k in range(6)]
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    out = dc.decontaminate(make(rows).coalesce(1), bench).collect()
+    assert {r["doc_id"]: r["found_items"] for r in out} == {k: ["1"] if k % 2 else [] for k in range(6)}
+    assert all(r["text"].endswith("\n") == (r["doc_id"] % 2 == 1) for r in out)
