@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairwright import vocab
-from pairwright.catalog.formulas import ASCII, errors_sql, strip_sql
+from pairwright.catalog.formulas import PROFILE_SQL, ASCII, errors_sql, strip_sql
 from pairwright.catalog import replies
 from pairwright.catalog.registry import big, joined, query, sql_joined
 from pairwright.catalog.texts import CANDIDATES_SQL, VERDICTS_SQL, answer_texts, verdict_texts
@@ -163,7 +163,12 @@ def f13(spark, sf):
     )
 
 
-@query("f15_valid_candidates")
+@query(
+    "f15_valid_candidates",
+    f"""WITH {CANDIDATES_SQL}, {PROFILE_SQL.removeprefix(FORMULAS_SQL).lstrip(', ')}, u AS (SELECT event_id, unnest(found) AS x, unnest(range(len(found))) AS candidate_no FROM cand)
+    SELECT u.event_id, candidate_no::INTEGER AS candidate_no, x AS atl_formula, CASE WHEN x = 'none' THEN 0 ELSE depth END::INTEGER AS depth
+    FROM u JOIN pr USING (event_id) JOIN v_formulas f USING (event_id) WHERE x = 'none' OR valid AND x = {strip_sql('f.formula')}""",
+)
 def f15(spark, sf):
     found = answer_texts(spark, sf).select(
         "event_id", F.posexplode(answers.formula_candidates(F.col("answer"))).alias("candidate_no", "atl_formula")
