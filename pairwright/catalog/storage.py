@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairwright import vocab
 from pairwright.catalog.formulas import strip_sql
 from pairwright.catalog.registry import big, query
 from pairwright.catalog.views import (
-    CORPUS_SQL, EVENTS_SQL, FORMULAS_SQL, LOG_SQL, PAIRS_SQL, RESULTS_SQL, documents, events, table, v_corpus, v_formulas, v_log, v_pairs,
+    CORPUS_SQL, EVENTS_SQL, FORMULAS_SQL, LOG_SQL, PAIRS_SQL, RESULTS_SQL, _sql_text, documents, events, table, v_corpus, v_formulas, v_log, v_pairs,
     v_results,
 )
 from pairwright.plans import compare, training
@@ -308,20 +309,25 @@ def k06(spark, sf):
 
 @query(
     "k07_train_validation_files",
-    """WITH n AS (SELECT count(*) AS n FROM documents) SELECT 'validation' AS split, greatest(1, CAST(floor(n * 0.1::DOUBLE) AS BIGINT)) AS rows, CAST(3 AS BIGINT) AS messages FROM n
-    UNION ALL SELECT 'train', n - greatest(1, CAST(floor(n * 0.1::DOUBLE) AS BIGINT)), CAST(3 AS BIGINT) FROM n""",
+    f"""WITH {CORPUS_SQL}, u AS (SELECT doc_id, {_sql_text(vocab.TRAINING_REQUEST)} || chr(10) || chr(10) || nl_statement || chr(10) || chr(10) || 'Domain: ' || domain AS said
+      FROM v_corpus WHERE length(nl_statement) >= 10 AND length(atl_formula) >= 3),
+    r AS (SELECT *, row_number() OVER (ORDER BY md5(doc_id || '#42'), doc_id) AS i, count(*) OVER () AS n FROM u)
+    SELECT CASE WHEN i <= greatest(1, CAST(floor(n * 0.1::DOUBLE) AS BIGINT)) THEN 'validation' ELSE 'train' END AS split, count(*) AS rows,
+      CAST(3 AS BIGINT) AS messages, min(md5(said)) AS first_statement, sum(length(said))::BIGINT AS chars FROM r GROUP BY 1""",
 )
 def k07(spark, sf):
     path = run_dir(spark, "k07")
-    c = v_corpus(spark, sf)
-    rows = c.select(
-        "doc_id", "domain", F.concat(F.lit("Statement number "), F.col("doc_id").cast("string")).alias("nl_statement"), "atl_formula",
-        F.lit(None).cast("double").alias("verification_confidence"), F.lit(None).cast("string").alias("verification_status"),
+    none = F.lit(None)
+    rows = v_corpus(spark, sf).select(
+        "doc_id", "domain", "nl_statement", "atl_formula", none.cast("double").alias("verification_confidence"), none.cast("string").alias("verification_status")
     )
     split = training.training_split(training.mark_rows(rows), "doc_id", 42)
     writers.write_split(training.chat_records(split, include_agents=False), path)
     back = spark.read.schema("messages array<struct<role:string,content:string>>, split string").json(path)
-    return back.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), big(F.min(F.size("messages"))).alias("messages"))
+    said = F.col("messages")[1]["content"]
+    return back.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), big(F.min(F.size("messages"))).alias("messages"), F.min(F.md5(said)).alias("first_statement"), big(F.sum(F.length(said))).alias("chars")
+    )
 
 
 @query(

@@ -26,6 +26,26 @@ def mark_rows(
     )
 
 
+def trainable(
+    rows: DataFrame,
+    min_confidence: float = 0.0,
+    wanted_status: str = "verified",
+    domains: list[str] | None = None,
+) -> DataFrame:
+    """Rows that pass the filters of ``mark_rows``, by plain conditions on stored columns, which reach the scan.
+
+    For an export that needs no counts of what was left out.
+    """
+    out = rows
+    if min_confidence > 0:
+        c = F.col("verification_confidence")
+        out = out.filter(c.isNull() | (c >= min_confidence) if min_confidence <= 1.0 else c >= min_confidence)
+    if wanted_status != "all":
+        s = F.col("verification_status")
+        out = out.filter(s.isNull() | (s == wanted_status) if wanted_status == "verified" else s == wanted_status)
+    return out.filter(F.col("domain").isin(domains)) if domains else out
+
+
 def filter_counts(marked: DataFrame) -> DataFrame:
     """Rows by the first filter they fail; ``passed`` for the rest."""
     return marked.groupBy(F.coalesce("failed_filter", F.lit("passed")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

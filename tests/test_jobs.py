@@ -160,6 +160,19 @@ def test_training_export(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "o" / "split=validation")).count() == 3
 
 
+def test_plain_training_filters_reach_the_scan(spark, tmp_path):
+    rows = [(i, f"Statement number {i}", "<<a>> G p", (None, "a", "b")[i % 3], (None, 0.2, 0.9)[i // 3 % 3], (None, "verified", "rejected")[i // 9 % 3]) for i in range(27)]
+    schema = "id int, nl_statement string, atl_formula string, domain string, verification_confidence double, verification_status string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    for args in ((0.0, "verified", None), (0.5, "verified", ["a"]), (0.5, "rejected", None), (0.0, "all", ["b"])):
+        plain = training.trainable(stored, *args)
+        marked = training.mark_rows(stored, *args).filter("failed_filter is null")
+        assert {r.id for r in plain.collect()} == {r.id for r in marked.collect()}
+    plan = training.trainable(stored, 0.5, "verified", ["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "IsNull(verification_confidence)" in plan.split("PushedFilters: [")[1]
+
+
 def test_generation_is_the_same_for_any_partitioning(spark):
     draws = spark.range(200).withColumnRenamed("id", "d")
     a = generate.base_pairs(draws, "d", 3).select("d", "nl", "formula").collect()
