@@ -151,6 +151,19 @@ def s05(spark, sf):
     return rows.select("doc_id", big(F.col("p.pos")).alias("pos"), "p.nl", "p.formula")
 
 
+@query(
+    "s05_line_files",
+    f"""WITH f3 AS (SELECT doc_id, {BLOCK_SQL[3]} AS text FROM documents), {pairs_sql('f3', 'doc_id')}
+    SELECT nl, formula, count(*) AS n FROM parsed GROUP BY 1, 2""",
+)
+def s05l(spark, sf):
+    path = run_dir(spark, "s05")
+    lines = documents(spark, sf).select(F.explode(F.split(block_text(3), "\n")).alias("value"))
+    lines.write.text(path)
+    pairs = blocks.pair_line_table(blocks.read_lines(spark, path), ["file"], "pos", "line")
+    return pairs.groupBy("nl", "formula").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "s06_same_line_blocks",
     f"""WITH f2 AS (SELECT doc_id, {BLOCK_SQL[2]} AS text FROM documents), {pairs_sql('f2', 'doc_id')}

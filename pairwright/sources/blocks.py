@@ -1,13 +1,14 @@
 """Text files that hold statements and formulas.
 
-A file is one row here; its lines are paired inside the row, so pairing needs
-no shuffle however long a file is. Tables that already have one line per row
-are paired by ``pair_line_table``.
+Either a file is one row and its lines are paired inside the row, without a
+shuffle (``read_texts``), or a line is a row (``read_lines``) and files of any
+length are split among tasks; such tables are paired by ``pair_line_table``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairwright.functions import formula as fx
@@ -16,6 +17,8 @@ from pairwright.functions.text import let, strip
 from pairwright.operators.identity import first_seen
 from pairwright.operators.keep import explode_computed
 from pairwright.operators.neighbours import with_next
+from pairwright.operators.ranking import with_columns_of
+from pairwright.session import cut_lineage
 
 PAIR = "array<struct<pos:int,nl:string,formula:string>>"
 
@@ -26,6 +29,23 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, pos, line) of the .txt files of a folder; ``pos`` counts a file's lines from 0.
+
+    A file's splits are read on their own. Inside a split lines are numbered by
+    the order of the scan; the line counts of a file's earlier splits, one row
+    each, shift them.
+    """
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start")]
+    raw = spark.read.text(path, pathGlobFilter="*.txt").select(*meta, F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    raw = cut_lineage(raw, "lines")
+    splits = raw.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    placed = with_columns_of(raw, offsets, ["file", "_start"])
+    return placed.select("file", (F.col("_off") + F.col("_id") - F.col("_first")).alias("pos"), "line")
+
+
 def opens_formula(line: Column) -> Column:
     return F.startswith(line, F.lit("<<")) | F.startswith(line, F.lit("⟨⟨"))
 

@@ -142,3 +142,18 @@ def test_comparison_map(spark, tmp_path):
     raw = spark.read.schema(schemas.REVIEW).option("multiLine", True).json(str(tmp_path / "r.json"))
     got = {r.model: (r.correct, r.error) for r in readers.reviews_long(raw).collect()}
     assert got == {"base": (True, None), "third": (None, "404")}
+
+
+@pytest.mark.parametrize("split", ["40", "1000", "128m"])
+def test_lines_of_split_files(spark, tmp_path, split):
+    texts = {f"f{k}.txt": "".join(f"line {i} of {k} {'x' * (i * 7 % 30)}\n" for i in range(k * 40)) for k in range(4)}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = blocks.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    want = {(name, i, line) for name, text in texts.items() for i, line in enumerate(text.splitlines())}
+    assert {(r.file.rsplit("/", 1)[1], r.pos, r.line) for r in got} == want and len(got) == len(want)
