@@ -8,8 +8,7 @@ from pairwright import vocab
 from pairwright.catalog.formulas import PROFILE_SQL, ascii_sql, strip_sql
 from pairwright.catalog import replies
 from pairwright.catalog.registry import big, joined, query
-from pairwright.catalog.views import CORPUS_SQL, EVENTS_SQL, FORMULAS_SQL, _sql_text, events, sql_list, table, v_corpus, v_formulas
-from pairwright.functions import formula as fx
+from pairwright.catalog.views import EVENTS_SQL, _sql_text, events, sql_list, table, v_formulas
 from pairwright.functions import rules
 from pairwright.functions.profile import formula_profile
 from pairwright.functions.text import word_count

@@ -11,9 +11,8 @@ from pairwright.catalog.registry import big, joined, query, sql_joined
 from pairwright.catalog.rows import RETRYABLE
 from pairwright.catalog.texts import classify_sql
 from pairwright.catalog.views import (
-    FORMULAS_SQL, LOG_SQL, PAIRS_SQL, RESULTS_SQL, _sql_text, events, table, v_formulas, v_log, v_pairs, v_results,
+    FORMULAS_SQL, LOG_SQL, PAIRS_SQL, RESULTS_SQL, _sql_text, events, table, v_formulas, v_pairs, v_results,
 )
-from pairwright.functions import prompts
 from pairwright.operators import stats
 from pairwright.operators.enrich import sample_columns
 from pairwright.operators.inference import batch_stage, expression_stage

@@ -8,7 +8,7 @@ from pairwright import vocab
 from pairwright.catalog.formulas import ascii_sql, strip_sql
 from pairwright.catalog.registry import big, joined, query, sql_joined
 from pairwright.catalog.views import (
-    CORPUS_SQL, EVENTS_SQL, FORMULAS_SQL, LOG_SQL, PAIRS_SQL, _sql_text, documents, events, sql_list, table, v_corpus, v_formulas, v_log,
+    CORPUS_SQL, EVENTS_SQL, FORMULAS_SQL, LOG_SQL, PAIRS_SQL, _sql_text, documents, events, sql_list, v_corpus, v_formulas, v_log,
     v_pairs,
 )
 from pairwright.functions import answers, prompts, rules
