@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.frames import blob_rows, bounded, by_group, others, packed, send, shuffle_width, unpacked
-from pairwright.llm.words import WORD_STEP, Words, blocks, chained, covered, gathered, mix, ragged, runs, spaced, string_array, words_of
+from pairwright.llm.words import WORD_STEP, Words, blocks, covered, gathered, mix, ragged, runs, spaced, string_array, words_of
 
 #: Words of a window; lengths of prefixes that are tried; bins of a histogram.
 SIZE = 13
