@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import bounded, shuffle_width
+from pairwright.llm.frames import bounded, lean, shuffle_width
 from pairwright.llm.words import blocks, code_points, ragged, string_array, text_buffer
 
 START, END = b"<|im_start|>", b"<|im_end|>\n"
@@ -108,7 +108,7 @@ def format_chats(turns: DataFrame, part: int = PART) -> DataFrame:
     bounded(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     sorted_ = rows.repartition(shuffle_width(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return sorted_.mapInArrow(_formatter(part), FORMATTED)
+    return sorted_.mapInArrow(lean(_formatter(part)), FORMATTED)
 
 
 def _formatter(limit: int):
@@ -191,7 +191,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_pydict({n: [d[k] for d in done] for k, n in enumerate(names)}, _DIGEST_KINDS)
 
-    return parts.mapInArrow(run, DIGESTS)
+    return parts.mapInArrow(lean(run), DIGESTS)
 
 
 _DIGEST_KINDS = pa.schema([(c.split(" ")[0], pa.string() if c.endswith("string") else pa.int64()) for c in DIGESTS.split(", ")])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import bounded, in_blocks, others, send
+from pairwright.llm.frames import bounded, in_blocks, lean, others, send
 from pairwright.llm.words import Words, alphanumeric, blocks, covered, ragged, runs, words_of
 
 #: Words of a window; an item of fewer words is one window.
@@ -276,17 +276,18 @@ def decontaminate(
     for block in range(n):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == block) if n > 1 else items
         sent = send(spark, windows_of([(r["item"], r["text"]) for r in part.toLocalIterator()], window))
-        out = out.mapInArrow(_searcher(sent, text_col, shard), out.schema)
-    return out.mapInArrow(_cutter(text_col), out.schema)
+        out = out.mapInArrow(lean(_searcher(sent, text_col, shard, cut=block == n - 1)), out.schema)
+    return out
 
 
-def _searcher(sent, text_col: str, shard: int):
-    """Adds the spans and items of one block of the benchmark to what the row has."""
+def _searcher(sent, text_col: str, shard: int, cut: bool):
+    """Adds the spans and items of one block of the benchmark to what the row has; after the last block the spans are ``cut``."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(**sent.value)
         for b in blocks(batches, text_col, SHARD_TEXT):
-            w = words_of(b.column(b.schema.get_field_index(text_col)), alphanumeric(), lower=True)
+            column = b.column(b.schema.get_field_index(text_col))
+            w = words_of(column, alphanumeric(), lower=True)
             at, which = hits_of(w, windows, shard)
             hit = covered(len(w.starts), at, windows.lengths[which])
             row = np.searchsorted(w.bounds, at, "right") - 1
@@ -294,7 +295,11 @@ def _searcher(sent, text_col: str, shard: int):
             old_s, old_i = b.column(b.schema.get_field_index("found_spans")).to_pylist(), b.column(b.schema.get_field_index("found_items")).to_pylist()
             spans = [_merged((old_s[k] or []) + spans.get(k, [])) for k in range(len(b))]
             items = [sorted(set(old_i[k] or ()) | items.get(k, set())) for k in range(len(b))]
-            yield _with(b, found_words=pa.array(w.counts, pa.int64()), found_spans=pa.array(spans, pa.list_(pa.list_(pa.int64()))), found_items=pa.array(items, pa.list_(pa.string())))
+            texts = _cut(column, w, spans) if cut and any(spans) else column
+            yield _with(
+                b, **{text_col: texts}, found_words=pa.array(w.counts, pa.int64()), found_spans=pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+                found_items=pa.array(items, pa.list_(pa.string())),
+            )
 
     return search
 
@@ -334,24 +339,13 @@ def _with(b: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(n, c) for n, c in zip(b.schema.names, b.columns, strict=True)], b.schema.names)
 
 
-def _cutter(text_col: str):
-    """Cuts the spans out of the texts that have any."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text_col):
-            spans = b.column(b.schema.get_field_index("found_spans")).to_pylist()
-            column = b.column(b.schema.get_field_index(text_col))
-            texts = column
-            if any(spans):
-                w = words_of(column, alphanumeric(), lower=True, hashed=False)
-                texts = column.to_pylist()
-                for k, found in enumerate(spans):
-                    if found:
-                        texts[k] = _without(texts[k].encode(), [(int(w.starts[w.bounds[k] + a] - w.offsets[k]), int(w.ends[w.bounds[k] + e - 1] - w.offsets[k])) for a, e in found])
-                texts = pa.array(texts, pa.string())
-            yield _with(b, **{text_col: texts})  # all batches of a task have one schema
-
-    return cut
+def _cut(column: pa.Array, w: Words, spans: list[list[list[int]]]) -> pa.Array:
+    texts = column.to_pylist()
+    for k, found in enumerate(spans):
+        if found:
+            own = [(w.bounds[k] + a, w.bounds[k] + e - 1) for a, e in found]
+            texts[k] = _without(texts[k].encode(), [(int(w.starts[a] - w.offsets[k]), int(w.ends[e] - w.offsets[k])) for a, e in own])
+    return pa.array(texts, pa.string())
 
 
 def _without(raw: bytes, spans: list[tuple[int, int]]) -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import blob_rows, bounded, by_group, kept_table, packed, shuffle_width, unpacked
+from pairwright.llm.frames import blob_rows, bounded, by_group, kept_table, lean, lean_group, packed, shuffle_width, unpacked
 from pairwright.llm.words import WORD_STEP, Words, blocks, mix, spaced, words_of
 
 #: Bits of the filter, least bits for a membership, hash functions.
@@ -35,7 +35,9 @@ BITS, ENTRY_BITS, PROBES = 1 << 28, 8, 4
 PRIOR, HALF = 4.0, 0.5
 #: Tokens above this share of the corpus are looked up in place; n-grams of a range by the memory of a task, ranges for
 #: each core at least, tokens that a task holds.
-HEAVY, GROUP, RANGES_PER_CORE, FLUSH = 4096, 1 << 21, 8, 1 << 18
+HEAVY, GROUP, RANGES_PER_CORE, FLUSH = 4096, 1 << 21, 16, 1 << 18
+#: Bytes of text that are scored at once: frequent n-grams are probed once for all of them.
+SCORED = 2 << 20
 #: Rows with this remainder are held out.
 FOLDS, HELD = 5, 1
 
@@ -114,7 +116,7 @@ def count_ngrams(texts: DataFrame, groups: int, flush: int = FLUSH) -> DataFrame
         kinds = pa.schema([*_COUNT_KINDS, ("distinct_keys", pa.int64()), ("total", pa.int64()), ("levels", pa.list_(pa.int64()))])
         return pa.Table.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
-    return texts.select("text").mapInArrow(combine, _COUNTS).groupBy("grp").applyInArrow(add, _SUMS)
+    return texts.select("text").mapInArrow(lean(combine), _COUNTS).groupBy("grp").applyInArrow(lean_group(add), _SUMS)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -147,31 +149,36 @@ class Filter:
         base = range_of(keys, self.groups) * segment
         live = np.arange(len(keys))
         for at in range(1, LEVELS):
-            hold = np.ones(len(live), bool)
+            hashed = membership(keys[live], order, at)
             for k in range(PROBES):
-                place = base[live] + places(keys[live], order, at, k, segment)
-                hold &= (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            live = live[hold]
+                place = base[live] + places(hashed, k, segment)
+                hold = (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                live, hashed = live[hold], hashed[hold]  # most misses end at the first probe
             if not len(live):
                 break
             out[live] = at
         return np.where(out >= self.least[order - 1], out, 0)
 
-    def log_probability(self, token: np.ndarray, pair: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 of P(token | token before), smoothed towards the unigram's share."""
-        one, at_one = np.unique(np.concatenate([token, before]), return_inverse=True)
+    def log_probability(self, token: np.ndarray, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 of P(token | token before), smoothed towards the unigram's share. ``first``: where texts begin; a begin is as frequent as an end."""
+        one, at = np.unique(token, return_inverse=True)
         count = typical(self.levels(one, 1))
         share = (count + HALF) / (self.total + HALF * (self.distinct + 1))
-        own, context = at_one[: len(token)], count[at_one[len(token) :]]
-        two, at_two = np.unique(pair, return_inverse=True)
-        both = np.minimum(typical(self.levels(two, 2))[at_two], context)
-        return np.log10((both + PRIOR * share[own]) / (context + PRIOR))
+        context = np.roll(count[at], 1)
+        context[first] = typical(self.levels(np.array([END]), 1))[0]
+        both = np.minimum(typical(self.levels(pair, 2)), context)
+        return np.log10((both + PRIOR * share[at]) / (context + PRIOR))
 
 
-def places(keys: np.ndarray, order: int, at: int, probe: int, segment: int) -> np.ndarray:
-    """Bit of a membership inside its segment."""
-    salt = np.uint64(((order << 48) + (at << 8) + probe) * 0xA24BAED4963EE407 % 2**64)
-    return (mix(keys ^ salt) % np.uint64(segment)).astype(np.int64)
+def membership(keys: np.ndarray, order: int, at: int) -> np.ndarray:
+    """Fingerprint of (n-gram, level)."""
+    return mix(keys ^ np.uint64(((order << 8) + at) * 0xA24BAED4963EE407 % 2**64))
+
+
+def places(hashed: np.ndarray, probe: int, segment: int) -> np.ndarray:
+    """Bit of a membership inside its segment, for one of the hash functions."""
+    turned = hashed * np.uint64((2 * probe + 1) * 0x9FB21C651E98DF25 % 2**64)
+    return (((turned >> np.uint64(32)) * np.uint64(segment)) >> np.uint64(32)).astype(np.int64)
 
 
 def lowest_levels(levels: dict[int, np.ndarray], entries: int) -> tuple[int, int]:
@@ -208,14 +215,14 @@ def build_filter(counts: DataFrame, groups: int, bits: int = BITS) -> Filter | N
                 stored = q >= least[r["n"] - 1]
                 keys, q = keys[stored], q[stored]
                 for at in range(1, int(q.max(initial=0)) + 1):
-                    deep = keys[q >= at]
+                    deep = membership(keys[q >= at], r["n"], at)
                     for k in range(PROBES):
-                        on[places(deep, r["n"], at, k, segment)] = True
+                        on[places(deep, k, segment)] = True
                 yield blob_rows(kinds, [(r["grp"], np.packbits(on, bitorder="little").tobytes())])
 
     kinds = pa.schema([("grp", pa.int32()), ("bits", pa.binary())])
     out = np.zeros((groups, segment // 8), np.uint8)
-    for r in counts.select("grp", "n", "keys", "counts").mapInArrow(fill, "grp int, bits binary").toLocalIterator():
+    for r in counts.select("grp", "n", "keys", "counts").mapInArrow(lean(fill), "grp int, bits binary").toLocalIterator():
         out[r["grp"]] |= np.frombuffer(r["bits"], np.uint8)
     return Filter(out.ravel(), groups, least, sums[1]["t"], sums[1]["v"])
 
@@ -244,13 +251,11 @@ def _doc_rows(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, heavy, counts = sent.value
         filter_ = Filter(**filter_) if filter_ else None
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", SCORED):
             row, token, pair = tokens_of(words_of(b.column("text"), spaced(), lower=True))
             n = len(b)
             first = np.searchsorted(row, np.arange(n))
-            before = np.concatenate([[BEGIN], token[:-1]])
-            before[first] = END  # the start of a text is as frequent as its end
-            score = np.bincount(row, filter_.log_probability(token, pair, before) if filter_ else np.zeros(len(row)), minlength=n)
+            score = np.bincount(row, filter_.log_probability(token, pair, first) if filter_ else np.zeros(len(row)), minlength=n)
             slot = np.minimum(np.searchsorted(heavy, token), max(0, len(heavy) - 1))
             known = heavy[slot] == token if len(heavy) else np.zeros(len(token), bool)
             base = np.bincount(row[known], np.log10(counts[slot[known]] + HALF), minlength=n) if len(heavy) else np.zeros(n)
@@ -381,11 +386,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     total, distinct = (filter_.total, filter_.distinct) if filter_ else (0, 0)
     heavy, heavy_counts = _heavy(counts, total)
     sent = spark.sparkContext.broadcast((vars(filter_) if filter_ else None, heavy, heavy_counts))  # ``bits`` and HEAVY numbers at most
-    whole = texts.mapInArrow(_doc_rows(sent), _PARTS)
-    bags = texts.mapInArrow(_bags(sent, groups, flush), _BAGS)
+    whole = texts.mapInArrow(lean(_doc_rows(sent)), _PARTS)
+    bags = texts.mapInArrow(lean(_bags(sent, groups, flush)), _BAGS)
     none = F.lit(None).cast("binary")
     learned = counts.where("n = 1").select("grp", "keys", "counts", none.alias("ids"), none.alias("text_keys"), none.alias("sizes"))
-    ranges = bags.unionByName(learned).groupBy("grp").applyInArrow(_range_scores(buckets), _SUMMED).groupBy("bucket").applyInArrow(_text_scores, _PARTS)
+    ranges = bags.unionByName(learned).groupBy("grp").applyInArrow(lean_group(_range_scores(buckets)), _SUMMED).groupBy("bucket").applyInArrow(lean_group(_text_scores), _PARTS)
     sums = whole.unionByName(ranges).groupBy("id", "text_key").agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "n_known", "base", "score")])
     id_ = F.when(F.col("id") != NO_ID, F.col("id"))
     level_ = float(np.log10(total + HALF * (distinct + 1)))
@@ -410,7 +415,7 @@ def _heavy(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
                 keys, n = np.frombuffer(r["keys"], np.int64), unpacked(r["counts"], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[n > limit]), pa.array(n[n > limit])], ["k", "c"])
 
-    rows = counts.where("n = 1").select("keys", "counts").mapInArrow(find, "k long, c long").collect()
+    rows = counts.where("n = 1").select("keys", "counts").mapInArrow(lean(find), "k long, c long").collect()
     keys, n = np.array([r["k"] for r in rows], np.int64).view(np.uint64), np.array([r["c"] for r in rows], np.int64)
     order = np.argsort(keys)
     return keys[order], n[order]

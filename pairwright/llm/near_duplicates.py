@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import bounded, kept_table, shuffle_width
+from pairwright.llm.frames import bounded, kept_table, lean, lean_group, shuffle_width
 from pairwright.llm.words import Words, blocks, chained, mix, ragged, spaced, words_of
 
 #: Words of a shingle; links share at least this percentage of their union.
@@ -226,7 +226,7 @@ def near_duplicates(
     spark = docs.sparkSession
     bounded(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = kept_table(texts.mapInArrow(_sign(shingle, bands * rows), _SIGNED), "signed")
+    signed = kept_table(texts.mapInArrow(lean(_sign(shingle, bands * rows)), _SIGNED), "signed")
     # One row per class; the node number is fixed by writing it.
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("low"), F.first("sig").alias("sig"))
     classes = kept_table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -266,7 +266,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         on = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
         return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([on.tobytes()], pa.binary())})
 
-    parts = wanted.select("cls").mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(either, "slice int, bits binary").collect()
+    parts = wanted.select("cls").mapInArrow(lean(mark), "slice int, bits binary").groupBy("slice").applyInArrow(lean_group(either), "slice int, bits binary").collect()
     bits = np.concatenate([np.frombuffer(r["bits"], np.uint8) for r in sorted(parts)]) if parts else np.zeros(FILTER_BITS // 8, np.uint8)
     sent = spark.sparkContext.broadcast(bits)  # FILTER_BITS bits
 
@@ -292,7 +292,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 ["cls", "n", "set", "sig", "short"],
             )
 
-    found = texts.select("text").mapInArrow(read, "cls binary, n long, set array<long>, sig binary, short binary")
+    found = texts.select("text").mapInArrow(lean(read), "cls binary, n long, set array<long>, sig binary, short binary")
     return wanted.join(found, "cls").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "set", "sig", "short")])
 
 
@@ -356,7 +356,7 @@ def _dealt(rows: DataFrame, nodes: DataFrame, bounded_by_sets: bool, percent: in
     short = F.col("short") if bounded_by_sets else F.lit(b"")
     full = salted.join(nodes.select(F.col("node").alias("_n"), "n", "sig", short.alias("short")), F.col("node") == F.col("_n")).withColumn("member", F.col("salt") == F.col("own"))
     sorted_ = full.repartition(shuffle_width(rows.sparkSession), "bucket", "salt").sortWithinPartitions("bucket", "salt", F.desc("pivot"), "share", "node")
-    return sorted_.select(*_DEALT).mapInArrow(_compare(percent, batch, miss), "a long, b long").distinct()
+    return sorted_.select(*_DEALT).mapInArrow(lean(_compare(percent, batch, miss)), "a long, b long").distinct()
 
 
 def _open(here: DataFrame, comps: DataFrame | None) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import bounded, others, send
+from pairwright.llm.frames import bounded, lean, others, send
 from pairwright.llm.words import Words, blocks, chained, code_points, covered, fingerprints, mix, runs, spaced, words_of
 
 #: Base rules: fewer words fail, and more than this share (percent) of words in repeated windows.
@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(sizes) < 2:
         return None
     schema = f"id {dict(texts.dtypes)['id']}, good int, buckets binary, values binary"
-    rows = sorted(texts.mapInArrow(_features, schema).collect(), key=lambda r: (r["good"], str(r["id"]), bytes(r["buckets"])))
+    rows = sorted(texts.mapInArrow(lean(_features), schema).collect(), key=lambda r: (r["good"], str(r["id"]), bytes(r["buckets"])))
     good = np.array([r["good"] for r in rows], float)
     held = np.arange(len(rows)) % FOLDS == 0
     if min((good[~held] == 0).sum(), (good[~held] == 1).sum()) == 0:
@@ -240,4 +240,4 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, {COLUMNS}")
+    return rows.mapInArrow(lean(run), f"{fields}, {COLUMNS}")

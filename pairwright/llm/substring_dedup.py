@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import blob_rows, bounded, by_group, others, packed, send, shuffle_width, unpacked
+from pairwright.llm.frames import blob_rows, bounded, by_group, lean, lean_group, others, packed, send, shuffle_width, unpacked
 from pairwright.llm.words import WORD_STEP, Words, blocks, covered, gathered, mix, ragged, runs, spaced, string_array, words_of
 
 #: Words of a window; lengths of prefixes that are tried; bins of a histogram.
@@ -44,7 +44,7 @@ PREFIXES = (1, 2, 4, 8)
 BINS = 1 << 16
 #: Suffixes of a group, by the memory of a task (some 60 bytes each), and suffixes a task holds before it sends them.
 #: Groups for each core at least. Fewer, larger groups make a document's share of a group less costly to send.
-GROUP, FLUSH, GROUPS_PER_CORE, LEAST_GROUP = 1 << 22, 1 << 20, 4, 1 << 14
+GROUP, FLUSH, GROUPS_PER_CORE, LEAST_GROUP = 1 << 22, 1 << 19, 4, 1 << 14
 
 #: Stands for a null id: greater than all others.
 NO_ID = np.iinfo(np.int64).max
@@ -111,7 +111,7 @@ def _histograms(docs: DataFrame, lengths: tuple[int, ...], size: int, bins: int)
         return pa.Table.from_pydict({"slice": table.column("slice")[:1], "counts": [packed(sums)]}, kinds)
 
     kinds = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
-    rows = docs.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
+    rows = docs.select("text").mapInArrow(lean(count), "slice int, counts binary").groupBy("slice").applyInArrow(lean_group(add), "slice int, counts binary").collect()
     out = np.zeros((n * cut, bins // cut), np.int64)
     for r in rows:
         out[r["slice"]] = unpacked(bytes(r["counts"]), np.int64)
@@ -163,7 +163,7 @@ def _hot(docs: DataFrame, part: Partition, size: int, limit: int) -> tuple[np.nd
             np.minimum.at(low, where, _ids(b)[w.rows[at[last]]])
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(n), pa.array(low)], ["path", "n", "low"])
 
-    seen = docs.select("id", "text").mapInArrow(least, "path long, n long, low long").groupBy("path").agg(F.sum("n").alias("n"), F.min("low").alias("low"))
+    seen = docs.select("id", "text").mapInArrow(lean(least), "path long, n long, low long").groupBy("path").agg(F.sum("n").alias("n"), F.min("low").alias("low"))
     rows = sorted((r["path"] % 2**64, r["low"]) for r in seen.where(F.col("n") > limit / 4).collect())
     return np.array([p for p, _ in rows], np.uint64), np.array([x for _, x in rows], np.int64)
 
@@ -225,10 +225,11 @@ class SuffixTree:
     """Leaves of one group in suffix order, and its deep internal nodes: the runs of leaves that share a whole path."""
 
     def __init__(self, paths: np.ndarray, ids: np.ndarray):
-        self.order = np.argsort(paths, kind="stable")
+        self.order = np.argsort(paths, kind="stable").astype(np.int32)
         p = paths[self.order]
         self.nodes = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
-        self.sizes = np.diff(np.append(self.nodes, len(p)))
+        del p
+        self.sizes = np.diff(np.append(self.nodes, len(paths)))
         self.ids = ids[self.order]
 
     def later_leaves(self) -> np.ndarray:
@@ -279,20 +280,27 @@ def _gathered(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(id_), pa.array(key), pa.array(places, pa.binary())], schema=_START_KINDS)
 
 
+def _column(table: pa.Table, name: str) -> list:
+    """Buffers of a binary column, not copied."""
+    return [v.as_buffer() for v in table.column(name)]
+
+
 def _later(table: pa.Table) -> tuple[np.ndarray, ...]:
     """(id, key, place) of the leaves of a group that are to go."""
-    cols = {n: table.column(n).to_pylist() for n in table.column_names}
-    n = [unpacked(x, np.uint32).astype(np.int64) for x in cols["counts"]]
-    if len(cols["grp"]) and cols["grp"][0] < 0:
-        n = [np.array([len(x) // 4]) for x in cols["places"]]
-    counts = np.concatenate(n)
-    id_ = np.repeat(np.concatenate([unpacked(x, np.int64) for x in cols["ids"]]), counts)
-    key = np.repeat(np.concatenate([np.frombuffer(x, np.int32) for x in cols["keys"]]), counts)
-    place = np.concatenate([unpacked(x, np.uint32) for x in cols["places"]])
-    if cols["grp"][0] >= 0:
-        gone = SuffixTree(np.concatenate([np.frombuffer(x, np.uint64) for x in cols["paths"]]), id_).later_leaves()
-        id_, key, place = id_[gone], key[gone], place[gone]
-    return id_, key, place
+    ids = np.concatenate([unpacked(x, np.int64) for x in _column(table, "ids")])
+    keys = np.concatenate([np.frombuffer(x, np.int32) for x in _column(table, "keys")])
+    if table.column("grp")[0].as_py() < 0:  # one text in each row, already decided
+        n = [x.size // 4 for x in _column(table, "places")]
+        return np.repeat(ids, n), np.repeat(keys, n), np.concatenate([unpacked(x, np.uint32) for x in _column(table, "places")])
+    counts = np.concatenate([unpacked(x, np.uint32) for x in _column(table, "counts")])
+    # Leaves know their text by number and its document by rank: four bytes each instead of eight.
+    rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)
+    tree = SuffixTree(np.concatenate([np.frombuffer(x, np.uint64) for x in _column(table, "paths")]), np.repeat(rank, counts))
+    gone = tree.later_leaves()
+    del tree
+    text = np.repeat(np.arange(len(ids), dtype=np.int32), counts)[gone]
+    place = np.concatenate([unpacked(x, np.uint32) for x in _column(table, "places")])[gone]
+    return ids[text], keys[text], place
 
 
 def _text_key(text: str):
@@ -321,14 +329,14 @@ def dedup_substrings(
     part = partition(keyed, size, lengths, bins, group)
     sent = send(spark, part)
     buckets = max(part.n, shuffle_width(spark))
-    found = keyed.mapInArrow(_leaves(sent, size, flush), _LEAVES).groupBy("grp").applyInArrow(_repeats(buckets), _CUTS)
-    gone = found.groupBy("bucket").applyInArrow(_gathered, _STARTS).withColumnRenamed("places", "_places")
+    found = keyed.mapInArrow(lean(_leaves(sent, size, flush)), _LEAVES).groupBy("grp").applyInArrow(lean_group(_repeats(buckets)), _CUTS)
+    gone = found.groupBy("bucket").applyInArrow(lean_group(_gathered), _STARTS).withColumnRenamed("places", "_places")
     # The rows travel as one column of numbered fields, so none of their names can clash.
     row = F.struct(*[F.col(c).alias(f"r{k}") for k, c in enumerate(own)])
     rows = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), _text_key(text_col).alias("_key"))
     joined = rows.join(gone, (F.col("_id") == F.col("id")) & (F.col("_key") == F.col("text_key")), "left")
     new = [F.lit(0).cast("long").alias("all_words"), F.lit(0).cast("long").alias("cut_words"), F.lit("").alias("kept_words")]
-    return joined.select("_places", "row.*").mapInArrow(_cutter(own.index(text_col), own, size), docs.select(*own, *new).schema)
+    return joined.select("_places", "row.*").mapInArrow(lean(_cutter(own.index(text_col), own, size)), docs.select(*own, *new).schema)
 
 
 def _cutter(text_at: int, names: list[str], size: int):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import bounded, kept_table, shuffle_width, text_key, union_all
+from pairwright.llm.frames import bounded, kept_table, lean, shuffle_width, text_key, union_all
 from pairwright.llm.words import BLOCK, blocks
 
 #: Code points at a chunk's end whose boundaries may depend on the text after it.
@@ -57,7 +57,7 @@ def token_counts(
     bounded(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    whole = rows.where(F.char_length("text") <= chunk).mapInArrow(_whole(model), _COUNTED)
+    whole = rows.where(F.char_length("text") <= chunk).mapInArrow(lean(_whole(model)), _COUNTED)
     huge = rows.where(F.char_length("text") > chunk).withColumn("text_key", text_key("text"))
     done = [whole]
     while True:
@@ -164,8 +164,8 @@ def _encoded(huge: DataFrame, model: str, chunk: int, overlap: int) -> DataFrame
             names = [c.split(" ")[0] for c in _ENDS.split(", ")]
             yield pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in out], kinds.get(c, pa.int64())) for c in names})
 
-    chunks = huge.select("doc_id", "text_key", "n_bytes", "text").mapInArrow(cut, _CHUNKS)
-    return chunks.repartition(shuffle_width(huge.sparkSession), "doc_id", "text_key", "chunk").mapInArrow(encode, _ENDS)
+    chunks = huge.select("doc_id", "text_key", "n_bytes", "text").mapInArrow(lean(cut), _CHUNKS)
+    return chunks.repartition(shuffle_width(huge.sparkSession), "doc_id", "text_key", "chunk").mapInArrow(lean(encode), _ENDS)
 
 
 def _spliced(ends: DataFrame) -> DataFrame:
