@@ -55,14 +55,19 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Splits of a scan that may be dealt anew.
+FEW_SPLITS = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly row-wise work on a scan that is a single split.
+    """Use all cores for costly row-wise work on a scan of a few splits.
 
-    A file with one row group is one task however many cores there are; what is
-    moved is one split at most. All other tables are left as they are.
+    A file with one row group is one task however many byte ranges and cores
+    there are; what is moved is ``FEW_SPLITS`` splits at most. All other tables
+    are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() == 1 and cores > 1 else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= min(cores, FEW_SPLITS) else df
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
