@@ -3,17 +3,28 @@
 All unigrams and bigrams of the training texts are counted, combined in each task
 before the shuffle and added up by ranges of their fingerprints. A count c is
 quantised to q = 1 + floor(log2 c) and stored as the q memberships (n-gram, 1) ..
-(n-gram, q) of a Bloom filter; each range builds its own segment. The filter, whose
-bits are a parameter, is broadcast. Reading a count is probing 1, 2, .. until a
-membership fails, so it is never too low. If all memberships would leave less than
-``ENTRY_BITS`` bits each, the rarest bigrams (then unigrams) are not stored: the
-lowest level that fits is found from the counts, and such n-grams back off.
+(n-gram, q) of a Bloom filter; each range builds its own segment. Reading a count is
+probing 1, 2, .. until a membership fails, so it is never too low. The filter has
+``ENTRY_BITS`` bits a membership at least and grows with the corpus; a score leaves
+no n-gram out.
+
+The segments of unigrams are broadcast, in blocks of ``BITS`` bits: a pass over the
+texts for each block but the last notes the levels of their tokens. The segments of
+bigrams, most of the filter, stay where they are, and the distinct bigrams of texts
+come to their range with the levels of their two words:
+
+    log (both + PRIOR share) / (context + PRIOR) = log (PRIOR share) / (context + PRIOR) + log (1 + both / (PRIOR share))
+
+The first part is known with the text, the second is 0 for bigrams that were never
+seen, and its sums by text and range add up. Bigrams with a word that was never
+seen are not sent.
 
 The exact base score does not go through the filter: token counts of texts and of
-the training corpus meet by fingerprint range, and the ranges' parts of a text meet
-by buckets of texts, both as packed arrays; the few tokens that make up more
-than 1 / ``HEAVY`` of the corpus are looked up in place instead, so no range is
-flooded by one word.
+the training corpus meet by fingerprint range too, and the ranges' parts of a text
+meet by buckets of texts, all as packed arrays; the few tokens and bigrams that make
+up more than 1 / ``HEAVY`` of the corpus are looked up in place instead, so no range
+is flooded by one of them. Large corpora are scored in ``ROUNDS`` rounds, each over
+its share of the texts, and what a round has shuffled goes when its scores are written.
 """
 
 from __future__ import annotations
@@ -26,18 +37,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import blob_rows, bounded, by_group, kept_table, lean, lean_group, packed, shuffle_width, unpacked
+from pairwright.llm.frames import blob_rows, bounded, by_group, in_blocks, kept_table, lean, lean_group, packed, send, shuffle_width, union_all, unpacked
 from pairwright.llm.words import WORD_STEP, Words, blocks, mix, spaced, words_of
 
-#: Bits of the filter, least bits for a membership, hash functions.
+#: Bits of the filter that are broadcast at once, least bits for a membership, hash functions.
 BITS, ENTRY_BITS, PROBES = 1 << 28, 8, 4
+#: Bits for a membership in the segments that stay where they are.
+PLACED_BITS = 16
 #: Weight of the unigram distribution in a bigram probability, and of a word that was never seen.
 PRIOR, HALF = 4.0, 0.5
-#: Tokens above this share of the corpus are looked up in place; n-grams of a range by the memory of a task, ranges for
+#: Tokens and bigrams above this share of the corpus are looked up in place; n-grams of a range by the memory of a task, ranges for
 #: each core at least, tokens that a task holds.
 HEAVY, GROUP, RANGES_PER_CORE, FLUSH = 4096, 1 << 21, 16, 1 << 18
 #: Bytes of text that are scored at once: frequent n-grams are probed once for all of them.
 SCORED = 2 << 20
+#: Rounds at most, and bytes of text from which there is one more.
+ROUNDS, ROUND = 4, 192 << 20
+#: Shuffle files go with the query that made them.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows with this remainder are held out.
 FOLDS, HELD = 5, 1
 
@@ -141,33 +158,54 @@ class Filter:
     least: tuple[int, int]
     total: int  # tokens of the training texts
     distinct: int
+    first: int = 0  # the filter holds the ranges from here
+    last: int | None = None  # up to here, or all
 
     def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """Level of each key: the number of memberships in a row that hold."""
+        """Level of each key: the number of memberships in a row that hold. 0 for keys of other ranges."""
+        last = self.groups if self.last is None else self.last
+        segment = 8 * (len(self.bits) // (last - self.first))
+        group = range_of(keys, self.groups)
+        own = np.flatnonzero((group >= self.first) & (group < last))
         out = np.zeros(len(keys), np.int64)
-        segment = 8 * (len(self.bits) // self.groups)
-        base = range_of(keys, self.groups) * segment
-        live = np.arange(len(keys))
-        for at in range(1, LEVELS):
-            hashed = membership(keys[live], order, at)
-            for k in range(PROBES):
-                place = base[live] + places(hashed, k, segment)
-                hold = (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                live, hashed = live[hold], hashed[hold]  # most misses end at the first probe
-            if not len(live):
-                break
-            out[live] = at
+        out[own] = probed(self.bits, (group[own] - self.first) * segment, segment, keys[own], order)
         return np.where(out >= self.least[order - 1], out, 0)
 
-    def log_probability(self, token: np.ndarray, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 of P(token | token before), smoothed towards the unigram's share. ``first``: where texts begin; a begin is as frequent as an end."""
-        one, at = np.unique(token, return_inverse=True)
-        count = typical(self.levels(one, 1))
-        share = (count + HALF) / (self.total + HALF * (self.distinct + 1))
-        context = np.roll(count[at], 1)
-        context[first] = typical(self.levels(np.array([END]), 1))[0]
-        both = np.minimum(typical(self.levels(pair, 2)), context)
-        return np.log10((both + PRIOR * share[at]) / (context + PRIOR))
+
+def probed(bits: np.ndarray, base: np.ndarray, segment: int, keys: np.ndarray, order: int) -> np.ndarray:
+    """Level of each key in the segment that begins at its ``base``."""
+    out = np.zeros(len(keys), np.int64)
+    live = np.arange(len(keys))
+    for at in range(1, LEVELS):
+        hashed = membership(keys[live], order, at)
+        for k in range(PROBES):
+            place = base[live] + places(hashed, k, segment)
+            hold = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            live, hashed = live[hold], hashed[hold]  # most misses end at the first probe
+        if not len(live):
+            break
+        out[live] = at
+    return out
+
+
+def segment_of(keys: np.ndarray, q: np.ndarray, order: int, segment: int) -> np.ndarray:
+    """Bits of the memberships of keys with these levels."""
+    on = np.zeros(segment, bool)
+    for at in range(1, int(q.max(initial=0)) + 1):
+        deep = membership(keys[q >= at], order, at)
+        for k in range(PROBES):
+            on[places(deep, k, segment)] = True
+    return np.packbits(on, bitorder="little")
+
+
+def share(levels: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """Share of a unigram in the corpus, from its level."""
+    return (typical(levels) + HALF) / (total + HALF * (distinct + 1))
+
+
+def gain(both: np.ndarray, context: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """What the levels of a bigram, of its first word, and the share of its second add to log10 of P(second | first)."""
+    return np.log10(1 + np.minimum(typical(both), typical(context)) / (PRIOR * of))
 
 
 def membership(keys: np.ndarray, order: int, at: int) -> np.ndarray:
@@ -191,9 +229,14 @@ def lowest_levels(levels: dict[int, np.ndarray], entries: int) -> tuple[int, int
     return LEVELS, LEVELS
 
 
-def build_filter(counts: DataFrame, groups: int, bits: int = BITS) -> Filter | None:
-    """The filter from the table of counts; what reaches the driver is the filter itself, ``bits`` at most. None without tokens."""
-    spark = counts.sparkSession
+def build_filter(counts: DataFrame, groups: int, bits: int = BITS, first: int = 0, last: int | None = None, segment: int | None = None) -> Filter | None:
+    """The filter from the table of counts; what reaches the driver is the filter itself. None without tokens.
+
+    ``bits`` at most: what is too rare for them is left out. With ``segment``, the
+    bits of a range, all n-grams of the ranges ``first`` to ``last`` are in it.
+    """
+    counts = counts.where((F.col("grp") >= first) & (F.col("grp") < (groups if last is None else last)))
+    ranges = (groups if last is None else last) - first
     histogram = counts.select("n", F.posexplode("levels").alias("level", "c")).groupBy("n", "level").agg(F.sum("c").alias("c")).collect()
     levels = {1: np.zeros(LEVELS, np.int64), 2: np.zeros(LEVELS, np.int64)}
     for r in histogram:
@@ -201,67 +244,143 @@ def build_filter(counts: DataFrame, groups: int, bits: int = BITS) -> Filter | N
     sums = {r["n"]: r for r in counts.groupBy("n").agg(F.sum("distinct_keys").alias("v"), F.sum("total").alias("t")).collect()}
     if 1 not in sums:
         return None
-    # No more bits than the memberships can use; a power of two, so small inputs get small filters.
-    need = ENTRY_BITS * int(sum((h * np.arange(LEVELS)).sum() for h in levels.values()))
-    bits = min(bits, 1 << max(10, need.bit_length()))
-    segment = 8 * -(-bits // (8 * groups))
-    least = lowest_levels(levels, bits // ENTRY_BITS)
+    least = (1, 1)
+    if segment is None:
+        bits = min(bits, filter_bits(int(sum((h * np.arange(LEVELS)).sum() for h in levels.values()))))
+        segment = 8 * -(-bits // (8 * ranges))
+        least = lowest_levels(levels, bits // ENTRY_BITS)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                on = np.zeros(segment, bool)
                 keys, q = np.frombuffer(r["keys"], np.uint64), level(unpacked(r["counts"], np.int64))
                 stored = q >= least[r["n"] - 1]
-                keys, q = keys[stored], q[stored]
-                for at in range(1, int(q.max(initial=0)) + 1):
-                    deep = membership(keys[q >= at], r["n"], at)
-                    for k in range(PROBES):
-                        on[places(deep, k, segment)] = True
-                yield blob_rows(kinds, [(r["grp"], np.packbits(on, bitorder="little").tobytes())])
+                yield blob_rows(kinds, [(r["grp"], segment_of(keys[stored], q[stored], r["n"], segment).tobytes())])
 
     kinds = pa.schema([("grp", pa.int32()), ("bits", pa.binary())])
-    out = np.zeros((groups, segment // 8), np.uint8)
+    out = np.zeros((ranges, segment // 8), np.uint8)
     for r in counts.select("grp", "n", "keys", "counts").mapInArrow(lean(fill), "grp int, bits binary").toLocalIterator():
-        out[r["grp"]] |= np.frombuffer(r["bits"], np.uint8)
-    return Filter(out.ravel(), groups, least, sums[1]["t"], sums[1]["v"])
+        out[r["grp"] - first] |= np.frombuffer(r["bits"], np.uint8)
+    return Filter(out.ravel(), groups, least, sums[1]["t"], sums[1]["v"], first, last)
+
+
+def filter_bits(memberships: int) -> int:
+    """Bits for so many memberships: a power of two, so small inputs get small filters."""
+    return 1 << max(10, (ENTRY_BITS * memberships).bit_length())
+
+
+def with_segments(counts: DataFrame) -> DataFrame:
+    """Counts with the filter's segment of each range of bigrams instead of the bigrams; of these only those remain that can be heavy."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, n in enumerate(b.column("n").to_pylist()):
+                r = b.slice(k, 1)
+                bits = None
+                if n == 2:
+                    keys, c = np.frombuffer(r.column("keys")[0].as_py(), np.uint64), unpacked(r.column("counts")[0].as_py(), np.int64)
+                    q = level(c)
+                    bits = segment_of(keys, q, 2, 8 * -(-PLACED_BITS * int(q.sum()) // 8)).tobytes()
+                    often = c > c.sum() / HEAVY  # a range has no more tokens than the corpus
+                    r = r.set_column(2, "keys", pa.array([keys[often].tobytes()], pa.binary())).set_column(3, "counts", pa.array([packed(c[often])], pa.binary()))
+                yield r.append_column("bits", pa.array([bits], pa.binary()))
+
+    return counts.mapInArrow(lean(build), f"{_SUMS}, bits binary")
+
+
+def token_levels(texts: DataFrame, counts: DataFrame, groups: int, bits: int) -> tuple[DataFrame, Filter | None]:
+    """Texts with the levels of the tokens in all blocks of the unigrams' filter but the last (null if there is one), and the last."""
+    spark = texts.sparkSession
+    tokens = counts.where("n = 1")
+    need = tokens.select(F.posexplode("levels").alias("level", "c")).agg(F.sum(F.col("level") * F.col("c"))).first()[0] or 0
+    segment = 8 * -(-filter_bits(need) // (8 * groups))
+    step = max(1, bits // segment)
+    blocks_ = [(a, min(groups, a + step)) for a in range(0, groups, step)]
+    texts = texts.withColumn("levels", F.lit(None).cast("binary"))
+    for first, last in blocks_[:-1]:
+        own = build_filter(tokens, groups, first=first, last=last, segment=segment)
+        if own:
+            sent = send(spark, own)
+            texts = kept_table(texts.mapInArrow(lean(_noted(sent)), texts.schema), "token-levels")
+            sent.destroy()
+    return texts, build_filter(tokens, groups, first=blocks_[-1][0], last=blocks_[-1][1], segment=segment)
+
+
+def _levels_of(b: pa.RecordBatch, token: np.ndarray, filter_: Filter | None) -> np.ndarray:
+    """Levels of the tokens of a block of texts: those that were noted and those in this block of the filter."""
+    noted = b.column("levels")
+    out = np.zeros(len(token), np.int64) if noted.null_count else np.frombuffer(b"".join(noted.to_pylist()), np.uint8).astype(np.int64)
+    if filter_:
+        one, at = np.unique(token, return_inverse=True)
+        out += filter_.levels(one, 1)[at]
+    return out
+
+
+def _noted(sent):
+    """Texts -> the same, with the levels of the tokens in one block of the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Filter(**sent.value)
+        for b in blocks(batches, "text", SCORED):
+            row, token, _ = tokens_of(words_of(b.column("text"), spaced(), lower=True))
+            found = _levels_of(b, token, own).astype(np.uint8)
+            ends = np.searchsorted(row, np.arange(len(b)), "right").tolist()
+            new = pa.array([found[a:e].tobytes() for a, e in zip([0, *ends], ends, strict=False)], pa.binary())
+            yield b.set_column(b.schema.get_field_index("levels"), "levels", new)
+
+    return run
 
 
 # --- scores -------------------------------------------------------------------------------------------------------
 
 _PARTS = "id long, text_key int, n_rows long, n_tokens long, n_known long, base double, score double"
 _PART_KINDS = pa.schema([("id", pa.int64()), ("text_key", pa.int32()), *[(c, pa.int64()) for c in ("n_rows", "n_tokens", "n_known")], ("base", pa.float64()), ("score", pa.float64())])
-_SUMMED = "bucket int, ids binary, text_keys binary, n_known binary, base binary"
-_SUMMED_KINDS = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("ids", "text_keys", "n_known", "base")]])
-_BAGS = "grp int, keys binary, counts binary, ids binary, text_keys binary, sizes binary"
-_BAG_KINDS = pa.schema([("grp", pa.int32()), *[(c, pa.binary()) for c in ("keys", "counts", "ids", "text_keys", "sizes")]])
+_SUMMED = "bucket int, ids binary, text_keys binary, n_known binary, base binary, score binary"
+_SUMMED_KINDS = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("ids", "text_keys", "n_known", "base", "score")]])
+#: Texts of a range with their tokens (how often, how many a text) and bigrams (the same, and the levels of both words), or what was learned.
+_BAG_COLUMNS = ("keys", "counts", "ids", "text_keys", "sizes", "pairs", "times", "befores", "afters", "pair_sizes", "bits")
+_BAGS = ", ".join(["grp int", *[f"{c} binary" for c in _BAG_COLUMNS]])
+_BAG_KINDS = pa.schema([("grp", pa.int32()), *[(c, pa.binary()) for c in _BAG_COLUMNS]])
 
 
-def _bag(row: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens of each row: (row, token, how often), rows in order."""
+def _bag(row: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of each row: (where, how often), rows in order."""
     _, at, n = np.unique(mix(token + row.astype(np.uint64) * np.uint64(WORD_STEP)), return_index=True, return_counts=True)
     order = np.argsort(at)
-    at = at[order]
-    return row[at], token[at], n[order]
+    return at[order], n[order]
+
+
+def _among(keys: np.ndarray, these: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the sorted ones, and the slots of those."""
+    if not len(these):
+        return np.zeros(len(keys), bool), np.zeros(0, np.int64)
+    slot = np.minimum(np.searchsorted(these, keys), len(these) - 1)
+    hit = these[slot] == keys
+    return hit, slot[hit]
 
 
 def _doc_rows(sent):
-    """What a task knows of a text alone: tokens, model score, and the base score of the heavy tokens."""
+    """What a task knows of a text alone: tokens, the score without bigrams, and what heavy tokens and bigrams add."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, heavy, counts = sent.value
+        filter_, total, distinct, (heavy, counts), (pairs, pair_counts) = sent.value
         filter_ = Filter(**filter_) if filter_ else None
         for b in blocks(batches, "text", SCORED):
             row, token, pair = tokens_of(words_of(b.column("text"), spaced(), lower=True))
             n = len(b)
-            first = np.searchsorted(row, np.arange(n))
-            score = np.bincount(row, filter_.log_probability(token, pair, first) if filter_ else np.zeros(len(row)), minlength=n)
-            slot = np.minimum(np.searchsorted(heavy, token), max(0, len(heavy) - 1))
-            known = heavy[slot] == token if len(heavy) else np.zeros(len(token), bool)
-            base = np.bincount(row[known], np.log10(counts[slot[known]] + HALF), minlength=n) if len(heavy) else np.zeros(n)
+            score = np.zeros(len(row))
+            if total:
+                q = _levels_of(b, token, filter_)
+                before = np.roll(q, 1)  # a text begins as often as one ends, and an end is before it here
+                of = share(q, total, distinct)
+                score = np.log10(PRIOR * of / (typical(before) + PRIOR))
+                often, slot = _among(pair, pairs)
+                score[often] += gain(level(pair_counts[slot]), before[often], of[often])
+            known, slot = _among(token, heavy)
+            base = np.bincount(row[known], np.log10(counts[slot] + HALF), minlength=n)
             ones = np.ones(n, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("text_key"), *[pa.array(x.astype(np.int64)) for x in (ones, np.bincount(row, minlength=n), np.bincount(row[known], minlength=n))], pa.array(base), pa.array(score)],
+                [b.column("id"), b.column("text_key"), *[pa.array(x.astype(np.int64)) for x in (ones, np.bincount(row, minlength=n), np.bincount(row[known], minlength=n))], pa.array(base), pa.array(np.bincount(row, score, minlength=n))],
                 schema=_PART_KINDS,
             )
 
@@ -269,39 +388,57 @@ def _doc_rows(sent):
 
 
 def _bags(sent, groups: int, flush: int):
-    """Texts -> their other tokens with counts, by range."""
+    """Texts -> their other tokens and bigrams with counts, by range."""
+
+    def rows(tokens: list[tuple[np.ndarray, ...]], pairs: list[tuple[np.ndarray, ...]], ids: np.ndarray, texts: np.ndarray) -> list[tuple]:
+        def dealt(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            text, key, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, _ = by_group(range_of(key, groups), groups)
+            text, key = text[order], key[order]
+            return range_of(key, groups) * len(ids) + text, key, *(r[order] for r in rest)
+
+        place, key, n = dealt(tokens)
+        pair_place, pair, times, before, after = dealt(pairs)
+        both = np.union1d(place, pair_place)
+        sizes, pair_sizes = (np.bincount(np.searchsorted(both, p), minlength=len(both)) for p in (place, pair_place))
+        bounds = np.arange(groups + 1) * len(ids)
+        out = []
+        for g, (u, t, p) in enumerate(zip(*(np.stack([x[:-1], x[1:]], 1).tolist() for x in (np.searchsorted(y, bounds) for y in (both, place, pair_place))), strict=True)):
+            if u[1] > u[0]:
+                own, t, p = slice(*u), slice(*t), slice(*p)
+                text = both[own] - g * len(ids)
+                out.append((
+                    g, key[t].tobytes(), packed(n[t].astype(np.uint32)), packed(ids[text]), texts[text].tobytes(), packed(sizes[own].astype(np.uint32)),
+                    pair[p].tobytes(), packed(times[p].astype(np.uint32)), before[p].tobytes(), after[p].tobytes(), packed(pair_sizes[own].astype(np.uint32)), None,
+                ))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, heavy, _ = sent.value
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def rows() -> list[tuple]:
-            key, n, id_, text = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, begin = by_group(range_of(key, groups), groups)
-            out = []
-            for g in np.flatnonzero(np.diff(begin)).tolist():
-                own = order[begin[g] : begin[g + 1]]
-                i, t = id_[own], text[own]
-                new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])]))
-                out.append((g, key[own].tobytes(), packed(n[own].astype(np.uint32)), packed(i[new]), t[new].tobytes(), packed(np.diff(np.append(new, len(own))).astype(np.uint32))))
-            return out
-
-        size = 0
+        filter_, _, _, (heavy, _), (heavy_pairs, _) = sent.value
+        filter_ = Filter(**filter_) if filter_ else None
+        tokens, pairs, ids, texts = [], [], [], []
+        size = n_texts = 0
         for b in blocks(batches, "text"):
-            row, token, _ = tokens_of(words_of(b.column("text"), spaced(), lower=True))
-            if len(heavy):
-                rest = heavy[np.minimum(np.searchsorted(heavy, token), len(heavy) - 1)] != token
-                row, token = row[rest], token[rest]
-            row, token, n = _bag(row, token)
-            ids, keys = b.column("id").to_numpy(zero_copy_only=False), b.column("text_key").to_numpy(zero_copy_only=False)
-            held.append((token, n, ids[row], keys[row]))
-            size += len(token)
+            row, token, pair = tokens_of(words_of(b.column("text"), spaced(), lower=True))
+            q = _levels_of(b, token, filter_).astype(np.uint8)
+            before = np.roll(q, 1)
+            seen = (q > 0) & (before > 0) & ~_among(pair, heavy_pairs)[0]
+            rest = ~_among(token, heavy)[0]
+            at, n = _bag(row[rest], token[rest])
+            tokens.append((row[rest][at] + n_texts, token[rest][at], n))
+            size += len(at)
+            at, n = _bag(row[seen], pair[seen])
+            pairs.append((row[seen][at] + n_texts, pair[seen][at], n, before[seen][at], q[seen][at]))
+            size += len(at)
+            ids.append(b.column("id").to_numpy(zero_copy_only=False))
+            texts.append(b.column("text_key").to_numpy(zero_copy_only=False))
+            n_texts += len(b)
             if size >= flush:
-                yield blob_rows(_BAG_KINDS, rows())
-                held.clear()
-                size = 0
+                yield blob_rows(_BAG_KINDS, rows(tokens, pairs, np.concatenate(ids), np.concatenate(texts)))
+                tokens, pairs, ids, texts = [], [], [], []
+                size = n_texts = 0
         if size:
-            yield blob_rows(_BAG_KINDS, rows())
+            yield blob_rows(_BAG_KINDS, rows(tokens, pairs, np.concatenate(ids), np.concatenate(texts)))
 
     return run
 
@@ -314,20 +451,21 @@ def _by_text(ids: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> tuple[np
     return ids[new], keys[new], *(np.add.reduceat(v[order], new) for v in values)
 
 
-def _range_scores(buckets: int):
-    """One range: training counts (rows without ids) looked up for the tokens of texts, summed by text, packed by buckets of texts."""
+def _range_scores(buckets: int, total: int, distinct: int):
+    """One range: what was learned (rows without ids) looked up for the tokens and bigrams of texts, summed by text, packed by buckets of texts."""
 
     def run(table: pa.Table) -> pa.Table:
         cols = {n: table.column(n).to_pylist() for n in table.column_names}
-        train = [k for k, ids in enumerate(cols["ids"]) if ids is None]
         bags = [k for k, ids in enumerate(cols["ids"]) if ids is not None]
         if not bags:
             return _SUMMED_KINDS.empty_table()
-        size = np.concatenate([unpacked(cols["sizes"][k], np.uint32) for k in bags])
-        known, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for k in train:  # one row
-            known, n = np.frombuffer(cols["keys"][k], np.uint64), unpacked(cols["counts"][k], np.int64)
-        base, n_known = [], []
+        known, n, bits = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        for k in set(range(len(table))) - set(bags):  # one row of tokens, one of bigrams
+            if cols["bits"][k] is None:
+                known, n = np.frombuffer(cols["keys"][k], np.uint64), unpacked(cols["counts"][k], np.int64)
+            else:
+                bits = np.frombuffer(cols["bits"][k], np.uint8)
+        base, n_known, score = [], [], []
         for k in bags:
             key, times = np.frombuffer(cols["keys"][k], np.uint64), unpacked(cols["counts"][k], np.uint32).astype(np.int64)
             own = unpacked(cols["sizes"][k], np.uint32)
@@ -336,15 +474,20 @@ def _range_scores(buckets: int):
             count = np.where(np.append(known, np.uint64(0))[slot] == key, np.append(n, 0)[slot], 0)
             base.append(np.bincount(text, times * np.log10(count + HALF), minlength=len(own)))
             n_known.append(np.bincount(text, times * (count > 0), minlength=len(own)).astype(np.int64))
+            pair, times = np.frombuffer(cols["pairs"][k], np.uint64), unpacked(cols["times"][k], np.uint32).astype(np.int64)
+            before, after = (np.frombuffer(cols[c][k], np.uint8).astype(np.int64) for c in ("befores", "afters"))
+            text = np.repeat(np.arange(len(own)), unpacked(cols["pair_sizes"][k], np.uint32))
+            both = probed(bits, np.zeros(len(pair), np.int64), 8 * len(bits), pair, 2) if len(bits) else np.zeros(len(pair), np.int64)
+            score.append(np.bincount(text, times * gain(both, before, share(after, total, distinct)), minlength=len(own)))
         ids = np.concatenate([unpacked(cols["ids"][k], np.int64) for k in bags])
         keys = np.concatenate([np.frombuffer(cols["text_keys"][k], np.int32) for k in bags])
-        ids, keys, base, n_known = _by_text(ids, keys, np.concatenate(base), np.concatenate(n_known))
+        ids, keys, base, n_known, score = _by_text(ids, keys, *(np.concatenate(x) for x in (base, n_known, score)))
         bucket = (mix(ids.astype(np.uint64) + keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order, begin = by_group(bucket, buckets)
         rows = []
         for g in np.flatnonzero(np.diff(begin)).tolist():
             own = order[begin[g] : begin[g + 1]]
-            rows.append((g, packed(ids[own]), keys[own].tobytes(), packed(n_known[own]), base[own].tobytes()))
+            rows.append((g, packed(ids[own]), keys[own].tobytes(), packed(n_known[own]), base[own].tobytes(), score[own].tobytes()))
         return pa.Table.from_batches([blob_rows(_SUMMED_KINDS, rows)])
 
     return run
@@ -353,22 +496,24 @@ def _range_scores(buckets: int):
 def _text_scores(table: pa.Table) -> pa.Table:
     """A bucket of texts: the ranges' parts added up."""
     cols = {n: table.column(n).to_pylist() for n in table.column_names}
-    ids, keys, base, n_known = _by_text(
+    ids, keys, base, n_known, score = _by_text(
         np.concatenate([unpacked(x, np.int64) for x in cols["ids"]]), np.concatenate([np.frombuffer(x, np.int32) for x in cols["text_keys"]]),
         np.concatenate([np.frombuffer(x, np.float64) for x in cols["base"]]), np.concatenate([unpacked(x, np.int64) for x in cols["n_known"]]),
+        np.concatenate([np.frombuffer(x, np.float64) for x in cols["score"]]),
     )
     none = pa.array(np.zeros(len(ids), np.int64))
-    return pa.Table.from_arrays([pa.array(ids), pa.array(keys), none, none, pa.array(n_known), pa.array(base), pa.array(np.zeros(len(ids)))], schema=_PART_KINDS)
+    return pa.Table.from_arrays([pa.array(ids), pa.array(keys), none, none, pa.array(n_known), pa.array(base), pa.array(score)], schema=_PART_KINDS)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, bits: int = BITS, group: int = GROUP, flush: int = FLUSH) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, bits: int = BITS, group: int = GROUP, flush: int = FLUSH, part: int = ROUND) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` tells the rows to learn from; without it, those that ``held_out``
     does not name. A null text is empty: one token, the end. Rows of equal id and
     text get equal results, repeated rows one each. A null id is never held out.
     Without training rows all counts are 0 and ``score`` is null. Other columns
-    are not looked at.
+    are not looked at. ``bits`` of the unigrams' filter are broadcast at once; the
+    scores do not depend on them, nor on ``part``, the bytes of text of a round.
     """
     spark = docs.sparkSession
     bounded(spark)
@@ -381,17 +526,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     # A word and its blank are three bytes at least, mostly.
     groups = max(RANGES_PER_CORE * spark.sparkContext.defaultParallelism, -(-size // (3 * group)))
     buckets = max(groups, shuffle_width(spark))
-    counts = kept_table(count_ngrams(texts.where("train"), groups, flush), "ngram-counts")
-    filter_ = build_filter(counts, groups, bits)
-    total, distinct = (filter_.total, filter_.distinct) if filter_ else (0, 0)
-    heavy, heavy_counts = _heavy(counts, total)
-    sent = spark.sparkContext.broadcast((vars(filter_) if filter_ else None, heavy, heavy_counts))  # ``bits`` and HEAVY numbers at most
-    whole = texts.mapInArrow(lean(_doc_rows(sent)), _PARTS)
-    bags = texts.mapInArrow(lean(_bags(sent, groups, flush)), _BAGS)
-    none = F.lit(None).cast("binary")
-    learned = counts.where("n = 1").select("grp", "keys", "counts", none.alias("ids"), none.alias("text_keys"), none.alias("sizes"))
-    ranges = bags.unionByName(learned).groupBy("grp").applyInArrow(lean_group(_range_scores(buckets)), _SUMMED).groupBy("bucket").applyInArrow(lean_group(_text_scores), _PARTS)
-    sums = whole.unionByName(ranges).groupBy("id", "text_key").agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "n_known", "base", "score")])
+    counts = _freed_table(with_segments(count_ngrams(texts.where("train"), groups, flush)), "ngram-counts")
+    learned = counts.where("n = 1").agg(F.sum("total"), F.sum("distinct_keys")).first()
+    total, distinct = learned[0] or 0, learned[1] or 0
+    texts, filter_ = token_levels(texts.drop("train"), counts, groups, bits)
+    # ``bits`` (a range at least) and twice HEAVY numbers at most.
+    sent = spark.sparkContext.broadcast((vars(filter_) if filter_ else None, total, distinct, _heavy(counts, 1, total), _heavy(counts, 2, total)))
+    one = F.col("n") == 1
+    known = counts.select("grp", *[F.when(one, F.col(c)).alias(c) if c in ("keys", "counts") else F.col(c) if c == "bits" else F.lit(None).cast("binary").alias(c) for c in _BAG_COLUMNS])
+    rounds = min(ROUNDS, in_blocks(size, part))
+
+    def scored(texts: DataFrame) -> DataFrame:
+        whole = texts.mapInArrow(lean(_doc_rows(sent)), _PARTS)
+        bags = texts.mapInArrow(lean(_bags(sent, groups, flush)), _BAGS)
+        found = bags.unionByName(known).groupBy("grp").applyInArrow(lean_group(_range_scores(buckets, total, distinct)), _SUMMED)
+        ranges = found.groupBy("bucket").applyInArrow(lean_group(_text_scores), _PARTS)
+        return whole.unionByName(ranges).groupBy("id", "text_key").agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "n_known", "base", "score")])
+
+    # Rows of equal text meet in one round.
+    shares = [texts.where(F.pmod(F.col("text_key"), F.lit(rounds)) == k) for k in range(rounds)]
+    sums = union_all([_freed_table(scored(x), "text-scores") for x in shares]) if rounds > 1 else scored(texts)
     id_ = F.when(F.col("id") != NO_ID, F.col("id"))
     level_ = float(np.log10(total + HALF * (distinct + 1)))
     each = sums.select(
@@ -401,12 +555,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     )
     return each.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * level_).alias("base_score"), (F.col("score") if filter_ else F.lit(None).cast("double")).alias("score"),
+        (F.col("base") - F.col("n_tokens") * level_).alias("base_score"), (F.col("score") if total else F.lit(None).cast("double")).alias("score"),
     )
 
 
-def _heavy(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of more than 1 / HEAVY of the corpus with their counts: HEAVY at most."""
+def _freed_table(df: DataFrame, label: str) -> DataFrame:
+    """A kept table whose shuffle files do not stay."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREED)
+    conf.set(FREED, "true")
+    try:
+        return kept_table(df, label)
+    finally:
+        conf.set(FREED, before)
+
+
+def _heavy(counts: DataFrame, order: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of more than 1 / HEAVY of the corpus with their counts: HEAVY at most."""
     limit = total / HEAVY
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,7 +580,7 @@ def _heavy(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
                 keys, n = np.frombuffer(r["keys"], np.int64), unpacked(r["counts"], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[n > limit]), pa.array(n[n > limit])], ["k", "c"])
 
-    rows = counts.where("n = 1").select("keys", "counts").mapInArrow(lean(find), "k long, c long").collect()
+    rows = counts.where(F.col("n") == order).select("keys", "counts").mapInArrow(lean(find), "k long, c long").collect()
     keys, n = np.array([r["k"] for r in rows], np.int64).view(np.uint64), np.array([r["c"] for r in rows], np.int64)
     order = np.argsort(keys)
     return keys[order], n[order]

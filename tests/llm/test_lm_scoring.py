@@ -106,3 +106,30 @@ def test_model_prefers_text_like_its_own(make):
     natural, mixed = [out[k]["score"] for k, _ in heldout], [r["score"] for r in out.values() if r["doc_id"] >= 5000]
     assert np.mean(natural) > np.mean(mixed) + 20
     assert np.mean(natural) > np.mean([out[k]["base_score"] for k, _ in heldout]) + 20
+
+
+def test_no_ngram_is_left_out_of_scores(make):
+    """Scores follow from all n-grams, whatever number of bits is sent at once and of texts is scored at once."""
+    rows = [(k, prose(k, 200, 400)) for k in range(40)] + [(None, prose(3, 200, 400)), (900, "")]
+    whole, blocked = ({r["doc_id"]: r["score"] for r in lm.score(make(rows), bits=bits, part=part).collect()} for bits, part in ((lm.BITS, lm.ROUND), (1 << 12, 20000)))
+    assert blocked == pytest.approx(whole, abs=1e-9)
+    one, two, v = Counter(), Counter(), set()
+    for i, t in rows:
+        if not held(i):
+            own = [None, *tokens(t)]
+            one.update(own[1:])
+            two.update(zip(own, own[1:]))
+    n, v = sum(one.values()), len(one)
+
+    def typical(c):
+        return float(lm.typical(lm.level(np.array([c])))[0])
+
+    def expected(t):
+        own, out = [None, *tokens(t)], 0.0
+        for a, b in zip(own, own[1:]):
+            share, context = (typical(one[b]) + lm.HALF) / (n + lm.HALF * (v + 1)), typical(one[a])
+            out += log10((min(typical(two[a, b]), context) + lm.PRIOR * share) / (context + lm.PRIOR))
+        return out
+
+    for i, t in rows:  # false memberships are rare
+        assert whole[i] == pytest.approx(expected(t), abs=0.1 + 0.05 * len(tokens(t)))
