@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import blob_rows, bounded, by_group, in_blocks, kept_table, lean, lean_group, packed, send, shuffle_width, union_all, unpacked
+from pairwright.llm.frames import blob_rows, bounded, by_group, in_blocks, kept_table, lean, lean_group, packed, send, shuffle_width, text_key, union_all, unpacked
 from pairwright.llm.words import WORD_STEP, Words, blocks, mix, spaced, words_of
 
 #: Bits of the filter that are broadcast at once, least bits for a membership, hash functions.
@@ -333,8 +333,8 @@ def _noted(sent):
 
 # --- scores -------------------------------------------------------------------------------------------------------
 
-_PARTS = "id long, text_key int, n_rows long, n_tokens long, n_known long, base double, score double"
-_PART_KINDS = pa.schema([("id", pa.int64()), ("text_key", pa.int32()), *[(c, pa.int64()) for c in ("n_rows", "n_tokens", "n_known")], ("base", pa.float64()), ("score", pa.float64())])
+_PARTS = "id long, text_key long, n_rows long, n_tokens long, n_known long, base double, score double"
+_PART_KINDS = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), *[(c, pa.int64()) for c in ("n_rows", "n_tokens", "n_known")], ("base", pa.float64()), ("score", pa.float64())])
 _SUMMED = "bucket int, ids binary, text_keys binary, n_known binary, base binary, score binary"
 _SUMMED_KINDS = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("ids", "text_keys", "n_known", "base", "score")]])
 #: Texts of a range with their tokens (how often, how many a text) and bigrams (the same, and the levels of both words), or what was learned.
@@ -480,7 +480,7 @@ def _range_scores(buckets: int, total: int, distinct: int):
             both = probed(bits, np.zeros(len(pair), np.int64), 8 * len(bits), pair, 2) if len(bits) else np.zeros(len(pair), np.int64)
             score.append(np.bincount(text, times * gain(both, before, share(after, total, distinct)), minlength=len(own)))
         ids = np.concatenate([unpacked(cols["ids"][k], np.int64) for k in bags])
-        keys = np.concatenate([np.frombuffer(cols["text_keys"][k], np.int32) for k in bags])
+        keys = np.concatenate([np.frombuffer(cols["text_keys"][k], np.int64) for k in bags])
         ids, keys, base, n_known, score = _by_text(ids, keys, *(np.concatenate(x) for x in (base, n_known, score)))
         bucket = (mix(ids.astype(np.uint64) + keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order, begin = by_group(bucket, buckets)
@@ -497,7 +497,7 @@ def _text_scores(table: pa.Table) -> pa.Table:
     """A bucket of texts: the ranges' parts added up."""
     cols = {n: table.column(n).to_pylist() for n in table.column_names}
     ids, keys, base, n_known, score = _by_text(
-        np.concatenate([unpacked(x, np.int64) for x in cols["ids"]]), np.concatenate([np.frombuffer(x, np.int32) for x in cols["text_keys"]]),
+        np.concatenate([unpacked(x, np.int64) for x in cols["ids"]]), np.concatenate([np.frombuffer(x, np.int64) for x in cols["text_keys"]]),
         np.concatenate([np.frombuffer(x, np.float64) for x in cols["base"]]), np.concatenate([unpacked(x, np.int64) for x in cols["n_known"]]),
         np.concatenate([np.frombuffer(x, np.float64) for x in cols["score"]]),
     )
@@ -519,7 +519,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     bounded(spark)
     out = held_out(F.col(id_col))
     texts = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         (~out if train is None else F.coalesce(train, F.lit(False))).alias("train"),
     )
     size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0

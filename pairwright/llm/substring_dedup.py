@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import blob_rows, bounded, by_group, lean, lean_group, others, packed, send, shuffle_width, unpacked
+from pairwright.llm.frames import blob_rows, bounded, by_group, lean, lean_group, others, packed, send, shuffle_width, text_key, unpacked
 from pairwright.llm.words import WORD_STEP, Words, blocks, covered, gathered, mix, ragged, runs, spaced, string_array, words_of
 
 #: Words of a window; lengths of prefixes that are tried; bins of a histogram.
@@ -53,8 +53,8 @@ _LEAVES = "grp int, paths binary, places binary, ids binary, keys binary, counts
 _LEAF_KINDS = pa.schema([("grp", pa.int32()), *[(c, pa.binary()) for c in ("paths", "places", "ids", "keys", "counts")]])
 _CUTS = "bucket int, ids binary, keys binary, counts binary, places binary"
 _CUT_KINDS = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("ids", "keys", "counts", "places")]])
-_STARTS = "id long, text_key int, places binary"
-_START_KINDS = pa.schema([("id", pa.int64()), ("text_key", pa.int32()), ("places", pa.binary())])
+_STARTS = "id long, text_key long, places binary"
+_START_KINDS = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("places", pa.binary())])
 
 
 @dataclass
@@ -273,7 +273,7 @@ def _gathered(table: pa.Table) -> pa.Table:
     """A bucket of texts -> all starts of each."""
     cols = {n: table.column(n).to_pylist() for n in table.column_names}
     counts = np.concatenate([unpacked(x, np.uint32) for x in cols["counts"]])
-    ids, keys = np.concatenate([unpacked(x, np.int64) for x in cols["ids"]]), np.concatenate([np.frombuffer(x, np.int32) for x in cols["keys"]])
+    ids, keys = np.concatenate([unpacked(x, np.int64) for x in cols["ids"]]), np.concatenate([np.frombuffer(x, np.int64) for x in cols["keys"]])
     id_, key, n, place = _texts(np.repeat(ids, counts), np.repeat(keys, counts), np.concatenate([unpacked(x, np.uint32) for x in cols["places"]]))
     ends = np.cumsum(n)
     places = [packed(place[a:e]) for a, e in zip((ends - n).tolist(), ends.tolist(), strict=True)]
@@ -288,7 +288,7 @@ def _column(table: pa.Table, name: str) -> list:
 def _later(table: pa.Table) -> tuple[np.ndarray, ...]:
     """(id, key, place) of the leaves of a group that are to go."""
     ids = np.concatenate([unpacked(x, np.int64) for x in _column(table, "ids")])
-    keys = np.concatenate([np.frombuffer(x, np.int32) for x in _column(table, "keys")])
+    keys = np.concatenate([np.frombuffer(x, np.int64) for x in _column(table, "keys")])
     if table.column("grp")[0].as_py() < 0:  # one text in each row, already decided
         n = [x.size // 4 for x in _column(table, "places")]
         return np.repeat(ids, n), np.repeat(keys, n), np.concatenate([unpacked(x, np.uint32) for x in _column(table, "places")])
@@ -303,11 +303,6 @@ def _later(table: pa.Table) -> tuple[np.ndarray, ...]:
     return ids[text], keys[text], place
 
 
-def _text_key(text: str):
-    """32 bits that tell texts of one id apart."""
-    return F.hash(F.coalesce(F.col(text), F.lit("")))
-
-
 def dedup_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, lengths: tuple[int, ...] = PREFIXES,
     bins: int = BINS, group: int = GROUP, flush: int = FLUSH,
@@ -325,7 +320,7 @@ def dedup_substrings(
     spark = docs.sparkSession
     bounded(spark)
     own = others(docs, "all_words", "cut_words", "kept_words")
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _text_key(text_col).alias("text_key"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_key(text_col).alias("text_key"))
     part = partition(keyed, size, lengths, bins, group)
     sent = send(spark, part)
     buckets = max(part.n, shuffle_width(spark))
@@ -333,7 +328,7 @@ def dedup_substrings(
     gone = found.groupBy("bucket").applyInArrow(lean_group(_gathered), _STARTS).withColumnRenamed("places", "_places")
     # The rows travel as one column of numbered fields, so none of their names can clash.
     row = F.struct(*[F.col(c).alias(f"r{k}") for k, c in enumerate(own)])
-    rows = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), _text_key(text_col).alias("_key"))
+    rows = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), text_key(text_col).alias("_key"))
     joined = rows.join(gone, (F.col("_id") == F.col("id")) & (F.col("_key") == F.col("text_key")), "left")
     new = [F.lit(0).cast("long").alias("all_words"), F.lit(0).cast("long").alias("cut_words"), F.lit("").alias("kept_words")]
     return joined.select("_places", "row.*").mapInArrow(lean(_cutter(own.index(text_col), own, size)), docs.select(*own, *new).schema)

@@ -17,3 +17,12 @@ def odd_rows():
         (8, long), (9, long + " tail"), (10, prose(4, 40)), (10, prose(5, 40)), (11, "a\x00b c d \U0001f600 é" * 3), (12, "x" * 300_000),
         (13, base.upper()), (14, f"{prose(6, 30)} {base[:400]} {prose(7, 30)}"), (15, (prose(8, 20) + "\n") * 5),
     ]
+
+
+def same_hash(spark, a, b):
+    """A text that begins with ``a`` and one that begins with ``b``, of equal 32-bit hash."""
+    from pyspark.sql import functions as F
+
+    one, two = (spark.range(400_000).select(F.concat(F.lit(f"{x} x"), F.col("id")).alias(n)).withColumn("h", F.hash(n)) for x, n in ((a, "a"), (b, "b")))
+    r = one.join(two, "h").first()
+    return r["a"], r["b"]

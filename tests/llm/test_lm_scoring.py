@@ -6,7 +6,7 @@ from math import log10
 import numpy as np
 import pytest
 
-from cases import odd_rows, prose
+from cases import odd_rows, prose, same_hash
 
 from pairwright.llm import lm_scoring as lm
 
@@ -133,3 +133,8 @@ def test_no_ngram_is_left_out_of_scores(make):
 
     for i, t in rows:  # false memberships are rare
         assert whole[i] == pytest.approx(expected(t), abs=0.1 + 0.05 * len(tokens(t)))
+
+
+def test_texts_of_equal_hash_are_told_apart(spark, make):
+    rows = [(None, t) for t in same_hash(spark, "a b c", "a")] + [(1, "a b c d")]
+    same(result(lm.score(make(rows))), brute(rows))

@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cases import odd_rows
+from cases import odd_rows, prose, same_hash
 
 from pairwright.llm import substring_dedup as sd
 
@@ -90,3 +90,10 @@ def test_passages_go_with_the_space_behind_them(make):
     shared = " ".join(f"s{k}" for k in range(20))
     out = sd.dedup_substrings(make([(1, shared), (2, f"Début.\n{shared}\n\nEnd  of it. "), (3, f"{shared}\n")]))
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: shared, 2: "Début.\nEnd  of it. ", 3: ""}
+
+
+def test_texts_of_equal_hash_are_told_apart(spark, make):
+    shared = prose(1, 20, 500)
+    a, b = same_hash(spark, shared, prose(2, 30, 500))
+    rows = [(1, shared), (None, a), (None, b)]
+    assert result(sd.dedup_substrings(make(rows))) == brute(rows, 13)
