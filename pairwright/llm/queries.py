@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairwright.catalog.registry import query
 from pairwright.llm import (
-    chat_format, decontamination, host_reputation, lm_scoring, mixing, near_duplicates, quality, substring_dedup, token_counts, warc_revisit,
+    chat_format, decontamination, host_reputation, lm_scoring, mixing, near_duplicates, periodic_runs, quality, substring_dedup, token_counts, warc_revisit,
 )
 
 
@@ -251,3 +251,58 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """)
 def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf, "documents"))
+
+
+# --- 11: periodic runs ----------------------------------------------------------------------------------------------
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; the words from the (g % n)-th on of every document whose id has a crc32 h with h % 10 = 0 go round in a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    g = F.floor(h / 10)
+    a = F.pmod("g", "n")
+    p = F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))
+    cut = docs.select("doc_id", "text", g.alias("g"), words.alias("w")).withColumn("n", F.size("w").cast("long"))
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", p)
+    rest = F.col("n") - F.col("a")
+    round_ = F.array_repeat(F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int")), F.ceil(rest / F.col("p")).cast("int"))
+    planted = F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), F.slice(F.flatten(round_), F.lit(1), rest.cast("int")))
+    return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+#: crc32 of a decimal number, bit by bit.
+CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda x, c: list_reduce([xor(x, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))))"""
+
+
+@query("op11_periodic_runs", rf"""
+WITH d0 AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {CRC32_SQL.format("doc_id::VARCHAR")} AS h FROM documents
+), d1 AS (SELECT *, len(w)::BIGINT AS n, h // 10 AS g FROM d0), d2 AS (SELECT *, CASE WHEN n > 0 AND h % 10 = 0 THEN g % n END AS a FROM d1),
+d3 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM d2),
+d AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w FROM d3),
+g AS (SELECT r, i, list_slice(w, i + 1, i + 16) AS x FROM (SELECT r, w, unnest(range(0, n - 15)) AS i FROM d WHERE n >= 16)),
+k AS (SELECT *, count(*) OVER (PARTITION BY r, x) AS c FROM g),
+e AS (SELECT x.r, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.r = y.r AND x.x = y.x AND x.i < y.i WHERE x.c > 1 AND y.c > 1),
+f AS (SELECT r, q, min(i) AS s, max(i) - min(i) + 16 + q AS l FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS part FROM e) GROUP BY r, q, part),
+u AS (SELECT * FROM f WHERE l >= 24 AND l >= 3 * q),
+v AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM f z WHERE z.r = u.r AND z.q < u.q AND z.s <= u.s AND z.s + z.l >= u.s + u.l)),
+m AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS said FROM v GROUP BY r),
+t AS (SELECT * FROM v b WHERE NOT EXISTS (SELECT 1 FROM v z WHERE z.r = b.r AND (z.l * b.q > b.l * z.q OR (z.l * b.q = b.l * z.q AND (z.s < b.s OR (z.s = b.s AND z.q < b.q)))))),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM v),
+o AS (SELECT r, unnest(w) AS x, unnest(range(n)) AS i FROM d),
+kept AS (SELECT o.r, string_agg(x, ' ' ORDER BY o.i) FILTER (gone.r IS NULL) AS rest FROM o LEFT JOIN gone ON o.r = gone.r AND o.i = gone.i GROUP BY o.r)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, t.s::BIGINT AS "start", t.l::BIGINT AS length, t.q::BIGINT AS period, (1000 * t.l // t.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM d LEFT JOIN m USING (r) LEFT JOIN t USING (r) LEFT JOIN kept USING (r)
+""")
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.get("runs", F.col("best"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(F.lit(1000) * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
