@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pairwright.catalog.registry import query
 from pairwright.llm import (
-    chat_format, decontamination, host_reputation, lm_scoring, mixing, near_duplicates, periodic_runs, quality, substring_dedup, token_counts, warc_revisit,
+    chat_format, decontamination, host_reputation, lm_scoring, mixing, near_duplicates, periodic_runs, quality, substring_dedup, token_alignment,
+    token_counts, warc_revisit,
 )
 
 
@@ -306,3 +307,13 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         F.floor(F.lit(1000) * best["length"] / best["period"]).alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+# --- 12: token alignment --------------------------------------------------------------------------------------------
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    found = token_alignment.align_tokens(table(spark, sf, "documents"))
+    said = F.when(F.col("n_groups") > 0, F.sha2("grouped", 256)).otherwise(F.lit(""))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", said.alias("groups_sha256"), "n_overlaps")
