@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairwright.catalog.registry import query
 from pairwright.llm import (
     chat_format, decontamination, host_reputation, lm_scoring, mixing, near_duplicates, periodic_runs, quality, substring_dedup, token_alignment,
-    token_counts, warc_revisit,
+    token_counts, vector_join, warc_revisit,
 )
 
 
@@ -317,3 +317,19 @@ def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     found = token_alignment.align_tokens(table(spark, sf, "documents"))
     said = F.when(F.col("n_groups") > 0, F.sha2("grouped", 256)).otherwise(F.lit(""))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", said.alias("groups_sha256"), "n_overlaps")
+
+
+# --- 13: vectors ----------------------------------------------------------------------------------------------------
+
+
+@query("op13_vector_join", """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.9 ELSE FALSE END),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a),
+reach(r, low) AS (SELECT r, r FROM v UNION SELECT l.b, reach.low FROM reach JOIN l ON reach.r = l.a),
+c AS (SELECT reach.r, min(v.vec_id) AS low FROM reach JOIN v ON v.r = reach.low GROUP BY reach.r)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, low AS component_id, vec_id IS NOT DISTINCT FROM low AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+""")
+def op13_vector_join(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_join.near_vectors(table(spark, sf, "embeddings"))
