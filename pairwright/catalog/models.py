@@ -18,7 +18,7 @@ from pairwright.operators.enrich import sample_columns
 from pairwright.operators.inference import batch_stage, expression_stage
 from pairwright.plans import compare, create, verify
 from pairwright.session import cut_lineage, run_dir
-from pairwright.streaming import jobs
+from pairwright.streaming import jobs, store
 
 
 def sql_lines(s: str) -> str:
@@ -278,6 +278,45 @@ def x02(spark, sf):
     return spark.read.parquet(f"{path}/out").select("id")
 
 
+# Three deliveries into a store that has the signups: up to the middle of the month, the rest, and everything once more.
+DELIVERIES = f"""{STREAMED}, w AS (SELECT id, ts, event_type = 'signup' AS pre, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS b FROM st JOIN events USING (event_id)),
+first AS (SELECT id, bool_or(pre) AS pre, min(b) AS b FROM w GROUP BY id)"""
+
+
+def delivered(spark, sf, label):
+    path = run_dir(spark, label)
+    e = events(spark, sf)
+    order = F.col("event_id")
+    store.create_store(stream_formulas(e.where("event_type = 'signup'")).select("id", "nl_statement", "event_id"), "id", order, f"{path}/store", digits=1)
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    for part in (early, ~early, F.lit(True)):
+        e.where(part).drop("k").write.mode("append").parquet(f"{path}/in")
+        rows = stream_formulas(jobs.stream_table(spark, f"{path}/in")).select("id", "nl_statement", "event_id")
+        store.insert_into_store(rows, "id", order, f"{path}/store", f"{path}/checkpoint").awaitTermination()
+    return f"{path}/store"
+
+
+@query(
+    "x02_insert_into_store",
+    f"""WITH {DELIVERIES}, n AS (SELECT b, count(*) AS n FROM w GROUP BY b UNION ALL SELECT 2, count(*) FROM w),
+    a AS (SELECT b, count(*) AS added FROM first WHERE NOT pre GROUP BY b)
+    SELECT CAST(b AS BIGINT) AS batch_no, coalesce(added, 0)::BIGINT AS added, (n - coalesce(added, 0))::BIGINT AS duplicates FROM n LEFT JOIN a USING (b)""",
+)
+def x02s(spark, sf):
+    return store.batch_counts(spark, delivered(spark, sf, "x02s")).drop("stream")
+
+
+@query(
+    "x02_stored_rows",
+    f"""WITH {DELIVERIES}, o AS (SELECT id, min(event_id) FILTER (event_type = 'signup') AS pre_id, min(event_id) FILTER (ts < TIMESTAMP '2024-01-16') AS early_id, min(event_id) AS any_id
+      FROM st JOIN events USING (event_id) GROUP BY id)
+    SELECT id, coalesce(pre_id, early_id, any_id) AS event_id, CASE WHEN pre THEN 'start' WHEN b = 0 THEN '0' ELSE '1' END AS came_with FROM o JOIN first USING (id)""",
+)
+def x02r(spark, sf):
+    rows = store.read_store(spark, delivered(spark, sf, "x02r"))
+    return rows.select("id", "event_id", F.substring_index("batch", "-", -1).alias("came_with"))
+
+
 def log_stream(spark, sf):
     e = jobs.stream_table(spark, f"{sf}/events.parquet")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
