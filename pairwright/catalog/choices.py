@@ -252,14 +252,15 @@ def g08(spark, sf):
     "g08_hybrid_dataset",
     f"""WITH {G01_SQL}, a AS (SELECT o_orderkey, nl, {ascii_sql('formula')} AS f FROM pairs),
     p AS (SELECT o_orderkey, nl, f, CAST(NULL AS VARCHAR) AS paraphrase_of FROM a
-      UNION ALL SELECT o_orderkey, unnest({sql_list([x[3:] for x in replies.PARAPHRASES.split(chr(10))])}), f, nl FROM a),
-    r AS (SELECT *, row_number() OVER (ORDER BY md5(o_orderkey || '/' || md5(nl) || '#5'), o_orderkey || '/' || md5(nl)) AS i FROM p)
+      UNION ALL SELECT o_orderkey, unnest({replies.paraphrases_sql('nl')}), f, nl FROM a),
+    c AS (SELECT * FROM p WHERE NOT starts_with(nl, '{replies.WORDINGS[1]}')),
+    r AS (SELECT *, row_number() OVER (ORDER BY md5(o_orderkey || '/' || md5(nl) || '#5'), o_orderkey || '/' || md5(nl)) AS i FROM c)
     SELECT substring(sha256(lower({strip_sql('nl')}) || '|' || {strip_sql('f')}), 1, 12) AS id, nl AS nl_statement, f AS atl_formula, 1.0::DOUBLE AS confidence, paraphrase_of
     FROM r WHERE i <= 5000""",
 )
 def g08h(spark, sf):
-    ask = expression_stage(replies.translator)
-    rows = create.hybrid_dataset(order_draws(spark, sf), "o_orderkey", 5, 5000, ask, ask, "mock", domains=region_domains(spark, sf))
+    ask, critique = expression_stage(replies.paraphrases), expression_stage(replies.critique)
+    rows = create.hybrid_dataset(order_draws(spark, sf), "o_orderkey", 5, 5000, ask, critique, "mock", domains=region_domains(spark, sf))
     return rows.select("id", "nl_statement", "atl_formula", "confidence", F.col("generation.paraphrase_of").alias("paraphrase_of"))
 
 
@@ -285,20 +286,20 @@ def j04(spark, sf):
 
 
 def two_stage_reply(q, request):
-    """Statement requests get one statement that names domain and attempt; translation requests get a formula, one kind none."""
+    """Statement requests get one statement that names domain and attempt; translation requests a formula with the attempt, one kind none."""
     domain = F.regexp_extract(q, r"Domain: (\w+)", 1)
     attempt = F.regexp_extract(request, r"/(\d+)", 1)
     statement = F.concat(F.lit('1. "Agents of '), domain, F.lit(" can react in way "), attempt, F.lit('."'))
     bad = F.contains(q, F.lit("Agents of view can"))
     return (
-        F.when(F.contains(q, F.lit("No formulas.")), statement).when(bad, F.lit("broken (formula")).otherwise(F.lit(replies.TRANSLATION))
+        F.when(F.contains(q, F.lit("No formulas.")), statement).when(bad, F.lit("broken (formula")).otherwise(F.concat(F.lit("⟨⟨1⟩⟩ F way_"), F.regexp_extract(q, r"in way (\d+)", 1)))
     )
 
 
 @query(
     "g08_model_dataset",
     f"""WITH a AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS attempt FROM events WHERE event_type <> 'view'),
-    s AS (SELECT 'Agents of ' || event_type || ' can react in way ' || attempt || '.' AS nl_statement, {_sql_text('<<1>> G !error')} AS atl_formula, 'llm_' || event_type || '_safety' AS template_id FROM a WHERE attempt < 40)
+    s AS (SELECT 'Agents of ' || event_type || ' can react in way ' || attempt || '.' AS nl_statement, '<<1>> F way_' || attempt AS atl_formula, 'llm_' || event_type || '_safety' AS template_id FROM a WHERE attempt < 40)
     SELECT substring(sha256(lower(nl_statement) || '|' || atl_formula), 1, 12) AS id, nl_statement, atl_formula, template_id FROM s""",
 )
 def g08m(spark, sf):

@@ -11,100 +11,108 @@ from pairwright.catalog.registry import big, joined, query, sql_joined
 from pairwright.catalog.rows import RETRYABLE
 from pairwright.catalog.texts import classify_sql
 from pairwright.catalog.views import (
-    FORMULAS_SQL, LOG_SQL, PAIRS_SQL, RESULTS_SQL, _sql_text, events, table, v_formulas, v_pairs, v_results,
+    FORMULAS_SQL, LOG_SQL, PAIRS_SQL, RESULTS_SQL, events, table, v_formulas, v_pairs, v_results,
 )
 from pairwright.operators import stats
 from pairwright.operators.enrich import sample_columns
-from pairwright.operators.inference import batch_stage, expression_stage
+from pairwright.operators.inference import batch_stage, expression_stage, recorded_stage
 from pairwright.plans import compare, create, verify
 from pairwright.session import cut_lineage, run_dir
 from pairwright.streaming import jobs, store
 
 
-def sql_lines(s: str) -> str:
-    return _sql_text(s).replace("\n", "' || chr(10) || '")
-
-
-OFFLINE_SQL = f"""CASE WHEN contains(q, '"ok"') OR contains(lower(q), 'critique') OR contains(lower(q), 'check if') THEN {_sql_text(replies.CRITIQUE)}
-  WHEN contains(lower(q), 'paraphrase') OR contains(lower(q), 'rephrase') THEN {sql_lines(replies.PARAPHRASES)} ELSE {_sql_text(replies.TRANSLATION)} END"""
-
-
 @query(
     "i01_batch_inference",
-    f"""WITH q AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Critique this: ' WHEN 'system' THEN 'Paraphrase this: ' ELSE 'Translate this: ' END || text AS q FROM conversations)
-    SELECT conv_id, turn, CASE WHEN contains(q, 'ou') THEN NULL ELSE {OFFLINE_SQL} END AS text, CASE WHEN contains(q, 'ou') THEN 'Error code: 503' END AS error, 'mock' AS provider FROM q""",
+    """SELECT conv_id, turn, CASE WHEN contains(text, 'ou') THEN NULL ELSE 'measure ' || length(text) || ' ' || substr(text, 1, 12) END AS text,
+      CASE WHEN contains(text, 'ou') THEN 'Error code: 503' END AS error, 'own' AS provider FROM conversations""",
 )
 def i01(spark, sf):
-    head = F.when(F.col("role") == "user", "Critique this: ").when(F.col("role") == "system", "Paraphrase this: ").otherwise("Translate this: ")
-    rows = table(spark, sf, "conversations").withColumn("q", F.concat(head, F.col("text")))
-    ask = batch_stage(lambda: replies.Written(fail_on="ou"))
-    return ask(rows, "q", "a").select("conv_id", "turn", F.col("a.text").alias("text"), F.col("a.error").alias("error"), F.col("a.provider").alias("provider"))
+    ask = batch_stage(lambda: replies.Measure(fail_on="ou"))
+    rows = ask(table(spark, sf, "conversations").withColumnRenamed("text", "q"), "q", "a")
+    return rows.select("conv_id", "turn", F.col("a.text").alias("text"), F.col("a.error").alias("error"), F.col("a.provider").alias("provider"))
+
+
+@query(
+    "i01_resumed_inference",
+    """WITH first AS (SELECT DISTINCT text AS done FROM conversations WHERE role = 'user' AND NOT contains(text, 'ou'))
+    SELECT conv_id, turn, CASE WHEN done IS NULL THEN 'second ' ELSE 'first ' END || length(text) || ' ' || substr(text, 1, 12) AS text, CAST(NULL AS VARCHAR) AS error
+    FROM conversations LEFT JOIN first ON text = done""",
+)
+def i01r(spark, sf):
+    """A job asks about some prompts and fails on others; the next one asks what the answer table lacks."""
+    rows = table(spark, sf, "conversations").withColumnRenamed("text", "q")
+    kept = f"{run_dir(spark, 'i01r')}/answers"
+    stages = [batch_stage(lambda name=name, fail_on=fail_on: replies.Measure(name, fail_on), kept=kept, slices=2) for name, fail_on in (("first", "ou"), ("second", None))]
+    stages[0](rows.where("role = 'user'"), "q", "a")
+    return stages[1](rows, "q", "a").select("conv_id", "turn", F.col("a.text").alias("text"), F.col("a.error").alias("error"))
 
 
 @query(
     "i02_offline_replies",
-    f"""WITH {PAIRS_SQL}, q AS (SELECT conv_id, turn, nl || ' paraphrase ' || target AS q FROM v_pairs)
-    SELECT conv_id, turn, {OFFLINE_SQL} AS reply, (['one', 'two', 'three'])[CAST((conv_id + turn) % 3 AS INTEGER) + 1] AS cyclic FROM q""",
+    f"""WITH {PAIRS_SQL}, rec AS (SELECT nl, min(target) AS reply FROM v_pairs GROUP BY nl)
+    SELECT conv_id, turn, reply, CASE WHEN nl IS NULL THEN 'no recorded answer' END AS error FROM conversations LEFT JOIN rec ON nl = text""",
 )
 def i02(spark, sf):
-    q = F.concat("nl", F.lit(" paraphrase "), "target")
-    return v_pairs(spark, sf).select(
-        "conv_id", "turn", replies.translator(q).alias("reply"), replies.cyclic(F.col("conv_id") + F.col("turn"), ["one", "two", "three"]).alias("cyclic")
-    )
+    """Every turn is asked; what followed a user's turn is the recorded answer to its text."""
+    recorded = v_pairs(spark, sf).groupBy(F.col("nl").alias("prompt")).agg(F.min("target").alias("text"))
+    rows = recorded_stage(recorded)(table(spark, sf, "conversations"), "text", "a")
+    return rows.select("conv_id", "turn", F.col("a.text").alias("reply"), F.col("a.error").alias("error"))
 
 
 @query(
     "i03_translate",
-    f"""WITH {PAIRS_SQL} SELECT conv_id, turn, CAST(0 AS BIGINT) AS candidate_no, {_sql_text(replies.TRANSLATION)} AS atl_formula FROM v_pairs""",
+    f"""WITH {PAIRS_SQL} SELECT conv_id, turn, CAST(0 AS BIGINT) AS candidate_no, {replies.formula_sql('nl')} AS atl_formula FROM v_pairs""",
 )
 def i03(spark, sf):
     rows = v_pairs(spark, sf).select("conv_id", "turn", F.col("nl").alias("nl_statement"))
-    found = create.candidates(rows, expression_stage(offline_answer_plain))
+    found = create.candidates(rows, expression_stage(replies.formula))
     return found.select("conv_id", "turn", big(F.col("candidate_no")).alias("candidate_no"), "atl_formula")
 
 
-def offline_answer_plain(_prompt):
-    return F.lit(replies.TRANSLATION)
-
-
 @query(
     "i03_critique_and_paraphrase",
     f"""WITH {FORMULAS_SQL}, a AS (SELECT event_id, nl, {ascii_sql('formula')} AS f FROM v_formulas),
-    p AS (SELECT event_id, f, unnest([nl, 'No error ever occurs.', 'The plant stays free of errors.', 'Errors are ruled out for good.']) AS nl_statement FROM a)
-    SELECT event_id, nl_statement, f AS atl_formula, 1.0::DOUBLE AS confidence FROM p""",
+    p AS (SELECT event_id, f, unnest(list_prepend(nl, {replies.paraphrases_sql('nl')})) AS nl_statement FROM a)
+    SELECT event_id, nl_statement, f AS atl_formula, 1.0::DOUBLE AS confidence FROM p WHERE NOT starts_with(nl_statement, '{replies.WORDINGS[1]}')""",
 )
 def i03c(spark, sf):
     from pairwright.functions import formula as fx
 
-    ask = expression_stage(replies.translator)
     rows = v_formulas(spark, sf).select("event_id", "nl", fx.to_ascii(F.col("formula")).alias("formula"))
-    more = create.paraphrase(rows, ask).select("event_id", F.col("nl").alias("nl_statement"), F.col("formula").alias("atl_formula"))
-    return verify.critique_pairs(more, ask).select("event_id", "nl_statement", "atl_formula", "confidence")
+    more = create.paraphrase(rows, expression_stage(replies.paraphrases))
+    more = more.select("event_id", F.col("nl").alias("nl_statement"), F.col("formula").alias("atl_formula"))
+    return verify.critique_pairs(more, expression_stage(replies.critique)).select("event_id", "nl_statement", "atl_formula", "confidence")
 
 
 @query(
     "i03_translate_with_metrics",
-    f"""WITH {PAIRS_SQL} SELECT conv_id, turn, {_sql_text(replies.TRANSLATION)} AS formulas, CAST(1 AS BIGINT) AS candidates_found, 0.25::DOUBLE AS response_time,
+    f"""WITH {PAIRS_SQL} SELECT conv_id, turn, {replies.formula_sql('nl')} AS formulas, CAST(1 AS BIGINT) AS candidates_found, 0.25::DOUBLE AS response_time,
       CAST(12 AS BIGINT) AS tokens_used FROM v_pairs""",
 )
 def i03m(spark, sf):
     rows = v_pairs(spark, sf).select("conv_id", "turn", F.col("nl").alias("nl_statement"))
-    ask = expression_stage(offline_answer_plain, prompt_tokens=5, completion_tokens=7, ms=250.0)
+    ask = expression_stage(replies.formula, prompt_tokens=5, completion_tokens=7, ms=250.0)
     out = create.translate_with_metrics(rows, ask)
     return out.select(
         "conv_id", "turn", joined(F.col("formulas")).alias("formulas"), big(F.col("candidates_found")).alias("candidates_found"), "response_time", "tokens_used"
     )
 
 
+def statements_reply(q):
+    """Two numbered statements on the domain that the request names."""
+    domain = replies.between(q, "\n\nDomain: ", "\nTypical")
+    return F.concat(F.lit("1. Agents can see each "), domain, F.lit(".\n2. After a "), domain, F.lit(" all is well."))
+
+
 @query(
     "i03_generate_statements",
-    """WITH s AS (SELECT event_id, unnest([0, 1, 2]) AS item_no FROM events)
-    SELECT event_id, CAST(item_no AS BIGINT) AS item_no, (['No error ever occurs.', 'The plant stays free of errors.', 'Errors are ruled out for good.'])[item_no + 1] AS nl_statement FROM s""",
+    """WITH s AS (SELECT event_id, event_type, unnest([0, 1]) AS item_no FROM events)
+    SELECT event_id, CAST(item_no AS BIGINT) AS item_no, CASE item_no WHEN 0 THEN 'Agents can see each ' || event_type || '.' ELSE 'After a ' || event_type || ' all is well.' END AS nl_statement FROM s""",
 )
 def i03g(spark, sf):
     e = F.col("event_type")
     requests = events(spark, sf).select("event_id", e.alias("domain"), F.array(e).alias("agents"), F.array(e).alias("atoms"), F.lit("safety").alias("pattern"))
-    out = create.generate_statements(requests, expression_stage(lambda _: F.lit(replies.PARAPHRASES)))
+    out = create.generate_statements(requests, expression_stage(statements_reply))
     return out.select("event_id", big(F.col("item_no")).alias("item_no"), "nl_statement")
 
 
@@ -123,14 +131,13 @@ def i03e(spark, sf):
 
 
 def verifier_reply(q):
-    """Offline verifier with replies that depend on the statement."""
-    plain = replies.verifier(q)
+    """A verifier whose judgement depends on the statement; its own formula is another one."""
     return (
-        F.when(F.contains(q, F.lit("Translate the following")), plain)
+        F.when(F.endswith(q, F.lit("nothing else.")), "<<checker>> F seen")
         .when(F.contains(q, F.lit("react to error")), '{"matches": false, "confidence": 0.3, "explanation": "no", "issues": ["wrong"], "suggested_fix": "<<a>> G (x)"}')
         .when(F.contains(q, F.lit("react to click")), "no object at all")
         .when(F.contains(q, F.lit("react to signup")), '```json{"matches": true, "confidence": 0.6}```')
-        .otherwise(plain)
+        .otherwise('{"matches": true, "confidence": 0.9, "issues": []}')
     )
 
 

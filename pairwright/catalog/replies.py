@@ -1,55 +1,53 @@
-"""Replies that stand for models in the registered queries: expressions of the prompt."""
+"""Replies of the registered queries: small functions of what a prompt asks about, each with the same text in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CRITIQUE = '{"ok": true, "issues": [], "explanation": "Formula and requirement agree.", "suggested_fix": null}'
-TRANSLATION = "⟨⟨1⟩⟩ G ¬error"
-PARAPHRASES = "1. No error ever occurs.\n2. The plant stays free of errors.\n3. Errors are ruled out for good."
-VERIFICATION = '{"matches": true, "confidence": 0.85, "explanation": "Both say the same.", "issues": [], "suggested_fix": null}'
-CROSS_TRANSLATION = "<<Agent>> G(safe)"
 
+def between(prompt: Column, start: str, end: str) -> Column:
+    return F.substring_index(F.substring_index(prompt, start, -1), end, 1)
 
-def _kind(prompt: Column, *pieces: str) -> Column:
-    out = F.lit(False)
-    for p in pieces:
-        out = out | F.contains(prompt, F.lit(p))
-    return out
 
+def formula(prompt: Column) -> Column:
+    """A translation that names the length of the requirement."""
+    return F.concat(F.lit("⟨⟨1⟩⟩ F said_"), F.char_length(between(prompt, "\nNL: ", "\nATL:")).cast("string"))
 
-def translator(prompt: Column) -> Column:
-    """A critique, paraphrases or a formula, by what the prompt asks for."""
-    low = F.lower(prompt)
-    return F.when(_kind(prompt, '"ok"') | _kind(low, "critique", "check if"), CRITIQUE).when(_kind(low, "paraphrase", "rephrase"), PARAPHRASES).otherwise(TRANSLATION)
 
+def formula_sql(nl: str) -> str:
+    return f"('⟨⟨1⟩⟩ F said_' || length({nl}))"
 
-def verifier(prompt: Column) -> Column:
-    """A formula or a judgement, by what the prompt asks for."""
-    translate = _kind(prompt, "Respond with ONLY the ATL formula", "Translate the following")
-    return F.when(translate, CROSS_TRANSLATION).otherwise(VERIFICATION)
 
+#: What paraphrases put in front of the requirement.
+WORDINGS = ("Put otherwise: ", "In short: ", "Once more: ")
 
-def cyclic(index: Column, replies: list[str]) -> Column:
-    """Reply number index, starting over at the end."""
-    arr = F.array(*[F.lit(r) for r in replies])
-    return F.element_at(arr, (F.pmod(index, F.lit(len(replies))) + 1).cast("int"))
 
+def paraphrases(prompt: Column) -> Column:
+    """Three numbered lines with the requirement after a few words."""
+    nl = between(prompt, "Original: ", "\n\nOne per line")
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{k}. {w}"), nl) for k, w in enumerate(WORDINGS, 1)])
 
-class Written:
-    """A backend with the translator's replies; fails where the prompt has a given piece."""
 
-    model = "mock"
-    provider = "mock"
+def paraphrases_sql(nl: str) -> str:
+    return "[" + ", ".join(f"'{w}' || {nl}" for w in WORDINGS) + "]"
 
-    def __init__(self, fail_on: str | None = None):
-        self.fail_on = fail_on
+
+def critique(prompt: Column) -> Column:
+    """Finds fault with the second wording and has no better formula for it."""
+    bad = F.startswith(between(prompt, "Requirement:\n", "\n\nFormula:"), F.lit(WORDINGS[1]))
+    return F.when(bad, '{"ok": false, "issues": ["too short"], "suggested_fix": null}').otherwise('{"ok": true, "issues": []}')
+
+
+class Measure:
+    """A backend that says how long a prompt is and how it begins; it fails where the prompt has a given piece."""
+
+    provider = "own"
+
+    def __init__(self, model: str = "measure", fail_on: str | None = None):
+        self.model, self.fail_on = model, fail_on
 
     def answer(self, prompt: str) -> tuple[str, int, int]:
         if self.fail_on and self.fail_on in prompt:
             raise RuntimeError("Error code: 503")
-        p = prompt.lower()
-        if '"ok"' in prompt or "critique" in p or "check if" in p:
-            return CRITIQUE, 0, 0
-        return (PARAPHRASES if "paraphrase" in p or "rephrase" in p else TRANSLATION), 0, 0
+        return f"{self.model} {len(prompt)} {prompt[:12]}", 0, 0

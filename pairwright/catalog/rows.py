@@ -310,8 +310,7 @@ def j08(spark, sf):
 
 @query(
     "j09_paraphrase_lineage",
-    f"""WITH {FORMULAS_SQL}, o AS (SELECT event_id, nl, formula, list_transform(string_split({_sql_text(replies.PARAPHRASES).replace(chr(10), "' || chr(10) || '")}, chr(10)),
-        lambda x: regexp_replace(x, '^[0-9]+[.):\\-]\\s*', '')) AS items FROM v_formulas)
+    f"""WITH {FORMULAS_SQL}, o AS (SELECT event_id, nl, formula, {replies.paraphrases_sql('nl')} AS items FROM v_formulas)
     SELECT event_id, nl, formula, CAST(NULL AS VARCHAR) AS paraphrase_of FROM o
     UNION ALL SELECT event_id, unnest(items) AS nl, formula, nl AS paraphrase_of FROM o""",
 )
@@ -319,7 +318,7 @@ def j09(spark, sf):
     from pairwright.functions import prompts
 
     rows = v_formulas(spark, sf).select("event_id", "nl", "formula")
-    reply = replies.translator(prompts.paraphrase(F.col("nl")))
+    reply = replies.paraphrases(prompts.paraphrase(F.col("nl")))
     items = answers.list_items(reply, original=F.col("nl"), first=3)
     return with_paraphrases(rows.withColumn("items", items), "items")
 

@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import contextlib
+import queue
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwright import schemas
+from pairwright import schemas, vocab
+from pairwright.functions.rules import is_retryable
 from pairwright.session import cut_lineage
 
+#: Calls of one task that may hang past their deadline; from then on its prompts get an error at once.
+HUNG = 32
+
+
 class Backend(Protocol):
     """A model. Built once per partition by a factory that is sent to the workers."""
 
@@ -63,11 +72,70 @@ def expression_stage(reply: Callable[..., Column], sees: tuple[str, ...] = (), *
     return run
 
 
-def _ask(backends: Callable[[], Backend] | dict[str, Callable[[], Backend]], in_flight: int):
+def recorded_stage(recorded: DataFrame, prompt_col: str = "prompt", text_col: str = "text", **kw) -> Stage:
+    """Stage that replays recorded answers, one row per prompt; a prompt without one gets an error."""
+
+    def run(df: DataFrame, prompt: str, out: str, model: str | None = None, request: str | None = None) -> DataFrame:
+        known = recorded.select(F.col(prompt_col).alias("_prompt"), F.col(text_col).alias("_text"), F.lit(True).alias("_known"))
+        answer = as_answer(F.col("_text"), **({"model": F.col(model)} if model else {}), **kw)
+        answer = answer.withField("error", F.when(F.col("_known").isNull(), "no recorded answer"))
+        joined = df.join(known, F.col(prompt) == F.col("_prompt"), "left")
+        return joined.withColumn(out, F.when(F.col(prompt).isNotNull(), answer)).drop("_prompt", "_text", "_known")
+
+    return run
+
+
+class _Caller:
+    """Calls of one task: a deadline for each, and attempts after failures that are worth another one."""
+
+    def __init__(self, deadline: float | None, attempts: int, wait: float):
+        self.deadline, self.attempts, self.wait = deadline, attempts, wait
+        self.hung: list[threading.Thread] = []
+        self.texts = [t.lower() for t in vocab.RETRYABLE_TEXTS]
+
+    def __call__(self, backend: Backend, prompt: str) -> tuple[str, int, int]:
+        for attempt in range(1, self.attempts + 1):
+            try:
+                return self._once(backend, prompt)
+            except Exception as e:  # noqa: BLE001 - the last one is told by the caller
+                if attempt == self.attempts or not any(t in str(e).lower() for t in self.texts):
+                    raise
+                time.sleep(self.wait * 2 ** (attempt - 1))
+        raise AssertionError("no attempt")
+
+    def _once(self, backend: Backend, prompt: str) -> tuple[str, int, int]:
+        if self.deadline is None:
+            return backend.answer(prompt)
+        self.hung = [t for t in self.hung if t.is_alive()]
+        if len(self.hung) >= HUNG:
+            raise TimeoutError(f"Request timed out: {HUNG} calls hang")
+        said: queue.Queue = queue.Queue()
+
+        def call() -> None:
+            try:
+                said.put((backend.answer(prompt), None))
+            except Exception as e:  # noqa: BLE001 - raised again by the waiting side
+                said.put((None, e))
+
+        # a call cannot be stopped from outside; a thread of its own does not keep the worker from ending
+        thread = threading.Thread(target=call, daemon=True)
+        thread.start()
+        try:
+            answer, error = said.get(timeout=self.deadline)
+        except queue.Empty:
+            self.hung.append(thread)
+            raise TimeoutError(f"Request timed out after {self.deadline:g} s") from None
+        if error is not None:
+            raise error
+        return answer
+
+
+def _ask(backends: Callable[[], Backend] | dict[str, Callable[[], Backend]], in_flight: int, deadline: float | None, attempts: int, wait: float):
     names = schemas.INFERENCE.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         built: dict[str, Backend] = {}
+        call = _Caller(deadline, attempts, wait)
 
         def backend(model: str | None) -> Backend:
             key = model if isinstance(backends, dict) else ""
@@ -84,7 +152,7 @@ def _ask(backends: Callable[[], Backend] | dict[str, Callable[[], Backend]], in_
             try:
                 own = backend(model)
                 name, provider = (own.model if model is None else model), own.provider
-                text, used_in, used_out = own.answer(prompt)
+                text, used_in, used_out = call(own, prompt)
             except Exception as e:  # noqa: BLE001 - a failed call is a row, not a failed job
                 error = str(e)
             return text, name, provider, used_in, used_out, (time.monotonic() - start) * 1000, error
@@ -101,7 +169,45 @@ def _ask(backends: Callable[[], Backend] | dict[str, Callable[[], Backend]], in_
     return run
 
 
-def batch_stage(backends: Callable[[], Backend] | dict[str, Callable[[], Backend]], workers: int | None = None, in_flight: int = 1) -> Stage:
+_KEYED = T.StructType([T.StructField("_k", T.StringType()), *schemas.INFERENCE.fields])
+
+
+def kept_answers(spark: SparkSession, path: str) -> DataFrame:
+    """All answers of an answer table with the time they came, none if there is no table yet."""
+    schema = T.StructType([*_KEYED.fields, T.StructField("_at", T.TimestampType())])
+    try:
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _settled() -> Column:
+    """Answers, and errors that another call would not change."""
+    return F.col("error").isNull() | ~is_retryable(F.array("error"), F.lit(None).cast("array<string>"))
+
+
+def _ask_missing(asked: DataFrame, ask: Callable, path: str, slices: int, workers: int | None) -> DataFrame:
+    """Asks what the answer table does not have, slice by slice; each slice is in the table when it is through."""
+    spark = asked.sparkSession
+    asked = cut_lineage(asked, "asked")
+    dealt = F.pmod(F.conv(F.substring("_k", 1, 8), 16, 10).cast("bigint"), F.lit(slices))
+    run = uuid.uuid4().hex[:12]
+    for k in range(slices):
+        known = kept_answers(spark, path).where(_settled()).select("_k")
+        missing = asked.where(dealt == k).join(known, "_k", "left_anti")
+        missing = missing.repartition(workers, "_k") if workers else missing
+        missing.mapInPandas(ask, _KEYED).withColumn("_at", F.current_timestamp()).write.parquet(f"{path}/{run}-{k}")
+    found = kept_answers(spark, path).join(asked.select("_k"), "_k", "left_semi")
+    best = F.struct(F.col("error").isNull(), F.col("_at"))
+    return found.groupBy("_k").agg(F.max_by(F.struct(*schemas.INFERENCE.names), best).alias("_row")).select("_k", "_row.*")
+
+
+def batch_stage(
+    backends: Callable[[], Backend] | dict[str, Callable[[], Backend]], workers: int | None = None, in_flight: int = 1, kept: str | None = None, slices: int = 8,
+    deadline: float | None = None, attempts: int = 1, wait: float = 1.0,
+) -> Stage:
     """Stage that asks a model once per distinct (model, request, prompt).
 
     ``backends`` is one factory for all rows, or one per model name; a row of a
@@ -110,7 +216,15 @@ def batch_stage(backends: Callable[[], Backend] | dict[str, Callable[[], Backend
     to the shared folder, so they are not asked again when a later stage fails or
     the result is used twice. On the way back there is one answer per key, so a
     prompt with very many rows is skew on one side, which AQE splits.
+
+    ``kept`` names a folder for an answer table that outlives the job: prompts are
+    asked in ``slices`` parts, each of which is in the table as soon as it is
+    through, and a job that is started again asks only what the table lacks or has
+    a retryable error for. A call that takes more than ``deadline`` seconds is an
+    error; retryable errors are tried up to ``attempts`` times, ``wait`` seconds
+    apart at first and twice as long each time.
     """
+    ask = _ask(backends, in_flight, deadline, attempts, wait)
 
     def run(df: DataFrame, prompt: str, out: str, model: str | None = None, request: str | None = None) -> DataFrame:
         none = F.lit(None).cast("string")
@@ -123,10 +237,11 @@ def batch_stage(backends: Callable[[], Backend] | dict[str, Callable[[], Backend
             "_k", F.col(prompt).alias("_prompt"), (F.col(model).cast("string") if model else none).alias("_model")
         )
         asked = asked.groupBy("_k").agg(F.any_value("_prompt").alias("_prompt"), F.any_value("_model").alias("_model"))
-        if workers:
-            asked = asked.repartition(workers, "_k")
-        schema = T.StructType([T.StructField("_k", T.StringType()), *schemas.INFERENCE.fields])
-        answers = cut_lineage(asked.mapInPandas(_ask(backends, in_flight), schema), "answers")
+        if kept:
+            answers = _ask_missing(asked, ask, kept, slices, workers)
+        else:
+            asked = asked.repartition(workers, "_k") if workers else asked
+            answers = cut_lineage(asked.mapInPandas(ask, _KEYED), "answers")
         packed = answers.select("_k", F.struct(*schemas.INFERENCE.names).alias(out))
         return rows.join(packed, "_k", "left").drop("_k")
 

@@ -1,6 +1,8 @@
 """Inference stages, plans and streams end to end on small tables."""
 
+import hashlib
 import sys
+import time
 from itertools import combinations
 
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairwright import session, vocab
 from pairwright.catalog import replies
+from pairwright.catalog.models import verifier_reply
 from pairwright.operators import generate
 from pairwright.operators import inference as inf
 from pairwright.plans import compare, create, training, verify
@@ -44,7 +47,7 @@ def test_batch_stage_asks_once_per_prompt(spark):
 
 def test_hot_prompts(spark):
     rows = spark.range(300_000).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") % 50).cast("string"))).alias("q"))
-    got = inf.batch_stage(lambda: replies.Written())(rows, "q", "a")
+    got = inf.batch_stage(lambda: replies.Measure())(rows, "q", "a")
     assert got.count() == 300_000
     assert got.filter(F.col("a").isNull()).count() == 0
 
@@ -85,7 +88,7 @@ def test_attempts_are_asked_each(spark):
 
 def test_rows_with_maps(spark):
     rows = spark.createDataFrame([(1, "q", {"a": 1}), (2, None, {"b": 2})], "id int, q string, m map<string,int>")
-    assert inf.batch_stage(lambda: replies.Written())(rows, "q", "a").count() == 2
+    assert inf.batch_stage(lambda: replies.Measure())(rows, "q", "a").count() == 2
 
 
 def test_errors_are_rows(spark):
@@ -94,12 +97,81 @@ def test_errors_are_rows(spark):
     assert got[1].error == "Error code: 429" and got[1].text is None and got[2].error is None
 
 
-def test_written_backend_equals_expression(spark):
-    prompts = ['give "ok"', "Critique it", "check if so", "paraphrase me", "Rephrase me", "translate"]
-    df = spark.createDataFrame([(p,) for p in prompts], "q string")
-    want = {r.q: r.x for r in df.select("q", replies.translator(F.col("q")).alias("x")).collect()}
-    got = {r.q: r.a.text for r in inf.batch_stage(lambda: replies.Written())(df, "q", "a").collect()}
-    assert got == want
+def test_recorded_answers(spark):
+    recorded = spark.createDataFrame([("a", "one"), ("b", None)], "prompt string, text string")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "a")], "id int, q string")
+    got = {r.id: r.x for r in inf.recorded_stage(recorded)(rows, "q", "x").collect()}
+    assert (got[1].text, got[5].text, got[1].error, got[2].text, got[2].error, got[3].error, got[4]) == ("one", "one", None, None, None, "no recorded answer", None)
+
+
+class Logged:
+    """Writes down every call; some prompts fail, kill the task or never come back."""
+
+    model = provider = "mock"
+
+    def __init__(self, log, fail=(), die=(), hang=()):
+        self.log, self.fail, self.die, self.hang = log, set(fail), set(die), set(hang)
+
+    def answer(self, prompt):
+        with open(self.log, "a") as f:
+            f.write(f"{prompt}\n")
+        if prompt in self.die:
+            raise KeyboardInterrupt
+        if prompt in self.hang:
+            time.sleep(600)
+        if prompt in self.fail:
+            raise RuntimeError("Error code: 503" if "again" in prompt else "no such thing")
+        return prompt.upper(), 1, 1
+
+
+def test_a_job_that_died_asks_no_answered_prompt_again(spark, tmp_path):
+    rows = spark.range(400).select("id", F.concat(F.lit("p"), F.col("id")).alias("q"))
+    log, kept = f"{tmp_path}/log", f"{tmp_path}/answers"
+    slice_of = lambda p: int(hashlib.sha256(f"\x01\x01{p}".encode()).hexdigest()[:8], 16) % 16
+    late = next(f"p{k}" for k in range(400) if slice_of(f"p{k}") == 9)
+    with pytest.raises(Exception, match="."):
+        inf.batch_stage(lambda: Logged(log, die=[late]), workers=1, kept=kept, slices=16)(rows, "q", "a")
+    first = open(log).read().split()
+    there = {r.text for r in inf.kept_answers(spark, kept).collect()}
+    assert there == {f"P{k}" for k in range(400) if slice_of(f"p{k}") < 9}
+    out = inf.batch_stage(lambda: Logged(log), kept=kept, slices=5)(rows, "q", "a")
+    assert {(r.q, r.a.text) for r in out.collect()} == {(f"p{k}", f"P{k}") for k in range(400)}
+    second = open(log).read().split()[len(first):]
+    assert len(second) == len(set(second)) and not {p.upper() for p in second} & there and len(second) + len(there) == 400
+    inf.batch_stage(lambda: Logged(log, die=[f"p{k}" for k in range(400)]), kept=kept)(rows, "q", "a")
+    assert len(open(log).read().split()) == len(first) + len(second)
+
+
+def test_only_retryable_errors_are_asked_again(spark, tmp_path):
+    rows = spark.createDataFrame([("again 1",), ("never 1",), ("fine",)], "q string")
+    log, kept = f"{tmp_path}/log", f"{tmp_path}/answers"
+    stage = lambda fail, **kw: inf.batch_stage(lambda: Logged(log, fail), kept=kept, slices=2, **kw)(rows, "q", "a")
+    got = {r.q: r.a for r in stage(["again 1", "never 1"], attempts=3, wait=0.01).collect()}
+    assert got["again 1"].error == "Error code: 503" and got["never 1"].error == "no such thing" and got["fine"].text == "FINE"
+    assert sorted(open(log).read().splitlines()) == ["again 1"] * 3 + ["fine", "never 1"]
+    got = {r.q: r.a for r in stage([]).collect()}
+    assert got["again 1"].text == "AGAIN 1" and got["never 1"].error == "no such thing"
+    assert len(open(log).read().splitlines()) == 6
+
+
+def test_calls_that_hang_become_errors(spark, tmp_path):
+    rows = spark.createDataFrame([("hang",), ("fine",)], "q string")
+    start = time.monotonic()
+    out = inf.batch_stage(lambda: Logged(f"{tmp_path}/log", hang=["hang"]), workers=1, in_flight=2, deadline=1.0, attempts=2, wait=0.01)(rows, "q", "a")
+    got = {r.q: r.a for r in out.collect()}
+    assert got["fine"].text == "FINE" and got["hang"].error == "Request timed out after 1 s" and time.monotonic() - start < 60
+    assert open(f"{tmp_path}/log").read().split().count("hang") == 2
+
+
+def test_a_backend_that_always_hangs_is_not_called_without_end(monkeypatch, tmp_path):
+    monkeypatch.setattr(inf, "HUNG", 3)
+    call, backend = inf._Caller(0.05, 1, 0), Logged(f"{tmp_path}/log", hang=[str(k) for k in range(9)])
+    said = []
+    for k in range(9):
+        with pytest.raises(TimeoutError) as e:
+            call(backend, str(k))
+        said.append(str(e.value))
+    assert said == ["Request timed out after 0.05 s"] * 3 + ["Request timed out: 3 calls hang"] * 6
 
 
 PAIRS = [
@@ -115,19 +187,20 @@ def pairs(spark):
 
 def test_verify_with_backend_and_expression_agree(spark):
     rows = pairs(spark)
-    a = verify.verify_table(rows, inf.expression_stage(replies.verifier))
+    a = verify.verify_table(rows, inf.expression_stage(verifier_reply))
 
     class Verifier(Counting):
         def answer(self, prompt):
-            if "Translate the following" in prompt:
-                return replies.CROSS_TRANSLATION, 0, 0
-            return replies.VERIFICATION, 0, 0
+            if prompt.endswith("nothing else."):
+                return "<<checker>> F seen", 0, 0
+            right = "react to error" not in prompt
+            return f'{{"matches": {str(right).lower()}, "confidence": 0.9}}', 0, 0
 
     b = verify.verify_table(rows, inf.batch_stage(lambda: Verifier()))
     got = [{r.id: (r.status, r.cross_model_agreement) for r in x.collect()} for x in (a, b)]
-    assert got[0] == got[1] == {"1": ("needs_review", False), "2": ("needs_review", False), "3": ("rejected", None)}
-    alone = verify.verify_table(rows, inf.expression_stage(replies.verifier), cross_check=False)
-    assert {r.id: r.status for r in alone.collect()} == {"1": "verified", "2": "verified", "3": "rejected"}
+    assert got[0] == got[1] == {"1": ("needs_review", False), "2": ("rejected", False), "3": ("rejected", None)}
+    alone = verify.verify_table(rows, inf.expression_stage(verifier_reply), cross_check=False)
+    assert {r.id: r.status for r in alone.collect()} == {"1": "verified", "2": "rejected", "3": "rejected"}
 
 
 def test_retry(spark):
