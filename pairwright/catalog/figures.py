@@ -13,7 +13,6 @@ from pairwright.functions import formula as fx
 from pairwright.functions.profile import formula_profile
 from pairwright.operators import choose, stats
 from pairwright.operators.enrich import sample_columns
-from pairwright.operators.keep import keep_where
 
 
 def store(spark, sf):
@@ -365,11 +364,7 @@ def a14s(spark, sf):
       greatest(1, CAST(floor(any_value(v) * 0.1::DOUBLE) AS BIGINT)) AS validation_samples, round(any_value(v) * 600 / 1000.0::DOUBLE * 0.003::DOUBLE, 9) AS training_cost_usd FROM m, t""",
 )
 def a15(spark, sf):
-    rows = marked(spark, sf)
-    good = F.col("failed_filter").isNull() & F.col("field_error").isNull()
-    used = choose.split_exact(keep_where(rows, good), "id", 7, 0.1)
-    both = used.unionByName(keep_where(rows, ~good), allowMissingColumns=True)
-    return stats.training_stats(both).withColumn("training_cost_usd", F.round("training_cost_usd", 9))
+    return stats.training_stats(marked(spark, sf), 0.1).withColumn("training_cost_usd", F.round("training_cost_usd", 9))
 
 
 @query(
@@ -391,12 +386,7 @@ def a16(spark, sf):
 def a17(spark, sf):
     rows = v_results(spark, sf)
     s = F.col("verification_status")
-    return stats.funnel(
-        {
-            "generated": rows, "unique": rows.select("nl_statement").distinct(), "verified": rows.filter(s == "verified"),
-            "rejected": rows.filter(s == "rejected"),
-        }
-    )
+    return stats.funnel(rows, {"generated": F.lit(True), "verified": s == "verified", "rejected": s == "rejected"}, {"unique": F.col("nl_statement")})
 
 
 @query(

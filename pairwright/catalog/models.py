@@ -355,3 +355,15 @@ def x04(spark, sf):
     path = run_dir(spark, "x04")
     jobs.route_by_status(log_stream(spark, sf), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out").groupBy("verification_status").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query(
+    "x04_stream_stats",
+    f"""WITH {LOG_SQL}, r AS (SELECT CASE WHEN CAST(confidence AS DOUBLE) < 0.4 THEN 'rejected' WHEN CAST(confidence AS DOUBLE) < 0.55 THEN 'needs_review' ELSE 'verified' END AS route, confidence FROM v_log)
+    SELECT route, count(*) AS n, CAST(sum(confidence) AS DOUBLE) AS confidence_sum, count(confidence) AS confidence_count FROM r GROUP BY 1""",
+)
+def x04s(spark, sf):
+    path = run_dir(spark, "x04s")
+    jobs.route_by_status(log_stream(spark, sf), f"{path}/out", f"{path}/checkpoint", stats=f"{path}/stats", measures={"confidence": F.col("confidence")}).awaitTermination()
+    rows = jobs.routed_stats(spark, f"{path}/stats")
+    return rows.select("route", "n", "confidence_sum", "confidence_count")

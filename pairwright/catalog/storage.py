@@ -76,6 +76,18 @@ def s03(spark, sf):
     return readers.read_json_document(spark, path, one_per_line=True).select("id", "domain", "atl_formula")
 
 
+@query("s03_large_lists", f"WITH {STORED_SQL} SELECT id, domain, atl_formula FROM stored")
+def s03l(spark, sf):
+    """Four files with one list each, an element on a line."""
+    path = run_dir(spark, "s03l")
+    item = F.concat(F.lit(", "), F.to_json(F.struct("id", F.col("nl_statement").alias("nl"), F.col("atl_formula").alias("atl"), "domain")))
+    lines = stored(spark, sf).select(F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(4)).cast("int").alias("doc"), F.lit(1).alias("place"), item.alias("value"))
+    for place, text in ((0, '{"about": {"kind": "pairs"}, "samples": [{"id": "none"}'), (2, "]}")):
+        lines = lines.unionByName(spark.range(4).select(F.col("id").cast("int").alias("doc"), F.lit(place).alias("place"), F.lit(text).alias("value")))
+    lines.repartition(4, "doc").sortWithinPartitions("doc", "place").drop("place").write.partitionBy("doc").text(path)
+    return readers.read_large_json(spark, path).where("id <> 'none'").select("id", "domain", "atl_formula")
+
+
 @query("s04_many_sources", f"WITH {STORED_SQL} SELECT id, nl_statement FROM stored UNION ALL SELECT 'e' || event_id, event_type FROM events")
 def s04(spark, sf):
     root = run_dir(spark, "s04")
@@ -190,6 +202,23 @@ def s08(spark, sf):
     return blocks.load_texts(files(spark, sf))[1]
 
 
+@query(
+    "s08_folder_report",
+    f"""WITH f3 AS (SELECT doc_id, {BLOCK_SQL[3]} AS text FROM documents), {pairs_sql('f3', 'doc_id')},
+    h AS (SELECT substring(sha256(lower({strip_sql('nl')}) || '|' || formula), 1, 12) AS id FROM parsed)
+    SELECT 'loaded' AS outcome, count(DISTINCT id) AS added, count(*) - count(DISTINCT id) AS duplicates FROM h UNION ALL SELECT 'undecodable', 0, 0""",
+)
+def s08r(spark, sf):
+    """Files of many blocks, and one that is not UTF-8."""
+    path = run_dir(spark, "s08r")
+    text = documents(spark, sf).select(block_text(3).alias("value"))
+    text.repartition(32).write.text(path)
+    broken = spark.range(1).select(F.concat(F.unhex(F.lit("ff")).cast("string"), F.lit("x\n<<a>> G p")).alias("value"))
+    broken.write.mode("append").text(path)
+    report = blocks.load_folder(spark, path)[1]
+    return report.where("outcome <> 'no_pairs'").groupBy("outcome").agg(F.sum("added").alias("added"), F.sum("duplicates").alias("duplicates"))
+
+
 @query(
     "s09_statements",
     f"""WITH l AS (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))
@@ -311,6 +340,19 @@ def k05(spark, sf):
     return spark.read.parquet(path).groupBy("verification_status").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
+ROUTED_SQL = """SELECT verification_status AS route, count(*) AS n, CAST(sum(verification_confidence) AS DOUBLE) AS confidence_sum, count(verification_confidence) AS confidence_count,
+  CAST(sum(length(nl_statement)) AS DOUBLE) AS chars_sum, count(nl_statement) AS chars_count FROM v_results GROUP BY 1"""
+
+
+@query("k05_routed_stats", f"WITH {RESULTS_SQL} {ROUTED_SQL}")
+def k05s(spark, sf):
+    path = run_dir(spark, "k05s")
+    measures = {"confidence": F.col("verification_confidence"), "chars": F.char_length("nl_statement")}
+    writers.write_routed(v_results(spark, sf), f"{path}/rows", stats=f"{path}/stats", measures=measures)
+    kinds = "route string, n long, confidence_sum double, confidence_count long, chars_sum double, chars_count long"
+    return spark.read.schema(kinds).json(f"{path}/stats")
+
+
 @query(
     "k06_by_domain",
     f"""WITH {FORMULAS_SQL} SELECT event_type AS domain, nl AS nl_statement, count(*) OVER (PARTITION BY event_type) AS domain_count FROM v_formulas""",

@@ -20,15 +20,21 @@ from pairwright.session import cut_lineage
 
 HASH_DIGITS = 4  # 65,536 buckets of equal expected size
 ROWS_PER_BUCKET = 2_000_000
+#: Rows and bytes up to which a small table may pass through the driver.
+FEW_ROWS, FEW_BYTES = 10_000, 1 << 20
 
 
-def measured(df: DataFrame) -> DataFrame:
+def measured(df: DataFrame, rows: int = FEW_ROWS, size: int = FEW_BYTES) -> DataFrame:
     """Compute a table that is expected to be small once, and let its real size be known.
 
-    It is written to the shared folder. With the size of its files known,
-    Catalyst broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` and
-    shuffles it otherwise.
+    Up to ``rows`` rows of ``size`` bytes come back as a local relation; a larger
+    table is written to the shared folder. Either way Catalyst knows the size,
+    broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it
+    otherwise.
     """
+    first = df.limit(rows + 1).toArrow()
+    if first.num_rows <= rows and first.nbytes <= size:
+        return df.sparkSession.createDataFrame(first, df.schema)
     return cut_lineage(df, "measured")
 
 
@@ -93,7 +99,7 @@ def value_at(
     that a third of all rows share is one row. Nulls are not counted; a group
     of nulls alone has no row.
     """
-    counts = measured(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n")))
+    counts = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n")), "values")
     sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))
     ordered = running_total(counts, value, F.col("_n"), "_before", groups, rows_per_bucket)
     at = position(F.col("_size"))

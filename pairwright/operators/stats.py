@@ -405,23 +405,28 @@ def syntax_error_rates(accuracy: DataFrame) -> DataFrame:
     return accuracy.select("model", wrong.alias("syntax_errors"), (wrong / F.col("rows")).alias("syntax_error_rate"))
 
 
-def training_stats(rows: DataFrame) -> DataFrame:
-    """One row from columns failed_filter, field_error and split."""
+def training_stats(rows: DataFrame, fraction: float) -> DataFrame:
+    """One row from columns failed_filter and field_error, in one pass.
+
+    How many rows train and validate follows from the number of valid ones, as
+    ``split_exact`` takes exactly so many.
+    """
     passed = F.col("failed_filter").isNull()
     ok = passed & F.col("field_error").isNull()
     f = F.col("failed_filter")
-    valid = F.count_if(ok)
-    return rows.agg(
+    counts = rows.agg(
         _n().alias("total_samples"),
         F.count_if(f == "filtered_confidence").alias("filtered_confidence"),
         F.count_if(f == "filtered_status").alias("filtered_status"),
         F.count_if(f == "filtered_domain").alias("filtered_domain"),
         F.count_if(passed).alias("passed"),
-        valid.alias("valid_samples"),
+        F.count_if(ok).alias("valid_samples"),
         F.count_if(passed & ~ok).alias("invalid_samples"),
-        F.count_if(ok & (F.col("split") == "train")).alias("training_samples"),
-        F.count_if(ok & (F.col("split") == "validation")).alias("validation_samples"),
-        training_cost(valid).alias("training_cost_usd"),
+    )
+    valid = F.col("valid_samples")
+    validation = F.least(valid, F.greatest(F.lit(1), F.floor(valid * F.lit(fraction))))
+    return counts.select(
+        "*", (valid - validation).alias("training_samples"), validation.alias("validation_samples"), training_cost(valid).alias("training_cost_usd")
     )
 
 
@@ -436,10 +441,14 @@ def retry_stats(retried: DataFrame) -> DataFrame:
     )
 
 
-def funnel(stages: dict[str, DataFrame]) -> DataFrame:
-    """(stage, n) for the tables of a run."""
-    counts = [df.agg(_n().alias("n")).select(F.lit(k).alias("stage"), "n") for k, df in stages.items()]
-    return reduce(DataFrame.unionByName, counts)
+def funnel(rows: DataFrame, stages: dict[str, Column], distinct: dict[str, Column] | None = None) -> DataFrame:
+    """(stage, n): rows that meet each condition, and distinct texts, in one pass.
+
+    Texts are told apart by their 128-bit digest, so that no text is shuffled.
+    """
+    counts = [F.count_if(c).alias(k) for k, c in stages.items()]
+    counts += [F.count_distinct(F.unhex(F.md5(c))).alias(k) for k, c in (distinct or {}).items()]
+    return rows.agg(*counts).unpivot([], [*stages, *(distinct or {})], "stage", "n")
 
 
 def success_summary(rows: DataFrame, ok: Column) -> DataFrame:

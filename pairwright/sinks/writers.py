@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairwright.operators.ranking import measured, with_columns_of
@@ -51,9 +53,48 @@ def write_run(samples: DataFrame, stats: dict[str, DataFrame], root: str, run_id
     return out
 
 
-def write_routed(rows: DataFrame, path: str, by: str = "verification_status") -> None:
-    """One sub-directory per status, so later jobs read only the side they need."""
-    rows.write.partitionBy(by).parquet(path)
+ROUTES = ("verified", "rejected", "needs_review")
+
+
+def observed_routes(rows: DataFrame, by: str, routes: tuple[str, ...], measures: dict[str, Column]) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """Rows that are counted per route while something else is done with them, and what gives the counts after that.
+
+    The counts are route, n, and of each measure its sum and the number of values;
+    they add up over batches. Rows of no named route are those of route null.
+    """
+    seen = Observation()
+    route = F.col(by)
+    tests = [*[(name, route.eqNullSafe(name)) for name in routes], (None, ~F.coalesce(route.isin(*routes), F.lit(False)))]
+    parts = []
+    for k, (_, test) in enumerate(tests):
+        parts.append(F.count_if(test).alias(f"{k}_n"))
+        for m, value in measures.items():
+            parts += [F.sum(F.when(test, value)).cast("double").alias(f"{k}_{m}_sum"), F.count(F.when(test, value)).alias(f"{k}_{m}_count")]
+    names = ["n", *[f"{m}_{x}" for m in measures for x in ("sum", "count")]]
+    kinds = ", ".join(f"`{n}` {'double' if n.endswith('_sum') else 'long'}" for n in names)
+
+    def counts() -> DataFrame:
+        got = seen.get
+        found = [(name, *[got[f"{k}_{n}"] for n in names]) for k, (name, _) in enumerate(tests)]
+        return rows.sparkSession.createDataFrame([f for f in found if f[0] is not None or f[1]], f"route string, {kinds}")
+
+    return rows.observe(seen, *parts), counts
+
+
+def write_routed(
+    rows: DataFrame, path: str, by: str = "verification_status", stats: str | None = None, routes: tuple[str, ...] = ROUTES, measures: dict[str, Column] | None = None
+) -> None:
+    """One sub-directory per status, so later jobs read only the side they need.
+
+    With ``stats`` the statistics of each side are written there; they are taken
+    while the rows are written and cost no further scan.
+    """
+    if stats is None:
+        rows.write.partitionBy(by).parquet(path)
+        return
+    watched, counts = observed_routes(rows, by, routes, measures or {})
+    watched.write.partitionBy(by).parquet(path)
+    counts().write.json(stats)
 
 
 def by_domain(statements: DataFrame) -> DataFrame:

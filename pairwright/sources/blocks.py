@@ -15,7 +15,7 @@ from pairwright.functions import formula as fx
 from pairwright.functions import identity as ident
 from pairwright.functions.text import let, strip
 from pairwright.operators.identity import first_seen
-from pairwright.operators.keep import explode_computed
+from pairwright.operators.keep import explode_computed, keep_where
 from pairwright.operators.neighbours import with_next
 from pairwright.operators.ranking import with_columns_of
 from pairwright.session import cut_lineage
@@ -162,6 +162,21 @@ def load_texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return store.drop("pos"), counts
 
 
+def load_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Store rows of the .txt files of a folder, and a report with a row per file.
+
+    ``outcome`` is loaded, no_pairs, or undecodable for a file that is not UTF-8,
+    which is left out; added and duplicates count the pairs of a loaded file. Files
+    of no bytes give no row.
+    """
+    files = read_texts(spark, folder).withColumn("_ok", F.is_valid_utf8("text"))
+    store, counts = load_texts(keep_where(files, F.col("_ok")).drop("_ok"))
+    known = files.select("file", "_ok").join(counts, "file", "left")
+    outcome = F.when(~F.col("_ok"), "undecodable").when(F.col("added").isNull(), "no_pairs").otherwise("loaded")
+    zero = F.lit(0).cast("bigint")
+    return store, known.select("file", outcome.alias("outcome"), F.coalesce("added", zero).alias("added"), F.coalesce("duplicates", zero).alias("duplicates"))
+
+
 def pair_line_table(lines: DataFrame, keys: list[str], pos: str, line: str, chunk: int = 100_000) -> DataFrame:
     """Format 3 on a table with one line per row, for files of any length."""
     near = with_next(lines, keys, pos, F.floor(F.col(pos) / chunk), [line])

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pairwright import schemas
 from pairwright.functions.text import strip, word_count
 from pairwright.operators.ranking import dense_index
+from pairwright.sources.json_lists import read_json_lists
 
 BROKEN = "broken_line"
 
@@ -68,12 +69,18 @@ def line_counts(spark: SparkSession, paths: list[str], row: T.StructType = schem
     return lines.groupBy("file").agg(F.count_if(~F.col("broken")).alias("good"), F.count_if("broken").alias("broken"))
 
 
+def read_large_json(spark: SparkSession, path: str, row: T.StructType = schemas.SAMPLE) -> DataFrame:
+    """Documents that are lists of any length, {"samples": [..]} or {"pairs": [..]}, read by as many tasks as they have splits."""
+    return unify(read_json_lists(spark, path, _with_old_spellings(row)).select("element.*"), row)
+
+
 def read_json_document(
     spark: SparkSession, path, row: T.StructType = schemas.SAMPLE, one_per_line: bool = False
 ) -> DataFrame:
     """A document that is a list, {"samples": [..]} or {"pairs": [..]}; anything else is an error.
 
-    A file is one document, or one per line; only the latter can be split among tasks.
+    A file is one document, or one per line; only the latter can be split among
+    tasks. ``read_large_json`` splits a single list.
     """
     wide = _with_old_spellings(row)
     arr = T.ArrayType(wide)

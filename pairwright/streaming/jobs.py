@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairwright.operators.stats import verification_quality
+from pairwright.sinks.writers import ROUTES, observed_routes
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
@@ -90,11 +91,16 @@ def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return rows.alias("r").join(newest.alias("n"), on, "left_semi").drop("batch")
 
 
-def route_by_status(rows: DataFrame, path: str, checkpoint: str, by: str = "verification_status") -> StreamingQuery:
-    """Writes each batch partitioned by status."""
+def route_by_status(
+    rows: DataFrame, path: str, checkpoint: str, by: str = "verification_status", stats: str | None = None, routes: tuple[str, ...] = ROUTES, measures: dict[str, Column] | None = None
+) -> StreamingQuery:
+    """Writes each batch partitioned by status, and with ``stats`` each batch's statistics beside it, see ``observed_routes``."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy(by).parquet(f"{path}/batch={batch_id}")
+        watched, counts = observed_routes(batch, by, routes, measures or {}) if stats else (batch, None)
+        watched.write.mode("overwrite").partitionBy(by).parquet(f"{path}/batch={batch_id}")
+        if counts:
+            counts().write.mode("overwrite").json(f"{stats}/batch={batch_id}")
 
     return (
         rows.writeStream.option("checkpointLocation", checkpoint)
@@ -102,3 +108,9 @@ def route_by_status(rows: DataFrame, path: str, checkpoint: str, by: str = "veri
         .trigger(availableNow=True)
         .start()
     )
+
+
+def routed_stats(spark: SparkSession, stats: str) -> DataFrame:
+    """Statistics of all batches, added up by route."""
+    rows = spark.read.json(stats).drop("batch")
+    return rows.groupBy("route").agg(*[F.sum(c).alias(c) for c in rows.columns if c != "route"])

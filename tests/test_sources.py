@@ -157,3 +157,27 @@ def test_lines_of_split_files(spark, tmp_path, split):
         spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
     want = {(name, i, line) for name, text in texts.items() for i, line in enumerate(text.splitlines())}
     assert {(r.file.rsplit("/", 1)[1], r.pos, r.line) for r in got} == want and len(got) == len(want)
+
+
+def test_a_file_that_is_no_text_is_told_and_left_out(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Say p.\n<<a>> G p\nSay p.\n<<a>> G p\n")
+    (tmp_path / "b.txt").write_bytes(b"Say q.\n<<a>> G q\n\xff\xfe\n")
+    (tmp_path / "c.txt").write_text("nothing here\n")
+    (tmp_path / "d.txt").write_text("Say p.\n<<a>> G p\nSay r.\n<<a>> F r\n")
+    (tmp_path / "e.txt").write_text("")
+    store, report = blocks.load_folder(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in report.collect()) == [
+        ("a.txt", "loaded", 1, 1), ("b.txt", "undecodable", 0, 0), ("c.txt", "no_pairs", 0, 0), ("d.txt", "loaded", 1, 1),
+    ]
+    assert {(r.nl_statement, r.source_file) for r in store.collect()} == {("Say p.", "a.txt"), ("Say r.", "d.txt")}
+
+
+def test_statistics_of_routed_rows(spark, tmp_path):
+    from decimal import Decimal
+
+    rows = [(s, Decimal(k), "ab" * k) for k, s in enumerate(["verified", "rejected", "verified", None, "odd", "rejected"])]
+    df = spark.createDataFrame([(s, None if k == 2 else k, t) for s, k, t in rows], "verification_status string, c decimal(9,2), t string")
+    writers.write_routed(df.repartition(4), f"{tmp_path}/rows", stats=f"{tmp_path}/stats", measures={"c": F.col("c")})
+    got = {r.route: (r.n, r.c_sum, r.c_count) for r in spark.read.schema("route string, n long, c_sum double, c_count long").json(f"{tmp_path}/stats").collect()}
+    assert got == {"verified": (2, 0.0, 1), "rejected": (2, 6.0, 2), "needs_review": (0, None, 0), None: (2, 7.0, 2)}
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 6
