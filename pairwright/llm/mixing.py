@@ -66,14 +66,18 @@ def mix(
     """One row per row of ``docs``: doc_id, ``keep``, size, source_size, target, copies, taken (size times copies).
 
     Columns to ``keep`` that are named like another result are left out. ``size`` is the word count of ``text`` if not given; a null counts as 0. Null
-    is a source of its own. Rows of one source with one id have one hash and are
-    taken together; null ids are one id. The last hash of a source is taken if
+    is a source of its own. Rows of one source with one id and one text (if there is
+    a column ``text``) have one hash and are taken together; a null id is told apart
+    by the text alone. The last hash of a source is taken if
     that brings the sum nearer to the target (a tie leaves it). An empty table
     gives an empty one. Reruns agree.
     """
     words = F.coalesce(size, F.lit(0)).cast("long") if size is not None else word_count(F.col("text"))
+    told = [F.coalesce(F.col(id_col).cast("string"), F.lit(""))]
+    if "text" in docs.columns:
+        told += [F.lit("/"), F.md5(F.coalesce(F.col("text"), F.lit("")))]
     named = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("hash"),
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), F.md5(F.concat(*told)).alias("hash"),
         F.struct(F.lit(0).alias("_"), *others(docs.select(*keep), "_", *RESULT)).alias("kept"),
     )
     narrow = kept_table(named.select("doc_id", "source", "size", "hash"), "mix-sizes")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import bounded, kept_table, lean, lean_group, shuffle_width
+from pairwright.llm.frames import bounded, kept_table, lean, lean_group, shuffle_width, text_key
 from pairwright.llm.words import Words, blocks, chained, mix, ragged, spaced, words_of
 
 #: Words of a shingle; links share at least this percentage of their union.
@@ -48,8 +48,8 @@ PAIRS = 1 << 16
 #: Bits of the filter that tells which texts are needed again.
 FILTER_BITS = 1 << 25
 
-_SIGNED = "id long, cls binary, n long, sig binary"
-_SIGNED_KINDS = pa.schema([("id", pa.int64()), ("cls", pa.binary()), ("n", pa.int64()), ("sig", pa.binary())])
+_SIGNED = "id long, text_key long, cls binary, n long, sig binary"
+_SIGNED_KINDS = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("cls", pa.binary()), ("n", pa.int64()), ("sig", pa.binary())])
 
 
 def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ def _sign(size: int, n_minima: int):
                 sets, minima = _class_of(row, h, begin, n[some]), signatures(h, begin, n_minima)
                 for k, r in enumerate(some.tolist()):
                     cls[r], sig[r] = sets[k].tobytes(), minima[k].tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(cls, pa.binary()), pa.array(n.astype(np.int64)), pa.array(sig, pa.binary())], schema=_SIGNED_KINDS)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), pa.array(cls, pa.binary()), pa.array(n.astype(np.int64)), pa.array(sig, pa.binary())], schema=_SIGNED_KINDS)
 
     return run
 
@@ -212,20 +212,21 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
-    batch: int = BATCH, miss: float = MISS,
+    batch: int = BATCH, miss: float = MISS, detail: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept; with ``detail`` also text_key and component.
 
     ``component_id`` is the smallest id reachable by links, ``kept`` whether that
     is the row's own. A null text has no words; a text without words has no
     shingles and is linked with nothing. Null ids are never smallest: a component
     of such rows alone has a null id and keeps them. Rows that repeat an id are
-    nodes of their own, but all of them are kept if the id is. Other columns are
-    not looked at.
+    nodes of their own, but all of them are kept if the id is. ``text_key`` tells
+    texts of one id apart, ``component`` is a number for each component, ids or not,
+    and null for a text without shingles. Other columns are not looked at.
     """
     spark = docs.sparkSession
     bounded(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = kept_table(texts.mapInArrow(lean(_sign(shingle, bands * rows)), _SIGNED), "signed")
     # One row per class; the node number is fixed by writing it.
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("low"), F.first("sig").alias("sig"))
@@ -237,14 +238,17 @@ def near_duplicates(
     wanted = kept_table(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "cls"), "candidates")
     comps = _links(buckets, kept_table(_sets(texts, wanted, shingle), "shingle-sets"), percent, batch, miss)
     if comps is None:
-        low = classes.select("cls", "low")
+        low = classes.select("cls", "low", F.col("node").alias("comp"))
     else:
         placed = classes.select("cls", "node", "low").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         lows = placed.groupBy("comp").agg(F.min("low").alias("least"))
-        low = placed.join(lows, "comp").select("cls", F.col("least").alias("low"))
-    out = signed.select("id", "n", "cls").join(kept_table(low, "components").withColumnRenamed("cls", "_c"), F.col("cls") == F.col("_c"), "left")
-    comp = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("low"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+        low = placed.join(lows, "comp").select("cls", F.col("least").alias("low"), "comp")
+    # Texts without shingles have no class and stay out of the join.
+    none = signed.where("cls is null").select("id", "text_key", "n", F.col("id").alias("low"), F.lit(None).cast("long").alias("comp"))
+    some = signed.where("cls is not null").join(kept_table(low, "components").withColumnRenamed("cls", "_c"), F.col("cls") == F.col("_c"))
+    out = some.select("id", "text_key", "n", "low", "comp").unionByName(none)
+    more = ["text_key", F.col("comp").alias("component")] if detail else []
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("low").alias("component_id"), F.col("id").eqNullSafe(F.col("low")).alias("kept"), *more)
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:

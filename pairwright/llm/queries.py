@@ -90,7 +90,7 @@ def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op3_mixing", """
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '/' || md5(coalesce(text, ''))) AS h FROM documents
 ), s AS (
   SELECT source, sum(size)::DOUBLE AS z, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source
 ), levels(n, level, fixed) AS (

@@ -97,8 +97,11 @@ def resolve(captures: DataFrame, carry: tuple[str, ...] = ("body",)) -> DataFram
     ).drop("_r", "_u", "_d", "_own", "_v")
     stored = c.where(full).select(F.col("record_id").alias("_r"), F.col("status").alias("_s"), F.col("headers").alias("stored"), *[F.col(x).alias(f"_{x}") for x in carry])
     stored = stored.groupBy("_r").agg(F.min(F.struct("_s", "stored", *[f"_{x}" for x in carry])).alias("_full"))
-    hit = matched.withColumn("_use", F.when(F.col("outcome") == "resolved", F.col("response_id")))
-    joined = hit.join(stored, F.col("_use") == F.col("_r"), "left")
+    # What is not resolved finds nothing, and is dealt by its own columns instead of one null key.
+    resolved = F.col("outcome") == "resolved"
+    spread = F.when(resolved, 0).otherwise(F.pmod(F.hash("record_id", "url_key", "date"), F.lit(1 << 20)) + 1)
+    hit = matched.withColumn("_use", F.when(resolved, F.col("response_id"))).withColumn("_spread", spread)
+    joined = hit.join(stored.withColumn("_zero", F.lit(0)), (F.col("_use") == F.col("_r")) & (F.col("_spread") == F.col("_zero")), "left")
     return joined.select(
         "record_id", "url_key", "outcome", "response_id", "date", F.col("_full._s").alias("status"),
         F.when(F.col("_full").isNotNull(), merged(F.col("_full.stored"), F.col("fresh"))).alias("headers"), *[F.col(f"_full._{x}").alias(x) for x in carry],

@@ -53,7 +53,7 @@ def test_thresholds_are_nested(make):
     df = make([(k, "w " * (1 + k % 9), "s") for k in range(400)])
     more = [{r["doc_id"] for r in mixing.mix(df, share=s, digits=1).collect() if r["copies"]} for s in (0.1, 0.4, 0.8)]
     assert more[0] < more[1] < more[2]
-    hashes = {k: hashlib.md5(str(k).encode()).hexdigest() for k in range(400)}
+    hashes = {k: hashlib.md5(f"{k}/{hashlib.md5(('w ' * (1 + k % 9)).encode()).hexdigest()}".encode()).hexdigest() for k in range(400)}
     assert max(hashes[k] for k in more[0]) < min(hashes[k] for k in set(hashes) - more[0])
 
 
@@ -70,3 +70,10 @@ def test_odd_rows(odd, empty):
 def test_all_texts_empty(make):
     got = mixing.mix(make([(1, ""), (2, None)])).collect()
     assert [(r["target"], r["taken"]) for r in got] == [(0.0, 0), (0.0, 0)]
+
+
+def test_a_third_of_all_ids_null_or_one(make):
+    rows = [((None, 7, k)[k % 3], " ".join(f"w{k}x{j}" for j in range(5 + k % 40)), f"s{k % 4}" if k % 13 else None) for k in range(3000)]
+    check(make(rows), rows)
+    got = mixing.mix(make(rows), keep=["source"]).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 0.02 * r["target"] for r in got)
