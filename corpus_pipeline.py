@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import decontamination, mixing, near_duplicates, quality, substring_dedup
+from pairwright.llm.frames import kept_table, text_key
 from pairwright.session import shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,9 +27,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; rows without id stay."""
-    gone = near_duplicates.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti").select(*COLUMNS)
+    """Keeps one document of each group: the one with the smallest id (null ids last, then by text).
+
+    Of rows that repeat its id and text one is kept. Texts without words are in no
+    group and stay.
+    """
+    rows = kept_table(near_duplicates.near_duplicates(docs, detail=True).where("component is not null").select("doc_id", "text_key", "component"), "groups")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("_first"))
+    texts = rows.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    texts = texts.join(first.withColumnRenamed("component", "_c"), F.col("component") == F.col("_c"))
+    chosen = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key") == F.col("_first")
+    texts = kept_table(texts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (~chosen).alias("gone"), "copies").where("gone or copies > 1"), "gone")
+    repeated = texts.where("not gone")
+    keyed = docs.select(*COLUMNS, text_key("text").alias("_text_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    out = keyed.join(texts.select("_id", "_key"), same, "left_anti").select(*COLUMNS)
+    if repeated.isEmpty():
+        return out
+    once = keyed.join(repeated.select("_id", "_key"), same, "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return out.unionByName(once.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
