@@ -134,3 +134,22 @@ def test_odd_documents(spark):
         out = stage(spark, docs, SF)
         assert 0 <= out.count() <= len(rows)
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_groups_whose_ids_are_null_or_repeated(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = [" ".join(f"t{g}w{rng.randrange(10**6)}" for _ in range(80)) for g in range(6)]
+    near = [t + " and a tail" for t in texts]
+    rows = [(None, texts[0]), (None, texts[0]), (1, texts[0]), (1, texts[0]), (2, texts[0])]
+    rows += [(None, texts[1]), (None, near[1]), (None, texts[1])]  # no id at all
+    rows += [(5, texts[2]), (5, near[2]), (5, texts[3])]  # one id, two groups
+    rows += [(k, t) for k, t in ((9, texts[4]), (8, near[4]), (None, near[4]), (8, near[4]))]
+    rows += [(None, ""), (None, ""), (None, None), (3, " ")]  # in no group
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.near_duplicate_groups(spark, docs, SF).collect()]
+    key = lambda r: tuple(str(x) for x in r)
+    alone = [r for r in got if r[1] not in (texts[1], near[1], texts[2], near[2])]
+    assert sorted(alone, key=key) == sorted([(1, texts[0]), (5, texts[3]), (8, near[4]), (None, ""), (None, ""), (None, None), (3, " ")], key=key)
+    assert sum(r[1] in (texts[1], near[1]) for r in got) == 1 and sum(r[1] in (texts[2], near[2]) for r in got) == 1
