@@ -151,11 +151,10 @@ def typical(levels: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Filter:
-    """Memberships of (n-gram, level); ``least`` is the lowest level stored for each order."""
+    """Memberships of (n-gram, level)."""
 
     bits: np.ndarray
     groups: int
-    least: tuple[int, int]
     total: int  # tokens of the training texts
     distinct: int
     first: int = 0  # the filter holds the ranges from here
@@ -169,7 +168,7 @@ class Filter:
         own = np.flatnonzero((group >= self.first) & (group < last))
         out = np.zeros(len(keys), np.int64)
         out[own] = probed(self.bits, (group[own] - self.first) * segment, segment, keys[own], order)
-        return np.where(out >= self.least[order - 1], out, 0)
+        return out
 
 
 def probed(bits: np.ndarray, base: np.ndarray, segment: int, keys: np.ndarray, order: int) -> np.ndarray:
@@ -219,49 +218,25 @@ def places(hashed: np.ndarray, probe: int, segment: int) -> np.ndarray:
     return (((turned >> np.uint64(32)) * np.uint64(segment)) >> np.uint64(32)).astype(np.int64)
 
 
-def lowest_levels(levels: dict[int, np.ndarray], entries: int) -> tuple[int, int]:
-    """Lowest levels of unigrams and bigrams that keep the memberships within ``entries``; bigrams give way first."""
-    size = {n: np.concatenate([np.cumsum((h * np.arange(len(h)))[::-1])[::-1], [0]]) for n, h in levels.items()}
-    for one in range(1, LEVELS + 1):
-        for two in range(one, LEVELS + 1):
-            if size[1][one] + size[2][two] <= entries:
-                return one, two
-    return LEVELS, LEVELS
-
-
-def build_filter(counts: DataFrame, groups: int, bits: int = BITS, first: int = 0, last: int | None = None, segment: int | None = None) -> Filter | None:
-    """The filter from the table of counts; what reaches the driver is the filter itself. None without tokens.
-
-    ``bits`` at most: what is too rare for them is left out. With ``segment``, the
-    bits of a range, all n-grams of the ranges ``first`` to ``last`` are in it.
-    """
-    counts = counts.where((F.col("grp") >= first) & (F.col("grp") < (groups if last is None else last)))
-    ranges = (groups if last is None else last) - first
-    histogram = counts.select("n", F.posexplode("levels").alias("level", "c")).groupBy("n", "level").agg(F.sum("c").alias("c")).collect()
-    levels = {1: np.zeros(LEVELS, np.int64), 2: np.zeros(LEVELS, np.int64)}
-    for r in histogram:
-        levels[r["n"]][r["level"]] = r["c"]
-    sums = {r["n"]: r for r in counts.groupBy("n").agg(F.sum("distinct_keys").alias("v"), F.sum("total").alias("t")).collect()}
-    if 1 not in sums:
+def build_filter(counts: DataFrame, groups: int, segment: int, first: int = 0, last: int | None = None) -> Filter | None:
+    """The filter of all n-grams of the ranges ``first`` to ``last``, ``segment`` bits for each; what reaches the driver is the filter itself. None without tokens."""
+    last = groups if last is None else last
+    counts = counts.where((F.col("grp") >= first) & (F.col("grp") < last))
+    sums = counts.where("n = 1").agg(F.sum("distinct_keys").alias("v"), F.sum("total").alias("t")).first()
+    if sums["t"] is None:
         return None
-    least = (1, 1)
-    if segment is None:
-        bits = min(bits, filter_bits(int(sum((h * np.arange(LEVELS)).sum() for h in levels.values()))))
-        segment = 8 * -(-bits // (8 * ranges))
-        least = lowest_levels(levels, bits // ENTRY_BITS)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 keys, q = np.frombuffer(r["keys"], np.uint64), level(unpacked(r["counts"], np.int64))
-                stored = q >= least[r["n"] - 1]
-                yield blob_rows(kinds, [(r["grp"], segment_of(keys[stored], q[stored], r["n"], segment).tobytes())])
+                yield blob_rows(kinds, [(r["grp"], segment_of(keys, q, r["n"], segment).tobytes())])
 
     kinds = pa.schema([("grp", pa.int32()), ("bits", pa.binary())])
-    out = np.zeros((ranges, segment // 8), np.uint8)
+    out = np.zeros((last - first, segment // 8), np.uint8)
     for r in counts.select("grp", "n", "keys", "counts").mapInArrow(lean(fill), "grp int, bits binary").toLocalIterator():
         out[r["grp"] - first] |= np.frombuffer(r["bits"], np.uint8)
-    return Filter(out.ravel(), groups, least, sums[1]["t"], sums[1]["v"], first, last)
+    return Filter(out.ravel(), groups, sums["t"], sums["v"], first, last)
 
 
 def filter_bits(memberships: int) -> int:
@@ -298,12 +273,12 @@ def token_levels(texts: DataFrame, counts: DataFrame, groups: int, bits: int) ->
     blocks_ = [(a, min(groups, a + step)) for a in range(0, groups, step)]
     texts = texts.withColumn("levels", F.lit(None).cast("binary"))
     for first, last in blocks_[:-1]:
-        own = build_filter(tokens, groups, first=first, last=last, segment=segment)
+        own = build_filter(tokens, groups, segment, first, last)
         if own:
             sent = send(spark, own)
             texts = kept_table(texts.mapInArrow(lean(_noted(sent)), texts.schema), "token-levels")
             sent.destroy()
-    return texts, build_filter(tokens, groups, first=blocks_[-1][0], last=blocks_[-1][1], segment=segment)
+    return texts, build_filter(tokens, groups, segment, *blocks_[-1])
 
 
 def _levels_of(b: pa.RecordBatch, token: np.ndarray, filter_: Filter | None) -> np.ndarray:
@@ -334,10 +309,14 @@ def _noted(sent):
 # --- scores -------------------------------------------------------------------------------------------------------
 
 _PARTS = "id long, text_key long, n_rows long, n_tokens long, n_known long, base double, score double"
+#: What adds up over the parts of a text.
+_ADDED = (("n_rows", np.int64), ("n_tokens", np.int64), ("n_known", np.int64), ("base", np.float64), ("score", np.float64))
 _PART_KINDS = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), *[(c, pa.int64()) for c in ("n_rows", "n_tokens", "n_known")], ("base", pa.float64()), ("score", pa.float64())])
-_SUMMED = "bucket int, ids binary, text_keys binary, n_known binary, base binary, score binary"
-_SUMMED_KINDS = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("ids", "text_keys", "n_known", "base", "score")]])
-#: Texts of a range with their tokens (how often, how many a text) and bigrams (the same, and the levels of both words), or what was learned.
+_SUMMED_KINDS = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("ids", "text_keys", *[n for n, _ in _ADDED])]])
+_SUMMED = ", ".join(["bucket int", *[f"{f.name} binary" for f in list(_SUMMED_KINDS)[1:]]])
+#: Texts of a range with their tokens (how often, how many a text) and bigrams (the same, and the levels of both words), or what was
+#: learned. Groups from the number of ranges on are buckets of texts, with what a task knows of a text alone: rows, tokens, known ones
+#: among the heavy, and both scores without what ranges add (in the columns ``sizes``, ``counts``, ``times``, ``pairs``, ``keys``).
 _BAG_COLUMNS = ("keys", "counts", "ids", "text_keys", "sizes", "pairs", "times", "befores", "afters", "pair_sizes", "bits")
 _BAGS = ", ".join(["grp int", *[f"{c} binary" for c in _BAG_COLUMNS]])
 _BAG_KINDS = pa.schema([("grp", pa.int32()), *[(c, pa.binary()) for c in _BAG_COLUMNS]])
@@ -359,36 +338,36 @@ def _among(keys: np.ndarray, these: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return hit, slot[hit]
 
 
-def _doc_rows(sent):
-    """What a task knows of a text alone: tokens, the score without bigrams, and what heavy tokens and bigrams add."""
+def _lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a sorted array and how often each is there."""
+    new = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))[: len(x)]
+    return x[new], np.diff(np.append(new, len(x)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, total, distinct, (heavy, counts), (pairs, pair_counts) = sent.value
-        filter_ = Filter(**filter_) if filter_ else None
-        for b in blocks(batches, "text", SCORED):
-            row, token, pair = tokens_of(words_of(b.column("text"), spaced(), lower=True))
-            n = len(b)
-            score = np.zeros(len(row))
-            if total:
-                q = _levels_of(b, token, filter_)
-                before = np.roll(q, 1)  # a text begins as often as one ends, and an end is before it here
-                of = share(q, total, distinct)
-                score = np.log10(PRIOR * of / (typical(before) + PRIOR))
-                often, slot = _among(pair, pairs)
-                score[often] += gain(level(pair_counts[slot]), before[often], of[often])
-            known, slot = _among(token, heavy)
-            base = np.bincount(row[known], np.log10(counts[slot] + HALF), minlength=n)
-            ones = np.ones(n, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("text_key"), *[pa.array(x.astype(np.int64)) for x in (ones, np.bincount(row, minlength=n), np.bincount(row[known], minlength=n))], pa.array(base), pa.array(np.bincount(row, score, minlength=n))],
-                schema=_PART_KINDS,
-            )
 
-    return run
+def _alone(sent: tuple, row: np.ndarray, q: np.ndarray, n: int, heavy: tuple[np.ndarray, np.ndarray], heavy_pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """What a task knows of texts alone, in the order of ``_ADDED``: tokens, the score without bigrams, and what heavy tokens and bigrams add.
+
+    ``heavy`` and ``heavy_pairs`` tell which tokens and bigrams are heavy, and their slots.
+    """
+    _, total, distinct, (_, counts), (_, pair_counts) = sent
+    score = np.zeros(len(row))
+    if total:
+        before = np.roll(q, 1)  # a text begins as often as one ends, and an end is before it here
+        of = share(q, total, distinct)
+        score = np.log10(PRIOR * of / (typical(before) + PRIOR))
+        often, slot = heavy_pairs
+        score[often] += gain(level(pair_counts[slot]), before[often], of[often])
+    known, slot = heavy
+    base = np.bincount(row[known], np.log10(counts[slot] + HALF), minlength=n)
+    return np.ones(n, np.int64), np.bincount(row, minlength=n), np.bincount(row[known], minlength=n), base, np.bincount(row, score, minlength=n)
+
+
+def _buckets(ids: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64) + keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _bags(sent, groups: int, flush: int):
-    """Texts -> their other tokens and bigrams with counts, by range."""
+def _bags(sent, groups: int, buckets: int, flush: int):
+    """Texts -> what is known of them alone, by bucket, and their other tokens and bigrams with counts, by range."""
 
     def rows(tokens: list[tuple[np.ndarray, ...]], pairs: list[tuple[np.ndarray, ...]], ids: np.ndarray, texts: np.ndarray) -> list[tuple]:
         def dealt(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -399,8 +378,11 @@ def _bags(sent, groups: int, flush: int):
 
         place, key, n = dealt(tokens)
         pair_place, pair, times, before, after = dealt(pairs)
-        both = np.union1d(place, pair_place)
-        sizes, pair_sizes = (np.bincount(np.searchsorted(both, p), minlength=len(both)) for p in (place, pair_place))
+        (one, n_one), (two, n_two) = _lengths(place), _lengths(pair_place)  # places only grow
+        both = np.union1d(one, two)
+        sizes, pair_sizes = np.zeros(len(both), np.int64), np.zeros(len(both), np.int64)
+        sizes[np.searchsorted(both, one)] = n_one
+        pair_sizes[np.searchsorted(both, two)] = n_two
         bounds = np.arange(groups + 1) * len(ids)
         out = []
         for g, (u, t, p) in enumerate(zip(*(np.stack([x[:-1], x[1:]], 1).tolist() for x in (np.searchsorted(y, bounds) for y in (both, place, pair_place))), strict=True)):
@@ -413,17 +395,36 @@ def _bags(sent, groups: int, flush: int):
                 ))
         return out
 
+    def whole(ids: np.ndarray, texts: np.ndarray, alone: list[tuple[np.ndarray, ...]]) -> list[tuple]:
+        n_rows, n_tokens, n_known, base, score = (np.concatenate(x) for x in zip(*alone, strict=True))
+        order, begin = by_group(_buckets(ids, texts, buckets), buckets)
+        out = []
+        for g in np.flatnonzero(np.diff(begin)).tolist():
+            own = order[begin[g] : begin[g + 1]]
+            named = {"ids": packed(ids[own]), "text_keys": texts[own].tobytes(), "sizes": packed(n_rows[own]), "counts": packed(n_tokens[own]), "times": packed(n_known[own]),
+                     "pairs": base[own].tobytes(), "keys": score[own].tobytes()}
+            out.append((groups + g, *[named.get(c) for c in _BAG_COLUMNS]))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, _, _, (heavy, _), (heavy_pairs, _) = sent.value
         filter_ = Filter(**filter_) if filter_ else None
-        tokens, pairs, ids, texts = [], [], [], []
+        tokens, pairs, ids, texts, alone = [], [], [], [], []
         size = n_texts = 0
+
+        def held() -> pa.RecordBatch:
+            i, t = np.concatenate(ids), np.concatenate(texts)
+            return blob_rows(_BAG_KINDS, rows(tokens, pairs, i, t) + whole(i, t, alone))
+
         for b in blocks(batches, "text"):
             row, token, pair = tokens_of(words_of(b.column("text"), spaced(), lower=True))
-            q = _levels_of(b, token, filter_).astype(np.uint8)
+            q = _levels_of(b, token, filter_)
+            often, often_pairs = _among(token, heavy), _among(pair, heavy_pairs)
+            alone.append(_alone(sent.value, row, q, len(b), often, often_pairs))
+            q = q.astype(np.uint8)
             before = np.roll(q, 1)
-            seen = (q > 0) & (before > 0) & ~_among(pair, heavy_pairs)[0]
-            rest = ~_among(token, heavy)[0]
+            seen = (q > 0) & (before > 0) & ~often_pairs[0]
+            rest = ~often[0]
             at, n = _bag(row[rest], token[rest])
             tokens.append((row[rest][at] + n_texts, token[rest][at], n))
             size += len(at)
@@ -434,11 +435,11 @@ def _bags(sent, groups: int, flush: int):
             texts.append(b.column("text_key").to_numpy(zero_copy_only=False))
             n_texts += len(b)
             if size >= flush:
-                yield blob_rows(_BAG_KINDS, rows(tokens, pairs, np.concatenate(ids), np.concatenate(texts)))
-                tokens, pairs, ids, texts = [], [], [], []
+                yield held()
+                tokens, pairs, ids, texts, alone = [], [], [], [], []
                 size = n_texts = 0
-        if size:
-            yield blob_rows(_BAG_KINDS, rows(tokens, pairs, np.concatenate(ids), np.concatenate(texts)))
+        if n_texts:
+            yield held()
 
     return run
 
@@ -451,11 +452,17 @@ def _by_text(ids: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> tuple[np
     return ids[new], keys[new], *(np.add.reduceat(v[order], new) for v in values)
 
 
-def _range_scores(buckets: int, total: int, distinct: int):
-    """One range: what was learned (rows without ids) looked up for the tokens and bigrams of texts, summed by text, packed by buckets of texts."""
+def _range_scores(groups: int, buckets: int, total: int, distinct: int):
+    """One range: what was learned (rows without ids) looked up for the tokens and bigrams of texts, summed by text, packed by buckets of texts.
+
+    What is known of texts alone goes on as it is.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         cols = {n: table.column(n).to_pylist() for n in table.column_names}
+        if cols["grp"][0] >= groups:
+            named = [cols[c] for c in ("ids", "text_keys", "sizes", "counts", "times", "pairs", "keys")]
+            return pa.Table.from_batches([blob_rows(_SUMMED_KINDS, [(cols["grp"][0] - groups, *r) for r in zip(*named, strict=True)])])
         bags = [k for k, ids in enumerate(cols["ids"]) if ids is not None]
         if not bags:
             return _SUMMED_KINDS.empty_table()
@@ -482,27 +489,28 @@ def _range_scores(buckets: int, total: int, distinct: int):
         ids = np.concatenate([unpacked(cols["ids"][k], np.int64) for k in bags])
         keys = np.concatenate([np.frombuffer(cols["text_keys"][k], np.int64) for k in bags])
         ids, keys, base, n_known, score = _by_text(ids, keys, *(np.concatenate(x) for x in (base, n_known, score)))
-        bucket = (mix(ids.astype(np.uint64) + keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order, begin = by_group(bucket, buckets)
+        order, begin = by_group(_buckets(ids, keys, buckets), buckets)
         rows = []
         for g in np.flatnonzero(np.diff(begin)).tolist():
             own = order[begin[g] : begin[g + 1]]
-            rows.append((g, packed(ids[own]), keys[own].tobytes(), packed(n_known[own]), base[own].tobytes(), score[own].tobytes()))
+            rows.append((g, packed(ids[own]), keys[own].tobytes(), None, None, packed(n_known[own]), base[own].tobytes(), score[own].tobytes()))
         return pa.Table.from_batches([blob_rows(_SUMMED_KINDS, rows)])
 
     return run
 
 
 def _text_scores(table: pa.Table) -> pa.Table:
-    """A bucket of texts: the ranges' parts added up."""
+    """A bucket of texts: what is known of them alone and the ranges' parts added up."""
     cols = {n: table.column(n).to_pylist() for n in table.column_names}
-    ids, keys, base, n_known, score = _by_text(
-        np.concatenate([unpacked(x, np.int64) for x in cols["ids"]]), np.concatenate([np.frombuffer(x, np.int64) for x in cols["text_keys"]]),
-        np.concatenate([np.frombuffer(x, np.float64) for x in cols["base"]]), np.concatenate([unpacked(x, np.int64) for x in cols["n_known"]]),
-        np.concatenate([np.frombuffer(x, np.float64) for x in cols["score"]]),
-    )
-    none = pa.array(np.zeros(len(ids), np.int64))
-    return pa.Table.from_arrays([pa.array(ids), pa.array(keys), none, none, pa.array(n_known), pa.array(base), pa.array(score)], schema=_PART_KINDS)
+    ids = [unpacked(x, np.int64) for x in cols["ids"]]
+
+    def added(name: str, kind) -> np.ndarray:
+        read = (lambda x: np.frombuffer(x, kind)) if kind is np.float64 else (lambda x: unpacked(x, kind))
+        return np.concatenate([np.zeros(len(own), kind) if x is None else read(x) for x, own in zip(cols[name], ids, strict=True)])
+
+    keys = np.concatenate([np.frombuffer(x, np.int64) for x in cols["text_keys"]])
+    sums = _by_text(np.concatenate(ids), keys, *(added(n, kind) for n, kind in _ADDED))
+    return pa.Table.from_arrays([pa.array(x) for x in sums], schema=_PART_KINDS)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, bits: int = BITS, group: int = GROUP, flush: int = FLUSH, part: int = ROUND) -> DataFrame:
@@ -537,14 +545,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     rounds = min(ROUNDS, in_blocks(size, part))
 
     def scored(texts: DataFrame) -> DataFrame:
-        whole = texts.mapInArrow(lean(_doc_rows(sent)), _PARTS)
-        bags = texts.mapInArrow(lean(_bags(sent, groups, flush)), _BAGS)
-        found = bags.unionByName(known).groupBy("grp").applyInArrow(lean_group(_range_scores(buckets, total, distinct)), _SUMMED)
-        ranges = found.groupBy("bucket").applyInArrow(lean_group(_text_scores), _PARTS)
-        return whole.unionByName(ranges).groupBy("id", "text_key").agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "n_known", "base", "score")])
-
-    # Rows of equal text meet in one round.
-    shares = [texts.where(F.pmod(F.col("text_key"), F.lit(rounds)) == k) for k in range(rounds)]
+        bags = texts.mapInArrow(lean(_bags(sent, groups, buckets, flush)), _BAGS)
+        found = bags.unionByName(known).groupBy("grp").applyInArrow(lean_group(_range_scores(groups, buckets, total, distinct)), _SUMMED)
+        return found.groupBy("bucket").applyInArrow(lean_group(_text_scores), _PARTS)
+
+    # Rows of equal id and text meet in one round; nothing of a text but its length is looked at to deal them.
+    dealt = F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(rounds))
+    shares = [texts.where(dealt == k) for k in range(rounds)]
     sums = union_all([_freed_table(scored(x), "text-scores") for x in shares]) if rounds > 1 else scored(texts)
     id_ = F.when(F.col("id") != NO_ID, F.col("id"))
     level_ = float(np.log10(total + HALF * (distinct + 1)))
