@@ -50,7 +50,7 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system: idle Python workers live on beside the next ones."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -65,7 +65,7 @@ def lean(fn):
         try:
             yield from fn(batches)
         finally:
-            _give_back()
+            give_back()
 
     return run
 
@@ -77,7 +77,7 @@ def lean_group(fn):
         try:
             return fn(table)
         finally:
-            _give_back()
+            give_back()
 
     return run
 
