@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import decontamination, mixing, near_duplicates, quality, substring_dedup
-from pairwright.llm.frames import kept_table, text_key
+from pairwright.llm.frames import give_back, kept_table, text_key
 from pairwright.session import shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,7 +23,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the rules or the trained model reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.judge(docs, labels).where("kept").select(*COLUMNS)
+    kept = quality.judge(docs, labels).where("kept").select(*COLUMNS)
+    give_back()  # the driver has trained
+    return kept
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
