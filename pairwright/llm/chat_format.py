@@ -9,9 +9,10 @@ Segment lengths, cumulative offsets and scatter indices are numpy arrays over al
 turns of a batch; headers and contents are copied into one buffer that becomes
 the Arrow column as it is.
 
-Turns are brought together by conversation and sorted (Spark spills), then
+Turns are dealt by ranges of conversations and sorted (Spark spills), then
 streamed: a conversation of any length leaves as parts of about ``PART`` bytes, in
-order, so no task holds a whole one.
+order, so no task holds a whole one. A conversation of more than ``LARGE`` bytes
+is dealt by ranges of its turns, so that many tasks format it.
 """
 
 from __future__ import annotations
@@ -25,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import bounded, lean, shuffle_width
+from pairwright.llm.frames import bounded, kept_table, lean, shuffle_width
 from pairwright.llm.words import blocks, code_points, ragged, string_array, text_buffer
 
 START, END = b"<|im_start|>", b"<|im_end|>\n"
 #: Role whose texts are under the loss mask.
 LEARNED = "assistant"
-#: Bytes of one part of a conversation, more or less.
-PART = 4 << 20
+#: Bytes of one part of a conversation, more or less; bytes from which a conversation is dealt by its turns, and what a
+#: turn counts beside its text; characters of a text that ranges of equal turns and roles are told apart by.
+PART, LARGE, TURN, EDGE = 4 << 20, 64 << 20, 32, 64
 
-FORMATTED = "conv_id long, part int, n_turns long, text string, loss array<struct<start:int,stop:int>>"
+FORMATTED = "conv_id long, part long, n_turns long, text string, loss array<struct<start:int,stop:int>>"
 _LOSS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -96,19 +98,28 @@ def assemble(roles: pa.Array, texts: pa.Array, first: np.ndarray) -> tuple[pa.Ar
     return string_array(out, np.diff(group)), spans
 
 
-def format_chats(turns: DataFrame, part: int = PART) -> DataFrame:
-    """Rows of turns -> FORMATTED: for each conversation its parts, numbered from 0.
+def format_chats(turns: DataFrame, part: int = PART, large: int = LARGE) -> DataFrame:
+    """Rows of turns -> FORMATTED: for each conversation its parts in the order of ``part``.
 
     A part is one training text: its turns in order, ``loss`` the spans (code
-    points) of the learned role's texts. Null roles and texts are empty. Turns
-    with equal number are ordered by role and text, nulls first; repeated rows
-    stay. Rows without conversation id are one conversation, null. Other columns
-    are not looked at. Parts of one conversation lie in one partition, in order.
+    points) of the learned role's texts. Parts are numbered from 0; those of a
+    conversation of more than ``large`` bytes are numbered with the range of its
+    turns in the upper 32 bits, so numbers have gaps and a range may end a part
+    early. Null roles and texts are empty. Turns with equal number are ordered by
+    role and text, nulls first; repeated rows stay. Rows without conversation id
+    are one conversation, null. Other columns are not looked at.
     """
-    bounded(turns.sparkSession)
+    spark = turns.sparkSession
+    bounded(spark)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    sorted_ = rows.repartition(shuffle_width(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return sorted_.mapInArrow(lean(_formatter(part)), FORMATTED)
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + TURN)
+    wide = kept_table(rows.groupBy("conv_id").agg(size.alias("size")).where(F.col("size") > large).select(F.col("conv_id").alias("_wide"), F.lit(True).alias("by_turn")), "large")
+    rows = rows.join(wide, F.col("conv_id").eqNullSafe(F.col("_wide")), "left").drop("_wide")
+    # Keys that are null for all other conversations keep each of them in one range.
+    edges = [F.when(F.col("by_turn"), c) for c in (F.col("turn"), F.col("role"), F.left("text", F.lit(EDGE)))]
+    dealt = rows.repartitionByRange(shuffle_width(spark), F.col("conv_id"), *edges)
+    numbered = dealt.withColumn("range", F.when(F.col("by_turn"), F.spark_partition_id()).otherwise(0)).drop("by_turn")
+    return numbered.sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(lean(_formatter(part)), FORMATTED)
 
 
 def _formatter(limit: int):
@@ -123,7 +134,7 @@ def _formatter(limit: int):
             first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])]))
             sizes = text_buffer(b.column(b.schema.get_field_index("text")))[1]
             long = sizes[-1] - sizes[first[-1]] >= limit
-            numbers = np.zeros(len(first), np.int32)
+            numbers = np.zeros(len(first), np.int64)
             if open_ is not None and open_[:2] == (ids[0], null[0]):
                 numbers[0] = open_[2]
             ready = first if long else first[:-1]
@@ -132,7 +143,7 @@ def _formatter(limit: int):
             held = None if long else b.slice(first[-1])
             open_ = (ids[-1], null[-1], int(numbers[-1]) + long)
         if held is not None:
-            yield _parts(held, np.zeros(1, np.int64), np.array([open_[2]], np.int32))
+            yield _parts(held, np.zeros(1, np.int64), np.array([open_[2]], np.int64))
 
     return run
 
@@ -140,6 +151,7 @@ def _formatter(limit: int):
 def _parts(b: pa.RecordBatch, first: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
     get = {n: b.column(k) for k, n in enumerate(b.schema.names)}
     text, loss = assemble(get["role"], get["text"], first)
+    numbers = numbers + (get["range"].take(pa.array(first)).to_numpy().astype(np.int64) << 32)
     turns = np.diff(np.append(first, len(b)))
     return pa.RecordBatch.from_arrays(
         [get["conv_id"].take(pa.array(first)), pa.array(numbers), pa.array(turns), text, pa.array(loss, _LOSS)], ["conv_id", "part", "n_turns", "text", "loss"]
@@ -160,7 +172,10 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from the formatted parts, a row per conversation; parts stream in order, hashes go on from part to part."""
+    """What can be read back from the formatted parts, a row per conversation; parts stream in order, hashes go on from part to part.
+
+    A digest is one chain over a conversation, so this alone stays with one task for each, which holds a part at a time.
+    """
     parts = formatted.repartition(shuffle_width(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part")
     names = [c.split(" ")[0] for c in DIGESTS.split(", ")]
 

@@ -69,6 +69,25 @@ def test_conversations(spark, part):
         assert {r["count"] for r in parts} == {1}
 
 
+def test_large_conversations_are_dealt_by_turns(spark):
+    """A conversation, or the rows without id, with a third of all turns is formatted by many tasks; the others stay whole."""
+    from pyspark.sql import functions as F
+
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{c} says {t} " * (1 + t % 7)) for c in range(40) for t in range(12)]
+    rows += [(c, t // 3, ("user", "assistant", None)[t % 3], HARD[t % len(HARD)] or None) for c in (None, 1000) for t in range(480)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    formatted = cf.format_chats(df, part=2000, large=10_000)
+    tasks = formatted.withColumn("task", F.spark_partition_id()).groupBy("conv_id").agg(F.countDistinct("task").alias("n"), F.countDistinct("part").alias("parts"), F.count("*").alias("rows"))
+    by = {r["conv_id"]: r for r in tasks.collect()}
+    assert by[None]["n"] > 1 and by[1000]["n"] > 1 and all(by[c]["n"] == 1 for c in range(40))
+    assert all(r["parts"] == r["rows"] for r in by.values())
+    groups = defaultdict(list)
+    for c, t, r, x in rows:
+        groups[c].append((t, r, x))
+    want = {c: digest([(r, x) for _, r, x in sorted(v, key=lambda y: tuple((z is not None, z) for z in y))]) for c, v in groups.items()}
+    assert {r["conv_id"]: tuple(r)[1:] for r in cf.digests(formatted).collect()} == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert cf.digests(cf.format_chats(df)).count() == 0
