@@ -11,8 +11,10 @@ position, checked word by word against the text, and merged to spans.
 A text longer than a shard is cut into pieces that overlap by one word less than
 the longest window, so no occurrence is lost and memory stays bounded.
 
-The benchmark is the stated query set. It is read in blocks of ``BLOCK_BYTES``;
-a block's windows are broadcast, and further blocks are further passes.
+The benchmark is the stated query set. Tasks make its windows, which are written
+as distinct (window, item) pairs and dealt to blocks of about ``BLOCK`` pairs; the
+driver sees one block at a time, as packed arrays, and broadcasts it. Further blocks
+are further passes; after ``CHAIN`` of them the rows are written.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import bounded, in_blocks, lean, others, send
+from pairwright.llm.frames import bounded, in_blocks, kept_table, lean, named, others, send
 from pairwright.llm.words import Words, alphanumeric, blocks, covered, ragged, runs, words_of
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
-#: Words of a shard, distance of sampled positions, bytes of benchmark texts in one pass.
-SHARD, SAMPLE, BLOCK_BYTES = 1 << 18, 8, 32 << 20
+#: Words of a shard, distance of sampled positions, (window, item) pairs in one pass, passes between two writes.
+SHARD, SAMPLE, BLOCK, CHAIN = 1 << 18, 8, 1 << 19, 4
 #: Bytes of text from which a shard is made.
 SHARD_TEXT = 4 << 20
 
@@ -47,22 +49,45 @@ class Windows:
     names: list[str | None]
 
 
-def windows_of(items: list[tuple[str | None, str]], size: int = WINDOW) -> Windows:
-    w = words_of(pa.array([t for _, t in items], pa.string()), alphanumeric(), lower=True)
-    found: dict[tuple, set[int]] = {}
-    for k in range(len(items)):
-        h = w.hashes[w.bounds[k] : w.bounds[k + 1]].tolist()
-        for a in range(max(1, len(h) - size + 1) if h else 0):
-            found.setdefault(tuple(h[a : a + size]), set()).add(k)
-    words = np.zeros((len(found), size), np.uint64)
-    for k, key in enumerate(found):
-        words[k, : len(key)] = key[::-1]
+def window_rows(items: pa.RecordBatch, size: int = WINDOW) -> pa.RecordBatch:
+    """Windows of a batch of (item, text): the fingerprints of a window's words as one key, last word first, and its item."""
+    w = words_of(items.column("text"), alphanumeric(), lower=True)
+    short = np.flatnonzero((w.counts > 0) & (w.counts < size))
+    whole = w.windows(size)
+    at = np.concatenate([whole, w.bounds[short]])
+    lengths = np.concatenate([np.full(len(whole), size), w.counts[short]])
+    key = np.zeros((len(at), size), np.uint64)
+    for k in range(size):
+        has = lengths > k
+        key[has, k] = w.hashes[at[has] + lengths[has] - 1 - k]
+    row = np.concatenate([w.rows[whole], short])
+    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * size), len(at), [None, pa.py_buffer(key.tobytes())])
+    return pa.RecordBatch.from_arrays([raw.cast(pa.binary()), pa.array(lengths, pa.int32()), items.column("item").take(pa.array(row))], ["key", "length", "item"])
+
+
+def windows_of(pairs: pa.Table, size: int = WINDOW) -> Windows:
+    """The distinct windows of a table of (key, length, item) pairs, each pair there once."""
+    raw = b"".join(pairs.column("key").to_pylist())
+    keys, first, owner = np.unique(np.frombuffer(raw, f"V{8 * size}"), return_index=True, return_inverse=True)
+    items = pairs.column("item").combine_chunks().dictionary_encode("encode")
+    order = np.argsort(owner, kind="stable")
+    lengths = pairs.column("length").to_numpy().astype(np.int64)
     return Windows(
-        words, np.array([len(k) for k in found], np.int64), np.repeat(np.arange(len(found)), [len(x) for x in found.values()]),
-        np.array([x for s in found.values() for x in sorted(s)], np.int64), [i for i, _ in items],
+        np.frombuffer(keys.tobytes(), np.uint64).reshape(-1, size), lengths[first], owner[order],
+        items.indices.to_numpy(zero_copy_only=False).astype(np.int64)[order], items.dictionary.to_pylist(),
     )
 
 
+def window_pairs(items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(item, text) -> the distinct (key, length, item) of all windows, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text"):
+            yield window_rows(b, size)
+
+    return kept_table(items.mapInArrow(lean(run), "key binary, length int, item string").distinct(), "windows")
+
+
 class Wavelet:
     """Symbols in a wavelet matrix; ``rank`` counts a symbol before a position, for many at once."""
 
@@ -251,7 +276,7 @@ def hits_of(w: Words, windows: Windows, shard: int = SHARD) -> tuple[np.ndarray,
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, shard: int = SHARD, block_bytes: int = BLOCK_BYTES,
+    window: int = WINDOW, shard: int = SHARD, block: int = BLOCK,
 ) -> DataFrame:
     """Rows of ``docs`` with the benchmark's passages cut out of the text.
 
@@ -267,17 +292,22 @@ def decontaminate(
     spark = docs.sparkSession
     bounded(spark)
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = in_blocks(size, block_bytes)
+    pairs = window_pairs(items, window)
+    n = in_blocks(pairs.count(), block)
     own = others(docs, "found_words", "found_spans", "found_items")
+    column = f"c{own.index(text_col)}"
+    # Numbered names on the way: mapInArrow takes no names with dots.
     out = docs.select(
-        *own, F.lit(0).cast("long").alias("found_words"), F.lit(None).cast("array<array<long>>").alias("found_spans"), F.lit(None).cast("array<string>").alias("found_items")
+        *[named(c).alias(f"c{k}") for k, c in enumerate(own)], F.lit(0).cast("long").alias("found_words"), F.lit(None).cast("array<array<long>>").alias("found_spans"), F.lit(None).cast("array<string>").alias("found_items")
     )
-    for block in range(n):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == block) if n > 1 else items
-        sent = send(spark, windows_of([(r["item"], r["text"]) for r in part.toLocalIterator()], window))
-        out = out.mapInArrow(lean(_searcher(sent, text_col, shard, cut=block == n - 1)), out.schema)
-    return out
+    for k in range(n):
+        # By window and item: a window that very many items have is searched for in several blocks.
+        part = pairs.where(F.pmod(F.xxhash64("key", "item"), F.lit(n)) == k) if n > 1 else pairs
+        sent = send(spark, windows_of(part.toArrow(), window))
+        out = out.mapInArrow(lean(_searcher(sent, column, shard, cut=k == n - 1)), out.schema)
+        if k % CHAIN == CHAIN - 1 and k < n - 1:
+            out = kept_table(out, "searched")
+    return out.toDF(*own, "found_words", "found_spans", "found_items")
 
 
 def _searcher(sent, text_col: str, shard: int, cut: bool):

@@ -41,6 +41,11 @@ def others(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def named(name: str) -> Column:
+    """A column by its name, which may have dots and backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_key(text: str) -> Column:
     """Tells texts of one id apart. Rows with equal id and equal text have equal results in all operators here."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

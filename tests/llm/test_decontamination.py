@@ -52,7 +52,8 @@ def test_suffix_array_and_ranks(texts):
 def test_every_occurrence_is_located(data):
     texts = data.draw(st.lists(st.lists(st.sampled_from("abc"), max_size=30), min_size=1, max_size=5))
     phrases = data.draw(st.lists(st.lists(st.sampled_from("abcd"), min_size=1, max_size=6), min_size=1, max_size=6))
-    windows = dc.windows_of([(str(k), " ".join(p)) for k, p in enumerate(phrases)], 4)
+    pairs = dc.window_rows(dc.pa.RecordBatch.from_pydict({"item": [str(k) for k in range(len(phrases))], "text": [" ".join(p) for p in phrases]}), 4)
+    windows = dc.windows_of(dc.pa.Table.from_pylist([dict(x) for x in sorted({tuple(r.items()) for r in pairs.to_pylist()})]), 4)
     flat = dc.words_of(dc.pa.array([" ".join(t) for t in texts]), dc.alphanumeric())
     at, which = dc.hits_of(flat, windows, shard=data.draw(st.sampled_from([4, 9, 1000])))
     got = {(int(a), tuple(windows.words[k][: windows.lengths[k]][::-1].tolist())) for a, k in zip(at, which, strict=True)}
@@ -65,14 +66,14 @@ def test_every_occurrence_is_located(data):
     assert got == want and len(at) == len(got)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 25, 60])
-def test_documents_against_brute_force(spark, make, block_bytes):
+@pytest.mark.parametrize("block", [1 << 19, 7, 1])
+def test_documents_against_brute_force(spark, make, block):
     rng = random.Random(3)
     vocabulary = ["Alpha", "beta", "gamma,", "delta-1", "é", "zeta"]
-    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 2, 3, 5, 9])))) for k in range(12)] + [(None, "beta beta beta"), (99, None), (3, "zeta zeta")]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 2, 3, 5, 9])))) for k in range(12 if block > 1 else 2)] + [(None, "beta beta beta"), (99, None), (3, "zeta zeta")]
     docs = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(60)))) for k in range(40)] + [(100, None), (101, ""), (None, "beta beta beta alpha"), (5, "zeta zeta")]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, found_spans string")
-    out = dc.decontaminate(make(docs), bench, window=4, shard=16, block_bytes=block_bytes).collect()
+    out = dc.decontaminate(make(docs), bench, window=4, shard=16, block=block).collect()
     assert len(out) == len(docs)
     got = sorted((str(r["doc_id"]), r["found_words"], sum(e - a for a, e in r["found_spans"]), r["found_items"]) for r in out)
     want = sorted((str(d), n, len(hit), found) for d, t in docs for n, hit, found in [brute(t, items, 4)])
@@ -102,3 +103,19 @@ def test_blocks_with_and_without_hits(spark, make):
     out = dc.decontaminate(make(rows).coalesce(1), bench).collect()
     assert {r["doc_id"]: r["found_items"] for r in out} == {k: ["1"] if k % 2 else [] for k in range(6)}
     assert all(r["text"].endswith("\n") == (r["doc_id"] % 2 == 1) for r in out)
+
+
+def test_a_window_of_very_many_items(spark, make):
+    """Blocks are dealt by window and item, so no block holds all items of a common window."""
+    bench = spark.range(500).selectExpr("id AS item_id", "'one two three' AS text")
+    pairs = dc.window_pairs(bench.selectExpr("CAST(item_id AS string) AS item", "text"))
+    assert pairs.count() == 500
+    out = dc.decontaminate(make([(1, "zero one two three four"), (2, "one two")]), bench, block=200).collect()
+    assert {r["doc_id"]: (r["found_spans"], len(r["found_items"])) for r in out} == {1: ([[1, 4]], 500), 2: ([], 0)}
+
+
+def test_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, "a one two b", "x", "y")], "doc_id long, text string, `a.b` string, `c``d` string")
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    r = dc.decontaminate(docs, bench).first()
+    assert (r["a.b"], r["c`d"], r["found_items"]) == ("x", "y", ["1"])
