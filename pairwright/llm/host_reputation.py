@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.frames import kept_table
 
-#: Suffixes of two labels under which names are registered; other suffixes are the last label.
+#: Suffixes of two labels under which names are registered, unless the caller has others; else the suffix is the last label.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "org.au", "org.uk")
 #: Bad rate that the posterior's lower bound must pass, and the bound's distance in standard deviations (95 %, one-sided).
 LIMIT, SIGMAS = 0.5, 1.645
@@ -42,13 +42,32 @@ def _rest(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def name_of(host: Column) -> Column:
+    """The host without user name and port."""
+    return F.regexp_replace(F.substring_index(host, "@", -1), r":[0-9]*\z", "")
 
 
-def domain_of(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def _labels(name: Column, suffixes: Sequence[str], more: int) -> Column:
+    """The longest of ``suffixes`` that the name ends with (else the last label) and ``more`` labels before it."""
+    out = F.substring_index(name, ".", -1 - more)
+    for n in sorted({x.count(".") + 1 for x in suffixes}):
+        known = [x for x in suffixes if x.count(".") + 1 == n]
+        out = F.when(F.substring_index(name, ".", -n).isin(*known), F.substring_index(name, ".", -n - more)).otherwise(out)
+    return out
+
+
+def _address(name: Column) -> Column:
+    return name.rlike(r"\A([0-9]+\.){3}[0-9]+\z") | F.startswith(name, F.lit("["))
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
+    """Suffix of the host's name; an address has none."""
+    return F.when(_address(name_of(host)), "").otherwise(_labels(name_of(host), suffixes, 0))
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
+    """Registered domain: the suffix and one label more; an address stands for itself."""
+    return F.when(_address(name_of(host)), name_of(host)).otherwise(_labels(name_of(host), suffixes, 1))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -61,13 +80,13 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def reputation(hosts: DataFrame, limit: float = LIMIT, sigmas: float = SIGMAS) -> DataFrame:
+def reputation(hosts: DataFrame, limit: float = LIMIT, sigmas: float = SIGMAS, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """(host, n, bad) -> host, mean, lower, verdict. ``n`` and ``bad`` are labelled pages; a host may have none.
 
     Three numbers a level go through the driver. Without any labelled page the
     mean is null and the verdict is allow.
     """
-    h = kept_table(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad"), "hosts")
+    h = kept_table(hosts.select("host", domain_of(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix"), "n", "bad"), "hosts")
     domains = h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     n, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
@@ -93,20 +112,22 @@ def _shrunk(groups: DataFrame) -> DataFrame:
 
 
 def filter_urls(
-    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", limit: float = LIMIT, sigmas: float = SIGMAS
+    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", limit: float = LIMIT, sigmas: float = SIGMAS,
+    suffixes: Sequence[str] = TWO_LABEL_SUFFIXES,
 ) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, bad_rate, lower_bound.
 
     ``outcomes`` has (page_id, bad): the labelled pages. An id that is labelled
     twice is bad if one label says so; rows without id or ``bad`` are no labels;
     each row of ``pages`` with a labelled id counts. Null urls and such without
-    ``://`` have an empty host, a host like any other. Other columns are not looked at.
+    ``://`` have an empty host, a host like any other. ``suffixes`` are the suffixes
+    of several labels; user names and ports do not count for reputation. Other columns are not looked at.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     one = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     labelled = rows.select("page_id", "host").join(one, "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    known = kept_table(reputation(hosts, limit, sigmas), "reputation")
+    known = kept_table(reputation(hosts, limit, sigmas, suffixes), "reputation")
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     return rows.join(known.withColumnRenamed("verdict", "own"), "host").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(says, F.col("own")).alias("verdict"), F.col("mean").alias("bad_rate"), F.col("lower").alias("lower_bound")

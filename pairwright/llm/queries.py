@@ -200,8 +200,11 @@ WITH u AS (
 ), p AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
 ), l AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
-lab AS (SELECT host, string_split(host, '.') AS x, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN l USING (page_id) GROUP BY host),
-h AS (SELECT host, n, bad, x[-1] AS suffix, array_to_string(x[-2:], '.') AS domain FROM lab),
+lab AS (SELECT host, regexp_replace(string_split(host, '@')[-1], ':[0-9]*\\z', '') AS name, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN l USING (page_id) GROUP BY host),
+x AS (SELECT *, string_split(name, '.') AS x, regexp_matches(name, '\\A([0-9]+\\.){3}[0-9]+\\z') OR starts_with(name, '[') AS address,
+  array_to_string(x[-2:], '.') IN ('ac.uk', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.au', 'com.br', 'com.cn', 'com.mx', 'com.tr', 'gov.uk', 'org.au', 'org.uk') AS two FROM lab),
+h AS (SELECT host, n, bad, CASE WHEN address THEN '' WHEN two THEN array_to_string(x[-2:], '.') ELSE x[-1] END AS suffix,
+  CASE WHEN address THEN name WHEN two THEN array_to_string(x[-3:], '.') ELSE array_to_string(x[-2:], '.') END AS domain FROM x),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 s0 AS (SELECT *, (SELECT sum(bad) / sum(n) FROM s) AS prior FROM s),

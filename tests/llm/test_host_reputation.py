@@ -62,6 +62,16 @@ def test_suffixes(spark):
     assert [tuple(r) for r in rows] == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("b.com", "com"), ("com", "com"), ("", ""), ("b.com", "com")]
 
 
+def test_names_of_hosts(spark):
+    """Ports and user names do not count, addresses stand for themselves, the longest suffix wins."""
+    hosts = ["u:p@a.example.com:8080", "10.0.0.1:80", "[::1]:443", "b.github.io", "x.foo.co.in", "a.b.c.kobe.jp", "c.kobe.jp", "a.com:"]
+    own = ["github.io", "co.in", "c.kobe.jp", "kobe.jp"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select(hr.domain_of(F.col("h"), own), hr.suffix_of(F.col("h"), own)).collect()
+    assert [tuple(r) for r in rows] == [
+        ("example.com", "com"), ("10.0.0.1", ""), ("[::1]", ""), ("b.github.io", "github.io"), ("foo.co.in", "co.in"), ("b.c.kobe.jp", "c.kobe.jp"), ("c.kobe.jp", "c.kobe.jp"), ("a.com", "com"),
+    ]
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert hr.filter_urls(pages, spark.createDataFrame([], "page_id long, bad boolean"), RULES).count() == 0
