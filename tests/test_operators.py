@@ -244,3 +244,54 @@ def test_statements_without_domain_are_kept(spark):
 
     df = spark.createDataFrame([("a", "x"), (None, "y"), (None, "z")], "domain string, nl_statement string")
     assert {(r.domain, r.nl_statement, r.domain_count) for r in writers.by_domain(df).collect()} == {("a", "x", 1), (None, "y", 2), (None, "z", 2)}
+
+
+# order statistics by rounds, quotas by the last hash --------------------------------------------------------------
+
+
+def test_order_statistic_in_rounds(spark):
+    """Values of all magnitudes, with infinities and numbers that are none: 3 bins make many rounds."""
+    rnd = random.Random(4)
+    odd = [float("inf"), float("-inf"), float("nan"), 5e-324, 0.0, -1e308, 1e308]
+    rows = [(rnd.choice(["hot", "hot", "hot", "a", None]), rnd.choice([rnd.gauss(0, 10.0 ** rnd.randrange(-9, 9)), rnd.choice(odd), 7.0])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    order = lambda v: (math.isnan(v), 0 if math.isnan(v) else v)
+    for share in (0.0, 0.03, 0.5, 0.97):
+        got = ranking.value_at(df, "v", ["g"], lambda n, s=share: F.floor(n * s), "m", rows_per_bucket=2, bins=64)
+        want = {}
+        for g in {r[0] for r in rows}:
+            vs = sorted((r[1] for r in rows if r[0] == g), key=order)
+            want[g] = str(vs[math.floor(len(vs) * share)])
+        assert {r.g: str(r.m) for r in got.collect()} == want
+
+
+def test_order_statistic_of_near_numbers(spark):
+    """Numbers that are one double are told apart; a position outside a group gives no row."""
+    rows = [(2**60 + i % 50,) for i in range(200)]
+    df = spark.createDataFrame(rows, "v long")
+    for at in (0, 57, 199):
+        assert ranking.value_at(df, "v", [], lambda n, a=at: F.lit(a), "m", rows_per_bucket=1, bins=4).first().m == sorted(rows)[at][0]
+    assert ranking.value_at(df, "v", [], lambda n: n, "m").count() == 0
+    assert ranking.value_at(df.filter("v < 0"), "v", [], lambda n: F.floor(n / 2), "m").count() == 0
+
+
+def test_quota_within_equal_rows(spark):
+    """A third of the rows have no key and are all equal: just so many are taken, by many tasks."""
+    df = spark.createDataFrame([(None, "x")] * 300 + [(i, f"t{i}") for i in range(600)], "id long, `a.b` string")
+    whole = ranking.mark_first(df, "id", 3, lambda n: F.floor(n / 2), rows_per_bucket=20)
+    assert Counter(r.taken for r in whole.collect()) == Counter({True: 450, False: 450})
+    for n in (0, 1, 299, 300, 301, 899, 900, 5000):
+        got = ranking.mark_first(df.repartition(5), "id", 3, lambda _, n=n: F.lit(n), rows_per_bucket=50).collect()
+        assert len(got) == 900 and sum(r.taken for r in got) == min(n, 900)
+
+
+def test_quota_moves_no_row(spark, tmp_path):
+    """The marking pass scans once and neither sorts nor shuffles; counting reads the key alone."""
+    spark.range(1000).selectExpr("id", "repeat('x', 50) AS text").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = choose.split_exact(df, "id", 1, 0.2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Exchange" not in plan and "Sort" not in plan
+    df.createOrReplaceTempView("t_rows")
+    by = ranking.mark_first(df.withColumn("g", F.pmod("id", F.lit(3))), "id", 1, lambda n: F.floor(n / 2), ["g"])
+    plan = by._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2 and "Sort" not in plan  # the rows, and one row per group
