@@ -23,8 +23,8 @@ HASH_DIGITS = 4  # 65,536 buckets of equal expected size
 ROWS_PER_BUCKET = 2_000_000
 #: Rows and bytes up to which a small table may pass through the driver.
 FEW_ROWS, FEW_BYTES = 10_000, 1 << 20
-#: Bins of a range in the search for an order statistic; the largest double.
-BINS, LARGEST = 4096, sys.float_info.max
+#: Bins of a range in the search for an order statistic, rows of a range that are sorted; the largest double.
+BINS, ROWS_SORTED, LARGEST = 4096, 100_000, sys.float_info.max
 
 
 def measured(df: DataFrame, rows: int = FEW_ROWS, size: int = FEW_BYTES) -> DataFrame:
@@ -102,7 +102,7 @@ def value_at(
     groups: list[str],
     position: Callable[[Column], Column],
     name: str,
-    rows_per_bucket: int = FEW_ROWS,
+    rows_per_bucket: int = ROWS_SORTED,
     bins: int = BINS,
 ) -> DataFrame:
     """Exact order statistic per group of a number: the value at a 0-based position given the group size.
@@ -112,10 +112,12 @@ def value_at(
     greatest value. A range of one value is found; what is left once no range
     has more than ``rows_per_bucket`` rows is sorted. So no round keeps more
     than ``bins`` rows for a group, and a value that a third of all rows share
-    is one bin. Nulls are not counted; a group of nulls alone has no row.
+    is one bin. Values and groups are written once, without a shuffle, as rounds
+    would compute them anew. Nulls are not counted; a group of nulls alone has
+    no row.
     """
     v = F.col(value)
-    rows = df.filter(v.isNotNull()).select(*groups, value)
+    rows = cut_lineage(df.filter(v.isNotNull()).select(*groups, value), "values")
     span = [F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi")]
     sizes = rows.groupBy(*groups).agg(*span).filter("_n > 0")
     at = measured(sizes.select(*groups, position(F.col("_n")).cast("bigint").alias("_at"), "_n", "_lo", "_hi"))
