@@ -11,8 +11,9 @@ from pairwright.catalog.rows import CASCADE, FIELDS, J05, marked, retried_sets
 from pairwright.catalog.views import CORPUS_SQL, FORMULAS_SQL, LOG_SQL, RESULTS_SQL, table, v_corpus, v_formulas, v_log, v_results
 from pairwright.functions import formula as fx
 from pairwright.functions.profile import formula_profile
-from pairwright.operators import choose, stats
+from pairwright.operators import choose, sketches, stats
 from pairwright.operators.enrich import sample_columns
+from pairwright.operators.ranking import measured, with_columns_of
 
 
 def store(spark, sf):
@@ -61,6 +62,24 @@ def a01h(spark, sf):
     return stats.store_histograms(store(spark, sf))
 
 
+@query(
+    "a01_sketched_counts",
+    "SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS users, true AS users_near, true AS median_near FROM events GROUP BY 1",
+)
+def a01s(spark, sf):
+    """Daily sketches merged by kind of event, held against the exact figures: within four standard errors, two percent in rank."""
+    rows = table(spark, sf, "events").select("event_type", "user_id", "value", F.to_date("ts").alias("day"))
+    days = sketches.sketches(rows, ["day", "event_type"], {"users": "user_id"}, {"value": F.col("value")})
+    figures = measured(sketches.estimates(sketches.merged(days, ["event_type"])).select("event_type", "distinct_users", "value_median"))
+    users, near = F.count_distinct("user_id"), F.col("value_median")
+    below, upto, numbers = F.count_if(F.col("value") < near), F.count_if(F.col("value") <= near), F.count("value")
+    return with_columns_of(rows, figures, ["event_type"]).groupBy("event_type", "distinct_users").agg(
+        F.count(F.lit(1)).alias("rows"), users.alias("users"),
+        (F.abs(F.col("distinct_users") - users) <= 4 * sketches.hll_error() * users + 1).alias("users_near"),
+        ((below <= 0.52 * numbers) & (upto >= 0.48 * numbers)).alias("median_near"),
+    ).drop("distinct_users")
+
+
 def profiled(spark, sf):
     return v_formulas(spark, sf).select(
         "nl", F.col("formula").alias("atl"), "template_id",

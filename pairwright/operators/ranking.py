@@ -60,9 +60,10 @@ def running_total(
 ) -> DataFrame:
     """Adds the sum of ``weight`` over all earlier rows (of the group).
 
-    ``order`` is unique within a group. Rows are dealt by ranges of (group,
-    order), as many as their number asks for, and written with the number of
-    their range, so that offsets and rows agree whatever happens to a task.
+    ``order`` is unique within a group, but for nulls, which come first in any
+    order. Rows are dealt by ranges of (group, order), as many as their number
+    asks for, and written with the number of their range, so that offsets and
+    rows agree whatever happens to a task.
     """
     groups = groups or []
     parts = max(1, -(-df.count() // rows_per_bucket))
@@ -70,7 +71,9 @@ def running_total(
     if parts == 1:
         rows = rows.withColumn("_b", F.lit(0))
     else:
-        rows = cut_lineage(rows.repartitionByRange(parts, *groups, order).withColumn("_b", F.spark_partition_id()), "ranges")
+        # rows that share an order value, as those without one may, are split by what else they hold
+        tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+        rows = cut_lineage(rows.repartitionByRange(parts, *groups, order, tie).withColumn("_b", F.spark_partition_id()), "ranges")
     sums = rows.groupBy(*groups, "_b").agg(F.sum("_w").alias("_sum"))
     # one row per group and range
     upto = W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

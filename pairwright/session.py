@@ -28,6 +28,9 @@ def build_session(app: str = "pairwright", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # large expressions are built faster when their Python lines are not kept for error messages
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+        "spark.sql.dataFrameQueryContext.enabled": "false",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)

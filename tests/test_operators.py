@@ -295,3 +295,16 @@ def test_quota_moves_no_row(spark, tmp_path):
     by = ranking.mark_first(df.withColumn("g", F.pmod("id", F.lit(3))), "id", 1, lambda n: F.floor(n / 2), ["g"])
     plan = by._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 2 and "Sort" not in plan  # the rows, and one row per group
+
+
+def test_rows_without_order_are_split(spark, monkeypatch):
+    """Null order values that most rows share do not end in one range, and every position is given once."""
+    df = spark.createDataFrame([(None if i % 3 else i, i) for i in range(900)], "o long, n long")
+    written = []
+    keep = ranking.cut_lineage
+    monkeypatch.setattr(ranking, "cut_lineage", lambda d, label: written.append(keep(d, label)) or written[-1])
+    got = ranking.dense_index(df, "o", "i", rows_per_bucket=60).collect()
+    assert sorted(r.i for r in got) == list(range(900))
+    assert [r.i for r in sorted((r for r in got if r.o is not None), key=lambda r: r.o)] == list(range(600, 900))
+    sizes = [r["count"] for r in written[0].groupBy("_b").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 200
