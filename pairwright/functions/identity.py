@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairwright import vocab
-from pairwright.functions.text import strip
+from pairwright.functions.text import let, strip
 
 BAR = "|"
 
@@ -49,21 +52,22 @@ def domain_of(
 ) -> Column:
     """Domain with most of its words in the text; ties go to the earlier domain."""
     words = words or vocab.DOMAIN_WORDS
+    names, width = list(words), len(words)
+    most = max(len(m) for m in words.values())
+    # score and rank in one number, so that the best one is computed once
+    table = F.lit([vocab.GENERIC_DOMAIN] * width + names[::-1] * most)
+
+    def best(text: Column) -> Column:
+        codes = [_hits(text, members, whole_words) * width + (width - 1 - rank) for rank, members in enumerate(words.values())]
+        return F.greatest(*codes) if width > 1 else codes[0]
+
     text = F.lower(F.concat(nl, F.lit(" "), formula))
+    # written out, a few dozen plain tests are one method that is too large to be compiled; over a list they take half the time
+    return F.element_at(table, (best(text) if whole_words else let(text, best)) + 1)
 
-    def hit(word: str) -> Column:
-        found = F.regexp_like(text, F.lit(rf"\b\Q{word}\E\b")) if whole_words else F.contains(text, F.lit(word))
-        return found.cast("int")
 
-    # score and rank in one number, so that the best one is computed once
-    names, width = list(words), len(words)
-    codes = []
-    for rank, members in enumerate(words.values()):
-        score = hit(members[0])
-        for w in members[1:]:
-            score = score + hit(w)
-        codes.append(score * width + (width - 1 - rank))
-    best = F.greatest(*codes) if width > 1 else codes[0]
-    most = max(len(m) for m in words.values())
-    table = [vocab.GENERIC_DOMAIN] * width + names[::-1] * most
-    return F.element_at(F.array(*[F.lit(n) for n in table]), best + 1)
+def _hits(text: Column, words: list[str], whole_words: bool) -> Column:
+    """How many of the words are in the text."""
+    if whole_words:  # patterns are literals, so that each is compiled once
+        return reduce(add, [F.regexp_like(text, F.lit(rf"\b\Q{w}\E\b")).cast("int") for w in words])
+    return F.size(F.filter(F.lit(words), lambda w: F.contains(text, w)))
