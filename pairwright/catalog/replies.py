@@ -26,7 +26,8 @@ WORDINGS = ("Put otherwise: ", "In short: ", "Once more: ")
 def paraphrases(prompt: Column) -> Column:
     """Three numbered lines with the requirement after a few words."""
     nl = between(prompt, "Original: ", "\n\nOne per line")
-    return F.concat_ws("\n", *[F.concat(F.lit(f"{k}. {w}"), nl) for k, w in enumerate(WORDINGS, 1)])
+    lines = "\n".join(f"{k}. {w}\x00" for k, w in enumerate(WORDINGS, 1))
+    return F.replace(F.lit(lines), F.lit("\x00"), nl)
 
 
 def paraphrases_sql(nl: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwright import schemas, vocab
-from pairwright.functions.text import contains_any, cut, drop_prefixes, let, strip
+from pairwright.functions.text import contains_any, cut, drop_prefixes, let, strip, strip_short
 
 FENCE = "```"
 FLAT_OBJECT = r"\{[^{}]*\}"
@@ -95,19 +95,19 @@ def list_items(
     A number is only a list mark when punctuation follows; ``bare_numbers``
     also drops numbers without. ``min_length`` keeps items longer than that.
     """
-    mark = r"^[0-9]+[.):\-]?\s*" if bare_numbers else r"^[0-9]+[.):\-]\s*"
-
-    def item(line: Column) -> Column:
-        out = F.regexp_replace(strip(line), mark, "")
-        if bullets:
-            out = F.regexp_replace(out, r"^[\-*•]\s*", "")
-        if quotes:
-            out = F.regexp_replace(out, "^[\"']+|[\"']+$", "")
-        return out
-
-    items = F.filter(F.transform(_lines(strip(answer)), item), lambda i: F.length(i) > min_length)
-    if original is not None:
-        items = F.filter(items, lambda i: i != original)
+    # one pattern for the edges of all lines, so that no line is worked on by itself outside of generated code
+    blank, dot = r"[^\S\n]", "?" if bare_numbers else ""
+    opens = rf"^{blank}*(?:[0-9]+[.):\-]{dot}{blank}*)?"
+    if bullets:
+        opens += rf"(?:[\-*•]{blank}*)?"
+    if quotes:
+        opens += "[\"']*"
+    ends = rf"{blank}+$" + (rf"|[\"']+{blank}*$" if quotes else "")
+    items = F.array_remove(_lines(F.regexp_replace(answer, f"(?md){opens}|{ends}", "")), "")
+    if min_length > 0:
+        items = F.filter(items, lambda i: F.length(i) > min_length)
+    if original is not None:  # nothing is told apart from an original that is null
+        items = F.coalesce(F.array_remove(items, original), F.slice(items, 1, 0))
     return items if first is None else F.slice(items, 1, first)
 
 
@@ -187,13 +187,17 @@ def _semantic_check(s: Column) -> Column:
 
 def critique(answer: Column) -> Column:
     """struct(ok, issues, explanation, suggested_fix, parse_failed) from an answer that holds one object."""
-    text = strip(answer)
+    return let(critique_object(answer), lambda c: critique_fields(c, answer))
+
+
+def critique_object(answer: Column) -> Column:
+    """The object of an answer as it stands; a table keeps it as a column and takes ``critique_fields`` from it."""
+    text = strip_short(answer)
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    read = _parsed(F.when(F.contains(text, F.lit(FENCE)), fenced).otherwise(text), schemas.CRITIQUE)
-    return let(read, lambda c: _critique(c, answer))
+    return _parsed(F.when(F.contains(text, F.lit(FENCE)), fenced).otherwise(text), schemas.CRITIQUE)
 
 
-def _critique(c: Column, answer: Column) -> Column:
+def critique_fields(c: Column, answer: Column) -> Column:
     failed = c.isNull() | c["broken"].isNotNull()
     none = F.array().cast("array<string>")
     return F.struct(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairwright import vocab
 from pairwright.functions.text import (
-    canonical_set, contains_any, let, members, replace_all, strip, strings_present,
+    canonical_set, contains_any, let, members, replace_all, strip, strip_short, strings_present,
 )
 
 COALITION = r"<<([^>]+)>>"
@@ -20,11 +20,11 @@ LOWER_IDENTIFIER = r"\b[a-z][a-z0-9_]*\b"
 
 
 def to_ascii(f: Column) -> Column:
-    return strip(replace_all(f, vocab.ASCII_FORMS))
+    return strip_short(replace_all(f, vocab.ASCII_FORMS))
 
 
 def to_printed(f: Column) -> Column:
-    return strip(replace_all(f, vocab.PRINTED_FORMS))
+    return strip_short(replace_all(f, vocab.PRINTED_FORMS))
 
 
 def agents(f: Column) -> Column:
@@ -153,15 +153,16 @@ def sorted_members(coalition: Column) -> Column:
     keyed = F.transform(
         F.array_distinct(coalition), lambda a: F.struct(_is_number(a).alias("number"), a.alias("agent"))
     )
-    return F.transform(F.array_sort(keyed), lambda s: s["agent"])
+    return F.when(F.size(coalition) == 1, coalition).otherwise(F.transform(F.sort_array(keyed), lambda s: s["agent"]))
 
 
 def coalition_text(coalition: Column) -> Column:
     """English phrase of a coalition: one, two, or three and more agents."""
-    return let(sorted_members(coalition), _phrase)
+    return let(sorted_members(coalition), members_text)
 
 
-def _phrase(sorted_agents: Column) -> Column:
+def members_text(sorted_agents: Column) -> Column:
+    """The same of agents that are in the order of ``sorted_members``."""
     own = F.create_map(*[F.lit(x) for kv in vocab.AGENT_PHRASES.items() for x in kv])
 
     def with_article(a: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairwright import vocab
-from pairwright.functions.text import canonical_set, contains_any, count_of, let, strip, strings_present
+from pairwright.functions.text import canonical_set, contains_any, count_of, let, strip, strip_short, strings_present
 from pairwright.functions.text import members as listed_members
 
 LEADING_COALITION = r"^(<<|⟨⟨)\s*([^>⟩]*)\s*(>>|⟩⟩)"
@@ -25,7 +25,7 @@ def check_structure(raw: Column) -> Column:
 
     The feature fields are null when there are errors.
     """
-    f = strip(raw)
+    f = strip_short(raw)
     opened, closed = count_of(f, "("), count_of(f, ")")
     left, right = count_of(f, "<<"), count_of(f, ">>")
     uleft, uright = count_of(f, "⟨⟨"), count_of(f, "⟩⟩")

@@ -15,6 +15,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGE_SPACE, "")
 
 
+def strip_short(c: Column) -> Column:
+    """The same without a pattern, which is much faster; for formulas and answers, as it takes eight bytes a byte."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
 def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"\S+"))
 

@@ -79,7 +79,7 @@ def pick_atoms(atoms: Column, draw: Column, seed: int, k: Column | int) -> Colum
             e["value"].alias("phrase"),
         ),
     )
-    chosen = F.slice(F.array_sort(keyed), F.lit(1), k)
+    chosen = F.slice(F.sort_array(keyed), F.lit(1), k)
     return F.transform(chosen, lambda s: F.struct(s["atom"].alias("atom"), s["phrase"].alias("phrase")))
 
 
@@ -174,7 +174,7 @@ def base_pairs(
     )
     nl = fx.fill(
         frame,
-        {"coalition_nl": fx.coalition_text(members), "p_nl": hole(0, "phrase"), "q_nl": hole(1, "phrase"), "r_nl": hole(2, "phrase")},
+        {"coalition_nl": fx.members_text(members), "p_nl": hole(0, "phrase"), "q_nl": hole(1, "phrase"), "r_nl": hole(2, "phrase")},
     )
     out = rows.select(
         *draws.columns, "vocabulary", F.col("_t.template_id").alias("template_id"), F.col("_t.category").alias("category"),
@@ -192,11 +192,8 @@ def generated_samples(pairs: DataFrame, provider: str = "none") -> DataFrame:
 def with_paraphrases(pairs: DataFrame, items: str) -> DataFrame:
     """Originals plus one row per paraphrase; a paraphrase keeps its parent's columns, no join needed."""
 
-    def text(nl: Column, parent: Column) -> Column:
-        return F.struct(nl.alias("nl"), parent.cast("string").alias("paraphrase_of"))
-
     nl = F.col("nl")
-    own = F.array(text(nl, F.lit(None)))
-    texts = F.concat(own, F.transform(items, lambda i: text(i, nl)))
     rest = [c for c in pairs.columns if c not in ("nl", items)]
-    return pairs.select(*rest, F.explode(texts).alias("_n")).select(*rest, "_n.*")
+    texts = F.posexplode(F.concat(F.array(nl), F.col(items))).alias("_no", "_text")
+    parent = F.when(F.col("_no") > 0, nl.cast("string"))
+    return pairs.select(*rest, "nl", texts).select(*rest, F.col("_text").alias("nl"), parent.alias("paraphrase_of"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions import answers, prompts
+from pairwright.functions import formula as fx
 from pairwright.functions.identity import statement_hash, statement_id
 from pairwright.functions.profile import formula_profile
 from pairwright.functions.rules import formula_errors
@@ -15,7 +16,7 @@ from pairwright.operators.generate import base_pairs, with_paraphrases
 from pairwright.operators.identity import first_seen
 from pairwright.operators.inference import Stage
 from pairwright.operators.keep import keep_where
-from pairwright.plans.verify import critique_pairs
+from pairwright.plans.verify import critique_outcomes, critique_pairs, critiqued
 from pairwright.session import cut_lineage
 
 
@@ -107,15 +108,20 @@ def model_dataset(attempts: DataFrame, ask: Stage, n: int, groups: list[str], pr
 def hybrid_dataset(
     draws: DataFrame, draw: str, seed: int, n: int, ask: Stage, critique: Stage | None, provider: str, paraphrases: int = 3, **kw
 ) -> DataFrame:
-    """Template pairs, paraphrased, critiqued, trimmed to n by seeded choice."""
-    pairs = paraphrase(base_pairs(draws, draw, seed, **kw), ask, paraphrases)
-    by = F.when(F.col("paraphrase_of").isNull(), "none").otherwise(F.lit(provider))
-    rows = pairs.select(
-        F.concat_ws("/", F.col(draw).cast("string"), F.md5("nl")).alias("row_key"),
-        *sample_columns(F.col("nl"), F.col("formula"), F.col("template_id"), by, F.col("paraphrase_of")),
-    )
+    """Template pairs, paraphrased, critiqued, trimmed to n by seeded choice.
+
+    All pairs are paraphrased and critiqued; sample columns, which follow from a pair alone, are made of those that are taken.
+    """
+    pairs = base_pairs(draws, draw, seed, **kw).withColumn("atl_formula", fx.to_ascii(F.col("formula")))
+    pairs = paraphrase(pairs, ask, paraphrases)
+    key = F.concat_ws("/", F.col(draw).cast("string"), F.md5("nl")).alias("row_key")
+    rows = pairs.select(key, F.col("nl").alias("nl_statement"), "atl_formula", "formula", "template_id", "paraphrase_of")
     if critique:
-        rows = critique_pairs(rows, critique)
+        rows = critique_outcomes(rows, critique)
     # what models answered is written once, then counted and trimmed
-    rows = cut_lineage(rows, "hybrid")
-    return take_random(rows, "row_key", seed, n).drop("row_key")
+    taken = take_random(cut_lineage(rows, "hybrid"), "row_key", seed, n)
+    by = F.when(F.col("paraphrase_of").isNull(), "none").otherwise(F.lit(provider))
+    columns = sample_columns(F.col("nl_statement"), F.col("formula"), F.col("template_id"), by, F.col("paraphrase_of"))
+    judged = ["outcome", "_fix", "_err"] if critique else []
+    taken = taken.select(*columns, *judged)
+    return critiqued(taken) if critique else taken

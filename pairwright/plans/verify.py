@@ -89,19 +89,39 @@ def assign_verifiers(valid: DataFrame, key: str, seed: int, names: tuple[str, st
 
 def critique_pairs(rows: DataFrame, ask: Stage) -> DataFrame:
     """Rows that pass a critique, are fixed by it, or could not be checked; failed ones are dropped."""
+    return critiqued(critique_outcomes(rows, ask))
+
+
+def critique_outcomes(rows: DataFrame, ask: Stage) -> DataFrame:
+    """Rows that a critique does not drop, as they were, with the outcome, the formula it suggests and its error.
+
+    ``critiqued`` makes the columns of such rows; a plan that keeps few of them can do so last.
+    """
     asked = ask(rows.withColumn("_q", prompts.critique(F.col("nl_statement"), F.col("atl_formula"))), "_q", "_a")
-    return apply_critique(asked, F.col("_a.text"), F.col("_a.error")).drop("_q", "_a")
+    return _with_outcome(asked, F.col("_a.text"), F.col("_a.error")).drop("_q", "_a")
 
 
 def apply_critique(rows: DataFrame, answer, error) -> DataFrame:
-    c = rows.withColumn("_c", answers.critique(answer)).withColumn("_err", error)
-    fix = F.col("_c.suggested_fix")
-    c = c.withColumn("_fix_ok", rules.check_structure(F.coalesce(fix, F.lit("")))["valid"])
-    c = c.withColumn("outcome", rules.critique_outcome(F.col("_c.ok"), fix, F.col("_fix_ok"), F.col("_err").isNotNull()))
-    o = F.col("outcome")
-    drop = {"atl_formula", "atl_unicode", "syntax_valid", "confidence", "verification_notes"}
+    return critiqued(_with_outcome(rows, answer, error))
+
+
+def _with_outcome(rows: DataFrame, answer, error) -> DataFrame:
+    # the object is a column of its own, so that it is read once and in generated code
+    c = rows.withColumn("_read", answers.critique_object(answer)).withColumn("_err", error)
+    c = c.withColumn("_c", answers.critique_fields(F.col("_read"), answer))
+    c = c.withColumn("_ok", F.col("_c.ok")).withColumn("_fix", F.col("_c.suggested_fix")).drop("_c", "_read")
+    fix = F.col("_fix")
+    fix_ok = F.when(fix.isNotNull(), rules.check_structure(fix)["valid"]).otherwise(False)
+    c = c.withColumn("outcome", rules.critique_outcome(F.col("_ok"), fix, fix_ok, F.col("_err").isNotNull())).drop("_ok")
+    return keep_where(c, F.col("outcome") != "drop")
+
+
+def critiqued(rows: DataFrame) -> DataFrame:
+    """Formula, validity, confidence and notes of rows from ``critique_outcomes``."""
+    o, fix = F.col("outcome"), F.col("_fix")
+    drop = {"atl_formula", "atl_unicode", "syntax_valid", "confidence", "verification_notes", "outcome", "_fix", "_err"}
     formula = F.when(o == "fixed", fx.to_ascii(fix)).otherwise(F.col("atl_formula"))
-    return keep_where(c, o != "drop").select(
+    return rows.select(
         *[x for x in rows.columns if x not in drop],
         formula.alias("atl_formula"),
         fx.to_printed(formula).alias("atl_unicode"),

@@ -1,6 +1,7 @@
 """Column functions on single texts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairwright.functions import answers, formula, identity, rules
 from pairwright.functions.profile import describe
@@ -139,3 +140,13 @@ def test_verdicts(one):
     assert not s.matches and s.confidence == 0.0 and s.parse_failed
     c = one(answers.critique, '{"ok": false, "suggested_fix": "<<a>> G p"}')
     assert not c.ok and c.suggested_fix == "<<a>> G p"
+
+
+def test_list_items_of_odd_lines(one):
+    text = " \n\t1. one \r\n\n  \x0b\n2) 'two'\n 3.\n-4: x\n5G\n7 . y\n* \"z\"  \n1. 2. w\n "
+    assert one(answers.list_items, text) == ["one", "'two'", "-4: x", "5G", "7 . y", '* "z"', "2. w"]
+    assert one(lambda c: answers.list_items(c, bullets=True, quotes=True), text) == ["one", "two", "4: x", "5G", "7 . y", "z", "2. w"]
+    assert one(lambda c: answers.list_items(c, original=F.lit("5G"), min_length=3), text) == ["'two'", "-4: x", "7 . y", '* "z"', "2. w"]
+    assert one(lambda c: answers.list_items(c, original=F.lit(None).cast("string")), text) == []
+    assert one(answers.list_items, None) is None
+    assert one(answers.list_items, "") == []

@@ -307,3 +307,16 @@ def test_stream_resumes_without_repeats(spark, tmp_path):
     # nothing new: nothing written
     jobs.append_enriched(jobs.stream_table(spark, src), enrich, out, cp).awaitTermination()
     assert spark.read.parquet(out).count() == 200
+
+
+def test_hybrid_writes_only_what_is_needed_to_trim(spark, monkeypatch):
+    written, cut = [], create.cut_lineage
+    monkeypatch.setattr(create, "cut_lineage", lambda df, label: written.append(df.columns) or cut(df, label))
+    draws = spark.range(300).withColumnRenamed("id", "draw")
+    rows = create.hybrid_dataset(draws, "draw", 3, 40, inf.expression_stage(replies.paraphrases), inf.expression_stage(replies.critique), "mock")
+    assert not {"id", "domain", "agents", "operators", "atoms", "atl_unicode"} & set(written[0])
+    kept = rows.collect()
+    assert len(kept) == 40 and all(r.agents and r.atoms and r.outcome == "keep" and r.confidence == 1.0 for r in kept)
+    assert {r.generation.provider for r in kept} == {"none", "mock"}
+    assert all(not r.nl_statement.startswith(replies.WORDINGS[1]) for r in kept)
+    assert len(create.hybrid_dataset(draws, "draw", 3, 40, inf.expression_stage(replies.paraphrases), None, "mock").collect()) == 40
