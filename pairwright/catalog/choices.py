@@ -17,7 +17,7 @@ from pairwright.operators.identity import first_seen
 from pairwright.operators.inference import expression_stage
 from pairwright.operators.ranking import dense_index
 from pairwright.plans import create, verify
-from pairwright.session import spread
+from pairwright.session import spread_rows
 
 
 def pick_sql(key: str, seed: int, n: str) -> str:
@@ -121,7 +121,7 @@ pairs AS (SELECT o_orderkey, domain AS vocabulary, ({sql_list([t for t, _, _ in
 
 
 def order_draws(spark, sf):
-    return spread(table(spark, sf, "orders").select("o_orderkey"))
+    return spread_rows(table(spark, sf, "orders").select("o_orderkey"))
 
 
 @query("g01_template_pairs", f"WITH {G01_SQL} SELECT * FROM pairs")

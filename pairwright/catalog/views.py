@@ -13,7 +13,7 @@ from pairwright import vocab
 from pairwright.functions.formula import fill
 from pairwright.functions.text import let, replace_all
 from pairwright.operators.neighbours import with_next
-from pairwright.session import spread
+from pairwright.session import spread, spread_rows
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "events")).withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+    return spread_rows(table(spark, sf, "events")).withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
 
 
 SHAPE_TEXTS = [s for _, _, s in vocab.FORMULA_SHAPES]

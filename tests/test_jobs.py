@@ -320,3 +320,24 @@ def test_hybrid_writes_only_what_is_needed_to_trim(spark, monkeypatch):
     assert {r.generation.provider for r in kept} == {"none", "mock"}
     assert all(not r.nl_statement.startswith(replies.WORDINGS[1]) for r in kept)
     assert len(create.hybrid_dataset(draws, "draw", 3, 40, inf.expression_stage(replies.paraphrases), None, "mock").collect()) == 40
+
+
+def test_rows_of_a_task_are_bounded_whatever_the_splits(spark, tmp_path):
+    """A file of one row group in many splits: one split has all rows."""
+    from pairwright.catalog import views
+
+    n = 3 * session.ROWS_OF_TASK
+    rows = spark.range(0, n, 1, 1).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"), (F.col("id") % 7).alias("user_id"), F.concat(F.lit('{"k": '), F.col("id") % 100, F.lit("}")).alias("props"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    size = sum(f.stat().st_size for f in (tmp_path / "events.parquet").glob("*.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // 16))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert views.table(spark, str(tmp_path), "events").rdd.getNumPartitions() > session.FEW_SPLITS
+        per = views.events(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sum(r["count"] for r in per) == n
+    assert max(r["count"] for r in per) <= session.ROWS_OF_TASK
+    assert session.spread_rows(spark.range(n * 10)).rdd.getNumPartitions() == 30
