@@ -78,14 +78,26 @@ def s03(spark, sf):
 
 @query("s03_large_lists", f"WITH {STORED_SQL} SELECT id, domain, atl_formula FROM stored")
 def s03l(spark, sf):
-    """Four files with one list each, an element on a line."""
+    """Four files or more with one list each, an element on a line."""
     path = run_dir(spark, "s03l")
+    write_lists(stored(spark, sf), path)
+    return readers.read_large_json(spark, path).where("id <> 'none'").select("id", "domain", "atl_formula")
+
+
+#: A file is written by one task, so there are as many lists as the statements have such pieces, four at least.
+LIST_BYTES = 128 << 20
+
+
+def write_lists(samples, path, list_bytes=LIST_BYTES):
+    spark = samples.sparkSession
+    size = samples.agg(F.sum(F.octet_length("nl_statement").cast("bigint"))).first()[0] or 0
+    lists = max(4, -(-size // list_bytes))
     item = F.concat(F.lit(", "), F.to_json(F.struct("id", F.col("nl_statement").alias("nl"), F.col("atl_formula").alias("atl"), "domain")))
-    lines = stored(spark, sf).select(F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(4)).cast("int").alias("doc"), F.lit(1).alias("place"), item.alias("value"))
+    lines = samples.select(F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(lists)).cast("int").alias("doc"), F.lit(1).alias("place"), item.alias("value"))
     for place, text in ((0, '{"about": {"kind": "pairs"}, "samples": [{"id": "none"}'), (2, "]}")):
-        lines = lines.unionByName(spark.range(4).select(F.col("id").cast("int").alias("doc"), F.lit(place).alias("place"), F.lit(text).alias("value")))
-    lines.repartition(4, "doc").sortWithinPartitions("doc", "place").drop("place").write.partitionBy("doc").text(path)
-    return readers.read_large_json(spark, path).where("id <> 'none'").select("id", "domain", "atl_formula")
+        lines = lines.unionByName(spark.range(lists).select(F.col("id").cast("int").alias("doc"), F.lit(place).alias("place"), F.lit(text).alias("value")))
+    # a few partitions a list, so that few lists share one
+    lines.repartition(4 * lists, "doc").sortWithinPartitions("doc", "place").drop("place").write.partitionBy("doc").text(path)
 
 
 @query("s04_many_sources", f"WITH {STORED_SQL} SELECT id, nl_statement FROM stored UNION ALL SELECT 'e' || event_id, event_type FROM events")

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwright.operators.ranking import with_columns_of
+from pairwright.operators.ranking import measured, with_columns_of
 from pairwright.session import cut_lineage
 
 LISTS = ("samples", "pairs")
@@ -72,7 +72,7 @@ def _state(pieces: DataFrame) -> DataFrame:
     files = W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
     per = per.withColumn("_odd", sums("_q", files) % 2)
     per = per.withColumn("_deep", sums(F.when(F.col("_odd") == 1, F.col("_t1")).otherwise(F.col("_t0")), files)).select("file", "_start", "_odd", "_deep")
-    rows = with_columns_of(rows, per, ["file", "_start"])
+    rows = with_columns_of(rows, measured(per), ["file", "_start"])
     rows = rows.withColumn("_in", (F.col("_flip") + F.col("_odd")) % 2 == 1).withColumn("_step", F.when(F.col("_odd") == 1, F.col("_d1")).otherwise(F.col("_d0")))
     after = F.col("_deep") + F.sum("_step").over(split)
     end = F.when(F.col("_in"), F.col("_e1")).otherwise(F.col("_e0"))
@@ -95,14 +95,14 @@ def read_json_lists(spark: SparkSession, path: str, element: T.StructType) -> Da
     # the last piece has no brace behind it if the file does not end with one
     closed = F.when(F.col("_seen") == F.col("_size"), F.col("_end._depth")).otherwise(F.col("_end._low"))
     documents = first.join(whole, "file").select("file", F.when(bare, F.lit(1)).otherwise(F.lit(BRACE + 1)).cast("bigint").alias("_base"), (closed == 0).alias("_whole"), (F.col("_seen") > F.col("_size")).alias("_open_end"))
-    rows = with_columns_of(state, documents, ["file"])
+    rows = with_columns_of(state, measured(documents), ["file"])
     ends = ((F.col("_depth") == F.col("_base")) & (F.col("_low") > F.col("_depth"))).cast("bigint")
     rows = rows.withColumn("_ends", F.when(F.col("_whole"), ends).otherwise(F.raise_error(F.concat(F.lit("JSON document is cut off: "), "file")).cast("bigint")))
     split = W.partitionBy("file", "_start").orderBy("_id").rowsBetween(W.unboundedPreceding, -1)
     per = rows.groupBy("file", "_start").agg(F.sum("_ends").alias("_n"))
     files = W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
     per = per.select("file", "_start", F.coalesce(F.sum("_n").over(files), F.lit(0)).alias("_off"), F.sum("_n").over(W.partitionBy("file")).alias("_all"))
-    rows = with_columns_of(rows, per, ["file", "_start"])
+    rows = with_columns_of(rows, measured(per), ["file", "_start"])
     rows = rows.withColumn("no", F.col("_off") + F.coalesce(F.sum("_ends").over(split), F.lit(0)))
     # the pieces of an element in order; what follows the last one is not an element
     top = (_braces(F.col("_from")) <= _braces(F.col("_base"))).alias("_top")
@@ -122,6 +122,6 @@ def read_json_lists(spark: SparkSession, path: str, element: T.StructType) -> Da
     until = W.partitionBy("file").orderBy("_first")
     begins = begins.withColumn("_next", F.lead("_first").over(until)).select(F.col("file").alias("_file"), "_first", "_next", F.col("_list").alias("_name"))
     on = (F.col("file") == F.col("_file")) & (F.col("no") >= F.col("_first")) & (F.col("_next").isNull() | (F.col("no") < F.col("_next")))
-    named_rows = text.join(begins, on).where(F.col("_name").isin("", *LISTS))
+    named_rows = text.join(measured(begins), on).where(F.col("_name").isin("", *LISTS))
     parsed = F.from_json("_body", element, {"mode": "FAILFAST"})
     return named_rows.select("file", "no", parsed.alias("element"))

@@ -4,8 +4,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairwright.sources import readers
 from pairwright.sources.json_lists import read_json_lists
 
 ELEMENT = T.StructType([T.StructField("id", T.LongType()), T.StructField("s", T.StringType()), T.StructField("more", T.ArrayType(T.StructType([T.StructField("x", T.LongType())])))])
@@ -64,3 +66,20 @@ def test_documents_that_are_cut_off(spark, tmp_path, text):
     (tmp_path / "d.json").write_text(text)
     with pytest.raises(Exception, match="cut off"):
         read(spark, tmp_path / "d.json")
+
+
+def test_lists_grow_in_number_not_in_size(spark, tmp_path):
+    """A file is one task's work, so the largest one must not grow with the table."""
+    from pairwright.catalog import storage
+
+    def largest(n, path):
+        ids = spark.range(n).select(F.concat(F.lit("d"), "id").alias("id"), F.repeat(F.lit("word "), 200).alias("nl_statement"), F.lit("<<a>> G(b)").alias("atl_formula"), F.lit("en").alias("domain"))
+        storage.write_lists(ids, path, list_bytes=200_000)
+        back = readers.read_large_json(spark, path).where("id <> 'none'")
+        assert back.select("id").distinct().count() == back.count() == n
+        files = [f.stat().st_size for f in tmp_path.glob(f"{path.rsplit('/', 1)[1]}/*/*.txt")]
+        return len(files), max(files)
+
+    few, some = largest(500, f"{tmp_path}/small")
+    many, most = largest(4000, f"{tmp_path}/large")
+    assert few == 4 and many == 20 and most < 2 * some
