@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import bounded, kept_table, lean, lean_group, shuffle_width, text_key
+from pairwright.llm.frames import bounded, give_back, kept_table, lean, lean_group, shuffle_width, text_key
 from pairwright.llm.words import Words, blocks, chained, mix, ragged, spaced, words_of
 
 #: Words of a shingle; links share at least this percentage of their union.
@@ -273,6 +273,8 @@ def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     parts = wanted.select("cls").mapInArrow(lean(mark), "slice int, bits binary").groupBy("slice").applyInArrow(lean_group(either), "slice int, bits binary").collect()
     bits = np.concatenate([np.frombuffer(r["bits"], np.uint8) for r in sorted(parts)]) if parts else np.zeros(FILTER_BITS // 8, np.uint8)
     sent = spark.sparkContext.broadcast(bits)  # FILTER_BITS bits
+    del parts, bits
+    give_back()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = sent.value

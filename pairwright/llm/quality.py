@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.frames import bounded, lean, others, send
+from pairwright.llm.frames import bounded, lean, lean_group, others, send
 from pairwright.llm.words import Words, blocks, chained, code_points, covered, fingerprints, mix, runs, spaced, words_of
 
 #: Base rules: fewer words fail, and more than this share (percent) of words in repeated windows.
@@ -155,13 +155,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Gradient steps with momentum over the sampled rows; every ``FOLDS``-th row of
     the sample is held back and calibrates, weighted to the shares that the
-    classes have among all labelled rows.
+    classes have among all labelled rows. The sample's features, ``2 * sample``
+    rows, go to one task; the driver gets the weights alone.
     """
     texts, sizes = labelled_sample(docs, labels, id_col, text_col, label_col, sample)
     if len(sizes) < 2:
         return None
     schema = f"id {dict(texts.dtypes)['id']}, good int, buckets binary, values binary"
-    rows = sorted(texts.mapInArrow(lean(_features), schema).collect(), key=lambda r: (r["good"], str(r["id"]), bytes(r["buckets"])))
+    fit = lean_group(lambda rows: _trained(rows, sizes))
+    found = texts.mapInArrow(lean(_features), schema).groupBy().applyInArrow(fit, "weights binary, bias double, slope double, offset double").first()
+    return None if found is None else Model(np.frombuffer(found["weights"], np.float32), found["bias"], found["slope"], found["offset"])
+
+
+def _trained(table: pa.Table, sizes: dict[int, int]) -> pa.Table:
+    """The model of the sampled rows, as one row."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r["good"], str(r["id"]), r["buckets"]))
     good = np.array([r["good"] for r in rows], float)
     held = np.arange(len(rows)) % FOLDS == 0
     if min((good[~held] == 0).sum(), (good[~held] == 1).sum()) == 0:
@@ -175,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     use = held if held.any() else np.ones(len(good), bool)
     share = np.where(good == 1, sizes[1] / max(1, (good[use] == 1).sum()), sizes[0] / max(1, (good[use] == 0).sum()))
     slope, offset = _calibrated(z[use], good[use], share[use])
-    return Model(weights.astype(np.float32), bias, slope, offset)
+    return pa.table({"weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary()), "bias": [bias], "slope": [float(slope)], "offset": [float(offset)]})
 
 
 def _fit(bucket: np.ndarray, value: np.ndarray, row: np.ndarray, good: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, float]:

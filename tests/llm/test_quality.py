@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter
 
@@ -72,3 +73,19 @@ def test_training_repeats_and_is_bounded(spark):
     texts, sizes = quality.labelled_sample(docs, labels, "doc_id", "text", "quality", 20)
     assert {r["good"]: r["count"] for r in texts.groupBy("good").count().collect()} == {0: 20, 1: 20}
     assert sum(sizes.values()) == labels.count()
+
+
+def test_training_leaves_the_driver_alone(spark, monkeypatch):
+    """The sample's features go to a task; the driver fits nothing."""
+    rows = [(k, ("clean sentence of plain words here " if k % 2 else "buy $$$ now ### click ") * 20) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    driver, fit = os.getpid(), quality._fit
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return fit(*args)
+
+    monkeypatch.setattr(quality, "_fit", elsewhere)
+    model = quality.train(docs, labels)
+    assert model.weights.any() and len(model.weights) == quality.BUCKETS
