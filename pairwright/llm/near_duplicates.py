@@ -26,6 +26,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -107,21 +108,24 @@ def _sign(size: int, n_minima: int):
     return run
 
 
+@cache
 def least_matches(total: int, batch: int, percent: int, miss: float) -> np.ndarray:
     """For each number of compared bytes: matches from which P(similarity >= threshold | matches) is at least ``miss``.
 
-    A byte of unlike minima matches by chance once in 256.
+    A byte of unlike minima matches by chance once in 256. The driver works this
+    out, so one number of matches is looked at at a time.
     """
     x = (np.arange(20000) + 0.5) / 20000
     over = x >= percent / 100
     match = x + (1 - x) / 256
-    out = []
-    for n in range(batch, total + 1, batch):
-        m = np.arange(n + 1)[:, None]
-        log_density = m * np.log(match) + (n - m) * np.log1p(-match)
-        density = np.exp(log_density - log_density.max(axis=1, keepdims=True))
-        out.append(int(np.argmax((density * over).sum(axis=1) >= miss * density.sum(axis=1))))
-    return np.array(out)
+    hit, fail = np.log(match), np.log1p(-match)
+
+    def reached(n: int, m: int) -> bool:
+        log_density = m * hit + (n - m) * fail
+        density = np.exp(log_density - log_density.max())
+        return (density * over).sum() >= miss * density.sum()
+
+    return np.array([next((m for m in range(n + 1) if reached(n, m)), 0) for n in range(batch, total + 1, batch)])
 
 
 def survivors(x: np.ndarray, p: np.ndarray, m: np.ndarray, batch: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -111,6 +112,18 @@ def test_posterior_bounds():
         assert low <= len(m) / 20_000 <= high and (p == 0).all()
 
 
+def test_posterior_bounds_take_little_memory():
+    """The driver works them out: the whole table of densities was over 300 MB."""
+    tracemalloc.start()
+    try:
+        least = nd.least_matches(512, 64, 90, 1e-6)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert least.tolist() == [45, 98, 151, 206, 261, 316, 371, 427]  # those of the whole table
+    assert peak < 8_000_000
+
+
 @pytest.mark.parametrize(("growth", "most", "members", "pairs"), [(2, 3, 5, 7), (32, 1 << 15, 1 << 16, 1 << 16)])
 def test_rounds_salts_and_slices(make, monkeypatch, growth, most, members, pairs):
     """Many rounds of few pivots, buckets over many tasks and small slices give the same."""
